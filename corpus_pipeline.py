@@ -1,3 +1,63 @@
-STAGES = []
+"""Corpus pipeline: quality rules, near-duplicate join, repeated-string removal, decontamination, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loreforge.llm.common import read_table, stored
+from loreforge.llm.decontaminate import drop_contaminated
+from loreforge.llm.ngram_join import one_of_each_group
+from loreforge.llm.packing import pack_documents
+from loreforge.llm.quality import keep_good_documents
+from loreforge.llm.suffix_dedup import remove_repeats
+from loreforge.session import ship_package
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier test reject go."""
+    ship_package(spark)
+    return keep_good_documents(docs).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest doc_id stays."""
+    ship_package(spark)
+    return one_of_each_group(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that stand elsewhere as well are cut out of the texts."""
+    ship_package(spark)
+    return remove_repeats(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a test item go."""
+    ship_package(spark)
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all texts, placed in sequences."""
+    ship_package(spark)
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Packing by byte-pair tokens and alignment scores are beyond SQL.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written as Parquet and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
