@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` and the lambdas in it refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(col(c), r"(?U)\A\s+|\s+\z", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, count_matches, ordered_join, strip
+from loreforge.functions.text import col, count_matches, let, ordered_join, strip
 from loreforge.operators.density import filter_chunks
 from loreforge.operators.markdown import build_context, clean_markdown, headings, paths
 
@@ -17,6 +17,11 @@ _STRINGS = "array<string>"
 _CHUNK = "array<struct<content: string, path: array<string>>>"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once for each row: later expressions that refer to it several times don't repeat it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def not_blank(texts: Column) -> Column:
     return F.filter(F.transform(texts, strip), lambda t: t != "")
 
@@ -36,12 +41,13 @@ def pack(parts: Column, limit: Column | int, extra: int = 0, sep: str = "\n\n")
             (acc["i"] + 1).alias("i"),
         ).cast(kind)
 
+    def cut(p, starts):
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(p) + 1))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.array_join(F.slice(p, z["a"], z["b"] - z["a"]), sep))
+
     # only where groups begin is carried along; the texts are cut from it afterwards
-    starts = F.aggregate(parts, zero, step)["starts"]
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(parts) + 1))
-    return F.when(F.size(parts) == 0, F.array().cast(_STRINGS)).otherwise(
-        F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.array_join(F.slice(parts, z["a"], z["b"] - z["a"]), sep))
-    )
+    whole = lambda p: F.when(F.size(p) > 0, let(F.aggregate(p, zero, step)["starts"], lambda starts: cut(p, starts))).otherwise(F.array().cast(_STRINGS))
+    return let(parts, whole)
 
 
 def paragraphs(text: Column) -> Column:
@@ -50,29 +56,30 @@ def paragraphs(text: Column) -> Column:
 
 def split_sentences(text: Column | str, max_chars: int) -> Column:
     """Pieces of at most max_chars: cut after the last sentence end of the window if past 30 % of it, else at the last blank past 30 %, else hard."""
-    text = col(text)
     kind = "struct<pos: int, cuts: array<int>>"
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("cuts")).cast(kind)
-    n = F.length(text)
     least = max_chars * 0.3
 
-    def step(acc, _):
-        w = F.substr(text, acc["pos"] + 1, F.lit(max_chars))
-        end = F.greatest(
-            F.length(F.regexp_extract(w, r"(?sU)^.*[。！？.!?]\s*", 0)), F.length(F.regexp_extract(w, r"(?s)^.*\n", 0))
-        )
+    def move(w):
+        end = F.greatest(F.length(F.regexp_extract(w, r"(?sU)^.*[。！？.!?]\s*", 0)), F.length(F.regexp_extract(w, r"(?s)^.*\n", 0)))
         blank = F.length(w) - F.length(F.substring_index(w, " ", -1)) - 1
-        move = F.when(end > least, end).when(blank > least, blank).otherwise(F.lit(max_chars))
-        to = F.when(acc["pos"] + max_chars >= n, n).otherwise(acc["pos"] + move)
-        done = acc["pos"] >= n
-        return F.when(done, acc).otherwise(F.struct(to.alias("pos"), F.concat(acc["cuts"], F.array(to)).alias("cuts")).cast(kind))
+        return let(end, lambda e: F.when(e > least, e).when(blank > least, blank).otherwise(F.lit(max_chars)))
+
+    def cuts_of(t):
+        n = F.length(t)
 
-    # each cut moves on by 30 % of the window at least
-    rounds = F.sequence(F.lit(0), F.ceil(n / least).cast("int"))
-    cuts = F.aggregate(rounds, zero, step)["cuts"]
-    begins = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1))
-    pieces = F.transform(F.arrays_zip(begins.alias("a"), cuts.alias("b")), lambda z: F.substr(text, z["a"] + 1, z["b"] - z["a"]))
-    return F.when(n <= max_chars, F.array(text)).otherwise(not_blank(pieces))
+        def step(acc, _):
+            to = F.when(acc["pos"] + max_chars >= n, n).otherwise(acc["pos"] + let(F.substr(t, acc["pos"] + 1, F.lit(max_chars)), move))
+            return F.when(acc["pos"] >= n, acc).otherwise(let(to, lambda x: F.struct(x.alias("pos"), F.concat(acc["cuts"], F.array(x)).alias("cuts")).cast(kind)))
+
+        # each cut moves on by 30 % of the window at least
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(n / least).cast("int")), zero, step)["cuts"]
+
+    def pieces(t, cuts):
+        begins = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1))
+        return not_blank(F.transform(F.arrays_zip(begins.alias("a"), cuts.alias("b")), lambda z: F.substr(t, z["a"] + 1, z["b"] - z["a"])))
+
+    return let(col(text), lambda t: F.when(F.length(t) <= max_chars, F.array(t)).otherwise(let(cuts_of(t), lambda cuts: pieces(t, cuts))))
 
 
 def chunk_sliding_window(text: Column | str, window: int = WINDOW_CHARS) -> Column:
@@ -102,30 +109,39 @@ def chunk_conversation_turns(text: Column | str, min_chars: int = MIN_CHARS) ->
 def auto_split_level(text: Column | str, heads: Column | None = None, target: int = TARGET_CHARS) -> Column:
     """Of levels 2 to 6 with two boundaries or more, the one whose mean chunk is nearest the target; the lower on ties; else 2."""
     text = col(text)
-    heads = headings(text) if heads is None else heads
-    options = F.transform(
-        F.array(*[F.lit(k) for k in range(2, 7)]),
-        lambda k: F.struct(F.size(F.filter(heads, lambda h: h["level"] <= k)).alias("n"), k.alias("level")),
-    )
-    scored = F.transform(F.filter(options, lambda o: o["n"] >= 2), lambda o: F.struct(F.abs(F.length(text) / o["n"] - target).alias("x"), o["level"].alias("level")))
-    return F.coalesce(F.array_min(scored)["level"], F.lit(2))
+
+    def best(h):
+        upto = lambda k: F.size(F.filter(h, lambda x: x["level"] <= k))
+        n = [upto(k) for k in range(2, 7)]
+        options = F.array(*[F.when(c >= 2, F.struct(F.abs(F.length(text) / c - target).alias("x"), F.lit(k).alias("level"))) for k, c in zip(range(2, 7), n, strict=True)])
+        return F.coalesce(F.array_min(options)["level"], F.lit(2))
+
+    return let(headings(text) if heads is None else heads, best)
 
 
 def chunk_by_headings(text: Column, heads: Column, level: Column | int, min_chars: int = MIN_CHARS) -> Column:
     """Chunks (content, path) from each heading of the level or above to the next; a preamble of min_chars or more comes first."""
     level = F.lit(level) if isinstance(level, int) else level
-    rows = F.transform(F.arrays_zip(heads.alias("h"), paths(heads).alias("p")), lambda z: F.struct(z["h"]["level"].alias("level"), z["h"]["start_pos"].alias("start"), z["p"].alias("path")))
-    near = F.filter(rows, lambda r: r["level"] <= level)
-    marks = F.when(F.size(near) > 0, near).otherwise(rows)
-    next_starts = F.concat(F.transform(F.slice(marks, 2, F.size(marks)), lambda r: r["start"]), F.array(F.length(text)))
-    body = F.transform(
-        F.arrays_zip(marks.alias("m"), next_starts.alias("to")),
-        lambda z: F.struct(strip(F.substr(text, z["m"]["start"] + 1, z["to"] - z["m"]["start"])).alias("content"), z["m"]["path"].alias("path")),
-    )
-    preamble = strip(F.substr(text, F.lit(1), F.try_element_at(marks, F.lit(1))["start"]))
-    first = F.array(F.struct(preamble.alias("content"), F.array().cast(_STRINGS).alias("path")))
-    out = F.concat(F.filter(first, lambda c: F.length(c["content"]) >= min_chars), F.filter(body, lambda c: c["content"] != ""))
-    return F.when(F.size(heads) == 0, F.array().cast(_CHUNK)).otherwise(out.cast(_CHUNK))
+
+    def cut(marks):
+        next_starts = F.concat(F.transform(F.slice(marks, 2, F.size(marks)), lambda r: r["start"]), F.array(F.length(text)))
+        body = F.transform(
+            F.arrays_zip(marks.alias("m"), next_starts.alias("to")),
+            lambda z: F.struct(strip(F.substr(text, z["m"]["start"] + 1, z["to"] - z["m"]["start"])).alias("content"), z["m"]["path"].alias("path")),
+        )
+        preamble = strip(F.substr(text, F.lit(1), F.try_element_at(marks, F.lit(1))["start"]))
+        first = F.array(F.struct(preamble.alias("content"), F.array().cast(_STRINGS).alias("path")))
+        return F.concat(F.filter(first, lambda c: F.length(c["content"]) >= min_chars), F.filter(body, lambda c: c["content"] != "")).cast(_CHUNK)
+
+    def chosen(rows):
+        near = F.filter(rows, lambda r: r["level"] <= level)
+        return let(F.when(F.exists(rows, lambda r: r["level"] <= level), near).otherwise(rows), cut)
+
+    def rows_of(h):
+        rows = F.transform(F.arrays_zip(h.alias("h"), paths(h).alias("p")), lambda z: F.struct(z["h"]["level"].alias("level"), z["h"]["start_pos"].alias("start"), z["p"].alias("path")))
+        return F.when(F.size(h) > 0, let(rows, chosen)).otherwise(F.array().cast(_CHUNK))
+
+    return let(heads, rows_of)
 
 
 def _plain(texts: Column) -> Column:
@@ -134,17 +150,21 @@ def _plain(texts: Column) -> Column:
 
 def merge_short(chunks: Column, min_chars: int = MIN_CHARS) -> Column:
     """Chunks under min_chars go to the end of the one before; the first one never does."""
-    n = F.size(chunks)
-    at = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.length(F.element_at(chunks, i)["content"]) >= min_chars))
-    ends = F.concat(F.slice(at, 2, F.size(at)), F.array(n + 1))
-    merged = F.transform(
-        F.arrays_zip(at.alias("a"), ends.alias("b")),
-        lambda z: F.struct(
-            F.array_join(F.transform(F.slice(chunks, z["a"], z["b"] - z["a"]), lambda c: c["content"]), "\n\n").alias("content"),
-            F.element_at(chunks, z["a"])["path"].alias("path"),
-        ),
-    )
-    return F.when(n == 0, chunks).otherwise(merged)
+
+    def merged(c, at):
+        ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(c) + 1))
+        return F.transform(
+            F.arrays_zip(at.alias("a"), ends.alias("b")),
+            lambda z: F.struct(
+                F.array_join(F.transform(F.slice(c, z["a"], z["b"] - z["a"]), lambda x: x["content"]), "\n\n").alias("content"),
+                F.element_at(c, z["a"])["path"].alias("path"),
+            ),
+        )
+
+    def starts(c):
+        return F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (F.length(x["content"]) >= min_chars), i + 1)), lambda i: i.isNotNull())
+
+    return let(chunks, lambda c: F.when(F.size(c) > 0, let(starts(c), lambda at: merged(c, at))).otherwise(c))
 
 
 def chunk_strategy(docs: DataFrame, text: str = "markdown") -> DataFrame:
@@ -168,16 +188,18 @@ def split_oversized_chunks(chunks: DataFrame, max_chars: int = MAX_CHARS, conten
     Adds sub, the place within the row it comes from.
     """
     c = F.col(content)
-    heads = headings(c)
+    chunks = once(chunks, "_hh", F.when(F.length(c) > max_chars, headings(c)))
+    chunks = once(chunks, "_pp", F.when(F.length(c) > max_chars, paragraphs(c)))
+    heads = F.col("_hh")
     inner = F.transform(chunk_by_headings(c, heads, 6), lambda x: F.struct(x["content"].alias("content"), F.concat(F.col("heading_path"), x["path"]).alias("path")))
     same = lambda texts: F.transform(texts, lambda t: F.struct(t.alias("content"), F.col("heading_path").alias("path")))
     parts = (
         F.when(F.length(c) <= max_chars, same(F.array(c)).cast(_CHUNK))
         .when(F.size(heads) >= 2, inner.cast(_CHUNK))
-        .when(F.size(paragraphs(c)) >= 2, same(chunk_by_paragraphs(c, max_chars)).cast(_CHUNK))
+        .when(F.size("_pp") >= 2, same(pack(F.col("_pp"), max_chars)).cast(_CHUNK))
         .otherwise(same(split_sentences(c, max_chars)).cast(_CHUNK))
     )
-    rows = chunks.select(*[x for x in chunks.columns if x not in (content, "heading_path")], F.posexplode(parts).alias("sub", "_p"))
+    rows = chunks.select(*[x for x in chunks.columns if x not in (content, "heading_path", "_hh", "_pp")], F.posexplode(parts).alias("sub", "_p"))
     return rows.select("*", F.col("_p.content").alias(content), F.col("_p.path").alias("heading_path")).drop("_p")
 
 
@@ -188,23 +210,26 @@ def chunk_markdown(docs: DataFrame, text: str = "markdown", doc_name: str = "doc
     else windows cut at sentence ends. Short chunks are merged but for turns, and long ones cut once. Blank documents give
     no rows.
     """
-    docs = docs.withColumn(text, clean_markdown(text)) if clean else docs
-    rows = chunk_strategy(docs, text).where("strategy <> 'empty'")
-    t, heads = F.col(text), headings(F.col(text))
-    turns = chunk_conversation_turns(t, min_chars)
-    is_turn = (F.col("strategy") == "conversation_turn") & (F.size(turns) > 0)
-    strategy = F.when((F.col("strategy") == "conversation_turn") & (F.size(turns) == 0),
-        F.when(F.size(heads) >= LEAST_HEADINGS, "heading_ast").when(t.rlike(_BLANK), "paragraph").otherwise("sliding_window")).otherwise(F.col("strategy"))
+    if clean:
+        docs = once(docs, "_t", clean_markdown(text)).drop(text).withColumnRenamed("_t", text).select(*docs.columns)
+    rows = once(docs, "_h", headings(F.col(text)))
+    t, heads = F.col(text), F.col("_h")
+    is_turn = count_matches(t, TURN) >= 3
+    rows = once(rows, "_turns", F.when(is_turn, chunk_conversation_turns(t, min_chars)).otherwise(F.array().cast(_STRINGS)))
+    strategy = (
+        F.when(F.size("_turns") > 0, "conversation_turn").when(F.size("_h") >= LEAST_HEADINGS, "heading_ast").when(t.rlike(_BLANK), "paragraph").otherwise("sliding_window")
+    )
+    rows = once(rows.where(strip(t) != ""), "strategy", strategy).withColumn("total_chars", F.length(t))
     level = F.lit(split_level) if split_level else auto_split_level(t, heads)
     first = (
-        F.when(is_turn, _plain(turns))
-        .when(strategy == "heading_ast", chunk_by_headings(t, heads, level, min_chars))
-        .when(strategy == "paragraph", _plain(chunk_by_paragraphs(t, max_chars)))
+        F.when(F.col("strategy") == "conversation_turn", _plain(F.col("_turns")))
+        .when(F.col("strategy") == "heading_ast", chunk_by_headings(t, heads, level, min_chars))
+        .when(F.col("strategy") == "paragraph", _plain(chunk_by_paragraphs(t, max_chars)))
         .otherwise(_plain(chunk_sliding_window(t)))
     )
-    rows = rows.withColumns({"_c": first, "strategy": strategy})
-    rows = rows.withColumn("_c", F.when(F.col("strategy") == "conversation_turn", F.col("_c")).otherwise(merge_short(F.col("_c"), min_chars)))
-    flat = rows.select("*", F.posexplode("_c").alias("_i", "_x")).select("*", F.col("_x.content").alias("content"), F.col("_x.path").alias("heading_path")).drop("_c", "_x", text)
+    rows = once(rows, "_f", first)
+    rows = once(rows, "_c", F.when(F.col("strategy") == "conversation_turn", F.col("_f")).otherwise(merge_short(F.col("_f"), min_chars)))
+    flat = rows.select("*", F.posexplode("_c").alias("_i", "_x")).select("*", F.col("_x.content").alias("content"), F.col("_x.path").alias("heading_path")).drop("_c", "_x", "_h", "_f", "_turns", text)
     cut = split_oversized_chunks(flat, max_chars)
     keep = [c for c in docs.columns if c != text]
     # a document's chunks are in one row until here, so numbering needs the document's own rows only

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, ordered_join, strip
+from loreforge.functions.text import col, let, ordered_join, strip
 
 #: Titles of sections that are noise.
 NOISE_SECTIONS = ("参考文献", "references", "bibliography", "致谢", "acknowledgments", "acknowledgements")
@@ -16,22 +16,19 @@ _HEADING = r"(?Udm)^(#{1,6})\s+(.+)$"
 
 def headings(text: Column | str) -> Column:
     """Array of (level, title, start_pos, end_pos) of the heading lines; a heading ends where the next one begins."""
-    text = col(text)
     # the text before each heading line and the line itself: pieces of the text cut in front of heading lines
-    pieces = F.split(F.regexp_replace(text, r"(?Udm)^(?=#{1,6}\s+.)", "\u0001"), "\u0001")
-    lengths = F.transform(pieces, F.length)
-    zero = F.array().cast("array<int>")
-    ends = F.aggregate(lengths, zero, lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    rows = F.transform(
-        F.sequence(F.lit(1), F.size(pieces)),
-        lambda i: F.struct(
-            F.length(F.regexp_extract(F.element_at(pieces, i), _HEADING, 1)).alias("level"),
-            strip(F.regexp_extract(F.element_at(pieces, i), _HEADING, 2)).alias("title"),
-            (F.element_at(ends, i) - F.element_at(lengths, i)).alias("start_pos"),
-            F.element_at(ends, i).alias("end_pos"),
-        ),
-    )
-    return F.filter(rows, lambda r: (r["level"] > 0))
+    pieces = F.split(F.regexp_replace(col(text), r"(?Udm)^(?=#{1,6}\s+.)", "\u0001"), "\u0001")
+    kind = "struct<at: int, rows: array<struct<level: int, title: string, start_pos: int, end_pos: int>>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().alias("rows")).cast(kind)
+    marked = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.regexp_extract(p, _HEADING, 0).alias("line")))
+
+    def step(acc, p):
+        level = F.length(F.regexp_extract(p["line"], "^(#*)", 1))
+        end = acc["at"] + p["n"]
+        row = F.struct(level.alias("level"), strip(F.substr(p["line"], level + 1)).alias("title"), acc["at"].alias("start_pos"), end.alias("end_pos"))
+        return F.struct(end.alias("at"), F.when(p["line"] != "", F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows")).cast(kind)
+
+    return F.aggregate(marked, zero, step)["rows"]
 
 
 def extract_headings(docs: DataFrame, text: str = "markdown") -> DataFrame:
@@ -137,14 +134,13 @@ def grid_to_markdown_table(cells: DataFrame, key: list[str], title: str | None =
     tables = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row_no", "c"))).alias("rows"), width.alias("last"))
 
     def line(row, last):
-        at = F.map_from_entries(F.transform(row["c"], lambda x: F.struct(x["col_no"], x["v"])))
-        vs = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(at, i), F.lit("")))
+        vs = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.element_at(F.concat(F.transform(F.filter(row["c"], lambda x: x["col_no"] == i), lambda x: x["v"]), F.array(F.lit(""))), 1)))
         return F.concat(F.lit("| "), F.array_join(vs, " | "), F.lit(" |"))
 
     last = F.col("last")
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), last + 1), " | "), F.lit(" |"))
     lines = F.transform("rows", lambda r: line(r, last))
-    md = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n")
+    md = let(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.size(x))), "\n"))
     if title:
         md = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), md)
     return tables.select(*key, md.alias("markdown"))

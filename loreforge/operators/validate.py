@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, strip
+from loreforge.functions.text import col, let, strip
 
 #: Words of answers that say nothing of their source.
 CN_STOP = (
@@ -53,7 +53,7 @@ def parse_frontmatter(answers: DataFrame, text: str = "raw_text") -> DataFrame:
 
     rows = F.aggregate(F.split(head, "\n"), F.array().cast(kind), step)
     # of repeated keys the last one counts
-    latest = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda x: x["key"] == r["key"]))
+    latest = let(rows, lambda kv: F.filter(kv, lambda r, i: ~F.exists(F.slice(kv, i + 2, F.size(kv)), lambda x: x["key"] == r["key"])))
     df = answers.withColumn("_kv", latest)
     values = F.map_from_entries(F.transform(F.filter("_kv", lambda r: r["value"].isNotNull()), lambda r: F.struct(r["key"], r["value"])))
     lists = F.map_from_entries(F.transform(F.filter("_kv", lambda r: r["value"].isNull()), lambda r: F.struct(r["key"], r["items"])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import ordered_join
@@ -103,7 +104,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- cells: a sheet for each order, a title row, a header row and its lines
 CELLS_SQL = r"""
-lines AS (SELECT l_orderkey AS sheet, l_linenumber AS n, l_partkey, l_quantity, l_shipdate, l_returnflag FROM lineitem),
+lines AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey, l_quantity, l_returnflag FROM lineitem),
 cells AS (
   SELECT DISTINCT sheet, 0 AS row_no, 0 AS col_no, '某某保险产品 ' || CAST(sheet AS VARCHAR) AS value FROM lines
   UNION ALL SELECT DISTINCT sheet, 1, c.col_no, c.value FROM lines, (VALUES (0, ' 保障项目 '), (1, '年限额'), (2, '备注'), (3, '说明')) AS c(col_no, value)
@@ -114,7 +115,8 @@ cells AS (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), (F.col("l_linenumber") + 2).cast("int").alias("row_no"), "l_partkey", "l_quantity", "l_returnflag")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), (F.row_number().over(w) + 2).cast("int").alias("row_no"), "l_partkey", "l_quantity", "l_returnflag")
     sheets = rows.select("sheet").distinct()
     s = F.struct
     top = [s(F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.concat(F.lit("某某保险产品 "), F.col("sheet").cast("string")).alias("value"))]
