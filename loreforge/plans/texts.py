@@ -327,6 +327,15 @@ def is_table_heavy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", density.is_table_heavy(F.regexp_replace("text", r"\. ", "\n| ")).alias("table_heavy"))
 
 
+@query(
+    "WITH" + CHUNKS_SQL + "," + DENSITY_SQL.replace("SELECT doc_id, text AS t, lower(text) AS lo FROM documents", "SELECT doc_id, chunk_index, content AS t, lower(content) AS lo FROM chunks").replace("(SELECT doc_id, t", "(SELECT doc_id, chunk_index, t")
+    + " SELECT doc_id, chunk_index, length(t) AS char_count, CAST(score AS INTEGER) AS score_a, anchor AS has_anchor, score > 2 OR anchor AS keep FROM d5"
+)
+def scored_chunks(spark, sf_dir):
+    out = density.filter_chunks(chunking.chunk_markdown(_documents(spark, sf_dir)), anchors=EN_ANCHORS)
+    return out.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("char_count").cast("bigint").alias("char_count"), "score_a", "has_anchor", "keep")
+
+
 # ---------------------------------------------------------------- classification
 
 FILES_SQL = r"""
