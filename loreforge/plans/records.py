@@ -256,6 +256,12 @@ def log_totals(spark, sf_dir):
     return logstats.log_totals(fx.calls(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
 
 
+@query("WITH" + LOG_SQL.format(k="phase") + r""" SELECT phase, '| ' || phase || ' | ' || calls || ' | ' || format('{:,}', input_tokens) || ' | ' || format('{:,}', output_tokens) || ' | ' || format('{:,}', think_tokens) || ' | ' ||
+  printf('%.0f', avg_latency_ms) || 'ms | ' || p95 || 'ms | ' || printf('%.0f', pass_rate * 100) || '% | ¥' || printf('%.3f', cost) || ' |' AS line FROM phase_stats JOIN phase_pct USING (phase)""")
+def log_report(spark, sf_dir):
+    return logstats.log_report(logstats.log_stats_by_phase(fx.calls(spark, sf_dir)))
+
+
 @query(r"""SELECT count(*) AS documents, count(*) FILTER (c_acctbal >= 0) AS succeeded, count(*) FILTER (c_acctbal < 0) AS failed, sum(c_nationkey)::BIGINT AS total_skills,
   array_to_string(list(c_name || ': ' || left('low ' || c_mktsegment, 80) ORDER BY c_name) FILTER (c_acctbal < 0), '|') AS failures FROM customer""")
 def batch_report(spark, sf_dir):
@@ -561,17 +567,6 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(*_supply(spark, sf_dir))
 
 
-PR_SQL = SUPPLY_SQL + r""",
-mv AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ge),
-pr AS (WITH RECURSIVE r AS (
-  SELECT name, 1.0 / count(*) OVER () AS rank, 0 AS it FROM gn
-  UNION ALL
-  SELECT g.name, 0.15 / (SELECT count(*) FROM gn) + 0.85 * (coalesce((SELECT sum(r1.rank * m.share) FROM r r1 JOIN mv m ON m.src = r1.name WHERE m.dst = g.name), 0) +
-    (SELECT coalesce(sum(rank), 0) FROM r r2 WHERE r2.name NOT IN (SELECT src FROM mv)) / (SELECT count(*) FROM gn)), (SELECT max(it) FROM r) + 1
-  FROM gn g WHERE (SELECT max(it) FROM r) < 20)
-  SELECT name, rank FROM r WHERE it = 20)"""
-
-
 @query(None)
 def pagerank(spark, sf_dir):
     return graph.pagerank(*_supply(spark, sf_dir)).withColumn("rank", F.round("rank", 6))

@@ -30,14 +30,18 @@ def load_text_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_call_log(spark: SparkSession, folder: str, day: str | None = None) -> DataFrame:
     """Log records of all days or one; lines that aren't JSON objects are left out, missing fields have defaults."""
-    rows = spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").option("pathGlobFilter", f"{day or '*'}.jsonl").json(folder)
+    return read_log(spark, folder, f"{day or '*'}.jsonl")
+
+
+def read_log(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    rows = spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").option("pathGlobFilter", names).json(folder)
     numbers = {c: F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens", "think_tokens", "latency_ms")}
     return rows.where("phase is not null or run_id is not null").withColumns(numbers | {"validation_result": F.coalesce("validation_result", F.lit("pending")), "phase": F.coalesce("phase", F.lit("unknown")), "prompt_version": F.coalesce("prompt_version", F.lit("unknown"))})
 
 
-def scan_skill_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """(dir, text) of SKILL.md files at any depth."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(folder, wholetext=True)
+def scan_skill_packages(spark: SparkSession, folder: str, names: str = "SKILL.md") -> DataFrame:
+    """(dir, text) of SKILL.md files (or others of these names) at any depth."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(folder, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dir"), F.col("value").alias("text"))
 
 
