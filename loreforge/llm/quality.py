@@ -16,7 +16,7 @@ from loreforge.llm.common import SPACED, gram_hashes, read_table, stored, text_b
 P = 4  # length of the statistic vector
 #: Spread of each statistic below which a difference is never an outlier: log of mean word length, and the square roots
 #: of the shares of symbols, repeated lines and repeated words.
-FLOORS = (0.08, 0.05, 0.10, 0.10)
+FLOORS = (0.08, 0.05, 0.13, 0.13)
 SYMBOLS = b"#*$%&|<>"
 #: Strata with fewer documents are pooled by language, then all together; below it in all, none is rejected.
 LEAST = 100
