@@ -2,8 +2,10 @@
 
 Sets r and s with |r| <= |s| and Jaccard of at least 0.75 differ in at most (|r| + |s|) / 7 <= |r| / 3 shingles. All
 shingles are hashed to m segments, m by band of sizes; so r and s agree in all but that many segments. A document gives a
-signature for each segment it has shingles in, up to a cut that grows with its size, so that it has more of them than it
-may differ in: one of them is the same in its partner. A segment's allocation is 1 (its subset), 0 (left out: it costs too
+signature for each segment it has shingles in, up to a cut that grows with its size, so that it has half as many again as
+it may differ in: the rest of them are the same in its partner. So a pair must share a number of signatures that its sizes
+tell, which leaves few false candidates. Signatures that very many sets have are set aside: a set that has enough
+others finds all its partners through those, and only sets that haven't meet in the frequent ones. A segment's allocation is 1 (its subset), 0 (left out: it costs too
 many candidates) or 2 (its subset and each one-deletion neighbour, which also finds segments that differ by one).
 Documents whose segments happen to be too few give all of them, and their first shingles by hash besides.
 """
@@ -19,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import SPACED, gram_hashes, mix, partitions_for, read_table, stored, text_bytes, word_batches
+from loreforge.llm.common import SPACED, discard, gram_hashes, mix, partitions_for, read_table, stored, text_bytes, word_batches
 from loreforge.llm.components import components
 
 WORDS = 5
 BAND = 3  # ratio of the sizes of a band
 CLASSES, CELLS = 256, 16  # segments share cost estimates by number modulo CLASSES; CELLS counters for each
 SPARSE = 63  # the band number of single-shingle signatures
-SLACK = 1.12
+SLACK = 1.5
+OFTEN = 12  # a signature of more sets is set aside
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 # ---------------------------------------------------------------- sets
@@ -142,7 +145,7 @@ class _Band:
         self.doc, self.seg = key[self.firsts] // m, key[self.firsts] % m
 
     def signatures(self, alloc: np.ndarray, cuts: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, signature) and which documents have too few segments to be sure of a match."""
+        """(document, signature) and each document's segments that count, 0 where they are too few to be sure of a match."""
         a = alloc[self.seg % len(alloc)]
         in_cut = self.seg < cuts[self.doc]
         useful = in_cut & (a > 0) & (self.counts >= a)
@@ -155,32 +158,33 @@ class _Band:
             t = self.tokens[self.firsts[i] : self.firsts[i] + self.counts[i]]
             docs.append(np.full(len(t), self.doc[i]))
             sigs.append(mix(self.sums[i] - t + salt[i]))
-        return np.concatenate(docs), np.concatenate(sigs), sparse
+        return np.concatenate(docs), np.concatenate(sigs), np.where(sparse, 0, have).astype(np.int64)
 
 
-def batch_signatures(sets: list[np.ndarray], alloc: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, 64-bit signature) of all sets."""
+def batch_signatures(sets: list[np.ndarray], alloc: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the set, 64-bit signature, band, units) of all sets; units: what the set's segments in the band count."""
     by_band: dict[int, list[tuple[int, int, int]]] = {}
     for i, s in enumerate(sets):
         if len(s):
             for b, may in bands_of(len(s)):
                 by_band.setdefault(b, []).append((i, cut(b, len(s)), may))
-    docs, sigs, few = [], [], set()
+    out: list[tuple] = []
+    few: set[int] = set()
     for b, members in by_band.items():
         nums = np.array([x[0] for x in members])
-        d, g, sparse = _Band(b, sets, nums.tolist()).signatures(
+        d, g, units = _Band(b, sets, nums.tolist()).signatures(
             alloc.get(b, np.ones(1, dtype=np.int64)), np.array([x[1] for x in members]), np.array([x[2] for x in members])
         )
-        docs.append(nums[d])
-        sigs.append(g)
-        few.update(nums[sparse].tolist())
+        out.append((nums[d], g, np.full(len(d), b), units[d]))
+        few.update(nums[units == 0].tolist())
     for i in few:  # two sets that both have too few segments share one of their first shingles by hash
         first = np.sort(mix(sets[i] ^ _K[1]))[: len(sets[i]) // 4 + 1]
-        docs.append(np.full(len(first), i))
-        sigs.append(mix(first + np.uint64(SPARSE << 40) * _K[3]))
-    if not docs:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    return np.concatenate(docs), np.concatenate(sigs)
+        n = len(first)
+        out.append((np.full(n, i), mix(first + np.uint64((SPARSE << 40) * int(_K[3]) & (1 << 64) - 1)), np.full(n, SPARSE), np.zeros(n, dtype=np.int64)))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    d, g, b, u = (np.concatenate(c) for c in zip(*out, strict=True))
+    return d, g, b, u
 
 
 # ---------------------------------------------------------------- passes over the documents
@@ -227,84 +231,94 @@ def _inventory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(len(at), cell=pa.array(at.astype(np.int32)), weight=pa.array(cells[at]))
 
 
-def _signature_rows(alloc: dict[int, np.ndarray], n_buckets: int):
+_PACKED = "bucket int, band int, nodes binary, counts binary, units binary, sigs binary"
+
+
+def _signature_rows(alloc: dict[int, np.ndarray], n_buckets: int, flush: int = 800_000):
+    """A row for each batch, bucket and band: sets, their numbers of signatures and units, and the signatures' low six bytes."""
+
+    def pack(parts: list[tuple]) -> pa.RecordBatch:
+        node, s, band, units = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bucket = ((s >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.int64)
+        group = bucket * 64 + band
+        order = np.lexsort((node, group))
+        node, s, group, units = node[order], s[order], group[order], units[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+        out: dict[str, list] = {k: [] for k in ("bucket", "band", "nodes", "counts", "units", "sigs")}
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            f = np.flatnonzero(np.r_[True, node[lo + 1 : hi] != node[lo : hi - 1]])
+            out["bucket"].append(int(group[lo]) // 64)
+            out["band"].append(int(group[lo]) % 64)
+            out["nodes"].append(node[lo:hi][f].tobytes())
+            out["counts"].append(np.diff(np.r_[f, hi - lo]).astype("<u4").tobytes())
+            out["units"].append(units[lo:hi][f].astype("<u4").tobytes())
+            # the bucket has the rest of what tells signatures apart
+            out["sigs"].append(np.ascontiguousarray(s[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k in ("bucket", "band") else pa.binary()) for k, v in out.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
             seen: set = set()
-            docs, sigs, ids, base = [], [], [], 0
             for _, sets in shingle_sets(text_bytes(b.column("text"))):
                 node = set_ids(sets)
                 keep = _distinct_new(node, seen)
-                d, s = batch_signatures([sets[i] for i in keep], alloc)
-                docs.append(d + base)
-                sigs.append(s)
-                ids.append(node[keep])
-                base += len(keep)
-            if not base:
-                continue
-            d, s, node = np.concatenate(docs), np.concatenate(sigs), np.concatenate(ids)
-            bucket = ((s >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((d, bucket))
-            d, s, bucket = d[order], s[order], bucket[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-            out: dict[str, list] = {"bucket": [], "nodes": [], "counts": [], "sigs": []}
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = d[lo:hi]
-                f = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                out["bucket"].append(int(bucket[lo]))
-                out["nodes"].append(node[part[f]].tobytes())
-                out["counts"].append(np.diff(np.r_[f, hi - lo]).astype("<u4").tobytes())
-                # the low six bytes; the bucket has the rest of what tells signatures apart
-                out["sigs"].append(np.ascontiguousarray(s[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("nodes", "counts", "sigs")})
+                d, *rest = batch_signatures([sets[i] for i in keep], alloc)
+                parts.append((node[keep][d], *rest))
+                size += len(d)
+                if size >= flush:
+                    yield pack(parts)
+                    parts, size = [], 0
+        if size:
+            yield pack(parts)
 
     return run
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature with its bucket above, set, and band and units in one number."""
     raw = np.frombuffer(row["sigs"], dtype=np.uint8).reshape(-1, 6)
     wide = np.zeros((len(raw), 8), dtype=np.uint8)
     wide[:, :6] = raw
     wide[:, 6] = row["bucket"] & 0xFF
     wide[:, 7] = row["bucket"] >> 8 & 0xFF
-    nodes = np.repeat(np.frombuffer(row["nodes"], dtype=np.uint64), np.frombuffer(row["counts"], dtype="<u4"))
-    return wide.view("<u8").ravel(), nodes
+    n = np.frombuffer(row["counts"], dtype="<u4")
+    meta = np.frombuffer(row["units"], dtype="<u4").astype(np.int64) + (row["band"] << 32)
+    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["nodes"], dtype=np.uint64), n), np.repeat(meta, n)
+
 
+_RUNS = "run long, node long, band int, units int"
 
-def _runs(batches: Iterator[pa.RecordBatch], chunk: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """(run, node) for each signature that two sets or more have; runs of equal members are one.
+
+def _runs(batches: Iterator[pa.RecordBatch], chunk: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """(run, node, band, units) for each signature that two sets or more have.
 
     Signatures come in chunks. Of a signature only its first set is kept, so memory grows with the distinct ones; more
     sets of it are given on at once.
     """
-    sig0, node0, out0 = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
-
-    def rows(s, n):
-        return pa.RecordBatch.from_pydict({"run": pa.array(s.view(np.int64)), "node": pa.array(n.view(np.int64))})
+    held = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
 
     def take(parts):
-        nonlocal sig0, node0, out0
-        s = np.concatenate([sig0, *(p[0] for p in parts)])
-        n = np.concatenate([node0, *(p[1] for p in parts)])
-        old = np.r_[out0, np.zeros(len(s) - len(sig0), bool)]
-        held = np.r_[np.ones(len(sig0), bool), np.zeros(len(s) - len(sig0), bool)]
-        order = np.lexsort((n, ~held, s))
-        s, n, old, held = s[order], n[order], old[order], held[order]
+        k = len(held[0])
+        s, n, meta = (np.concatenate([held[i], *(p[i] for p in parts)]) for i in range(3))
+        old = np.r_[held[3], np.zeros(len(s) - k, bool)]
+        fresh = np.r_[np.zeros(k, bool), np.ones(len(s) - k, bool)]
+        order = np.lexsort((n, fresh, s))
+        s, n, meta, old = s[order], n[order], meta[order], old[order]
         first = np.r_[True, s[1:] != s[:-1]]
         group = np.cumsum(first) - 1
-        lead = n[first][group]
-        other = n != lead
-        repeat = other & np.r_[False, (s[1:] == s[:-1]) & (n[1:] == n[:-1])]  # the same set again
+        other = n != n[first][group]
+        repeat = np.r_[False, (s[1:] == s[:-1]) & (n[1:] == n[:-1])]  # the same set again
         give = other & ~repeat
-        many = np.bincount(group, weights=give, minlength=group[-1] + 1 if len(group) else 0) > 0
-        also = first & many[group] & ~old
-        sig0, node0, out0 = s[first], n[first], old[first] | many
-        return rows(s[give | also], n[give | also])
+        many = np.bincount(group, weights=give) > 0
+        out = give | (first & many[group] & ~old)
+        held[:] = [s[first], n[first], meta[first], old[first] | many]
+        return pa.RecordBatch.from_pydict({"run": pa.array(s[out].view(np.int64)), "node": pa.array(n[out].view(np.int64)), "band": pa.array((meta[out] >> 32).astype(np.int32)), "units": pa.array((meta[out] & 0xFFFFFFFF).astype(np.int32))})
 
     parts, size = [], 0
     for b in batches:
-        for row in b.to_pylist():
-            parts.append(_unpack(row))
+        for k in range(b.num_rows):
+            parts.append(_unpack(b.slice(k, 1).to_pylist()[0]))
             size += len(parts[-1][0])
             if size >= chunk:
                 yield take(parts)
@@ -342,25 +356,61 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
 
 
-def _links(docs: DataFrame, inventory: DataFrame, runs: DataFrame, max_star_rounds: int = 4) -> DataFrame:
+def _candidates(runs: DataFrame, sizes: DataFrame, twos: bool, often: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets that share enough signatures, and (run, node) of frequent signatures between sets that need them.
+
+    Of its units u in a band a set may lose (|a| + |b|) / 7 to differences and its frequent signatures; where more are left,
+    a partner shares at least those with it (half of them, if segments with one-deletion neighbours count twice). A set for
+    which none are left with its largest partner is unsure: it meets other unsure sets in the frequent signatures too.
+    """
+    weight = 2 if twos else 1
+    frequent = runs.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > often).select("run")
+    frequent = stored(frequent, "runs-frequent")
+    often_rows = stored(runs.join(frequent.hint("merge"), "run"), "rows-frequent")
+    lost = often_rows.groupBy("node", "band").agg((F.count("*") * weight).alias("lost"))
+    who = runs.groupBy("node", "band").agg(F.max("units").alias("units")).join(lost.hint("merge"), ["node", "band"], "left").join(sizes.hint("merge"), "node")
+    who = who.select("node", "band", "size", F.when(F.col("units") > 0, F.col("units") - F.coalesce("lost", F.lit(0))).otherwise(0).alias("left"))
+    # a set of the band above is always the larger one of its pairs
+    upper = F.lit(False)
+    for k in range(SPARSE):
+        if BAND**k > 1 << 40:
+            break
+        upper = upper | ((F.col("band") == k) & (F.col("size") >= BAND ** (k + 1)))
+    most = F.when(upper, F.floor(F.col("size") * 2 / 7)).otherwise(F.floor(F.col("size") / 3))
+    who = stored(who.withColumn("unsure", (F.col("left") <= most) | (F.col("band") == SPARSE)), "sets-known")
+
+    rare = runs.join(frequent.hint("merge"), "run", "left_anti").groupBy("run").agg(F.min("band").alias("band"), F.array_sort(F.collect_set("node")).alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    shared = rare.select("band", F.explode(pairs).alias("p")).groupBy("band", "p.a", "p.b").agg(F.count("*").alias("shared"))
+    side = lambda x: who.select(F.col("node").alias(x), "band", F.col("size").alias(f"size_{x}"), F.col("left").alias(f"left_{x}"))
+    both = shared.join(side("a").hint("merge"), ["a", "band"]).join(side("b").hint("merge"), ["b", "band"])
+    differ = F.floor((F.col("size_a") + F.col("size_b")) / 7)
+    near = F.greatest("size_a", "size_b") * 3 <= F.least("size_a", "size_b") * 4
+    enough = F.greatest(F.lit(1), F.ceil((F.greatest("left_a", "left_b") - differ) / weight))
+    return both.where(near & (F.col("shared") >= enough)).select("a", "b").distinct(), often_rows.join(who.where("unsure").select("node", "band").hint("merge"), ["node", "band"], "left_semi").select("run", "node")
+
+
+def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, runs: DataFrame, max_star_rounds: int = 4) -> DataFrame:
     """Edges (a, b) between sets that are linked, enough that their components are those of all links.
 
-    First each run's sets are compared with its smallest one. Where sets of a run are then in different components, they
-    are compared with the run's set that is in most runs, and in the end each with each other across components. Pairs
-    within a component add nothing. So a group of near copies costs about one comparison for each of them.
+    Candidate pairs are compared; of each run of a frequent signature the sets are compared with its smallest one. Where
+    sets of a run are then in different components, they are compared with the run's set that is in most runs, and in the
+    end each with each other across components. Pairs within a component add nothing. So a group of near copies costs about
+    one comparison for each of them.
     """
-    needed = runs.select("node").distinct()
+    needed = runs.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rep = inventory.groupBy("node").agg(F.min("key").alias("key")).join(needed.hint("merge"), "node")
     sets = docs.join(rep.hint("merge"), "key").select("node", "text").mapInArrow(_set_rows, "node long, shingles binary")
-    # copies of one key may repeat a set
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    if inventory.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # rows that repeat a doc_id repeat its set
+    sets = stored(sets, "sets")
 
     def star(members: DataFrame, leader) -> DataFrame:
         lead = members.groupBy("run").agg(leader.alias("l"))
         p = members.join(lead.hint("merge"), "run").where("node <> l")
         return p.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
 
-    checked = _check(star(runs, F.min("node")), sets)
+    checked = _check(pairs.unionByName(star(runs, F.min("node"))).distinct(), sets)
     members = runs
     degree = stored(runs.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
     for r in range(max_star_rounds + 1):
@@ -375,19 +425,19 @@ def _links(docs: DataFrame, inventory: DataFrame, runs: DataFrame, max_star_roun
         last = r == max_star_rounds or total["p"] <= 8 * total["n"]
         if last:
             x, y = members.select("run", F.col("node").alias("a"), F.col("c").alias("ca")), members.select("run", F.col("node").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y.hint("merge"), "run").where("a < b and ca <> cb").select("a", "b").distinct()
+            more = x.join(y.hint("merge"), "run").where("a < b and ca <> cb").select("a", "b").distinct()
         else:
             ranked = members.join(degree.hint("merge"), "node")
             # in later rounds another of the frequent ones leads
-            pairs = star(ranked, F.max_by("node", F.struct("degree", "node") if not r else F.struct(F.col("degree") * F.pmod(F.xxhash64("node", F.lit(r)), F.lit(97)), "node")))
-        pairs = pairs.join(checked.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        checked = stored(checked.unionByName(_check(pairs, sets)), "verified-all")
+            more = star(ranked, F.max_by("node", F.struct("degree", "node") if not r else F.struct(F.col("degree") * F.pmod(F.xxhash64("node", F.lit(r)), F.lit(97)), "node")))
+        more = more.join(checked.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        checked = stored(checked.unionByName(_check(more, sets)), "verified-all")
         if last:
             break
     return checked.where("linked").select("a", "b")
 
 
-def join_documents(docs: DataFrame, sigs_each: int = 1_000_000) -> DataFrame:
+def join_documents(docs: DataFrame, sigs_each: int = 600_000, often: int = OFTEN) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs, by links of Jaccard similarity 0.75 or more.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; sets are of distinct five-word shingles, a shorter
@@ -404,10 +454,14 @@ def join_documents(docs: DataFrame, sigs_each: int = 1_000_000) -> DataFrame:
     inventory = first.where("n_shingles is not null").select("doc_id", "key", "node", "n_shingles")
     total = inventory.agg(F.sum("n_shingles")).collect()[0][0] or 0
     n_buckets = min(65_536, partitions_for(spark, total // 2, sigs_each))
-    packed = rows.select("text").mapInArrow(_signature_rows(alloc, n_buckets), "bucket int, nodes binary, counts binary, sigs binary")
-    runs = packed.repartition(n_buckets, "bucket").mapInArrow(_runs, "run long, node long")
-    runs = stored(runs, "runs")
-    comp = components(_links(rows.select("key", "text"), inventory.where("node is not null").select("node", "key"), runs))
+    packed = rows.select("text").mapInArrow(_signature_rows(alloc, n_buckets), _PACKED)
+    runs = stored(packed.repartition(n_buckets, "bucket").mapInArrow(_runs, _RUNS), "runs")
+    known = inventory.where("node is not null")
+    sizes = known.groupBy("node").agg(F.first("n_shingles").alias("size"))
+    pairs, meets = _candidates(runs, sizes, any((a == 2).any() for a in alloc.values()), often)
+    pairs, meets = stored(pairs, "pairs"), stored(meets, "meets")
+    discard(runs)
+    comp = components(_links(rows.select("key", "text"), known.select("node", "key"), pairs, meets))
     known = inventory.join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the smallest doc_id of each component with links or copies; others are their own
     least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")

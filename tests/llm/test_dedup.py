@@ -102,6 +102,16 @@ def test_deletion_neighbours_still_find_all(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_frequent_signatures_set_aside(spark):
+    rows = hard_texts(7)
+    shared = sentence(__import__("random").Random(3), 40)
+    rows += [(400 + i, sentence(__import__("random").Random(i), 150) + " " + shared) for i in range(20)]
+    rows += [(500 + i, rows[-1][1] + f" end{i}") for i in range(20)]
+    for often in (2, 5):
+        got = Counter(tuple(r) for r in ngram_join.join_documents(documents(spark, rows), often=often).collect())
+        assert got == brute_components(rows)
+
+
 def test_one_of_each_group(spark):
     rows = [r for r in hard_texts() if r[0] is not None]
     keep = {c for _, _, c in brute_components(rows)}
