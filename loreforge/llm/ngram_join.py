@@ -5,9 +5,9 @@ shingles are hashed to m segments, m by band of sizes; so r and s agree in all b
 signature for each segment it has shingles in, up to a cut that grows with its size, so that it has half as many again as
 it may differ in: the rest of them are the same in its partner. So a pair must share a number of signatures that its sizes
 tell, which leaves few false candidates. Signatures that very many sets have are set aside: a set that has enough
-others finds all its partners through those, and only sets that haven't meet in the frequent ones. A segment's allocation is 1 (its subset), 0 (left out: it costs too
-many candidates) or 2 (its subset and each one-deletion neighbour, which also finds segments that differ by one).
-Documents whose segments happen to be too few give all of them, and their first shingles by hash besides.
+others finds all its partners through those. Those that haven't are cut anew with one segment for each shingle
+(`_undecided`). A segment's allocation is 1 (its subset), 0 (left out: it costs too many candidates) or 2 (its subset and
+each one-deletion neighbour, which also finds segments that differ by one). Documents whose segments happen to be too few give all of them, and their first shingles by hash besides.
 """
 
 from __future__ import annotations
@@ -357,11 +357,11 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _candidates(runs: DataFrame, sizes: DataFrame, twos: bool, often: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of sets that share enough signatures, and (run, node) of frequent signatures between sets that need them.
+    """Pairs (a, b) of sets that share enough signatures, and the sets (node) that need frequent signatures.
 
     Of its units u in a band a set may lose (|a| + |b|) / 7 to differences and its frequent signatures; where more are left,
     a partner shares at least those with it (half of them, if segments with one-deletion neighbours count twice). A set for
-    which none are left with its largest partner is unsure: it meets other unsure sets in the frequent signatures too.
+    which none are left with its largest partner is unsure: it may have to meet other unsure sets in frequent signatures.
     """
     weight = 2 if twos else 1
     frequent = runs.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > often).select("run")
@@ -387,18 +387,72 @@ def _candidates(runs: DataFrame, sizes: DataFrame, twos: bool, often: int) -> tu
     differ = F.floor((F.col("size_a") + F.col("size_b")) / 7)
     near = F.greatest("size_a", "size_b") * 3 <= F.least("size_a", "size_b") * 4
     enough = F.greatest(F.lit(1), F.ceil((F.greatest("left_a", "left_b") - differ) / weight))
-    return both.where(near & (F.col("shared") >= enough)).select("a", "b").distinct(), often_rows.join(who.where("unsure").select("node", "band").hint("merge"), ["node", "band"], "left_semi").select("run", "node")
+    return both.where(near & (F.col("shared") >= enough)).select("a", "b").distinct(), often_rows.join(who.where("unsure").select("node", "band").hint("merge"), ["node", "band"], "left_semi").select("node").distinct()
 
 
-def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, runs: DataFrame, max_star_rounds: int = 4) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in b.column("shingles")]
+        node = np.repeat(np.array(b.column("node").to_pylist(), dtype=np.int64), [len(x) for x in parts])
+        run = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        for lo in range(0, len(run), 100_000):
+            yield pa.RecordBatch.from_pydict({"run": pa.array(run[lo : lo + 100_000]), "node": pa.array(node[lo : lo + 100_000])})
+
+
+RARE, FREQUENT, CLASS = 0, 1, 2
+_PREFIXES = "run long, node long, rest int, kind int"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set's first quarter of shingles and one more, rare ones first; of sets that reach frequent ones, their class too."""
+    for b in batches:
+        out: list[tuple[np.ndarray, int, int, int]] = []
+        nodes = b.column("node").to_pylist()
+        for node, x, f in zip(nodes, b.column("shingles"), b.column("own"), strict=True):
+            u = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+            own = f.values.field("run").to_numpy().view(np.uint64) if f.is_valid else np.empty(0, np.uint64)
+            rare, k = np.setdiff1d(u, own, assume_unique=True), len(u) // 4 + 1
+            out.append((np.sort(rare)[:k], node, len(rare), RARE))
+            if len(rare) < k:
+                out.append((own[: k - len(rare)], node, len(rare), FREQUENT))
+                out.append((mix(np.array([mix(own ^ _K[2]).sum(dtype=np.uint64)], dtype=np.uint64)), node, len(rare), CLASS))
+        n = [len(x[0]) for x in out]
+        run = np.concatenate([x[0] for x in out]).view(np.int64) if out else np.empty(0, np.int64)
+        node, rest, kind = (np.repeat(np.array([x[i] for x in out], dtype=np.int64), n) for i in (1, 2, 3))
+        yield pa.RecordBatch.from_pydict({"run": pa.array(run), "node": pa.array(node), "rest": pa.array(rest.astype(np.int32)), "kind": pa.array(kind.astype(np.int32))})
+
+
+def _undecided(sets: DataFrame, unsure: DataFrame, often: int) -> DataFrame:
+    """(run, node, rest, kind) of sets that segments leave unsure: the universe is cut anew, one segment for each shingle.
+
+    Two linked sets share a shingle of their first quarters and one more, in an order that has the rare shingles first. So
+    sets that have that many rare ones find their partners through those. Two others that share no rare shingle have at
+    least three quarters frequent ones each (`rest`: the number of rare ones); their class is the set of those.
+    """
+    sets = stored(sets.join(unsure.hint("merge"), "node", "left_semi"), "sets-unsure")
+    rows = sets.mapInArrow(_shingle_rows, "run long, node long")
+    frequent = stored(rows.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > often), "shingles-frequent")
+    own = rows.join(frequent.hint("merge"), "run").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "run"))).alias("own"))
+    return stored(sets.join(own.hint("merge"), "node", "left").mapInArrow(_prefixes, _PREFIXES), "prefixes")
+
+
+def _pairs_of(runs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the few sets of each run."""
+    nodes = runs.groupBy("run").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return nodes.where(F.size("nodes") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: DataFrame, often: int, max_star_rounds: int = 4) -> DataFrame:
     """Edges (a, b) between sets that are linked, enough that their components are those of all links.
 
-    Candidate pairs are compared; of each run of a frequent signature the sets are compared with its smallest one. Where
-    sets of a run are then in different components, they are compared with the run's set that is in most runs, and in the
-    end each with each other across components. Pairs within a component add nothing. So a group of near copies costs about
-    one comparison for each of them.
+    Candidate pairs are compared. Of the sets of a class (equal frequent shingles), the one with the fewest rare ones is
+    linked to each set that any other is linked to without sharing a rare shingle; so the others are compared with it alone,
+    and sets of other classes need not be compared with more than it. Sets of a frequent shingle are compared with one
+    leader; where some are then in different components, with another, and in the end with the classes' leaders of other
+    components. Pairs within a component add nothing. So a group of near copies costs about one comparison for each of them.
     """
-    needed = runs.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = unsure.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rep = inventory.groupBy("node").agg(F.min("key").alias("key")).join(needed.hint("merge"), "node")
     sets = docs.join(rep.hint("merge"), "key").select("node", "text").mapInArrow(_set_rows, "node long, shingles binary")
     if inventory.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
@@ -410,22 +464,29 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, runs: DataFr
         p = members.join(lead.hint("merge"), "run").where("node <> l")
         return p.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
 
-    checked = _check(pairs.unionByName(star(runs, F.min("node"))).distinct(), sets)
-    members = runs
-    degree = stored(runs.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    fewest = F.min_by("node", F.struct("rest", "node"))
+    prefixes = _undecided(sets, unsure, often)
+    common = prefixes.where(F.col("kind") != RARE)
+    checked = _check(pairs.unionByName(_pairs_of(prefixes.where(F.col("kind") == RARE))).unionByName(star(common, fewest)).distinct(), sets)
+    leaders = prefixes.where(F.col("kind") == CLASS).groupBy("run").agg(fewest.alias("node")).select("node", F.lit(True).alias("leads")).distinct()
+    members = prefixes.where(F.col("kind") == FREQUENT).select("run", "node")
+    degree = stored(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    members = stored(members.join(leaders.hint("merge"), "node", "left").select("run", "node", F.coalesce("leads", F.lit(False)).alias("leads")), "frequent")
     for r in range(max_star_rounds + 1):
         comp = components(checked.where("linked").select("a", "b"))
-        at = members.select("run", "node").join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+        at = members.select("run", "node", "leads").join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
         open_runs = at.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("run")
-        members = stored(at.join(open_runs.hint("merge"), "run").select("run", "node", "c"), "open-runs")
-        each = members.groupBy("run", "c").agg(F.count("*").alias("k")).groupBy("run").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("n"))
+        members = stored(at.join(open_runs.hint("merge"), "run").select("run", "node", "leads", "c"), "open-runs")
+        each = members.groupBy("run", "c").agg(F.count("*").alias("k"), F.sum(F.col("leads").cast("long")).alias("l")).groupBy("run")
+        each = each.agg((F.sum("k") * F.sum("l") - F.sum(F.col("k") * F.col("l"))).alias("pairs"), F.sum("k").alias("n"))
         total = each.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).collect()[0]
         if not total["p"]:
             break
         last = r == max_star_rounds or total["p"] <= 8 * total["n"]
         if last:
-            x, y = members.select("run", F.col("node").alias("a"), F.col("c").alias("ca")), members.select("run", F.col("node").alias("b"), F.col("c").alias("cb"))
-            more = x.join(y.hint("merge"), "run").where("a < b and ca <> cb").select("a", "b").distinct()
+            x = members.select("run", F.col("node").alias("x"), F.col("c").alias("cx"))
+            y = members.where("leads").select("run", F.col("node").alias("y"), F.col("c").alias("cy"))
+            more = x.join(y.hint("merge"), "run").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             ranked = members.join(degree.hint("merge"), "node")
             # in later rounds another of the frequent ones leads
@@ -458,10 +519,10 @@ def join_documents(docs: DataFrame, sigs_each: int = 600_000, often: int = OFTEN
     runs = stored(packed.repartition(n_buckets, "bucket").mapInArrow(_runs, _RUNS), "runs")
     known = inventory.where("node is not null")
     sizes = known.groupBy("node").agg(F.first("n_shingles").alias("size"))
-    pairs, meets = _candidates(runs, sizes, any((a == 2).any() for a in alloc.values()), often)
-    pairs, meets = stored(pairs, "pairs"), stored(meets, "meets")
+    pairs, unsure = _candidates(runs, sizes, any((a == 2).any() for a in alloc.values()), often)
+    pairs, unsure = stored(pairs, "pairs"), stored(unsure, "unsure")
     discard(runs)
-    comp = components(_links(rows.select("key", "text"), known.select("node", "key"), pairs, meets))
+    comp = components(_links(rows.select("key", "text"), known.select("node", "key"), pairs, unsure, often))
     known = inventory.join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the smallest doc_id of each component with links or copies; others are their own
     least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")

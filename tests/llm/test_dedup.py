@@ -112,6 +112,23 @@ def test_frequent_signatures_set_aside(spark):
         assert got == brute_components(rows)
 
 
+def test_sets_around_common_passages(spark):
+    import random
+
+    rng = random.Random(17)
+    passages = [sentence(rng, 40) for _ in range(3)]
+    passages.append(passages[0] + " " + sentence(rng, 3))  # classes of nearly equal frequent shingles
+    rows = []
+    for p in passages:
+        for extra in [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 30] * 2:
+            front = rng.randrange(extra + 1)
+            rows.append((len(rows), " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(front)), p, *(f"b{rng.randrange(10**6)}" for _ in range(extra - front))])))
+    rng.shuffle(rows)
+    for often in (1, 3, 12):
+        got = Counter(tuple(r) for r in ngram_join.join_documents(documents(spark, rows), often=often).collect())
+        assert got == brute_components(rows)
+
+
 def test_one_of_each_group(spark):
     rows = [r for r in hard_texts() if r[0] is not None]
     keep = {c for _, _, c in brute_components(rows)}
