@@ -400,34 +400,37 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 RARE, FREQUENT, CLASS = 0, 1, 2
-_PREFIXES = "run long, node long, rest int, kind int"
+_PREFIXES = "run long, node long, rest int, kind int, pos int, n int"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A set's first quarter of shingles and one more, rare ones first; of sets that reach frequent ones, their class too."""
     for b in batches:
-        out: list[tuple[np.ndarray, int, int, int]] = []
+        out: list[tuple[np.ndarray, int, int, int, int, int]] = []
         nodes = b.column("node").to_pylist()
         for node, x, f in zip(nodes, b.column("shingles"), b.column("own"), strict=True):
             u = np.frombuffer(x.as_buffer(), dtype=np.uint64)
             own = f.values.field("run").to_numpy().view(np.uint64) if f.is_valid else np.empty(0, np.uint64)
             rare, k = np.setdiff1d(u, own, assume_unique=True), len(u) // 4 + 1
-            out.append((np.sort(rare)[:k], node, len(rare), RARE))
+            out.append((np.sort(rare)[:k], node, len(rare), RARE, 0, len(u)))
             if len(rare) < k:
-                out.append((own[: k - len(rare)], node, len(rare), FREQUENT))
-                out.append((mix(np.array([mix(own ^ _K[2]).sum(dtype=np.uint64)], dtype=np.uint64)), node, len(rare), CLASS))
+                out.append((own[: k - len(rare)], node, len(rare), FREQUENT, len(rare), len(u)))
+                out.append((mix(np.array([mix(own ^ _K[2]).sum(dtype=np.uint64)], dtype=np.uint64)), node, len(rare), CLASS, 0, len(u)))
         n = [len(x[0]) for x in out]
         run = np.concatenate([x[0] for x in out]).view(np.int64) if out else np.empty(0, np.int64)
-        node, rest, kind = (np.repeat(np.array([x[i] for x in out], dtype=np.int64), n) for i in (1, 2, 3))
-        yield pa.RecordBatch.from_pydict({"run": pa.array(run), "node": pa.array(node), "rest": pa.array(rest.astype(np.int32)), "kind": pa.array(kind.astype(np.int32))})
+        node, *rest = (np.repeat(np.array([x[i] for x in out], dtype=np.int64), n) for i in range(1, 6))
+        rest[2] = rest[2] + np.concatenate([np.arange(k) for k in n] or [rest[2]])
+        ints = {c: pa.array(x.astype(np.int32)) for c, x in zip(("rest", "kind", "pos", "n"), rest, strict=True)}
+        yield pa.RecordBatch.from_pydict({"run": pa.array(run), "node": pa.array(node)} | ints)
 
 
 def _undecided(sets: DataFrame, unsure: DataFrame, often: int) -> DataFrame:
-    """(run, node, rest, kind) of sets that segments leave unsure: the universe is cut anew, one segment for each shingle.
+    """(run, node, rest, kind, pos, n) of sets that segments leave unsure: the universe is cut anew, one segment for each shingle.
 
     Two linked sets share a shingle of their first quarters and one more, in an order that has the rare shingles first. So
     sets that have that many rare ones find their partners through those. Two others that share no rare shingle have at
-    least three quarters frequent ones each (`rest`: the number of rare ones); their class is the set of those.
+    least three quarters frequent ones each (`rest`: the number of rare ones); their class is the set of those. `pos` is the shingle's place in that order, `n` the
+    set's size: from the first shingle that two sets share on, each must have as many left as they have to share.
     """
     sets = stored(sets.join(unsure.hint("merge"), "node", "left_semi"), "sets-unsure")
     rows = sets.mapInArrow(_shingle_rows, "run long, node long")
@@ -443,7 +446,7 @@ def _pairs_of(runs: DataFrame) -> DataFrame:
     return nodes.where(F.size("nodes") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: DataFrame, often: int, max_star_rounds: int = 4) -> DataFrame:
+def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: DataFrame, often: int, max_star_rounds: int = 1) -> DataFrame:
     """Edges (a, b) between sets that are linked, enough that their components are those of all links.
 
     Candidate pairs are compared. Of the sets of a class (equal frequent shingles), the one with the fewest rare ones is
@@ -469,14 +472,14 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: Data
     common = prefixes.where(F.col("kind") != RARE)
     checked = _check(pairs.unionByName(_pairs_of(prefixes.where(F.col("kind") == RARE))).unionByName(star(common, fewest)).distinct(), sets)
     leaders = prefixes.where(F.col("kind") == CLASS).groupBy("run").agg(fewest.alias("node")).select("node", F.lit(True).alias("leads")).distinct()
-    members = prefixes.where(F.col("kind") == FREQUENT).select("run", "node")
+    members = prefixes.where(F.col("kind") == FREQUENT).select("run", "node", "pos", "n")
     degree = stored(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-    members = stored(members.join(leaders.hint("merge"), "node", "left").select("run", "node", F.coalesce("leads", F.lit(False)).alias("leads")), "frequent")
+    members = stored(members.join(leaders.hint("merge"), "node", "left").select("run", "node", "pos", "n", F.coalesce("leads", F.lit(False)).alias("leads")), "frequent")
     for r in range(max_star_rounds + 1):
         comp = components(checked.where("linked").select("a", "b"))
-        at = members.select("run", "node", "leads").join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+        at = members.drop("c").join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         open_runs = at.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("run")
-        members = stored(at.join(open_runs.hint("merge"), "run").select("run", "node", "leads", "c"), "open-runs")
+        members = stored(at.join(open_runs.hint("merge"), "run").select("run", "node", "pos", "n", "leads", "c"), "open-runs")
         each = members.groupBy("run", "c").agg(F.count("*").alias("k"), F.sum(F.col("leads").cast("long")).alias("l")).groupBy("run")
         each = each.agg((F.sum("k") * F.sum("l") - F.sum(F.col("k") * F.col("l"))).alias("pairs"), F.sum("k").alias("n"))
         total = each.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).collect()[0]
@@ -484,9 +487,10 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: Data
             break
         last = r == max_star_rounds or total["p"] <= 8 * total["n"]
         if last:
-            x = members.select("run", F.col("node").alias("x"), F.col("c").alias("cx"))
-            y = members.where("leads").select("run", F.col("node").alias("y"), F.col("c").alias("cy"))
-            more = x.join(y.hint("merge"), "run").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            x = members.select("run", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("px"), F.col("n").alias("nx"))
+            y = members.where("leads").select("run", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("pos").alias("py"), F.col("n").alias("ny"))
+            near = "cx <> cy and 7 * least(nx - px, ny - py) >= 3 * (nx + ny)"
+            more = x.join(y.hint("merge"), "run").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             ranked = members.join(degree.hint("merge"), "node")
             # in later rounds another of the frequent ones leads
