@@ -3,8 +3,8 @@
 Sets r and s with |r| <= |s| and Jaccard of at least 0.75 differ in at most (|r| + |s|) / 7 <= |r| / 3 shingles. All
 shingles are hashed to m segments, m by band of sizes; so r and s agree in all but that many segments. A document gives a
 signature for each segment it has shingles in, up to a cut that grows with its size, so that it has half as many again as
-it may differ in: the rest of them are the same in its partner. So a pair must share a number of signatures that its sizes
-tell, which leaves few false candidates. Signatures that very many sets have are set aside: a set that has enough
+it may differ in: the rest of them are the same in its partner, which gives them too if its cut isn't lower. So a pair must
+share a number of signatures that its sizes tell, which leaves few false candidates. Signatures that very many sets have are set aside: a set that has enough
 others finds all its partners through those. Those that haven't are cut anew with one segment for each shingle
 (`_undecided`). A segment's allocation is 1 (its subset), 0 (left out: it costs too many candidates) or 2 (its subset and
 each one-deletion neighbour, which also finds segments that differ by one). Documents whose segments happen to be too few give all of them, and their first shingles by hash besides.
@@ -29,6 +29,7 @@ BAND = 3  # ratio of the sizes of a band
 CLASSES, CELLS = 256, 16  # segments share cost estimates by number modulo CLASSES; CELLS counters for each
 SPARSE = 63  # the band number of single-shingle signatures
 SLACK = 1.5
+LOW = 28  # bits of each of the two numbers of a set's units
 OFTEN = 12  # a signature of more sets is set aside
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -93,10 +94,16 @@ def segments(band: int) -> int:
 
 @lru_cache(100_000)
 def cut(band: int, size: int) -> int:
+    """Segments below this number give a set's signatures; it doesn't fall with the size within a band."""
     m = segments(band)
     return min(m, math.ceil(_needed(size) / (1 - math.exp(-size / m))))
 
 
+def least_cut(band: int, size: int) -> int:
+    """The cut of the smallest partner that a set can have in the band."""
+    return cut(band, min(size, max(BAND**band, -(-3 * size // 4))))
+
+
 def allocate(cells: dict[int, int], hot: float = 8.0, most: float = 0.25) -> dict[int, np.ndarray]:
     """For each band the allocation of its classes of segments, from counts of hashed subsets (cell -> documents).
 
@@ -144,12 +151,18 @@ class _Band:
         self.counts = np.diff(np.r_[self.firsts, len(key)])
         self.doc, self.seg = key[self.firsts] // m, key[self.firsts] % m
 
-    def signatures(self, alloc: np.ndarray, cuts: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, signature) and each document's segments that count, 0 where they are too few to be sure of a match."""
+    def signatures(self, alloc: np.ndarray, cuts: np.ndarray, least: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, signature) and each document's units: what its segments count, 0 where that is too little to be sure of a match.
+
+        Units hold two numbers: what the segments below the set's own cut count and, LOW bits further down, those below
+        the least cut of a partner.
+        """
         a = alloc[self.seg % len(alloc)]
         in_cut = self.seg < cuts[self.doc]
         useful = in_cut & (a > 0) & (self.counts >= a)
         have = np.bincount(self.doc[useful], weights=a[useful], minlength=len(cuts))
+        low = useful & (self.seg < least[self.doc])
+        low = np.bincount(self.doc[low], weights=a[low], minlength=len(cuts)).astype(np.int64)
         sparse = have <= may
         give = (in_cut | sparse[self.doc]) & (a > 0)
         salt = (self.seg.astype(np.uint64) + np.uint64(self.band << 40)) * _K[3]
@@ -158,22 +171,22 @@ class _Band:
             t = self.tokens[self.firsts[i] : self.firsts[i] + self.counts[i]]
             docs.append(np.full(len(t), self.doc[i]))
             sigs.append(mix(self.sums[i] - t + salt[i]))
-        return np.concatenate(docs), np.concatenate(sigs), np.where(sparse, 0, have).astype(np.int64)
+        return np.concatenate(docs), np.concatenate(sigs), np.where(sparse, 0, (have.astype(np.int64) << LOW) + low)
 
 
 def batch_signatures(sets: list[np.ndarray], alloc: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of the set, 64-bit signature, band, units) of all sets; units: what the set's segments in the band count."""
-    by_band: dict[int, list[tuple[int, int, int]]] = {}
+    by_band: dict[int, list[tuple[int, int, int, int]]] = {}
     for i, s in enumerate(sets):
         if len(s):
             for b, may in bands_of(len(s)):
-                by_band.setdefault(b, []).append((i, cut(b, len(s)), may))
+                by_band.setdefault(b, []).append((i, cut(b, len(s)), least_cut(b, len(s)), may))
     out: list[tuple] = []
     few: set[int] = set()
     for b, members in by_band.items():
         nums = np.array([x[0] for x in members])
         d, g, units = _Band(b, sets, nums.tolist()).signatures(
-            alloc.get(b, np.ones(1, dtype=np.int64)), np.array([x[1] for x in members]), np.array([x[2] for x in members])
+            alloc.get(b, np.ones(1, dtype=np.int64)), *(np.array([x[k] for x in members]) for k in (1, 2, 3))
         )
         out.append((nums[d], g, np.full(len(d), b), units[d]))
         few.update(nums[units == 0].tolist())
@@ -251,7 +264,7 @@ def _signature_rows(alloc: dict[int, np.ndarray], n_buckets: int, flush: int = 8
             out["band"].append(int(group[lo]) % 64)
             out["nodes"].append(node[lo:hi][f].tobytes())
             out["counts"].append(np.diff(np.r_[f, hi - lo]).astype("<u4").tobytes())
-            out["units"].append(units[lo:hi][f].astype("<u4").tobytes())
+            out["units"].append(units[lo:hi][f].astype("<u8").tobytes())
             # the bucket has the rest of what tells signatures apart
             out["sigs"].append(np.ascontiguousarray(s[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k in ("bucket", "band") else pa.binary()) for k, v in out.items()})
@@ -283,15 +296,15 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide[:, 6] = row["bucket"] & 0xFF
     wide[:, 7] = row["bucket"] >> 8 & 0xFF
     n = np.frombuffer(row["counts"], dtype="<u4")
-    meta = np.frombuffer(row["units"], dtype="<u4").astype(np.int64) + (row["band"] << 32)
+    meta = np.frombuffer(row["units"], dtype="<u8").astype(np.int64) + (row["band"] << 2 * LOW)
     return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["nodes"], dtype=np.uint64), n), np.repeat(meta, n)
 
 
-_RUNS = "run long, node long, band int, units int"
+_RUNS = "run long, node long, band int, units int, low int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], chunk: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """(run, node, band, units) for each signature that two sets or more have.
+    """(run, node, band, units, low) for each signature that two sets or more have.
 
     Signatures come in chunks. Of a signature only its first set is kept, so memory grows with the distinct ones; more
     sets of it are given on at once.
@@ -313,7 +326,7 @@ def _runs(batches: Iterator[pa.RecordBatch], chunk: int = 300_000) -> Iterator[p
         many = np.bincount(group, weights=give) > 0
         out = give | (first & many[group] & ~old)
         held[:] = [s[first], n[first], meta[first], old[first] | many]
-        return pa.RecordBatch.from_pydict({"run": pa.array(s[out].view(np.int64)), "node": pa.array(n[out].view(np.int64)), "band": pa.array((meta[out] >> 32).astype(np.int32)), "units": pa.array((meta[out] & 0xFFFFFFFF).astype(np.int32))})
+        return pa.RecordBatch.from_pydict({"run": pa.array(s[out].view(np.int64)), "node": pa.array(n[out].view(np.int64)), "band": pa.array((meta[out] >> 2 * LOW).astype(np.int32)), "units": pa.array((meta[out] >> LOW & (1 << LOW) - 1).astype(np.int32)), "low": pa.array((meta[out] & (1 << LOW) - 1).astype(np.int32))})
 
     parts, size = [], 0
     for b in batches:
@@ -360,16 +373,19 @@ def _candidates(runs: DataFrame, sizes: DataFrame, twos: bool, often: int) -> tu
     """Pairs (a, b) of sets that share enough signatures, and the sets (node) that need frequent signatures.
 
     Of its units u in a band a set may lose (|a| + |b|) / 7 to differences and its frequent signatures; where more are left,
-    a partner shares at least those with it (half of them, if segments with one-deletion neighbours count twice). A set for
-    which none are left with its largest partner is unsure: it may have to meet other unsure sets in frequent signatures.
+    a partner shares at least those with it (half of them, if segments with one-deletion neighbours count twice). That
+    holds for units in segments of which the partner gives signatures too: all (`left`) with partners that aren't smaller or
+    that give all segments (no units), those below the least possible cut of a partner (`low`) with any. A set is unsure if none
+    are left with its largest partner, or of `low` with a smaller one: it may have to meet other unsure sets in frequent signatures.
     """
     weight = 2 if twos else 1
     frequent = runs.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > often).select("run")
     frequent = stored(frequent, "runs-frequent")
     often_rows = stored(runs.join(frequent.hint("merge"), "run"), "rows-frequent")
     lost = often_rows.groupBy("node", "band").agg((F.count("*") * weight).alias("lost"))
-    who = runs.groupBy("node", "band").agg(F.max("units").alias("units")).join(lost.hint("merge"), ["node", "band"], "left").join(sizes.hint("merge"), "node")
-    who = who.select("node", "band", "size", F.when(F.col("units") > 0, F.col("units") - F.coalesce("lost", F.lit(0))).otherwise(0).alias("left"))
+    who = runs.groupBy("node", "band").agg(F.max("units").alias("units"), F.max("low").alias("low")).join(lost.hint("merge"), ["node", "band"], "left").join(sizes.hint("merge"), "node")
+    rest = lambda c: F.when(F.col("units") > 0, F.greatest(F.lit(0), F.col(c) - F.coalesce("lost", F.lit(0)))).otherwise(0)
+    who = who.select("node", "band", "size", (F.col("units") == 0).alias("all"), rest("units").alias("left"), rest("low").alias("low"))
     # a set of the band above is always the larger one of its pairs
     upper = F.lit(False)
     for k in range(SPARSE):
@@ -377,16 +393,17 @@ def _candidates(runs: DataFrame, sizes: DataFrame, twos: bool, often: int) -> tu
             break
         upper = upper | ((F.col("band") == k) & (F.col("size") >= BAND ** (k + 1)))
     most = F.when(upper, F.floor(F.col("size") * 2 / 7)).otherwise(F.floor(F.col("size") / 3))
-    who = stored(who.withColumn("unsure", (F.col("left") <= most) | (F.col("band") == SPARSE)), "sets-known")
+    who = stored(who.withColumn("unsure", (F.col("left") <= most) | (F.col("low") <= F.floor(F.col("size") * 2 / 7)) | (F.col("band") == SPARSE)), "sets-known")
 
     rare = runs.join(frequent.hint("merge"), "run", "left_anti").groupBy("run").agg(F.min("band").alias("band"), F.array_sort(F.collect_set("node")).alias("nodes"))
     pairs = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     shared = rare.select("band", F.explode(pairs).alias("p")).groupBy("band", "p.a", "p.b").agg(F.count("*").alias("shared"))
-    side = lambda x: who.select(F.col("node").alias(x), "band", F.col("size").alias(f"size_{x}"), F.col("left").alias(f"left_{x}"))
+    side = lambda x: who.select(F.col("node").alias(x), "band", F.col("size").alias(f"size_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("left", "low", "all")))
     both = shared.join(side("a").hint("merge"), ["a", "band"]).join(side("b").hint("merge"), ["b", "band"])
     differ = F.floor((F.col("size_a") + F.col("size_b")) / 7)
     near = F.greatest("size_a", "size_b") * 3 <= F.least("size_a", "size_b") * 4
-    enough = F.greatest(F.lit(1), F.ceil((F.greatest("left_a", "left_b") - differ) / weight))
+    left = F.greatest("low_a", "low_b", F.expr("if(size_a <= size_b or all_b, left_a, 0)"), F.expr("if(size_b <= size_a or all_a, left_b, 0)"))
+    enough = F.greatest(F.lit(1), F.ceil((left - differ) / weight))
     return both.where(near & (F.col("shared") >= enough)).select("a", "b").distinct(), often_rows.join(who.where("unsure").select("node", "band").hint("merge"), ["node", "band"], "left_semi").select("node").distinct()
 
 

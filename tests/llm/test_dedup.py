@@ -61,6 +61,27 @@ def test_join_of_near_copies_over_all_sizes_and_hot_words(spark):
     assert got == brute_components(rows)
 
 
+def test_join_of_texts_cut_short_by_a_quarter(spark):
+    import random
+
+    rng = random.Random(23)
+    rows = []
+    for part, whole in ((60, 80), (61, 80), (180, 240), (182, 240), (540, 720), (545, 720)):  # J of 0.75 to 0.7625
+        for _ in range(30):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(whole + 4)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: part + 4]))]
+    for often in (1, 12):
+        got = Counter(tuple(r) for r in ngram_join.join_documents(documents(spark, rows), often=often).collect())
+        assert got == Counter((i, len(shingles(t)), i - i % 2) for i, t in rows)
+
+
+def test_cuts_do_not_fall_with_the_size():
+    for band in range(8):
+        sizes = [s for s in range(1, ngram_join.BAND ** (band + 1) * 2) if band in dict(ngram_join.bands_of(s))]
+        cuts = [ngram_join.cut(band, s) for s in sizes]
+        assert cuts == sorted(cuts) and all(ngram_join.least_cut(band, s) <= c for s, c in zip(sizes, cuts, strict=True))
+
+
 def test_star_rounds_lose_no_link(spark):
     import random
 
