@@ -46,13 +46,13 @@ def _blanks(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, files_top: int = 12, min_share: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, min_share: float = 0.8) -> DataFrame:
     """Licences of each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Inverse document frequencies of the templates' words come from all documents. Each template is represented by its
-    words_each rarest words; of a file, the files_top words of highest frequency weight are looked up. Postings that agree on the
+    words_each rarest words; of a file, those of the templates whose mandatory phrases stand in it are looked up. Postings that agree on the
     relative position of file and template are summed by weight; a template whose best position holds min_share of its
-    weight, and whose mandatory phrases all stand in the file, gives its label. score: 1 with a base phrase, else the
+    weight gives its label. score: 1 with a base phrase, else the
     best share of a label found, else 0. Null and empty texts have no words; their labels are ''. Rows that repeat a
     doc_id and a text get equal results, an empty table no rows; other columns are left out.
     """
@@ -101,8 +101,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, fil
     as_rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(i).alias("tpos"), F.lit(x).alias("share")) for w, t, label, i, x in postings])
     index = spark.range(1).select(F.inline(as_rows))  # a fixed table: at most words_each postings or so for each template
 
-    weights = F.array(*[F.struct(F.lit(-idf[w]).alias("x"), F.lit(w).alias("word")) for w in lookup])
-    top = F.transform(F.slice(F.filter(F.array_sort(weights), lambda p: F.array_contains("have", p.word)), 1, files_top), lambda p: p.word)
+    rare_of = F.array(*[F.array(*map(F.lit, sorted({p[0] for p in postings if p[1] == t}))) for t in range(len(templates))])
     proven = F.array_compact(F.array(*[F.when(_all(phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(templates)]))
     words = F.filter(F.split("w", " +"), lambda x: x != "")
     hits = (
@@ -110,9 +109,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, fil
         .where(F.size("have") > 1)
         .withColumn("proven", proven)
         .where(F.size("proven") > 0)
-        .withColumn("top", top)
-        .select("key", "proven", "top", F.posexplode(words).alias("pos", "word"))
-        .where(F.array_contains("top", F.col("word")))
+        .withColumn("wanted", F.array_distinct(F.flatten(F.transform("proven", lambda t: F.element_at(rare_of, t + 1)))))
+        .select("key", "proven", "wanted", F.posexplode(words).alias("pos", "word"))
+        .where(F.array_contains("wanted", F.col("word")))
     )
     aligned = (
         hits.join(F.broadcast(index), "word")

@@ -223,6 +223,16 @@ def test_licence_places_equal_brute_force(spark):
     assert license_scan.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_files_with_two_licenses_and_with_all(spark):
+    t = license_scan.TEMPLATES
+    want = {k: {t[a][0], t[b][0]} for k, (a, b) in enumerate([(a, b) for a in range(len(t)) for b in range(a)])}
+    rows = [(k, f"{t[a][1]} and then {t[b][1]}") for k, (a, b) in enumerate([(a, b) for a in range(len(t)) for b in range(a)])]
+    rows += [(900, " and then ".join(x[1] for x in t)), (901, t[2][1] + " " + " ".join(w for x in t for w in sorted(x[1].split())))]
+    rows += [(1000 + k, f"plain text number {k} of this set") for k in range(300)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert all(got[k] >= labels for k, labels in want.items()) and got[900] == {x[0] for x in t} and "bsd" in got[901]
+
+
 # ---------------------------------------------------------------- URLs
 
 URLS = [
