@@ -81,22 +81,28 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx",
     return across.unionByName(within)
 
 
-def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx", rounds: int = 100) -> DataFrame:
+def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> DataFrame:
     """(idx, cluster_id): in index order the first free item leads and takes every later free item paired with it.
 
     By rounds: an item none of whose smaller neighbours is a leader or undecided leads; one with a leading smaller
-    neighbour follows the smallest such.
+    neighbour follows the smallest such. Each round decides the smallest open item at least, so rounds go on until
+    none is open; pairs must have i < j.
     """
     ids = items.select(F.col(idx).alias("id"))
     edges = _stored(pairs.select(F.col("i").alias("small"), F.col("j").alias("big")), "pairs")
     state = _stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "clusters")
-    for _ in range(rounds):
+    before = None
+    while True:
         seen = edges.join(state.select(F.col("id").alias("small"), "leads"), "small").groupBy(F.col("big").alias("id"))
         near = seen.agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = _stored(state.join(near, "id", "left").select("id", decided.alias("leads")), "clusters")
-        if not state.where("leads is null").limit(1).count():
+        still = state.where("leads is null").count()
+        if not still:
             break
+        if still == before:
+            raise RuntimeError(f"{still} items stay undecided: pairs must have i < j")
+        before = still
     leaders = state.where("leads").select(F.col("id").alias("small"))
     follows = edges.join(leaders, "small").groupBy(F.col("big").alias("id")).agg(F.min("small").alias("leader"))
     own = F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader"))

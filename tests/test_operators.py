@@ -187,3 +187,11 @@ def test_glossary(spark):
     got = {r["term"]: r for r in glossary.extract_glossary(glossary.glossary_mentions(s)).collect()}
     assert got["熔断机制"]["frequency"] == 2 and got["熔断机制"]["definition"] == "过载时自动断开的保护" and got["熔断机制"]["source_skills"] == ["s0", "s1"]
     assert "缓存" in got
+
+
+def test_greedy_clusters_decide_the_whole_of_a_long_chain(spark):
+    from loreforge.operators.similarity import greedy_clusters
+
+    items = spark.range(104).withColumnRenamed("id", "idx").coalesce(1)
+    pairs = spark.range(103).selectExpr("id as i", "id + 1 as j").coalesce(1)
+    assert dict(greedy_clusters(items, pairs).collect()) == {k: k - k % 2 for k in range(104)}
