@@ -708,9 +708,9 @@ def glossary_mentions(spark, sf_dir):
 
 
 GLOSSARY_SQL = GLOSS_SQL + r""",
-gb AS (SELECT lower(term) AS key, name, min((idx, pos)) AS at FROM gs GROUP BY 1, 2),
+gb AS (SELECT lower(term) AS key, name, min((idx, pos)) AS place FROM gs GROUP BY 1, 2),
 gl AS (SELECT g.key, frequency, term, definition, src FROM (SELECT lower(term) AS key, count(*) AS frequency, arg_min(term, (idx, pos)) AS term, arg_max(definition, (length(definition), -idx, -pos)) AS definition FROM gs GROUP BY 1) g
-  JOIN (SELECT key, list(name ORDER BY at) AS src FROM gb GROUP BY 1) s ON s.key = g.key WHERE frequency >= 2)"""
+  JOIN (SELECT key, list(name ORDER BY place) AS src FROM gb GROUP BY 1) s ON s.key = g.key WHERE frequency >= 2)"""
 
 
 @query("WITH" + GLOSSARY_SQL + " SELECT term, definition, frequency, array_to_string(src, ',') AS source_skills FROM gl")
