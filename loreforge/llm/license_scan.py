@@ -1,129 +1,127 @@
-"""Licence scan with DataFrame functions only: a positional index of rare licence words, aligned and verified."""
+"""Licence scan with DataFrame functions only: a positional index of rare licence words, aligned, then verified."""
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import read_table
+from loreforge.llm.common import read_table, stored
+from loreforge.llm.license_texts import COMMON_WORDS, PASSAGES
 
 #: Phrases of the contract and their labels.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: label, characteristic passage, phrases of it that must stand in the text.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("except in compliance with the license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("you can redistribute it and or modify it under the terms of the gnu general public license",)),
-    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    ("agpl", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file", ("subject to the terms of the mozilla public license",)),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("under the terms of the eclipse public license",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc0", "creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
-    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
-)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_MARGIN = 64  # words that are kept around the first and last licence word of a file
+SLACK = 4  # words by which parts of a passage may be shifted against each other
 
 
-def spaced_words(text: Column) -> Column:
-    """Lower-cased words, each between two blanks of its own: ' a  b  c '; '' where there are none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    core = F.btrim(F.regexp_replace(low, SEPARATORS, "  "))
-    return F.when(core == "", "").otherwise(F.concat(F.lit(" "), core, F.lit(" ")))
+def passage_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
 
 
-def _spaced(phrase: str) -> str:
-    return " " + phrase.replace(" ", "  ") + " "
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case. Full lower-casing is faster, and differs in letters of words only by what isn't ASCII, but for two characters."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.contains(text, F.lit("K")) | F.contains(text, F.lit("İ")), plain).otherwise(F.lower(text))
 
 
-def _blanks(s: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+def _starts(phrase: str) -> Column:
+    """Places (in `ws`) at which the phrase's words stand one after another."""
+    p = phrase.split()
+    want = F.array(*map(F.lit, p))
+    return F.filter("at", lambda i: (F.get("ws", i) == p[0]) & (F.slice("ws", i + 1, len(p)) == want))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, min_share: float = 0.8) -> DataFrame:
-    """Licences of each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def licence_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """One pass over the texts: row (a number), doc_id, the base columns, hits (pos, word) and around.
 
-    Inverse document frequencies of the templates' words come from all documents. Each template is represented by its
-    words_each rarest words; of a file, those of the templates whose mandatory phrases stand in it are looked up. Postings that agree on the
-    relative position of file and template are summed by weight; a template whose best position holds min_share of its
-    weight gives its label. score: 1 with a base phrase, else the
-    best share of a label found, else 0. Null and empty texts have no words; their labels are ''. Rows that repeat a
-    doc_id and a text get equal results, an empty table no rows; other columns are left out.
+    hits are the places of vocabulary words; around holds the words from the first to the last of them and _MARGIN more
+    on both sides, for files with two different ones at least.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), spaced_words(F.col("text")).alias("w"))
-
-    # ---- base phrases: counted in the text, first and last by the blanks before and after
-    cols, places, firsts, lasts, labels = {}, F.lit(0), [], [], []
-    for k, (phrase, label) in enumerate(BASE_PHRASES):
-        p = _spaced(phrase)
-        n = (F.length("w") - F.length(F.replace(F.col("w"), F.lit(p), F.lit("")))) / len(p)
-        cols[f"n{k}"] = n.cast("long")
-        has = F.col(f"n{k}") > 0
-        at, back = F.instr("w", p), F.locate(p[::-1], F.reverse("w"))
-        firsts.append(F.when(has, _blanks(F.substr("w", F.lit(1), at - 1)) / 2))
-        lasts.append(F.when(has, _blanks(F.substr("w", F.lit(1), F.length("w") - (back - 1) - len(p))) / 2))
-        labels.append(F.when(has, label))
-        places = places + F.col(f"n{k}")
-    base = (
-        rows.withColumns(cols)
-        .select(
-            "doc_id",
-            "key",
-            (_blanks(F.col("w")) / 2).cast("long").alias("n_words"),
-            places.cast("long").alias("n_base"),
-            F.when(places > 0, F.least(*firsts)).cast("long").alias("first_word"),
-            F.when(places > 0, F.greatest(*lasts)).cast("long").alias("last_word"),
-            F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
-        )
+    index_words = [w for w in vocabulary if w not in COMMON_WORDS]
+    looked_up = sorted({*index_words, *(p.split()[0] for p, _ in BASE_PHRASES)})
+    rows = docs.select("doc_id", F.split(lower_ascii(F.col("text")), SEPARATORS).alias("ws"))
+    # separators at the ends leave an empty word there
+    lead = (F.get("ws", F.lit(0)) == "").cast("int")
+    tail = ((F.size("ws") > 1) & (F.get("ws", F.size("ws") - 1) == "")).cast("int")
+    rows = rows.select("doc_id", "ws", lead.alias("lead"), tail.alias("tail"), F.array_compact(F.transform("ws", lambda w, i: F.when(w.isin(looked_up), i))).alias("at"))
+    rows = rows.select("*", *[_starts(p).alias(f"b{k}") for k, (p, _) in enumerate(BASE_PHRASES)])
+    every = F.concat(*[F.col(f"b{k}") for k in range(len(BASE_PHRASES))])
+    hits = F.transform("at", lambda i: F.struct((i - F.col("lead")).alias("pos"), F.get("ws", i).alias("word")))
+    rows = rows.select(
+        "*", every.alias("every"), F.filter(hits, lambda h: h["word"].isin(index_words)).alias("hits"),
+    )
+    first = F.greatest(F.lit(0), F.array_min(F.col("hits.pos")) + F.col("lead") - _MARGIN)
+    last = F.array_max(F.col("hits.pos")) + F.col("lead") + _MARGIN
+    around = F.concat(F.lit(" "), F.array_join(F.slice("ws", first + 1, last - first + 1), " "), F.lit(" "))
+    labels = F.array(*[F.when(F.size(f"b{k}") > 0, label) for k, (_, label) in enumerate(BASE_PHRASES)])
+    return rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        (F.size("ws") - F.col("lead") - F.col("tail")).cast("long").alias("n_words"),
+        F.size("every").cast("long").alias("n_base"),
+        (F.array_min("every") - F.col("lead")).cast("long").alias("first_word"),
+        (F.array_max("every") - F.col("lead")).cast("long").alias("last_word"),
+        F.array_sort(F.array_compact(labels)).alias("base"),
+        "hits",
+        F.when(F.size(F.array_distinct("hits.word")) > 1, around).alias("around"),
     )
 
-    # ---- rare words: the vocabulary is that of the templates, so the counts are a few hundred rows
-    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
-    have = F.array_intersect(F.split("w", " +"), F.array(*map(F.lit, vocabulary)))
-    counted = rows.select(F.explode(F.array_append(have, F.lit(""))).alias("word")).groupBy("word").count().collect()
-    df = {r["word"]: r["count"] for r in counted}
-    n_docs = df.get("", 0)
-    idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
-    postings = []
-    for t, (label, text, _) in enumerate(templates):
-        ws = text.split()
-        rare = sorted(set(ws), key=lambda w: (-idf[w], w))[:words_each]
+
+def _postings(passages, counts: dict[str, int], n_docs: int, words_each: int) -> list[tuple]:
+    """(word, passage number, place in it, share of the passage's weight) of each passage's words of highest IDF."""
+    out = []
+    for t, (_, text, _) in enumerate(passages):
+        ws = passage_words(text)
+        idf = {w: math.log((n_docs + 1) / (counts.get(w, 0) + 0.5)) for w in ws if w not in COMMON_WORDS}
+        rare = set(sorted(idf, key=lambda w: (-idf[w], w))[:words_each])
         weight = sum(idf[w] for w in ws if w in rare)
-        postings += [(w, t, label, i, idf[w] / weight) for i, w in enumerate(ws) if w in rare]
-    lookup = sorted({p[0] for p in postings})
-    as_rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(i).alias("tpos"), F.lit(x).alias("share")) for w, t, label, i, x in postings])
-    index = spark.range(1).select(F.inline(as_rows))  # a fixed table: at most words_each postings or so for each template
-
-    rare_of = F.array(*[F.array(*map(F.lit, sorted({p[0] for p in postings if p[1] == t}))) for t in range(len(templates))])
-    proven = F.array_compact(F.array(*[F.when(_all(phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(templates)]))
-    words = F.filter(F.split("w", " +"), lambda x: x != "")
-    hits = (
-        rows.withColumn("have", F.array_intersect(F.split("w", " +"), F.array(*map(F.lit, lookup))))
-        .where(F.size("have") > 1)
-        .withColumn("proven", proven)
-        .where(F.size("proven") > 0)
-        .withColumn("wanted", F.array_distinct(F.flatten(F.transform("proven", lambda t: F.element_at(rare_of, t + 1)))))
-        .select("key", "proven", "wanted", F.posexplode(words).alias("pos", "word"))
-        .where(F.array_contains("wanted", F.col("word")))
-    )
-    aligned = (
-        hits.join(F.broadcast(index), "word")
-        .where(F.array_contains("proven", F.col("t")))
-        .select("key", "t", "label", (F.col("pos") - F.col("tpos")).alias("at"), "tpos", "share")
-        .distinct()
-        .groupBy("key", "t", "label", "at")
-        .agg(F.sum("share").alias("share"))
-        .where(F.col("share") >= min_share)
-    )
-    found = aligned.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
-    out = base.join(found.hint("merge"), "key", "left")
+        out += [(w, t, i, idf[w] / weight) for i, w in enumerate(ws) if w in rare]
+    return out
+
+
+def _fixed(spark, rows: list[Column]) -> DataFrame:
+    """A table of as many rows as there are passages, or a few for each."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def scan_licenses(docs: DataFrame, passages=PASSAGES, words_each: int = 8, min_share: float = 0.8) -> DataFrame:
+    """Licences of each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Inverse document frequencies of the passages' words come from all documents. A passage is represented by its
+    words_each words of highest IDF and their places. All such words that a file has are looked up; postings of a passage
+    whose places in file and passage differ alike, up to SLACK words, are summed by weight, each once. Where they hold
+    min_share of the passage's weight and its mandatory phrases stand in the file, the passage's label is given. score: 1
+    with a base phrase, else the best share of a label found, else 0. Null and empty texts have no words; their labels are
+    ''. Repeated rows are rows of their own, an empty table gives none; other columns are left out.
+    """
+    spark = docs.sparkSession
+    vocabulary = sorted({w for _, text, _ in passages for w in passage_words(text)})
+    rows = stored(licence_words(docs.select("doc_id", "text"), vocabulary), "licence-words")
+
+    # counts of a fixed vocabulary: a few hundred rows
+    n_docs = rows.count()
+    counted = rows.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count().collect()
+    postings = _postings(passages, {r["word"]: r["count"] for r in counted}, n_docs, words_each)
+    lit = F.lit
+    index = _fixed(spark, [F.struct(lit(w).alias("word"), lit(t).alias("t"), lit(i).alias("tpos"), lit(x).alias("share")) for w, t, i, x in postings])
+    checks = _fixed(spark, [F.struct(lit(t).alias("t"), lit(label).alias("label"), F.array(*[lit(f" {p} ") for p in phrases]).alias("phrases")) for t, (label, _, phrases) in enumerate(passages)])
+
+    found = rows.where("around is not null").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
+    found = found.join(F.broadcast(index), "word").withColumn("shift", F.col("pos") - F.col("tpos"))
+    # shifts that differ by up to SLACK fall into one cell of the one or the other grid
+    cells = F.array(*[F.struct(lit(g).alias("grid"), F.floor((F.col("shift") + g * SLACK) / (2 * SLACK)).alias("cell")) for g in (0, 1)])
+    found = found.select("row", "t", "tpos", "share", F.explode(cells).alias("c")).select("row", "t", "c.grid", "c.cell", "tpos", "share").distinct()
+    aligned = found.groupBy("row", "t", "grid", "cell").agg(F.sum("share").alias("share")).where(F.col("share") >= min_share - 1e-9)
+    aligned = aligned.groupBy("row", "t").agg(F.max("share").alias("share")).join(F.broadcast(checks), "t")
+    texts = rows.where("around is not null").select("row", "around")
+    proven = aligned.join(texts.hint("merge"), "row").where(F.forall("phrases", lambda p: F.contains(F.col("around"), p)))
+    proven = proven.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+
+    out = rows.drop("hits", "around").join(proven.hint("merge"), "row", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.round(F.coalesce("share", F.lit(0.0)), 6)))
     return out.select(
@@ -132,12 +130,5 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, words_each: int = 8, min
     )
 
 
-def _all(phrases) -> Column:
-    out = F.lit(True)
-    for p in phrases:
-        out = out & F.contains("w", F.lit(_spaced(p)))
-    return out
-
-
 def op7_license_scan(spark, sf_dir) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
