@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- shared folder
-
-_local_dir: list[str] = []
-
+from loreforge.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _local_dir:
-            _local_dir.append("file://" + tempfile.mkdtemp(prefix="loreforge-"))
-        base = _local_dir[0]
-    return base.rstrip("/")
+# ---------------------------------------------------------------- shared folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +46,50 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> i
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name with as many underscores before it that no column is called so."""
+    names = {c.lower() for c in taken}
+    while name in names:
+        name = "_" + name
+    return name
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, how: str = "left", make: Column | None = None, limit: int = 20_000, salts: int = 64) -> DataFrame:
+    """rows joined to a table with one small row for each value of the string column `key`.
+
+    The table is counted: up to `limit` rows are broadcast; more are joined by shuffle, each value dealt to `salts` parts,
+    since one may hold a large share of the rows. `make` is the key where rows have no such column.
+    """
+    if make is not None:
+        rows = rows.withColumn(key, make)
+    table = stored(table, "attached")
+    if table.count() <= limit:
+        out = rows.join(F.broadcast(table), key, how)
+    else:
+        salt = free_name("salt", rows.columns)
+        spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        out = rows.join(spread.hint("shuffle_hash"), [key, salt], how).drop(salt)
+    return out if make is None else out.drop(key)
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined to a stored table with one row for each key, in which column `n` counts the key's rows.
+
+    Keys with more than a 1 / share of all rows are fewer than `share`, whatever the input: their table is broadcast, so
+    the rows of a hot key stay where they are. All others meet by shuffle. Keys aren't null; `how` is inner or left_semi.
+    """
+    total = per_key.agg(F.sum(n)).collect()[0][0] or 0
+    bound = max(total // share, 1000)
+    cold = per_key if how == "inner" else per_key.select(*key, n)
+    if not per_key.where(F.col(n) > bound).limit(1).count():
+        return rows.join(cold.hint("merge"), key, how)
+    hot = F.broadcast(cold.where(F.col(n) > bound))
+    out = rows.join(hot, key, how)
+    rest = rows.join(hot.select(*key), key, "left_anti").join(cold.where(F.col(n) <= bound).hint("merge"), key, how)
+    return out.unionByName(rest)
+
+
 def numbered(df: DataFrame, key: list[str], order: list[str], out: str, rows_each: int = 200_000) -> DataFrame:
     """Adds `out`: 0, 1, ... within each key, in the given order (which has no ties), without a task for a whole key.
 
@@ -66,8 +100,6 @@ def numbered(df: DataFrame, key: list[str], order: list[str], out: str, rows_eac
     dealt = stored(
         df.repartitionByRange(partitions_for(spark, 0), *key, *order).withColumn("_part", F.spark_partition_id()), "numbered"
     )
-    from pyspark.sql import Window as W
-
     by_key = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by_key), F.lit(0))).drop("_n")

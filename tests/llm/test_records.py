@@ -55,11 +55,102 @@ def test_mcd_resists_outliers_and_constants():
     x = rng.normal(size=(2000, 4)) * 0.3
     x[:, 3] = 0
     x[:300] += 5
-    mu, s = quality.fast_mcd(x)
-    assert np.abs(mu).max() < 0.1 and 0.2 < np.sqrt(s[0, 0]) < 0.45
+    det, mu, s = quality.fast_mcd(x, np.array([0.09, 0.09, 0.09, quality.TINY**2]))[0]
+    assert np.abs(mu).max() < 0.1 and 0.2 < np.sqrt(s[0, 0]) < 0.45 and np.isfinite(det)
     assert quality._chi2_quantile(0.975, 4) == pytest.approx(11.143, abs=0.01)
 
 
+def mixed_sources(n=150):
+    """Two sources with different habits, and texts in each that are odd there and plain in the other."""
+    import random
+
+    rng = random.Random(12)
+
+    def text(long_words, k):
+        ws = [rng.choice("abcdefghij") * rng.randrange(1, 3) + str(rng.randrange(8)) + ("extended" if long_words and rng.random() < 0.8 else "") for _ in range(k)]
+        return " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(ws)).replace(". ", ".\n").title()
+
+    rows = [(i, text(i % 2, rng.randrange(60, 200)), "en", f"s{i % 2}") for i in range(n * 2)]
+    rows += [(1000 + i, text(1 - i % 2, 120), "en", f"s{i % 2}") for i in range(6)]
+    return rows
+
+
+def brute_verdicts(rows, tail=1e-6):
+    """Distances by plain concentration steps from many starts, for each source by itself."""
+    stats = quality.text_statistics([t.encode() for _, t, _, _ in rows])
+    g = {k: v.astype(float) for k, v in stats.items()}
+    cols = []
+    for a, b, more in quality.RATIOS:
+        cols.append((g[a] + more * np.sort(g[a] / g[b])[(len(rows) - 1) // 2]) / (g[b] + more))
+    x = np.stack([np.log(cols[0]), np.sqrt(cols[1]), np.sqrt(cols[2]), cols[3]], axis=1)
+    source = np.array([r[3] for r in rows])
+    quart = np.sort(x, axis=0)
+    target = np.diag(((quart[int(0.75 * len(x))] - quart[int(0.25 * len(x))]) / 1.349) ** 2)
+    rng, far = np.random.default_rng(99), np.zeros(len(x))
+    for s in set(source):
+        y = x[source == s]
+        h = int(np.ceil(0.75 * len(y)))
+        best = None
+        for _ in range(100):
+            sub = y[rng.choice(len(y), 5, replace=False)]
+            for _ in range(30):
+                c = 0.9 * quality._consistency(0.75) * np.cov(sub.T, bias=True) + 0.1 * target
+                d = ((y - sub.mean(0)) @ np.linalg.inv(c) * (y - sub.mean(0))).sum(axis=1)
+                sub = y[np.argsort(d)[:h]]
+            if best is None or np.linalg.det(c) < best[0]:
+                best = (np.linalg.det(c), sub.mean(0), c)
+        near = y[[(r - best[1]) @ np.linalg.solve(best[2], r - best[1]) <= quality._chi2_quantile(0.975, 4) for r in y]]
+        c = 0.9 * quality._consistency(0.975) * np.cov(near.T, bias=True) + 0.1 * target
+        far[source == s] = [(r - near.mean(0)) @ np.linalg.solve(c, r - near.mean(0)) for r in y]
+    return far, quality._chi2_quantile(1 - tail, 4)
+
+
+@pytest.mark.parametrize("block", [20_000, 50])
+def test_verdicts_equal_a_brute_force_estimate(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", block)  # with small blocks, candidates of several meet in concentration steps
+    rows = mixed_sources()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge_documents(df).collect()}
+    far, cut = brute_verdicts(rows)
+    sure = [(r[0], d) for r, d in zip(rows, far, strict=True) if not 0.6 * cut < d < 1.6 * cut]
+    assert len(sure) > 0.97 * len(rows) and all(got[i]["kept"] == (d <= cut) for i, d in sure)
+    # plain in the other source, so one fixed cut for all would keep them
+    assert not any(got[1000 + i]["kept"] for i in range(6)) and sum(got[i]["kept"] for i in range(300)) >= 297
+
+
+def test_quality_judges_rows_and_not_ids(spark):
+    import random
+
+    rng = random.Random(8)
+    good = [(i, sentence(rng, 60)) for i in range(150)]
+    bad = " ".join(w + "***$$$" for w in sentence(rng, 80).split())
+    rows = good + [(1, bad), (None, bad), (None, "two words"), (None, good[5][1]), (1, good[1][1]), (7, None), (7, "")]
+    kept = quality.keep_good_documents(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(good + [(None, good[5][1]), (1, good[1][1])])
+
+
+def test_small_strata_use_the_estimate_of_their_language_or_of_all(spark):
+    import random
+
+    rng = random.Random(31)
+    bad = lambda: " ".join(w + "%%%" for w in sentence(rng, 80).split())
+    rows = [(i, sentence(rng, 60), "en", "big") for i in range(300)] + [(400 + i, sentence(rng, 60), "en", f"small{i}") for i in range(8)] + [(500 + i, sentence(rng, 60), None, None) for i in range(4)]
+    rows += [(600, bad(), "en", "small1"), (601, bad(), "xx", "y"), (602, bad(), None, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, k in got.items() if not k} == {600, 601, 602}
+
+
+def test_copies_are_not_the_norm(spark):
+    import random
+
+    rng = random.Random(41)
+    base = sentence(rng, 100).split()
+    rows = [(i, sentence(rng, 60), "en", "s") for i in range(200)] + [(1000 + i, " ".join(base), "en", "s") for i in range(400)]
+    rows += [(2000 + i, " ".join([*base[:i % 90], f"near{i}", *base[i % 90 :]]), "en", "s") for i in range(200)]
+    got = quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sum(not r["kept"] for r in got) <= 10  # half of the different texts are near copies of one
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge_documents(documents(spark, hard_texts()).limit(0)).count() == 0
 
