@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import SPACED, discard, gram_hashes, mix, partitions_for, read_table, stored, text_bytes, word_batches
+from loreforge.llm.common import SPACED, discard, free_name, gram_hashes, join_counted, mix, partitions_for, read_table, stored, text_bytes, word_batches
 from loreforge.llm.components import components
 
 WORDS = 5
@@ -252,7 +252,7 @@ def _signature_rows(alloc: dict[int, np.ndarray], n_buckets: int, flush: int = 8
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         node, s, band, units = (np.concatenate(c) for c in zip(*parts, strict=True))
-        bucket = ((s >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.int64)
+        bucket = ((s >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
         group = bucket * 64 + band
         order = np.lexsort((node, group))
         node, s, group, units = node[order], s[order], group[order], units[order]
@@ -289,15 +289,14 @@ def _signature_rows(alloc: dict[int, np.ndarray], n_buckets: int, flush: int = 8
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature with its bucket above, set, and band and units in one number."""
+    """Signature with its bucket mixed in, set, and band and units in one number."""
     raw = np.frombuffer(row["sigs"], dtype=np.uint8).reshape(-1, 6)
     wide = np.zeros((len(raw), 8), dtype=np.uint8)
     wide[:, :6] = raw
-    wide[:, 6] = row["bucket"] & 0xFF
-    wide[:, 7] = row["bucket"] >> 8 & 0xFF
+    wide = wide.view("<u8") ^ mix(np.array([row["bucket"] + 1], dtype=np.uint64))
     n = np.frombuffer(row["counts"], dtype="<u4")
     meta = np.frombuffer(row["units"], dtype="<u8").astype(np.int64) + (row["band"] << 2 * LOW)
-    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["nodes"], dtype=np.uint64), n), np.repeat(meta, n)
+    return wide.ravel(), np.repeat(np.frombuffer(row["nodes"], dtype=np.uint64), n), np.repeat(meta, n)
 
 
 _RUNS = "run long, node long, band int, units int, low int"
@@ -463,14 +462,14 @@ def _pairs_of(runs: DataFrame) -> DataFrame:
     return nodes.where(F.size("nodes") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: DataFrame, often: int, max_star_rounds: int = 1) -> DataFrame:
+def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: DataFrame, often: int, max_star_rounds: int = 6) -> DataFrame:
     """Edges (a, b) between sets that are linked, enough that their components are those of all links.
 
     Candidate pairs are compared. Of the sets of a class (equal frequent shingles), the one with the fewest rare ones is
     linked to each set that any other is linked to without sharing a rare shingle; so the others are compared with it alone,
     and sets of other classes need not be compared with more than it. Sets of a frequent shingle are compared with one
-    leader; where some are then in different components, with another, and in the end with the classes' leaders of other
-    components. Pairs within a component add nothing. So a group of near copies costs about one comparison for each of them.
+    leader; where some are then in different components, with another, until few pairs are left, and in the end with the classes' leaders of other
+    components whose sizes are near enough. Pairs within a component add nothing. So a group of near copies costs about one comparison for each of them.
     """
     needed = unsure.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rep = inventory.groupBy("node").agg(F.min("key").alias("key")).join(needed.hint("merge"), "node")
@@ -480,8 +479,8 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: Data
     sets = stored(sets, "sets")
 
     def star(members: DataFrame, leader) -> DataFrame:
-        lead = members.groupBy("run").agg(leader.alias("l"))
-        p = members.join(lead.hint("merge"), "run").where("node <> l")
+        lead = stored(members.groupBy("run").agg(leader.alias("l"), F.count("*").alias("n_run")), "leaders")
+        p = join_counted(members.select("run", "node"), lead, ["run"], "n_run").where("node <> l")
         return p.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
 
     fewest = F.min_by("node", F.struct("rest", "node"))
@@ -495,19 +494,22 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: Data
     for r in range(max_star_rounds + 1):
         comp = components(checked.where("linked").select("a", "b"))
         at = members.drop("c").join(comp.hint("merge"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_runs = at.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("run")
-        members = stored(at.join(open_runs.hint("merge"), "run").select("run", "node", "pos", "n", "leads", "c"), "open-runs")
-        each = members.groupBy("run", "c").agg(F.count("*").alias("k"), F.sum(F.col("leads").cast("long")).alias("l")).groupBy("run")
-        each = each.agg((F.sum("k") * F.sum("l") - F.sum(F.col("k") * F.col("l"))).alias("pairs"), F.sum("k").alias("n"))
-        total = each.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).collect()[0]
+        at = stored(at, "runs-at")
+        open_runs = at.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n_run")).where("lo <> hi and n_run > 2").select("run", "n_run")
+        members = stored(join_counted(at, stored(open_runs, "runs-open"), ["run"], "n_run").select("run", "node", "pos", "n", "leads", "c"), "open-runs")
+        # sets whose sizes allow a link are in bands of sizes side by side
+        sized = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9))
+        each = sized.groupBy("run", "band").agg(F.count("*").alias("k"), F.sum(F.col("leads").cast("long")).alias("l"))
+        near_band = each.select("run", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l").alias("l_near"))
+        total = each.join(near_band.groupBy("run", "band").agg(F.sum("l_near").alias("l_near")).hint("merge"), ["run", "band"]).agg(F.sum(F.col("k") * F.col("l_near")).alias("p"), F.sum("k").alias("n")).collect()[0]
         if not total["p"]:
             break
         last = r == max_star_rounds or total["p"] <= 8 * total["n"]
         if last:
-            x = members.select("run", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("px"), F.col("n").alias("nx"))
-            y = members.where("leads").select("run", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("pos").alias("py"), F.col("n").alias("ny"))
+            x = sized.select("run", "band", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("px"), F.col("n").alias("nx"))
+            y = sized.where("leads").select("run", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("pos").alias("py"), F.col("n").alias("ny"))
             near = "cx <> cy and 7 * least(nx - px, ny - py) >= 3 * (nx + ny)"
-            more = x.join(y.hint("merge"), "run").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            more = x.join(y.hint("merge"), ["run", "band"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             ranked = members.join(degree.hint("merge"), "node")
             # in later rounds another of the frequent ones leads
@@ -519,44 +521,71 @@ def _links(docs: DataFrame, inventory: DataFrame, pairs: DataFrame, unsure: Data
     return checked.where("linked").select("a", "b")
 
 
-def join_documents(docs: DataFrame, sigs_each: int = 600_000, often: int = OFTEN) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs, by links of Jaccard similarity 0.75 or more.
+def grouped_documents(docs: DataFrame, sigs_each: int = 600_000, often: int = OFTEN) -> DataFrame:
+    """doc_id, key, n_shingles and first for each row of docs: see join_documents.
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; sets are of distinct five-word shingles, a shorter
-    text being one shingle. Null, empty and blank texts have empty sets and no links. Equal sets are one node, so copies
-    cost nothing in pairs. Rows that repeat a doc_id are rows of their own; a null doc_id takes part, but is smallest
-    only where there is no other. Empty tables give no rows; other columns are left out.
+    key is a hash of doc_id and text. first is null for empty sets; else it holds doc_id and key of the row that stands for
+    the group: that of the smallest doc_id (a null one only where there is no other), of the smallest key among equals.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("key"), "text")
     first = stored(rows.mapInArrow(_inventory, _FIRST), "sets-inventory")
     cells = first.where("cell is not null").groupBy("cell").agg(F.sum("weight").alias("w"))
     # bounded by SPARSE * CLASSES * CELLS rows, whatever the input
     alloc = allocate({r["cell"]: r["w"] for r in cells.collect()})
     inventory = first.where("n_shingles is not null").select("doc_id", "key", "node", "n_shingles")
     total = inventory.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    n_buckets = min(65_536, partitions_for(spark, total // 2, sigs_each))
+    n_buckets = min(1 << 24, partitions_for(spark, total // 2, sigs_each))
     packed = rows.select("text").mapInArrow(_signature_rows(alloc, n_buckets), _PACKED)
     runs = stored(packed.repartition(n_buckets, "bucket").mapInArrow(_runs, _RUNS), "runs")
     known = inventory.where("node is not null")
-    sizes = known.groupBy("node").agg(F.first("n_shingles").alias("size"))
-    pairs, unsure = _candidates(runs, sizes, any((a == 2).any() for a in alloc.values()), often)
+    # copies meet at their set's node, so everything from here on has one row for each different set
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("first")
+    nodes = stored(known.groupBy("node").agg(F.first("n_shingles").alias("size"), F.count("*").alias("n_rows"), smallest), "sets-nodes")
+    pairs, unsure = _candidates(runs, nodes.select("node", "size"), any((a == 2).any() for a in alloc.values()), often)
     pairs, unsure = stored(pairs, "pairs"), stored(unsure, "unsure")
     discard(runs)
     comp = components(_links(rows.select("key", "text"), known.select("node", "key"), pairs, unsure, often))
-    known = inventory.join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # the smallest doc_id of each component with links or copies; others are their own
-    least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = known.join(least.hint("merge"), "component", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = nodes.join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = stored(nodes, "nodes-components")
+    groups = stored(nodes.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n_nodes")), "groups")
+    nodes = stored(join_counted(nodes.select("node", "n_rows", "component"), groups, ["component"], "n_nodes").select("node", "n_rows", "first"), "nodes-groups")
+    out = join_counted(known, nodes, ["node"], "n_rows").select("doc_id", "key", "n_shingles", F.struct("first.doc_id", "first.key").alias("first"))
+    empty = inventory.where("node is null").select("doc_id", "key", "n_shingles", F.lit(None).cast("struct<doc_id: bigint, key: bigint>").alias("first"))
+    return out.unionByName(empty)
+
+
+def join_documents(docs: DataFrame, sigs_each: int = 600_000, often: int = OFTEN) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs, by links of Jaccard similarity 0.75 or more.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; sets are of distinct five-word shingles, a shorter
+    text being one shingle. Null, empty and blank texts have empty sets and no links. Equal sets are one node, so copies
+    cost nothing in pairs. Rows that repeat a doc_id are rows of their own; a null doc_id takes part, but is smallest
+    only where there is no other. Empty tables give no rows; other columns are left out.
+    """
+    return grouped_documents(docs, sigs_each, often).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group: those whose doc_id is the group's smallest; null ids stay."""
-    others = join_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The rows of docs that stand for their group, one for each, with all their columns.
+
+    That is the row of the group's smallest doc_id, a null one only where there is no other. Rows are told apart by doc_id
+    and text, so a row isn't dropped for another's doc_id; rows that are equal in both are one group and one of them
+    stays. Rows without words are groups of their own and all stay.
+    """
+    groups = stored(grouped_documents(docs).where("first is not null"), "groups-rows")
+    stands = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    doc, key = free_name("doc", docs.columns), free_name("key", docs.columns)
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, "text"))
+    others = groups.where(~stands).select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct()
+    out = keyed.join(others.hint("merge"), (keyed[key] == others[key]) & doc_id.eqNullSafe(others[doc]), "left_anti")
+    twice = stored(groups.where(stands).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias(key)), "groups-repeated")
+    if twice.limit(1).count():
+        single = out.join(twice.hint("merge"), key, "left_anti").select(*docs.columns, key)
+        out = single.unionByName(out.join(twice.hint("merge"), key, "left_semi").select(*docs.columns, key).dropDuplicates([key]))
+    return out.select(*docs.columns)
 
 
 def op10_ngram_join(spark, sf_dir) -> DataFrame:

@@ -225,3 +225,29 @@ def test_remove_repeats_keeps_columns_and_characters(spark):
     out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df).collect()}
     assert suffix_dedup.remove_repeats(df).columns == df.columns
     assert out[304]["text"] == "z" and out[306]["text"] is None and out[307]["text"] == "plain" and out[304]["n_chars"] == 1
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    import random
+
+    rng = random.Random(6)
+    t = [sentence(rng, 50) for _ in range(6)]
+    rows = [(1, t[0]), (1, t[1]), (2, t[2]), (None, t[3]), (None, t[4])]
+    assert sorted(r["text"] for r in ngram_join.one_of_each_group(documents(spark, rows)).collect()) == sorted(t[:5])
+    rows += [(1, t[0]), (0, t[1] + " end"), (None, t[2]), (None, None), (3, ""), (3, ""), (None, t[5]), (None, t[5]), (9, t[5].replace("a", "A"))]
+    out = ngram_join.one_of_each_group(documents(spark, rows)).collect()
+    want = Counter([(1, t[0]), (0, t[1] + " end"), (2, t[2]), (None, t[3]), (None, t[4]), (None, None), (3, ""), (3, ""), (9, t[5].replace("a", "A"))])
+    assert Counter((r["doc_id"], r["text"]) for r in out) == want
+
+
+def test_leader_rounds_until_few_pairs_are_left(spark):
+    """Texts made of frequent passages in many combinations: classes of one hot shingle that aren't linked to each other."""
+    import random
+
+    rng = random.Random(77)
+    parts = [sentence(rng, 12) for _ in range(9)]
+    rows = []
+    for i in range(220):
+        rows.append((i, " ".join(rng.sample(parts, 5)) + (f" x{i}" if i % 3 else "")))
+    got = Counter(tuple(r) for r in ngram_join.join_documents(documents(spark, rows), often=2).collect())
+    assert got == brute_components(rows)
