@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import ALNUM, gram_hashes, read_table, stored, word_batches
+from loreforge.llm.common import ALNUM, free_name, gram_hashes, join_counted, read_table, stored, word_batches
 
 GRAM = 4
-BLOCK_ITEMS = 20_000  # test items that are compared in one pass over the documents
 MATCH, MISMATCH, GAP = 2, -1, -1
-_BITS = 22
+#: Bits of the filter through which grams of the documents go before they are joined: 64 for each seed, from 8 KB to 8 MB.
+#: Beyond that more grams that are no seeds pass, which the join drops.
+LEAST_BITS, MOST_BITS = 16, 26
+REGION_WORDS = 1 << 16  # words of a document that go on together at most, or four test items' length
 
 # ---------------------------------------------------------------- alignment
 
@@ -50,120 +53,158 @@ def least_score(length: int, ratio: float) -> float:
 # ---------------------------------------------------------------- seeds
 
 
-class Items:
-    """Words of a block of test items and, for each seed, where it stands in them."""
+def _lower(col) -> list[bytes]:
+    return [(t or "").lower().encode() for t in col.to_pylist()]
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.words = [], []
-        raw = [(t or "").lower().encode() for t in texts]
-        for lo, _, _, _, h, first in word_batches(raw, ALNUM):
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Test items of GRAM words or more, with the hashes of their words."""
+    for b in batches:
+        ids = b.column("item_id").to_pylist()
+        out: dict[str, list] = {"item_id": [], "length": [], "words": []}
+        for lo, _, _, _, h, first in word_batches(_lower(b.column("text")), ALNUM):
             for k in range(len(first) - 1):
                 w = h[first[k] : first[k + 1]]
                 if len(w) >= GRAM:
-                    self.ids.append(ids[lo + k])
-                    self.words.append(w)
-        grams = [gram_hashes(w, GRAM) for w in self.words]
-        seed = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.empty(0, np.int64)
-        pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        self._index(seed, item, pos)
-
-    def _index(self, seed, item, pos):
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.pos = seed[order], item[order], pos[order]
-        self.distinct, self.first = np.unique(self.seed, return_index=True)
-        self.last = np.r_[self.first[1:], len(self.seed)]
-        self.bitmap = np.zeros(1 << _BITS, dtype=bool)
-        self.bitmap[(self.distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of grams that are seeds, and the numbers of those seeds."""
-        at = np.flatnonzero(self.bitmap[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(at) or not len(self.distinct):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.distinct, grams[at]), len(self.distinct) - 1)
-        ok = self.distinct[k] == grams[at]
-        return at[ok], k[ok]
-
-    def keep_rare(self, counts: np.ndarray, share: float, least: int) -> None:
-        """Of each item only the share of its seeds (`least` at least) that are rarest in the corpus.
-
-        Ranks are within the item: where an item's whole passage is copied very often, all its seeds are frequent alike, and
-        some are still kept.
-        """
-        k = np.searchsorted(self.distinct, self.seed)
-        order = np.lexsort((self.pos, counts[k], self.item))
-        item = self.item[order]
-        new = np.r_[True, item[1:] != item[:-1]] if len(item) else np.empty(0, bool)
-        start = np.maximum.accumulate(np.where(new, np.arange(len(item)), 0)) if len(item) else item
-        size = np.bincount(item, minlength=len(self.ids))[item]
-        keep = order[np.arange(len(item)) - start < np.maximum(np.ceil(share * size), least)]
-        self._index(self.seed[keep], self.item[keep], self.pos[keep])
+                    for c, v in zip(out.values(), (ids[lo + k], len(w), w.astype("<u8").tobytes()), strict=True):
+                        c.append(v)
+        yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], pa.int64()), "length": pa.array(out["length"], pa.int64()), "words": pa.array(out["words"], pa.binary())})
 
 
-def _lower(col) -> list[bytes]:
-    return [(t or "").lower().encode() for t in col.to_pylist()]
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for item, w in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), strict=True):
+            g = gram_hashes(np.frombuffer(w, dtype="<u8"), GRAM)
+            yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(g), pa.int64()), "seed": pa.array(g.view(np.int64)), "pos": pa.array(np.arange(len(g)))})
+
+
+class SeedFilter:
+    """Which grams may be seeds: a bit array with three bits for each seed."""
+
+    def __init__(self, bits: int, chunks: dict[int, bytes]):
+        self.bits = bits
+        self.array = np.zeros(1 << max(0, bits - 3), dtype=np.uint8)
+        for k, c in chunks.items():
+            self.array[k * len(c) : (k + 1) * len(c)] = np.frombuffer(c, dtype=np.uint8)
+
+    @staticmethod
+    def places(bits: int) -> list[int]:
+        """By how many bits a hash is moved to the right for each of its three places."""
+        return [64 - bits, (64 - bits) // 2, 0]
+
+    def may_hold(self, grams: np.ndarray) -> np.ndarray:
+        """Numbers of the grams all of whose bits are set."""
+        at = np.arange(len(grams))
+        for shift in self.places(self.bits):
+            p = ((grams[at] >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            at = at[(self.array[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+        return at
+
+
+def seed_filter(seeds: DataFrame) -> SeedFilter:
+    """Built in executors in chunks of 64 KB; what the driver gets is bounded by MOST_BITS."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    width = min(bits, 19)
+    places = F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in SeedFilter.places(bits)])
+    p = seeds.select(F.explode(places).alias("p")).select(F.shiftright("p", width).alias("chunk"), F.col("p").bitwiseAND((1 << width) - 1).alias("p")).distinct()
+
+    def fold(table: pa.Table) -> pa.Table:
+        b = np.zeros(1 << (width - 3), dtype=np.uint8)
+        at = table.column("p").to_numpy()
+        np.bitwise_or.at(b, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "b": pa.array([b.tobytes()], pa.binary())})
+
+    return SeedFilter(bits, {r["chunk"]: r["b"] for r in p.groupBy("chunk").applyInArrow(fold, "chunk long, b binary").collect()})
+
 
+def _document_grams(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of texts: number of the first, words, first words of the texts, grams (0 where one would go over a text's end)."""
+    for lo, _, _, _, h, first in word_batches(texts, ALNUM):
+        g = gram_hashes(h, GRAM)
+        for k in range(1, GRAM):  # places less than GRAM words before a text's end
+            at = first[1:-1] - k
+            g[at[(at >= 0) & (at < len(g))]] = 0
+        yield lo, h, first, g
 
-def _count_rows(items: Items):
+
+def _count_rows(known: SeedFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(items.distinct), dtype=np.int64)
         for b in batches:
-            for _, _, _, _, h, _ in word_batches(_lower(b.column("text")), ALNUM):
-                # grams over the end of a text are counted as well: too few to change a rank
-                n += np.bincount(items.find(gram_hashes(h, GRAM))[1], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(at), "n": pa.array(n[at])})
+            hits = [g[known.may_hold(g)] for _, _, _, g in _document_grams(_lower(b.column("text")))]
+            seed, n = np.unique(np.concatenate(hits) if hits else np.empty(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "n": pa.array(n)})
 
     return run
 
 
-def _text_matches(items: Items, words: np.ndarray, ratio: float) -> list[tuple]:
-    """(item number, score, start, end, seeds) of a text's passages that reach an item's least score, the best for each item."""
-    at, k = items.find(gram_hashes(words, GRAM))
-    if not len(at):
-        return []
-    spread = items.last[k] - items.first[k]
-    place = np.repeat(at, spread)
-    entry = np.repeat(items.first[k] - np.r_[0, np.cumsum(spread)[:-1]], spread) + np.arange(len(place))
-    item, begin = items.item[entry], place - items.pos[entry]
-    order = np.lexsort((begin, item))
-    item, begin = item[order], begin[order]
-    out: dict[int, tuple] = {}
-    i = 0
-    while i < len(item):
-        w = items.words[item[i]]
-        pad = len(w) // 4 + 2
-        lo, hi, j = begin[i] - pad, begin[i] + len(w) + pad, i + 1
-        while j < len(item) and item[j] == item[i] and begin[j] - pad <= hi:
-            hi = begin[j] + len(w) + pad
+# ---------------------------------------------------------------- passages
+
+_REGIONS = "doc_id long, h1 long, h2 long, row long, start long, words binary, hits array<struct<seed: bigint, at: bigint>>"
+
+
+def _region_rows(known: SeedFilter, longest: int):
+    """Stretches of documents around grams that may be rare seeds, wide enough for any item that has the seed anywhere."""
+    reach = longest + longest // 4 + 2
+    most = max(REGION_WORDS, 4 * reach)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [b.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "row")]
+            rows: list[tuple] = []
+            for lo, h, first, g in _document_grams(_lower(b.column("text"))):
+                at = known.may_hold(g)
+                owner = np.searchsorted(first, at, side="right") - 1
+                i = 0
+                while i < len(at):
+                    k, j = owner[i], i + 1
+                    a, z = first[k], first[k + 1]
+                    begin = max(a, at[i] - reach)
+                    while j < len(at) and owner[j] == k and at[j] - reach <= at[j - 1] + reach and at[j] + reach - begin <= most:
+                        j += 1
+                    end = min(z, at[j - 1] + reach)
+                    hits = [{"seed": s, "at": p} for s, p in zip(g[at[i:j]].view(np.int64).tolist(), (at[i:j] - begin).tolist(), strict=True)]
+                    rows.append((*(c[lo + k] for c in ids), int(begin - a), h[begin:end].astype("<u8").tobytes(), hits))
+                    i = j
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int64())])))
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "h1", "h2", "row", "start", "words", "hits"), cols, kinds, strict=True)})
+
+    return run
+
+
+def best_passage(item: np.ndarray, words: np.ndarray, begins: list[int]) -> tuple[int, int, int, int]:
+    """Score, start, end and seeds of the best alignment of an item, in stretches around the places at which seeds let it begin."""
+    pad, best, i = len(item) // 4 + 2, (0, 0, 0, 0), 0
+    begins = sorted(begins)
+    while i < len(begins):
+        lo, hi, j = begins[i] - pad, begins[i] + len(item) + pad, i + 1
+        while j < len(begins) and begins[j] - pad <= hi:
+            hi = begins[j] + len(item) + pad
             j += 1
         lo = max(0, lo)
-        score, a, b = align(w, words[lo:hi])
-        if score >= least_score(len(w), ratio) and score > out.get(int(item[i]), (0, 0))[1]:
-            out[int(item[i])] = (int(item[i]), score, int(lo + a), int(lo + b), j - i)
+        score, a, b = align(item, words[lo:hi])
+        if score > best[0]:
+            best = (score, lo + a, lo + b, j - i)
         i = j
-    return list(out.values())
+    return best
 
 
-_MATCHES = "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long"
+_MATCHES = "doc_id long, h1 long, h2 long, row long, item long, item_id long, score double, first_word long, end_word long, n_seeds long"
 
 
-def _match_rows(items: Items, ratio: float):
+def _match_rows(ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
             rows = []
-            for lo, _, _, _, h, first in word_batches(_lower(b.column("text")), ALNUM):
-                # texts without any seed are passed over together
-                at, _ = items.find(gram_hashes(h, GRAM))
-                for k in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
-                    for n, score, s, e, c in _text_matches(items, h[first[k] : first[k + 1]], ratio):
-                        rows.append((ids[lo + k], items.ids[n], score / (MATCH * len(items.words[n])), s, e, c))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            names = ("doc_id", "item_id", "score", "first_word", "end_word", "n_seeds")
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(names, cols, types, strict=True)})
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "row", "item", "item_id", "start", "words", "item_words", "begins")), strict=True):
+                words, item = (np.frombuffer(w, dtype="<u8") for w in r[7:9])
+                score, a, z, n = best_passage(item, words, r[9])
+                if score >= least_score(len(item), ratio):
+                    rows.append((*r[:6], score / (MATCH * len(item)), r[6] + a, r[6] + z, n))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
+            names = [x.split()[0] for x in _MATCHES.split(", ")]
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in zip(names, cols, strict=True)})
 
     return run
 
@@ -171,38 +212,61 @@ def _match_rows(items: Items, ratio: float):
 # ---------------------------------------------------------------- operator
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.5, rare_share: float = 0.75, least_seeds: int = 8, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _matches(docs: DataFrame, benchmark: DataFrame, ratio: float, rare_share: float, least_seeds: int) -> DataFrame:
+    """_MATCHES: see find_contamination; h1 and h2 are hashes of the text, row is a number of the document's row."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_rows, "item_id long, length long, words binary")
+    items = stored(rows.withColumn("item", F.monotonically_increasing_id()), "test-items")
+    longest = items.agg(F.max("length")).collect()[0][0] or 0
+    seeds = stored(items.select("item", "words").mapInArrow(_seed_rows, "item long, seed long, pos long"), "test-seeds")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+    # how often each seed stands in the documents, and of each item the seeds that are rarest there
+    counts = docs.select("text").mapInArrow(_count_rows(seed_filter(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    shared = seeds.groupBy("seed").agg(F.count("*").alias("k"))
+    counts = stored(shared.join(counts.hint("merge"), "seed", "left").select("seed", F.coalesce("n", F.lit(0)).alias("n"), "k"), "seed-counts")
+    ranked = join_counted(seeds, counts, ["seed"], "k").withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.col("n") + F.col("k"), "pos")))
+    ranked = ranked.withColumn("size", F.count("*").over(W.partitionBy("item")))
+    rare = ranked.where(F.col("rank") <= F.greatest(F.ceil(rare_share * F.col("size")), F.lit(least_seeds)))
+    rare = stored(rare.groupBy("seed").agg(F.max("n").alias("n"), F.collect_list(F.struct("item", "pos")).alias("places")), "seeds-rare")
+
+    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_region_rows(seed_filter(rare.select("seed")), longest), _REGIONS)
+    regions = stored(found.withColumn("region", F.monotonically_increasing_id()), "passages")
+    hits = join_counted(regions.select("region", F.explode("hits").alias("x")).select("region", "x.*"), rare, ["seed"], "n")
+    hits = hits.select("region", "at", F.explode("places").alias("p")).groupBy("region", "p.item").agg(F.collect_set(F.col("at") - F.col("p.pos")).alias("begins"))
+    hits = stored(hits, "passages-seeded")
+    per_item = hits.groupBy("item").agg(F.count("*").alias("k"))
+    wanted = stored(items.join(per_item.hint("merge"), "item").select("item", "item_id", F.col("words").alias("item_words"), "k"), "items-seeded")
+    pairs = join_counted(hits, wanted, ["item"], "k").drop("k")
+    scored = regions.drop("hits").join(pairs.hint("merge"), "region").mapInArrow(_match_rows(ratio), _MATCHES)
+    best = F.max_by(F.struct("score", "first_word", "end_word", "n_seeds"), F.struct("score", -F.col("first_word"))).alias("b")
+    return scored.groupBy("doc_id", "h1", "h2", "row", "item", "item_id").agg(best).select("doc_id", "h1", "h2", "row", "item", "item_id", "b.*")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.5, rare_share: float = 0.75, least_seeds: int = 8) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, n_seeds): passages of documents that align with test items.
 
-    Words are lower-cased runs of letters, digits and all that isn't ASCII. Items come in blocks of block_items, each
-    compared with all documents. An item's seeds are its four-word grams; the rare_share of them that is rarest over all
-    documents (least_seeds at least) joins it to texts. Around the seeds the text is aligned word by word; score is
-    the best alignment's over that of a full copy, and at least `ratio` (items of under 16 words must reach more). One
-    row for each document and item, the best passage; all its words count from 0. Items of under four words have no seeds
-    and match nothing, nor do null or empty texts. Rows that repeat a document or an item repeat its matches; a null
-    doc_id stays null.
+    Words are lower-cased runs of letters, digits and all that isn't ASCII. An item's seeds are its four-word grams; the
+    rare_share of them that is rarest over all documents and items (least_seeds at least) is joined to the documents' grams.
+    Around the seeds the text is aligned word by word; score is the best alignment's over that of a full copy, and at
+    least `ratio` (items of under 16 words must reach more). One row for each document and item, the best passage; all its
+    words count from 0. Items of under four words have no seeds and match nothing, nor do null or empty texts. Rows that
+    repeat a document or an item repeat its matches; a null doc_id stays null. Empty tables give no rows.
+    """
+    return _matches(docs, benchmark, ratio, rare_share, least_seeds).select("doc_id", "item_id", "score", "first_word", "end_word", "n_seeds")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.5, rare_share: float = 0.75, least_seeds: int = 8) -> DataFrame:
+    """The rows of docs without those in whose text a test item is found, with all their columns.
+
+    Rows are judged by their texts, whatever their doc_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-benchmark.count() // block_items))))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", block.alias("block"))
-    out = None
-    for n in [r[0] for r in rows.select("block").distinct().orderBy("block").collect()]:
-        part = rows.where(F.col("block") == n).orderBy("item_id", "text").collect()
-        items = Items([r["item_id"] for r in part], [r["text"] for r in part])
-        counted = docs.select("text").mapInArrow(_count_rows(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(items.distinct), dtype=np.int64)
-        for r in counted.collect():  # at most a row for each seed of the block
-            counts[r["seed"]] = r["n"]
-        items.keep_rare(counts, rare_share, least_seeds)
-        found = docs.mapInArrow(_match_rows(items, ratio), _MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], _MATCHES)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those in which a test item is found; a null doc_id stays."""
-    hit = stored(find_contamination(docs, benchmark, **options), "contaminated")
-    return docs.join(hit.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    hit = stored(_matches(docs, benchmark, ratio, rare_share, least_seeds).select("h1", "h2").distinct(), "contaminated")
+    a, b = free_name("h1", docs.columns), free_name("h2", docs.columns)
+    keyed = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.lit(1), "text")})
+    hit = hit.withColumnsRenamed({"h1": a, "h2": b})
+    # 16 bytes a row: up to 200,000 rows go to all tasks, more meet by shuffle
+    hit = F.broadcast(hit) if hit.count() <= 200_000 else hit.hint("merge")
+    return keyed.join(hit, [a, b], "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:

@@ -187,15 +187,58 @@ def test_contamination_finds_edited_copies_and_nothing_else(spark):
         planted.add((700 + k, i))
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     df = documents(spark, rows)
-    for block in (20_000, 7):
-        got = decontaminate.find_contamination(df, bench, block_items=block).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got} == planted and all(0.5 <= r["score"] <= 1 for r in got)
+    got = decontaminate.find_contamination(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == planted and all(0.5 <= r["score"] <= 1 for r in got)
     assert all(55 <= r["first_word"] <= 66 for r in got)
     left = decontaminate.drop_contaminated(df, bench)
     assert left.count() == len(rows) - 20 and left.columns == df.columns
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0 and decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_matches_equal_alignment_of_all_texts_with_all_items(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(decontaminate, "REGION_WORDS", 64)  # long texts go in many stretches
+    rng = random.Random(19)
+    items = [(i, sentence(rng, rng.randrange(8, 40))) for i in range(12)] + [(3, sentence(rng, 20)), (None, sentence(rng, 25))]
+    rows = []
+    for k in range(60):
+        ws = sentence(rng, rng.randrange(5, 80)).split()
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(9)):  # words changed, put in and left out
+                i = rng.randrange(len(t))
+                t[i : i + rng.randrange(2)] = rng.choice([[], ["edit"], ["more", "words"]])
+            at = rng.randrange(len(ws))
+            ws[at:at] = t
+        rows.append((k if k % 9 else None, " ".join(ws)))
+    rows += [rows[5], (800, None), (801, ""), (802, " ".join(t for _, t in items) * 3)]
+    hash_of = lambda t: [w for w in (t or "").lower().split()]
+    want = Counter()
+    for d, t in rows:
+        ws = hash_of(t)
+        grams = {tuple(ws[k : k + 4]) for k in range(len(ws) - 3)}
+        for i, it in items:
+            w = hash_of(it)
+            score = plain_smith_waterman(w, ws)
+            # what shares no gram at all has no seed
+            if score >= decontaminate.least_score(len(w), 0.5) and any(tuple(w[k : k + 4]) in grams for k in range(len(w) - 3)):
+                want[(d, i, round(score / 2 / len(w), 9))] += 1
+    got = decontaminate.find_contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), rare_share=1.0).collect()
+    assert Counter((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in got) == want and len(want) > 30
+
+
+def test_contamination_is_judged_by_rows(spark):
+    import random
+
+    rng = random.Random(29)
+    item, plain = sentence(rng, 30), [sentence(rng, 50) for _ in range(3)]
+    bad = sentence(rng, 20) + " " + item
+    rows = [(1, plain[0]), (1, bad), (None, bad), (None, plain[1]), (2, None), (2, bad), (2, plain[2])]
+    left = decontaminate.drop_contaminated(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, plain[0]), (None, plain[1]), (2, None), (2, plain[2])])
+
+
 # ---------------------------------------------------------------- sharding
 
 
