@@ -20,7 +20,7 @@ SYMBOLS = b"#*$%&|<>"
 #: A stratum with fewer different texts is judged by its language's estimate, a language by that of all; a table with
 #: fewer in all is judged by the base rules alone.
 LEAST = 100
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 #: Share of the language's own spread that each scatter estimate holds (the regularised form of the estimator), so that a
 #: source of near copies alone doesn't get a scatter of nothing.
 RHO = 0.1
