@@ -466,12 +466,70 @@ def test_pages_give_their_article(spark):
     assert html_wrapper.extract_pages(df).count() == len(rows) and html_wrapper.extract_pages(df.limit(0)).count() == 0
 
 
+def plain_tokens(forms):
+    return [{"s": f, "c": 1} | ({"v": {f"t{k}": 1}, "k": 1, "n": 5, "l": 0} if f == "#" else {}) for k, f in enumerate(forms.split())]
+
+
 def test_wrappers_are_union_free_expressions():
-    a = html_wrapper.fold("ul li # /li li # /li /ul p # p #".split())
-    assert a == ["ul", "(li # /li)+", "/ul", "(p #)+"]
-    b = html_wrapper.align(a, ["ul", "li", "#", "/li", "/ul", "div.ad", "#", "/div", "(p #)+"])
-    assert b == ["ul", "(li # /li)+", "/ul", "(div.ad)?", "(#)?", "(/div)?", "(p #)+"]
-    assert html_wrapper.slots(b) == {"ul/li": 2, "div.ad": 1, "": 2}
+    forms = lambda seq: ["(" + t["s"] + ")?" if t.get("o") else t["s"] for t in seq]
+    a = html_wrapper.fold(plain_tokens("ul li # /li li # /li /ul p # p #"))
+    assert forms(a) == ["ul", "(li # /li)+", "/ul", "(p #)+"] and a[1]["g"][1]["v"] == {"t2": 1, "t5": 1}
+    b = html_wrapper.align(a, html_wrapper.fold(plain_tokens("ul li # /li /ul div.ad # /div p # p #")))
+    assert forms(b) == ["ul", "(li # /li)+", "/ul", "(div.ad)?", "(#)?", "(/div)?", "(p #)+"]
+    assert b[1]["c"] == 2 and b[1]["g"][1]["v"] == {"t2": 2, "t5": 1}
+    long = html_wrapper.fold(plain_tokens(" ".join(["tr " + "td # /td " * 30 + "/tr"] * 3)))
+    assert forms(long) == ["(tr (td # /td)+ /tr)+"]
+
+
+def neutral_page(rng, k, host):
+    """No element and no class says what is what; the notice and the menu are the same on all pages of the host, the rest differs."""
+    menu = "".join(f"<li><a href='/{host}{i}'>Menu {host} {i}</a></li>" for i in range(3 + k % 4))
+    paras = [sentence(rng, rng.randrange(20, 60)) for _ in range(rng.randrange(1, 6))]
+    see = "".join(f"<li><a href='/x'>{sentence(rng, 3)}</a></li>" for _ in range(4))
+    inner = "".join(f"<p>{p}</p>" for p in paras)
+    notice = f"<p>Do not copy the texts of {host}.</p>"
+    page = f'<html><body><div class="q1"><ul>{menu}</ul></div><div class="q2"><div class="q3"><h2>Title {k}</h2>{inner}{notice}</div></div><div class="q4"><ul>{see}</ul>By {host}</div></body></html>'
+    return page, "\n\n".join([f"Title {k}", *paras])
+
+
+@pytest.mark.parametrize("branch", [32, 2])
+def test_wrapper_alone_tells_main_text_from_template(spark, monkeypatch, branch):
+    import random
+
+    monkeypatch.setattr(html_wrapper, "BRANCH", branch)  # with few expressions in a task, a host's meet in a tree
+    rng = random.Random(1)
+    rows, want = [], {}
+    for host in ("a.org", "b.org"):
+        for k in range(40 if host == "a.org" else 7):
+            page, text = neutral_page(rng, k, host)
+            i = len(rows)
+            rows.append((i, f"http://{host}/{k}", page))
+            want[i] = text
+    rows += [(900 + k, "http://a.org/copy", rows[0][2]) for k in range(80)]  # copies of one page don't make it template
+    want |= {900 + k: want[0] for k in range(80)}
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    # by itself, a page keeps menu and notice
+    assert "Do not copy" in html_wrapper.extract(rows[0][2], {"template": set(), "main": None})
+
+
+def test_near_copies_of_an_article_are_not_template(spark):
+    import random
+
+    rng = random.Random(2)
+    paras = [sentence(rng, 30) for _ in range(6)]
+    rows = [(k, "http://c.org/x", "<article>" + "".join(f"<p>{p}</p>" for p in [*paras, f"number {k}"]) + "</article>") for k in range(12)]
+    got = html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == "\n\n".join([*paras, f"number {r['page_id']}"]) for r in got)
+
+
+def test_pages_of_odd_markup():
+    empty = {"template": set(), "main": None}
+    deep = "<div>" * 20_000 + "<p>deep</p>" + "</div>" * 20_000
+    assert html_wrapper.extract(deep, empty) == "deep" and len(html_wrapper.page_stream(deep)) < 100
+    assert html_wrapper.extract('<p>a</p><div class="x>b</div><p>c', empty) == "a\n\nb\n\nc"
+    assert html_wrapper.extract("<b <p>1 < 2 &amp; 3</p></div></div>", empty).endswith("1 < 2 & 3")
+    assert html_wrapper.extract("<p>x <button>Buy</button> y<br>z</p>", empty) == "x y z"
 
 
 # ---------------------------------------------------------------- archives
