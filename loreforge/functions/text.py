@@ -27,6 +27,14 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"(?U)(\S+)"), 1)
 
 
+def split_before(c: Column | str, pattern: str) -> Column:
+    """The text cut before each match; the first piece, maybe empty, is what stands before the first match."""
+    c = col(c)
+    flags, rest = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
+    pieces = F.split(c, f"{flags}(?={rest})")
+    return F.when(c.rlike(f"{flags}\\A(?={rest})"), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+
+
 def count_matches(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, count_matches, let, ordered_join, strip
+from loreforge.functions.text import col, count_matches, let, ordered_join, split_before, strip
 from loreforge.operators.density import filter_chunks
 from loreforge.operators.markdown import build_context, clean_markdown, headings, paths
 
@@ -54,8 +54,12 @@ def paragraphs(text: Column) -> Column:
     return not_blank(F.split(text, _BLANK))
 
 
-def split_sentences(text: Column | str, max_chars: int) -> Column:
-    """Pieces of at most max_chars: cut after the last sentence end of the window if past 30 % of it, else at the last blank past 30 %, else hard."""
+def split_sentences(text: Column | str, max_chars: int, overlap: int = 0) -> Column:
+    """Pieces of at most max_chars: cut after the last sentence end of the window if past 30 % of it, else at the last blank past 30 %, else hard.
+
+    With an overlap each piece but the first begins as many characters earlier, and windows are that much shorter.
+    """
+    whole, max_chars = max_chars, max_chars - overlap
     kind = "struct<pos: int, cuts: array<int>>"
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("cuts")).cast(kind)
     least = max_chars * 0.3
@@ -77,13 +81,16 @@ def split_sentences(text: Column | str, max_chars: int) -> Column:
 
     def pieces(t, cuts):
         begins = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1))
+        if overlap:
+            begins = F.transform(begins, lambda a: F.greatest(a - overlap, F.lit(0)))
         return not_blank(F.transform(F.arrays_zip(begins.alias("a"), cuts.alias("b")), lambda z: F.substr(t, z["a"] + 1, z["b"] - z["a"])))
 
-    return let(col(text), lambda t: F.when(F.length(t) <= max_chars, F.array(t)).otherwise(let(cuts_of(t), lambda cuts: pieces(t, cuts))))
+    return let(col(text), lambda t: F.when(F.length(t) <= whole, F.array(t)).otherwise(let(cuts_of(t), lambda cuts: pieces(t, cuts))))
 
 
-def chunk_sliding_window(text: Column | str, window: int = WINDOW_CHARS) -> Column:
-    return not_blank(split_sentences(text, window))
+def chunk_sliding_window(text: Column | str, window: int = WINDOW_CHARS, overlap_ratio: float = 0.0) -> Column:
+    """Windows cut at sentence ends; each repeats overlap_ratio of a window from the one before."""
+    return not_blank(split_sentences(text, window, int(window * overlap_ratio)))
 
 
 def chunk_by_paragraphs(text: Column | str, max_chars: int = MAX_CHARS) -> Column:
@@ -102,7 +109,7 @@ def pack_cleanup_segments(text: Column | str, whole: int = 6000, max_chars: int
 
 def chunk_conversation_turns(text: Column | str, min_chars: int = MIN_CHARS) -> Column:
     """Pieces between turn marks, what stands before the first mark too; those under min_chars are left out."""
-    pieces = F.split(F.regexp_replace(col(text), TURN, "\u0001$0"), "\u0001")
+    pieces = split_before(col(text), TURN)
     return F.filter(F.transform(pieces, strip), lambda t: F.length(t) >= min_chars)
 
 
@@ -182,33 +189,31 @@ def chunk_strategy(docs: DataFrame, text: str = "markdown") -> DataFrame:
     )
 
 
+def oversized_parts(content: Column, path: Column, max_chars: int = MAX_CHARS) -> Column:
+    """Chunks (content, path) of one chunk: itself up to max_chars, else cut once at inner headings, else paragraphs, else sentences."""
+    same = lambda texts: F.transform(texts, lambda t: F.struct(t.alias("content"), path.alias("path"))).cast(_CHUNK)
+    inner = lambda h: F.transform(chunk_by_headings(content, h, 6), lambda x: F.struct(x["content"].alias("content"), F.concat(path, x["path"]).alias("path"))).cast(_CHUNK)
+    flat = lambda ps: F.when(F.size(ps) >= 2, same(pack(ps, max_chars))).otherwise(same(split_sentences(content, max_chars)))
+    cut = let(headings(content), lambda h: F.when(F.size(h) >= 2, inner(h)).otherwise(let(paragraphs(content), flat)))
+    return F.when(F.length(content) <= max_chars, same(F.array(content))).otherwise(cut)
+
+
 def split_oversized_chunks(chunks: DataFrame, max_chars: int = MAX_CHARS, content: str = "content") -> DataFrame:
     """Rows of chunks (content, heading_path) with those over max_chars cut once: at inner headings, else paragraphs, else sentences.
 
     Adds sub, the place within the row it comes from.
     """
-    c = F.col(content)
-    chunks = once(chunks, "_hh", F.when(F.length(c) > max_chars, headings(c)))
-    chunks = once(chunks, "_pp", F.when(F.length(c) > max_chars, paragraphs(c)))
-    heads = F.col("_hh")
-    inner = F.transform(chunk_by_headings(c, heads, 6), lambda x: F.struct(x["content"].alias("content"), F.concat(F.col("heading_path"), x["path"]).alias("path")))
-    same = lambda texts: F.transform(texts, lambda t: F.struct(t.alias("content"), F.col("heading_path").alias("path")))
-    parts = (
-        F.when(F.length(c) <= max_chars, same(F.array(c)).cast(_CHUNK))
-        .when(F.size(heads) >= 2, inner.cast(_CHUNK))
-        .when(F.size("_pp") >= 2, same(pack(F.col("_pp"), max_chars)).cast(_CHUNK))
-        .otherwise(same(split_sentences(c, max_chars)).cast(_CHUNK))
-    )
-    rows = chunks.select(*[x for x in chunks.columns if x not in (content, "heading_path", "_hh", "_pp")], F.posexplode(parts).alias("sub", "_p"))
+    parts = oversized_parts(F.col(content), F.col("heading_path"), max_chars)
+    rows = chunks.select(*[x for x in chunks.columns if x not in (content, "heading_path")], F.posexplode(parts).alias("sub", "_p"))
     return rows.select("*", F.col("_p.content").alias(content), F.col("_p.path").alias("heading_path")).drop("_p")
 
 
-def chunk_markdown(docs: DataFrame, text: str = "markdown", doc_name: str = "doc_name", clean: bool = True, split_level: int = 0, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
+def chunk_markdown(docs: DataFrame, text: str = "markdown", doc_name: str = "doc_name", clean: bool = True, split_level: int = 0, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS, overlap_ratio: float = 0.0) -> DataFrame:
     """A row for each chunk: the document's other columns, strategy, total_chars, chunk_index, content, context, heading_path, char_count.
 
     Strategies: dialogue turns (three marks or more, and a turn long enough), headings (five or more), paragraphs (a blank line),
     else windows cut at sentence ends. Short chunks are merged but for turns, and long ones cut once. Blank documents give
-    no rows.
+    no rows. A document's chunks are numbered within its row, so rows that repeat a document have numbers of their own.
     """
     if clean:
         docs = once(docs, "_t", clean_markdown(text)).drop(text).withColumnRenamed("_t", text).select(*docs.columns)
@@ -225,16 +230,14 @@ def chunk_markdown(docs: DataFrame, text: str = "markdown", doc_name: str = "doc
         F.when(F.col("strategy") == "conversation_turn", _plain(F.col("_turns")))
         .when(F.col("strategy") == "heading_ast", chunk_by_headings(t, heads, level, min_chars))
         .when(F.col("strategy") == "paragraph", _plain(chunk_by_paragraphs(t, max_chars)))
-        .otherwise(_plain(chunk_sliding_window(t)))
+        .otherwise(_plain(chunk_sliding_window(t, overlap_ratio=overlap_ratio)))
     )
     rows = once(rows, "_f", first)
     rows = once(rows, "_c", F.when(F.col("strategy") == "conversation_turn", F.col("_f")).otherwise(merge_short(F.col("_f"), min_chars)))
-    flat = rows.select("*", F.posexplode("_c").alias("_i", "_x")).select("*", F.col("_x.content").alias("content"), F.col("_x.path").alias("heading_path")).drop("_c", "_x", "_h", "_f", "_turns", text)
-    cut = split_oversized_chunks(flat, max_chars)
     keep = [c for c in docs.columns if c != text]
-    # a document's chunks are in one row until here, so numbering needs the document's own rows only
-    doc = F.struct(*[F.col(c) for c in keep])
-    out = reindex_chunks(cut.withColumn("_doc", doc), ["_doc"], ["_i", "sub"]).drop("_doc", "_i", "sub")
+    pieces = F.flatten(F.transform("_c", lambda x: oversized_parts(x["content"], x["path"], max_chars)))
+    out = rows.select(*keep, "strategy", "total_chars", F.posexplode(pieces).alias("chunk_index", "_x"))
+    out = out.select(*keep, "strategy", "total_chars", "chunk_index", F.col("_x.content").alias("content"), F.col("_x.path").alias("heading_path"))
     out = out.withColumns({"context": build_context(F.col(doc_name), F.col("heading_path")), "char_count": F.length("content")})
     return out.select(*keep, "strategy", "total_chars", "chunk_index", "content", "context", "heading_path", "char_count")
 

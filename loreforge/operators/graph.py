@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreforge.operators.similarity import _stored
+from loreforge.operators.similarity import stored as _stored
 
 #: The relation and weight of edges between skills of one domain, and the batch of one request.
 SAME_DOMAIN, SAME_WEIGHT, BATCH = "同域", 0.5, 30
@@ -34,8 +34,8 @@ def merge_relation_edges(edges: DataFrame, answers: DataFrame, nodes: DataFrame,
     kind = "relations ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING, weight: DOUBLE>>"
     r = answers.select("batch_no", F.posexplode(F.from_json("answer", kind)["relations"]).alias("pos", "r")).select("batch_no", "pos", "r.*")
     where = nodes.select("name", F.floor(F.col(idx) / batch).alias("batch_no"))
-    r = r.where("source <> target").join(where.withColumnRenamed("name", "source"), ["batch_no", "source"], "left_semi")
-    r = r.join(where.withColumnRenamed("name", "target"), ["batch_no", "target"], "left_semi")
+    r = r.where("source <> target").join(where.withColumnRenamed("name", "source").hint("merge"), ["batch_no", "source"], "left_semi")
+    r = r.join(where.withColumnRenamed("name", "target").hint("merge"), ["batch_no", "target"], "left_semi")
     new = r.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.coalesce("relation", F.lit("关联")).alias("relation"),
                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.5)))).alias("weight"), F.struct(F.lit(1), "batch_no", "pos").alias("at"))
     old = edges.select("src", "dst", "relation", "weight", F.struct(F.lit(0).alias("col1"), F.lit(0).cast("long").alias("batch_no"), F.lit(0).alias("pos")).alias("at"))
@@ -70,16 +70,16 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, node: str = "name") ->
     return nodes.select(node).join(ends, node, "left").select(node, (F.coalesce("d", F.lit(0)) / max(n - 1, 1)).alias("centrality"))
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): each node's smallest reachable node, by rounds of large and small stars."""
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(node, component): each node's smallest reachable node, by rounds of large and small stars until nothing changes."""
     e = _stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = _stored(small.select("e.a", "e.b").where("a <> b").distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == mark:

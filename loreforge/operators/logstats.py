@@ -58,33 +58,54 @@ def log_totals(calls: DataFrame) -> DataFrame:
     return sums.select("calls", (F.col("i") + F.col("o")).alias("tokens"), cost(F.col("i"), F.col("o")).alias("cost"))
 
 
-def log_report(by_phase: DataFrame) -> DataFrame:
-    """A Markdown line for each phase: (phase, line)."""
+def log_report(by_phase: DataFrame, by_version: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Markdown lines (section, key, line): totals, then a line for each phase and for each prompt version, by key."""
     n = lambda c: F.format_number(c, 0)
-    cells = [
-        F.col("phase"), F.col("calls").cast("string"), n("input_tokens"), n("output_tokens"), n("think_tokens"),
-        F.concat(F.format_string("%.0f", "avg_latency_ms"), F.lit("ms")), F.concat(F.col("p95").cast("string"), F.lit("ms")),
-        F.concat(F.format_string("%.0f", F.col("pass_rate") * 100), F.lit("%")), F.concat(F.lit("¥"), F.format_string("%.3f", "cost")),
-    ]
-    return by_phase.select("phase", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).orderBy("phase")
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+    mean, rate = F.concat(F.format_string("%.0f", "avg_latency_ms"), F.lit("ms")), F.concat(F.format_string("%.0f", F.col("pass_rate") * 100), F.lit("%"))
+    price = F.concat(F.lit("¥"), F.format_string("%.3f", "cost"))
+    calls = F.col("calls").cast("string")
+    out = by_phase.select(F.lit("2 phase").alias("section"), F.col("phase").alias("key"), line(F.col("phase"), calls, n("input_tokens"), n("output_tokens"), n("think_tokens"), mean, F.concat(F.col("p95").cast("string"), F.lit("ms")), rate, price))
+    if by_version is not None:
+        out = out.unionByName(by_version.select(F.lit("3 version").alias("section"), F.col("prompt_version").alias("key"), line(F.col("prompt_version"), calls, mean, rate, price)))
+    if totals is not None:
+        texts = F.array(
+            F.struct(F.lit("calls").alias("key"), F.concat(F.lit("总调用数："), calls).alias("line")),
+            F.struct(F.lit("tokens").alias("key"), F.concat(F.lit("总 Token 消耗："), n("tokens")).alias("line")),
+            F.struct(F.lit("cost").alias("key"), F.concat(F.lit("预估成本：¥"), F.format_string("%.2f", "cost")).alias("line")),
+        )
+        out = out.unionByName(totals.select(F.lit("1 total").alias("section"), F.inline(texts)))
+    return out.orderBy("section", "key")
 
 
 def batch_report(runs: DataFrame) -> DataFrame:
-    """One row: documents, successes, failures, skills, and the failed ones with 80 characters of their error, by name."""
-    failed = F.transform(
-        F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("doc_name", F.left(F.coalesce("error", F.lit("")), F.lit(80)).alias("error"))))),
-        lambda x: F.concat(x["doc_name"], F.lit(": "), x["error"]),
-    )
-    return runs.agg(
-        F.count("*").alias("documents"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"),
-        F.coalesce(F.sum("n_skills"), F.lit(0)).alias("total_skills"), failed.alias("failures"),
+    """Lines (section, name, line): counts of documents, successes, failures and skills; a line for each document that succeeded and for each that failed.
+
+    Errors are cut to 80 characters.
+    """
+    sums = runs.agg(F.count("*").alias("d"), F.count_if("ok").alias("s"), F.count_if(~F.col("ok")).alias("f"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("n_skills"))), F.lit(0)).alias("k"))
+    texts = F.array(
+        F.struct(F.lit("documents").alias("name"), F.concat(F.lit("文档总数："), F.col("d").cast("string")).alias("line")),
+        F.struct(F.lit("results").alias("name"), F.concat(F.lit("成功："), F.col("s").cast("string"), F.lit("，失败："), F.col("f").cast("string")).alias("line")),
+        F.struct(F.lit("skills").alias("name"), F.concat(F.lit("生成 Skill 总数："), F.col("k").cast("string")).alias("line")),
     )
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+    done = runs.where("ok").select(F.lit("2 done").alias("section"), F.col("doc_name").alias("name"), line("doc_name", "format", F.col("n_chunks").cast("string"), F.col("n_skills").cast("string"), F.format_string("%.1fs", "elapsed")))
+    failed = runs.where(~F.col("ok")).select(F.lit("3 failed").alias("section"), F.col("doc_name").alias("name"), line("doc_name", F.left(F.coalesce("error", F.lit("")), F.lit(80))))
+    return sums.select(F.lit("1 summary").alias("section"), F.inline(texts)).unionByName(done).unionByName(failed)
+
+
+TYPES = ("factual", "procedural", "relational")
 
 
-def pipeline_counters(doc: str, **stages: DataFrame) -> DataFrame:
-    """(doc, one count for each stage table): rows of each document at each stage, 0 where it has none."""
+def pipeline_counters(doc: str, typed: DataFrame | None = None, **stages: DataFrame) -> DataFrame:
+    """(doc, one count for each stage table, one for each type of the skills in typed): rows of each document, 0 where it has none."""
     out = None
-    for name, df in stages.items():
-        n = df.groupBy(doc).agg(F.count("*").alias(name))
+    counts = {name: df.groupBy(doc).agg(F.count("*").alias(name)) for name, df in stages.items()}
+    names = list(stages)
+    if typed is not None:
+        counts["typed"] = typed.groupBy(doc).agg(*[F.count_if(F.col("sku_type") == t).alias(t) for t in TYPES])
+        names += TYPES
+    for n in counts.values():
         out = n if out is None else out.join(n, doc, "full")
-    return out.select(doc, *[F.coalesce(c, F.lit(0)).alias(c) for c in stages])
+    return out.select(doc, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, let, ordered_join, strip
+from loreforge.functions.text import col, let, ordered_join, split_before, strip
 
 #: Titles of sections that are noise.
 NOISE_SECTIONS = ("参考文献", "references", "bibliography", "致谢", "acknowledgments", "acknowledgements")
@@ -17,7 +17,7 @@ _HEADING = r"(?Udm)^(#{1,6})\s+(.+)$"
 def headings(text: Column | str) -> Column:
     """Array of (level, title, start_pos, end_pos) of the heading lines; a heading ends where the next one begins."""
     # the text before each heading line and the line itself: pieces of the text cut in front of heading lines
-    pieces = F.split(F.regexp_replace(col(text), r"(?Udm)^(?=#{1,6}\s+.)", "\u0001"), "\u0001")
+    pieces = split_before(col(text), r"(?Udm)^#{1,6}\s+.")
     kind = "struct<at: int, rows: array<struct<level: int, title: string, start_pos: int, end_pos: int>>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().alias("rows")).cast(kind)
     marked = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.regexp_extract(p, _HEADING, 0).alias("line")))
@@ -64,7 +64,7 @@ def build_context(doc_name: Column | str, path: Column | str) -> Column:
 def clean_markdown(text: Column | str, noise=NOISE_SECTIONS) -> Column:
     """Without page-number lines, rule lines and noise sections (each to the next heading of any level); at most one blank line."""
     t = F.regexp_replace(F.regexp_replace(col(text), _PAGE_NUMBER, ""), _RULE, "")
-    pieces = F.split(F.regexp_replace(t, r"(?Udm)^(?=#{1,6}\s+.)", "\u0001"), "\u0001")
+    pieces = split_before(t, r"(?Udm)^#{1,6}\s+.")
 
     def noisy(p):
         title = F.lower(F.regexp_extract(p, _HEADING, 2))
@@ -95,7 +95,7 @@ def html_to_markdown(html: Column | str, drop_raw: bool = True) -> Column:
 
     drop_raw leaves out script and style bodies and comments.
     """
-    t = col(html)
+    t = F.regexp_replace(col(html), "[\u0001\u0002]", " ")  # not allowed in HTML; they mark headings below
     if drop_raw:
         t = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
     for n in range(1, 7):

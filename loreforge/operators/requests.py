@@ -90,7 +90,7 @@ def build_schema_requests(docs: DataFrame, overrides: DataFrame | None, instruct
 
 def build_extraction_requests(chunks: DataFrame, schemas: DataFrame, doc: str = "doc_id") -> DataFrame:
     """A request for each kept chunk: prompt name (tables have their own), system prompt with constraint and hint, user prompt."""
-    rows = chunks.where("keep").join(schemas.select(doc, "book_type", "domains", "hint"), doc)
+    rows = chunks.where("keep").join(schemas.select(doc, "book_type", "domains", "hint").hint("merge"), doc)
     name = F.when(is_table_heavy("content"), "table_extractor").otherwise(resolve_prompt_type("book_type"))
     hint = F.when(F.coalesce("hint", F.lit("")) != "", F.concat(F.lit("\n\n"), F.col("hint"))).otherwise("")
     user = F.concat(F.lit("> "), F.col("context"), F.lit("\n\n---\n\n"), F.col("content"))
@@ -133,8 +133,7 @@ def split_candidates(answers: DataFrame, text: str = "output_clean") -> DataFram
     """
     t = F.concat(F.lit("\n"), strip(text))
     # the opening line of a header: --- and then `key:`; what closes it stays inside
-    marked = F.regexp_replace(t, r"\n---[ \t]*\n(?=\s*[A-Za-z_][\w-]*\s*:)", "\n\u0001---\n")
-    pieces = F.split(marked, "\u0001")
+    pieces = F.split(t, r"(?<=\n)(?=---[ \t]*\n\s*[A-Za-z_][\w-]*\s*:)")
     plain = F.when(F.size(pieces) > 1, pieces).otherwise(F.split(t, r"\n---[ \t]*(?=\n|\z)"))
     tidy = F.filter(F.transform(plain, lambda p: F.regexp_replace(strip(p), r"(?s)\n---\s*\z", "")), lambda p: p != "")
     rows = answers.where(~F.contains(text, F.lit(EMPTY_BLOCK)))
@@ -175,7 +174,7 @@ def cluster_merge_request(skills: DataFrame, clusters: DataFrame, idx: str = "id
     """(cluster_id, members, user_prompt) of clusters with two members or more: numbered bodies with their source contexts."""
     from pyspark.sql import Window as W
 
-    rows = skills.join(clusters, idx)
+    rows = skills.join(clusters.hint("merge"), idx)
     k = F.row_number().over(W.partitionBy("cluster_id").orderBy(idx))
     part = F.concat(F.lit("### "), k.cast("string"), F.lit(". "), F.col("name"), F.lit("\n> "), F.coalesce("source_context", F.lit("")), F.lit("\n\n"), F.col("body"))
     rows = rows.withColumn("part", part)

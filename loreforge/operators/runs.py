@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import ordered_join
+from loreforge.operators.similarity import stored
 
 
 # ---------------------------------------------------------------- ingest
@@ -69,7 +70,7 @@ def meta_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def place(df: DataFrame, order: list[str], out: str = "_k") -> DataFrame:
     """Adds the row's place in the order, from 0, by ranges: each partition is numbered on its own and moved by the rows before it."""
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "places")
     before = dealt.groupBy("_p").agg(F.count("*").alias("n"))
     before = before.select("_p", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
@@ -162,11 +163,16 @@ def active_hint(workflows: DataFrame, history: DataFrame, workflow: str = "workf
 
 
 def sample_check_report(sample: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
-    """For each sampled chunk its passed and failed skills and their pass rate in % to one decimal; the total is a row of nulls."""
+    """For each sampled chunk its skills (name, trigger, status), how many passed and failed, and their pass rate in % to one decimal.
+
+    The total is a row of nulls with no skills.
+    """
     ok = F.col("status") == "pass"
     n = sample.select(*key).join(results, key, "left").withColumns({"p": F.coalesce(ok.cast("int"), F.lit(0)), "r": F.col("status").isNotNull().cast("int")})
     out = n.rollup(*key).agg(F.sum("p").alias("passed"), (F.sum("r") - F.sum("p")).alias("failed"), F.grouping_id().alias("g"))
     out = out.where(F.col("g").isin(0, 2 ** len(key) - 1)).drop("g")
+    shown = results.join(sample.select(*key).hint("merge"), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "trigger", "status"))).alias("skills"))
+    out = out.join(shown.hint("merge"), key, "left")
     return out.withColumn("pass_rate", F.when(F.col("passed") + F.col("failed") > 0, F.round(100 * F.col("passed") / (F.col("passed") + F.col("failed")), 1)).otherwise(0.0))
 
 
@@ -189,7 +195,7 @@ def grid_rows(cells: DataFrame, sheet: list[str]) -> DataFrame:
     trimmed = cells.withColumn("value", value)
     rows = trimmed.where("value <> ''").select(*sheet, "row_no").distinct()
     rows = rows.withColumn("_new", F.row_number().over(W.partitionBy(*sheet).orderBy("row_no")) - 1)
-    return trimmed.join(rows, [*sheet, "row_no"]).withColumn("row_no", F.col("_new")).drop("_new")
+    return trimmed.join(rows.hint("merge"), [*sheet, "row_no"]).withColumn("row_no", F.col("_new")).drop("_new")
 
 
 def header_field(value: Column, keywords=HEADER_KEYWORDS) -> Column:
@@ -204,12 +210,12 @@ def detect_header_row(rows: DataFrame, sheet: list[str], keywords=HEADER_KEYWORD
     """(sheet, header_row, col_no, field): the first of the leading rows that maps a name, and its mapped cells."""
     mapped = rows.where(F.col("row_no") < first).withColumn("field", header_field(F.col("value"), keywords)).where("field is not null")
     head = mapped.where("field = 'name'").groupBy(*sheet).agg(F.min("row_no").alias("header_row"))
-    return mapped.join(head, sheet).where("row_no = header_row").select(*sheet, "header_row", "col_no", "field")
+    return mapped.join(head.hint("merge"), sheet).where("row_no = header_row").select(*sheet, "header_row", "col_no", "field")
 
 
 def extract_benefit_items(rows: DataFrame, header: DataFrame, sheet: list[str], fields=FIELDS) -> DataFrame:
     """A record for each row below the header with a name; where two columns map one field the later one counts."""
-    below = rows.join(header, [*sheet, "col_no"]).where("row_no > header_row and value <> '' and value <> 'None'")
+    below = rows.join(header.hint("merge"), [*sheet, "col_no"]).where("row_no > header_row and value <> '' and value <> 'None'")
     items = below.groupBy(*sheet, "row_no").pivot("field", list(fields)).agg(F.max_by("value", "col_no"))
     return items.where("name is not null")
 
@@ -220,6 +226,6 @@ def find_product_name(rows: DataFrame, header: DataFrame, sheet: list[str], word
     hit = F.lit(False)
     for w in words:
         hit = hit | F.contains("value", F.lit(w))
-    named = rows.join(heads, sheet).where((F.col("row_no") < F.col("header_row")) & (F.length("value") > 5) & hit)
+    named = rows.join(heads.hint("merge"), sheet).where((F.col("row_no") < F.col("header_row")) & (F.length("value") > 5) & hit)
     found = named.groupBy(*sheet).agg(F.min_by("value", F.struct("row_no", "col_no")).alias("product_name"))
-    return heads.join(found, sheet, "left").select(*sheet, F.coalesce("product_name", F.lit("")).alias("product_name"))
+    return heads.join(found.hint("merge"), sheet, "left").select(*sheet, F.coalesce("product_name", F.lit("")).alias("product_name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -12,17 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import words
+from loreforge.session import shared_dir
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder where the session names one, else kept; cuts lineage between rounds."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back; cuts lineage between rounds."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def vector_text(trigger: str | Column = "trigger", body: str | Column = "body", chars: int = 500) -> Column:
@@ -43,39 +41,60 @@ def tf_vectors(texts: DataFrame, vocab: DataFrame, text: str = "text", idx: str
     rows = texts.select(idx, F.explode(words(F.lower(text))).alias("term"))
     counts = rows.join(F.broadcast(vocab.select("term", "term_id")), "term").groupBy(idx, "term_id").agg(F.count("*").alias("c"))
     norm = counts.groupBy(idx).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return counts.join(norm, idx).select(idx, "term_id", (F.col("c") / F.col("norm")).alias("weight"))
+    return counts.join(norm.hint("merge"), idx).select(idx, "term_id", (F.col("c") / F.col("norm")).alias("weight"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx", stop_share: float = 1.0) -> DataFrame:
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of pairs of sparse vectors, whose terms are in order of their numbers."""
+    for b in batches:
+        out = []
+        cols = [b.column(c) for c in ("ta", "wa", "tb", "wb")]
+        for ta, wa, tb, wb in zip(*cols, strict=True):
+            ta, wa, tb, wb = (x.values.to_numpy(zero_copy_only=False) for x in (ta, wa, tb, wb))
+            _, p, q = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+            out.append(float(wa[p] @ wb[q]))
+        yield pa.RecordBatch.from_pydict({"i": b.column("i"), "j": b.column("j"), "similarity": pa.array(out, pa.float64())})
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx") -> DataFrame:
     """(i, j, similarity) of pairs i < j that reach the threshold, from sparse vectors of length 1.
 
-    Vectors that are equal are compared once. Others meet at terms: of each vector only the heaviest terms are looked up,
-    as many as leave a rest too short to reach the threshold alone, and candidates are then summed over all terms.
+    Vectors that are equal are compared once. Terms are put in order, rare ones first; of each vector the first terms are
+    looked up, as many as leave a rest too short to reach the threshold alone. Two vectors that reach it share one of
+    those: all that they share beyond the shorter of both beginnings is in the rest of its vector. What they share in
+    their beginnings and the length of that rest bound the product, and pairs that can't reach it are dropped
+    before they are computed.
     """
-    own = vectors.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct(-F.col("weight"), F.col("term_id")))).alias("v"))
-    own = own.select(idx, F.transform("v", lambda x: F.struct((-x["col1"]).alias("weight"), x["term_id"].alias("term_id"))).alias("v"))
+    often = vectors.groupBy("term_id").agg(F.count("*").alias("n"))
+    rows = vectors.join(often.hint("merge"), "term_id")
+    own = rows.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct("n", "term_id", "weight"))).alias("v"))
     key = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), F.round(x["weight"], 12).alias("w")))), 256)
-    own = _stored(own.withColumn("same", key), "vectors")
-    # the rest after the first k terms has length r; a partner's product with it is at most r
+    own = stored(own.withColumn("same", key), "vectors")
     lead = own.groupBy("same").agg(F.min(idx).alias("rep"), F.first("v").alias("v"))
-    rest = F.aggregate(
+    # squares that are left after each term; the beginning ends where they are under the threshold's
+    kind = "struct<left: double, k: int>"
+    end = F.aggregate(
         "v",
-        F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("k")).cast("struct<left: double, k: int>"),
-        lambda a, x: F.when(a["left"] < threshold * threshold - 1e-9, a).otherwise(F.struct((a["left"] - x["weight"] * x["weight"]).alias("left"), (a["k"] + 1).alias("k")).cast("struct<left: double, k: int>")),
-    )["k"]
-    lead = _stored(lead.withColumn("k", rest), "vectors-distinct")
-    terms = lead.select("rep", F.explode(F.slice("v", F.lit(1), F.greatest("k", F.lit(1)))).alias("x")).select("rep", "x.term_id")
-    every = lead.select(F.col("rep").alias("other"), F.explode("v").alias("x")).select("other", "x.term_id")
-    # a pair is found from either side's heavy terms
-    found = terms.join(every, "term_id").where("rep <> other").select(F.least("rep", "other").alias("i"), F.greatest("rep", "other").alias("j")).distinct()
-    left = lead.select(F.col("rep").alias("i"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["term_id"], x["weight"]))).alias("a"))
-    right = lead.select(F.col("rep").alias("j"), F.col("v").alias("b"))
-    both = found.join(left, "i").join(right, "j")
-    dot = F.aggregate("b", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("a", x["term_id"]), F.lit(0.0)))
-    near = both.select("i", "j", dot.alias("similarity")).where(F.col("similarity") >= threshold)
-    members = own.join(lead.select("same", "rep"), "same").select(F.col(idx).alias("m"), "rep")
+        F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("k")).cast(kind),
+        lambda a, x: F.when(a["left"] < threshold * threshold - 1e-9, a).otherwise(F.struct((a["left"] - x["weight"] * x["weight"]).alias("left"), (a["k"] + 1).alias("k")).cast(kind)),
+    )
+    lead = stored(lead.withColumn("end", end), "vectors-distinct")
+    last = F.element_at("v", F.greatest("end.k", F.lit(1)))
+    first = lead.select("rep", F.sqrt(F.greatest("end.left", F.lit(0.0))).alias("rest"), F.struct(last["n"], last["term_id"]).alias("upto"), F.explode(F.slice("v", F.lit(1), F.greatest("end.k", F.lit(1)))).alias("x"))
+    first = stored(first.select("rep", "rest", "upto", "x.term_id", "x.weight"), "terms-first")
+    a, b = (first.select("term_id", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "rest", "upto", "weight")]) for s in "ab")
+    met = a.join(b.hint("merge"), "term_id").where("rep_a < rep_b")
+    rest = F.when(F.col("upto_a") <= F.col("upto_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    found = met.groupBy(F.col("rep_a").alias("i"), F.col("rep_b").alias("j")).agg((F.sum(F.col("weight_a") * F.col("weight_b")) + F.first(rest)).alias("most"))
+    found = stored(found.where(F.col("most") >= threshold - 1e-9).select("i", "j"), "pairs-possible")
+    sorted_ = F.array_sort(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), x["weight"].alias("w"))))
+    side = lambda r, s: lead.select(F.col("rep").alias(r), sorted_.alias("s")).select(r, F.col("s.t").alias(f"t{s}"), F.col("s.w").alias(f"w{s}"))
+    kinds = f"i {lead.schema['rep'].dataType.simpleString()}, j {lead.schema['rep'].dataType.simpleString()}, similarity double"
+    both = found.join(side("i", "a").hint("merge"), "i").join(side("j", "b").hint("merge"), "j")
+    near = stored(both.mapInArrow(_dots, kinds).where(F.col("similarity") >= threshold), "pairs-near")
+    members = own.join(lead.select("same", "rep").hint("merge"), "same").select(F.col(idx).alias("m"), "rep")
     a, b = members.select(F.col("m").alias("x"), F.col("rep").alias("i")), members.select(F.col("m").alias("y"), F.col("rep").alias("j"))
-    across = near.join(a, "i").join(b, "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
+    across = near.join(a.hint("merge"), "i").join(b.hint("merge"), "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
     # members of a group of equal vectors: each with the group's first, enough for clustering and linear in the group
     within = members.where("m <> rep").select(F.col("rep").alias("i"), F.col("m").alias("j"), F.lit(1.0).alias("similarity"))
     return across.unionByName(within)
@@ -89,14 +108,14 @@ def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> Dat
     none is open; pairs must have i < j.
     """
     ids = items.select(F.col(idx).alias("id"))
-    edges = _stored(pairs.select(F.col("i").alias("small"), F.col("j").alias("big")), "pairs")
-    state = _stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "clusters")
+    edges = stored(pairs.select(F.col("i").alias("small"), F.col("j").alias("big")), "pairs")
+    state = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "clusters")
     before = None
     while True:
-        seen = edges.join(state.select(F.col("id").alias("small"), "leads"), "small").groupBy(F.col("big").alias("id"))
+        seen = edges.join(state.select(F.col("id").alias("small"), "leads").hint("merge"), "small").groupBy(F.col("big").alias("id"))
         near = seen.agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = _stored(state.join(near, "id", "left").select("id", decided.alias("leads")), "clusters")
+        state = stored(state.join(near.hint("merge"), "id", "left").select("id", decided.alias("leads")), "clusters")
         still = state.where("leads is null").count()
         if not still:
             break
@@ -104,20 +123,20 @@ def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> Dat
             raise RuntimeError(f"{still} items stay undecided: pairs must have i < j")
         before = still
     leaders = state.where("leads").select(F.col("id").alias("small"))
-    follows = edges.join(leaders, "small").groupBy(F.col("big").alias("id")).agg(F.min("small").alias("leader"))
+    follows = edges.join(leaders.hint("merge"), "small").groupBy(F.col("big").alias("id")).agg(F.min("small").alias("leader"))
     own = F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader"))
-    return state.join(follows, "id", "left").select(F.col("id").alias(idx), own.alias("cluster_id"))
+    return state.join(follows.hint("merge"), "id", "left").select(F.col("id").alias(idx), own.alias("cluster_id"))
 
 
 def cluster_representative(skills: DataFrame, clusters: DataFrame, answers: DataFrame | None = None, idx: str = "idx") -> DataFrame:
     """A record for each cluster: the first member's fields, with the merged body of the answers (cluster_id, body) where there is one."""
     fields = [c for c in skills.columns if c != idx]
-    rows = skills.join(clusters, idx)
+    rows = skills.join(clusters.hint("merge"), idx)
     out = rows.groupBy("cluster_id").agg(F.min_by(F.struct(*fields), idx).alias("r"), F.count("*").alias("members")).select("cluster_id", "members", "r.*")
     if answers is None:
         return out
     merged = answers.select("cluster_id", F.col("body").alias("_merged"))
-    out = out.join(merged, "cluster_id", "left")
+    out = out.join(merged.hint("merge"), "cluster_id", "left")
     return out.withColumn("body", F.when(F.col("members") > 1, F.coalesce("_merged", "body")).otherwise(F.col("body"))).drop("_merged")
 
 
@@ -128,51 +147,54 @@ def write_skill_vectors(skills: DataFrame, vectors: DataFrame, path: str, key: s
     return skills.sparkSession.read.parquet(path)
 
 
-def _matrix(col) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    m = flat.reshape(len(col), -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+def _blocks(df: DataFrame, key: str, emb: str, size: int) -> tuple[DataFrame, int]:
+    """(block, ids, m): about `size` vectors in a row, scaled to length 1, and the number of blocks."""
+    n = max(1, math.ceil(df.count() / size))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("e"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        m = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
+    return stored(rows.groupBy("block").applyInArrow(pack, "block int, ids binary, m binary"), "vector-blocks"), n
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id", vid: str = "vec_id", emb: str = "embedding", block: int = 2000) -> DataFrame:
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id", vid: str = "vec_id", emb: str = "embedding", block: int = 2048) -> DataFrame:
     """(qid, vid, score, rank): the k nearest vectors of each query by cosine, score to 4 decimals, ties by vid.
 
-    Queries go in blocks; in each, every task multiplies its vectors with the block and gives its own k best for each query.
+    Both sides are stored in blocks of vectors. Each block of queries meets each block of vectors in a task, which gives the k
+    best of the block for each query; the k best of those are the result. Nothing goes through the driver.
     """
-    n = queries.count()
-    parts = -(-n // block)
-    tagged = queries.select(qid, emb, F.pmod(F.xxhash64(qid), F.lit(max(parts, 1))).alias("b"))
-    out = None
-    for b in range(parts):
-        rows = tagged.where(F.col("b") == b).select(qid, emb).toArrow()  # one block
-        ids, q = rows.column(qid).to_numpy(), _matrix(rows.column(emb).combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(ids), 0), 0, dtype=np.float64)
-            best_v = np.full((len(ids), 0), 0, dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                s = np.round((q @ _matrix(batch.column(emb)).T).astype(np.float64), 4)
-                v = np.broadcast_to(batch.column(vid).to_numpy(), s.shape)
-                best_s, best_v = np.concatenate([best_s, s], axis=1), np.concatenate([best_v, v], axis=1)
-                order = np.lexsort((best_v, -best_s), axis=1)[:, :k]
-                best_s, best_v = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_v, order, 1)
-            yield pa.RecordBatch.from_pydict({qid: pa.array(np.repeat(ids, best_s.shape[1])), vid: pa.array(best_v.ravel()), "score": pa.array(best_s.ravel())})
-
-        found = vectors.select(F.col(vid).cast("long").alias(vid), emb).mapInArrow(run, f"{qid} long, {vid} long, score double")
-        out = found if out is None else out.unionByName(found)
+    q, n_q = _blocks(queries.select(qid, emb), qid, emb, block)
+    v, n_v = _blocks(vectors.select(vid, emb), vid, emb, block)
+    q = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))).select("block", "other", "ids", "m")
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).select(F.col("other").alias("block"), F.col("block").alias("other"), "ids", "m")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({qid: pa.array([], pa.int64()), vid: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        (qi, qm), (vi, vm) = ((np.frombuffer(t.column("ids")[0].as_py(), dtype=np.int64), np.frombuffer(t.column("m")[0].as_py())) for t in (a, b))
+        s = np.round(qm.reshape(len(qi), -1) @ vm.reshape(len(vi), -1).T, 4)
+        order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
+        return pa.table({qid: pa.array(np.repeat(qi, order.shape[1])), vid: pa.array(vi[order].ravel()), "score": pa.array(np.take_along_axis(s, order, 1).ravel())})
+
+    found = q.groupBy("block", "other").cogroup(v.groupBy("block", "other")).applyInArrow(best, f"{qid} long, {vid} long, score double")
     w = W.partitionBy(qid).orderBy(F.desc("score"), vid)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"{qid} long, {vid} long, score double, rank int")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def vector_duplicates(vectors: DataFrame, threshold: float = 0.92, k: int = 5, vid: str = "vec_id", emb: str = "embedding", name: str = "name") -> DataFrame:
+    """(name_a, name_b, score): pairs of different names among each vector's k nearest (itself included) that reach the threshold.
 
-def vector_duplicates(vectors: DataFrame, threshold: float = 0.92, k: int = 5, vid: str = "vec_id", emb: str = "embedding") -> DataFrame:
-    """(a, b, score): unordered pairs among each vector's k nearest (itself included) that reach the threshold."""
-    near = vector_top_k(vectors.select(F.col(vid).alias("query_id"), emb), vectors, k, vid=vid, emb=emb)
-    pairs = near.where((F.col("score") >= threshold) & (F.col("query_id") != F.col(vid)))
-    return pairs.groupBy(F.least("query_id", vid).alias("a"), F.greatest("query_id", vid).alias("b")).agg(F.max("score").alias("score"))
+    A pair of names counts once, with its best score; the best come first. Vectors without a name are left out.
+    """
+    vectors = vectors.where(F.coalesce(name, F.lit("")) != "")
+    near = vector_top_k(vectors.select(F.col(vid).alias("query_id"), emb), vectors, k, vid=vid, emb=emb).where(F.col("score") >= threshold)
+    names = vectors.select(F.col(vid).cast("long").alias(vid), name)
+    a, b = names.select(F.col(vid).alias("query_id"), F.col(name).alias("x")), names.select(vid, F.col(name).alias("y"))
+    pairs = near.join(a.hint("merge"), "query_id").join(b.hint("merge"), vid).where("x <> y")
+    return pairs.groupBy(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "name_a", "name_b")
 
 
 def best_per_slug(skills: DataFrame, slug: str = "slug", idx: str = "idx") -> DataFrame:

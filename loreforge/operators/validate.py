@@ -126,7 +126,7 @@ def validate_skills(raw: DataFrame, text: str = "raw_text", source: str = "sourc
 
 def attach_source_text(raw: DataFrame, chunks: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """Each raw skill gets the content of its own chunk."""
-    return raw.join(chunks.select(*key, F.col(content).alias("source_text")), key, "left")
+    return raw.join(chunks.select(*key, F.col(content).alias("source_text")).hint("merge"), key, "left")
 
 
 def slugify(c: Column | str) -> Column:

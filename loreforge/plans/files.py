@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,23 +10,27 @@ from loreforge.operators import packaging, requests, similarity, validate
 from loreforge.operators.chunking import rechunk as rechunk_files
 from loreforge.operators.density import filter_chunks
 from loreforge.plans import fixtures as fx
+from loreforge.plans.records import PKG_SQL
 from loreforge.plans.registry import query, table
-from loreforge.plans.texts import CHUNKS_SQL, DENSITY_SQL, HEADINGS_SQL, PACK_SQL, _documents
+from loreforge.session import shared_dir
+from loreforge.plans.texts import CHUNKS_SQL, DENSITY_SQL, HEADINGS_SQL, PACK_SQL, S, _documents
 from loreforge.sources import files
 from loreforge.streaming import streams
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loreforge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("SELECT count(*) > 0 AS any_found, true AS all_txt FROM documents")
+@query("SELECT 'lang=' || lang || '/source=' || source AS folder, 'txt' AS format, count(DISTINCT doc_id % 1) AS files FROM documents GROUP BY ALL")
 def scan_documents(spark, sf_dir):
     out = _folder(spark, "texts")
-    table(spark, sf_dir, "documents").select("text").write.text(out)
-    return files.scan_documents(spark, out).agg((F.count("*") > 0).alias("any_found"), F.bool_and(F.col("format") == "txt").alias("all_txt"))
+    d = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    d.repartition("lang", "source").write.partitionBy("lang", "source").text(out)  # one file in each folder
+    d.select(F.lit("x").alias("value")).limit(1).write.text(f"{out}/lang=zz/source=none", compression="gzip")  # no document by its suffix
+    found = files.scan_documents(spark, out)
+    return found.groupBy(F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder"), "format").agg(F.count("*").alias("files"))
 
 
 @query("SELECT lang, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY lang")
@@ -49,7 +52,7 @@ def scan_call_log(spark, sf_dir):
     return rows.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("latency_ms").alias("latency_ms"))
 
 
-@query(None)
+@query("WITH" + PKG_SQL + " SELECT slug, trim(domain) AS domain, " + S('"trigger"') + " AS \"trigger\" FROM bs")
 def scan_skill_packages(spark, sf_dir):
     s = fx.skills(spark, sf_dir).withColumn("sku_id", validate.slugify("name"))
     texts = packaging.write_skill_packages(s).where(F.col("path").endswith("/SKILL.md"))
@@ -85,10 +88,10 @@ def load_skills(spark, sf_dir):
     return packaging.load_skills(spark.read.parquet(out))
 
 
-@query("SELECT vec_id AS sku_id, 'v' || CAST(vec_id AS VARCHAR) AS name, len(embedding) AS dims FROM embeddings WHERE vec_id % 2 = 0")
+@query("SELECT vec_id AS sku_id, 'v' || CAST(vec_id AS VARCHAR) AS name, len(embedding) AS dims FROM embeddings")
 def write_skill_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    s = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("sku_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.lit("t").alias("trigger"), F.lit("d").alias("domain"), F.lit("factual").alias("sku_type"))
+    s = e.select(F.col("vec_id").alias("sku_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.lit("t").alias("trigger"), F.lit("d").alias("domain"), F.lit("factual").alias("sku_type"))
     out = similarity.write_skill_vectors(s, e.select(F.col("vec_id").alias("sku_id"), "embedding"), _folder(spark, "vectors"))
     return out.select("sku_id", "name", F.size("embedding").cast("bigint").alias("dims"))
 
@@ -127,6 +130,28 @@ def rechunk(spark, sf_dir):
     return rechunk_files(rows).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "score_a")
 
 
+@query(r"""WITH f AS (SELECT DISTINCT 'prompt' || CAST(p_size AS VARCHAR) AS n, 'v' || CAST(p_partkey % 5 AS VARCHAR) AS v FROM part)
+SELECT n AS prompt_name, array_to_string(list_sort(list(v)), ',') AS versions FROM f GROUP BY n""")
+def scan_prompt_catalog(spark, sf_dir):
+    out = _folder(spark, "prompts")
+    part = table(spark, sf_dir, "part")
+    stems = part.select(F.concat(F.lit("prompt"), F.col("p_size").cast("string"), F.lit("_v"), (F.col("p_partkey") % 5).cast("string")).alias("stem")).distinct()
+
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, path = pafs.FileSystem.from_uri(out)
+        fs.create_dir(path, recursive=True)
+        for pdf in batches:
+            for stem in pdf["stem"]:
+                with fs.open_output_stream(f"{path}/{stem}.md") as f:
+                    f.write(b"Prompt {x}")
+            yield pdf
+
+    stems.mapInPandas(write, "stem string").write.format("noop").mode("overwrite").save()
+    return files.scan_prompt_catalog(spark, out).select("prompt_name", F.array_join("versions", ",").alias("versions"))
+
+
 @query(None)
 def stream_new_documents(spark, sf_dir):
     folder = _folder(spark, "arrivals")

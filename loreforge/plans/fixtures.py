@@ -65,7 +65,7 @@ skills AS (
          replace(left(text, 60), E'\n', ' ') AS "trigger",
          ['insurance', '技术·开发', 'Legal ', 'claims', 'misc'][CAST(doc_id % 5 AS INTEGER) + 1] AS domain,
          ['factual', 'procedural', 'relational'][CAST(doc_id % 3 AS INTEGER) + 1] AS sku_type,
-         (doc_id % 11) / 10.0 AS confidence, left(text, 800) AS body,
+         (doc_id % 11) / 10.0 AS confidence, text AS body,
          CASE WHEN doc_id % 4 = 0 THEN ['Skill en ' || CAST(doc_id % 13 AS VARCHAR), 'base-line'] ELSE CAST([] AS VARCHAR[]) END AS prerequisites,
          'ch ' || CAST(doc_id % 7 AS VARCHAR) AS source_ref, source AS source_context, text AS raw_text, doc_id % 5 AS source_chunk_index
   FROM documents)"""
@@ -78,7 +78,7 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         i.alias("idx"), F.concat(F.lit("Skill "), "lang", F.lit(" "), (i % 97).cast("string")).alias("name"),
         F.regexp_replace(F.substring("text", 1, 60), "\n", " ").alias("trigger"), pick(DOMAINS).alias("domain"), pick(TYPES).alias("sku_type"),
-        ((i % 11) / 10.0).alias("confidence"), F.substring("text", 1, 800).alias("body"), needs.alias("prerequisites"),
+        ((i % 11) / 10.0).alias("confidence"), F.col("text").alias("body"), needs.alias("prerequisites"),
         F.concat(F.lit("ch "), (i % 7).cast("string")).alias("source_ref"), F.col("source").alias("source_context"), F.col("text").alias("raw_text"), (i % 5).alias("source_chunk_index"),
     )
 
@@ -134,7 +134,7 @@ answers AS (
     CASE WHEN doc_id % 7 = 0 THEN 'nothing here: EMPTY_BLOCK' ELSE
       E'<think> plan ' || CAST(doc_id AS VARCHAR) || E' </think>\n---\nname: skill-' || CAST(doc_id AS VARCHAR) || E'\ntrigger: "when ' || lang || E'"\n' ||
       CASE WHEN doc_id % 3 = 0 THEN E'domain: tech\nconfidence: 0.' || CAST(doc_id % 10 AS VARCHAR) || E'\n' ELSE '' END ||
-      E'prerequisites:\n  - first\n  - "second"\n---\n1. ' || replace(left(text, 300), E'\n', ' ') ||
+      E'prerequisites:\n  - first\n  - "second"\n---\n1. ' || replace(text, E'\n', ' ') ||
       CASE WHEN doc_id % 5 = 0 THEN ' zyxwvu qponmlk jihgfed wvutsrq ponmlkj ihgfedc vutsrqp onmlkji utsrqpo nmlkjih tsrqpon mlkjihg srqponm lkjihgf rqponml kjihgfe qqqqzzzz wwwwzzzz eeeezzzz rrrrzzzz ttttzzzz yyyyzzzz uuuuzzzz iiiizzzz oooozzzz ppppzzzz aaaazzzz sssszzzz ddddzzzz ffffzzzz ggggzzzz hhhhzzzz jjjjzzzz kkkkzzzz llllzzzz xxxxzzzz ccccvvvv vvvvbbbb bbbbnnnn nnnnmmmm mmmmqqqq' ELSE '' END ||
       CASE WHEN doc_id % 2 = 0 THEN E'\n---\nname: other ' || CAST(doc_id AS VARCHAR) || E'\ntrigger: any\n---\nno steps' ELSE '' END
     END AS output_raw
@@ -148,7 +148,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         lit("<think> plan "), n, lit(" </think>\n---\nname: skill-"), n, lit('\ntrigger: "when '), F.col("lang"), lit('"\n'),
         F.when(i % 3 == 0, F.concat(lit("domain: tech\nconfidence: 0."), (i % 10).cast("string"), lit("\n"))).otherwise(""),
-        lit('prerequisites:\n  - first\n  - "second"\n---\n1. '), F.regexp_replace(F.substring("text", 1, 300), "\n", " "),
+        lit('prerequisites:\n  - first\n  - "second"\n---\n1. '), F.regexp_replace("text", "\n", " "),
         F.when(i % 5 == 0, FOREIGN).otherwise(""),
         F.when(i % 2 == 0, F.concat(lit("\n---\nname: other "), n, lit("\ntrigger: any\n---\nno steps"))).otherwise(""),
     )

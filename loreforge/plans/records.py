@@ -40,11 +40,13 @@ def cascade_delete_file(spark, sf_dir):
     return left["raw"].select(F.lit("raw").alias("kind"), *key).unionByName(left["done"].select(F.lit("done").alias("kind"), *key))
 
 
-@query(r"""SELECT lang AS workflow_id, arg_min('doc-' || doc_id, doc_id) AS doc_name, string_agg(left(text, 50), E'\n\n---\n\n' ORDER BY doc_id) AS text
-FROM documents WHERE doc_id % 3 = 0 GROUP BY lang""")
+@query(r"""SELECT source || '-' || CAST(doc_id // 100 AS VARCHAR) AS workflow_id, arg_min('doc-' || doc_id, doc_id) AS doc_name, string_agg(text, E'\n\n---\n\n' ORDER BY doc_id) AS text
+FROM documents WHERE n_chars >= 200 GROUP BY 1""")
 def merge_processed_texts(spark, sf_dir):
+    """Workflows of some files each, so that their number grows with the table; files of hardly any text ended in an error."""
     d = table(spark, sf_dir, "documents")
-    files = d.select(F.col("lang").alias("workflow_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_name"), F.substring("text", 1, 50).alias("text"), F.when(F.col("doc_id") % 3 == 0, "done").otherwise("pending").alias("status"))
+    workflow = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string"))
+    files = d.select(workflow.alias("workflow_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_name"), "text", F.when(F.col("n_chars") >= 200, "done").otherwise("error").alias("status"))
     return runs.merge_processed_texts(files)
 
 
@@ -73,16 +75,15 @@ def upload_listing(spark, sf_dir):
     return out.withColumn("chars", F.col("chars").cast("bigint"))
 
 
-@query(r"""WITH o AS (SELECT c_custkey AS workflow_id, c_name AS name, 'd' AS doc_name, 'pdf' AS format, '/p' AS path, 1 AS created_at, 5 AS chunk_count FROM customer WHERE c_custkey % 3 <> 0),
-n AS (SELECT c_custkey AS workflow_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'new ' || c_name END AS name, '' AS doc_name, 'txt' AS format, CAST(NULL AS VARCHAR) AS path, 2 AS created_at, 9 AS chunk_count FROM customer WHERE c_custkey % 2 = 0)
-SELECT coalesce(n.workflow_id, o.workflow_id) AS workflow_id, coalesce(nullif(n.name, ''), o.name) AS name, coalesce(nullif(n.doc_name, ''), o.doc_name) AS doc_name, coalesce(nullif(n.format, ''), o.format) AS format,
-  coalesce(nullif(n.path, ''), o.path) AS path, coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.chunk_count, o.chunk_count) AS chunk_count FROM o FULL JOIN n ON o.workflow_id = n.workflow_id""")
+@query(r"""WITH n AS (SELECT o_custkey AS workflow_id, CASE WHEN count(*) % 2 = 0 THEN '' ELSE 'new ' || max(o_orderpriority) END AS name, count(*) AS chunk_count FROM orders GROUP BY 1)
+SELECT coalesce(n.workflow_id, c_custkey) AS workflow_id, coalesce(nullif(n.name, ''), c_name) AS name, 'd' AS doc_name, CASE WHEN n.workflow_id IS NULL THEN 'pdf' ELSE 'txt' END AS format,
+  '/p' AS path, 1 AS created_at, coalesce(n.chunk_count, 5) AS chunk_count FROM customer FULL JOIN n ON c_custkey = n.workflow_id""")
 def meta_upsert(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    lit = F.lit
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("workflow_id"), F.col("c_name").alias("name"), lit("d").alias("doc_name"), lit("pdf").alias("format"), lit("/p").alias("path"), lit(1).alias("created_at"), lit(5).alias("chunk_count"))
-    name = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(lit("new "), "c_name"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("workflow_id"), name.alias("name"), lit("").alias("doc_name"), lit("txt").alias("format"), lit(None).cast("string").alias("path"), lit(2).alias("created_at"), lit(9).alias("chunk_count"))
+    lit, five = F.lit, F.lit(5).cast("bigint")
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workflow_id"), F.col("c_name").alias("name"), lit("d").alias("doc_name"), lit("pdf").alias("format"), lit("/p").alias("path"), lit(1).alias("created_at"), five.alias("chunk_count"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("workflow_id")).agg(F.count("*").alias("chunk_count"), F.max("o_orderpriority").alias("p"))
+    name = F.when(F.col("chunk_count") % 2 == 0, "").otherwise(F.concat(lit("new "), "p"))
+    new = o.select("workflow_id", name.alias("name"), lit("").alias("doc_name"), lit("txt").alias("format"), lit(None).cast("string").alias("path"), lit(2).alias("created_at"), "chunk_count")
     return runs.meta_upsert(old, new)
 
 
@@ -175,13 +176,18 @@ def active_hint(spark, sf_dir):
     return runs.active_hint(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workflow_id")), runs.tune_history(o, ts=["o_orderdate", "o_orderkey"]))
 
 
-@query(r"""WITH r AS (SELECT c_custkey AS chunk, o_orderstatus FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0),
-a AS (SELECT chunk, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM r GROUP BY GROUPING SETS ((chunk), ()))
-SELECT chunk, passed, failed, CASE WHEN passed + failed > 0 THEN round(100 * passed / (passed + failed), 1) ELSE 0.0 END AS pass_rate FROM a""")
+@query(r"""WITH s AS (SELECT c_custkey AS chunk FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':42'), c_custkey LIMIT 50),
+r AS (SELECT chunk, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'pass' WHEN o_orderstatus IS NOT NULL THEN 'fail' END AS status, o_orderpriority FROM s LEFT JOIN orders ON o_custkey = chunk),
+a AS (SELECT chunk, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed,
+  string_agg('order ' || o_orderkey || '/' || o_orderpriority || '/' || status, ',' ORDER BY 'order ' || o_orderkey) FILTER (chunk IS NOT NULL) AS skills FROM r GROUP BY GROUPING SETS ((chunk), ()))
+SELECT chunk, passed, failed, CASE WHEN passed + failed > 0 THEN round(100 * passed / (passed + failed), 1) ELSE 0.0 END AS pass_rate, CASE WHEN chunk IS NULL THEN NULL ELSE skills END AS skills FROM a""")
 def sample_check_report(spark, sf_dir):
-    sample = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("chunk"))
-    results = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk"), F.when(F.col("o_orderstatus") == "F", "pass").otherwise("fail").alias("status"))
-    return runs.sample_check_report(sample, results, ["chunk"])
+    chunks = table(spark, sf_dir, "customer").select("c_custkey")
+    sample = runs.random_sample(chunks, 50, "c_custkey").select(F.col("c_custkey").alias("chunk"))
+    status = F.when(F.col("o_orderstatus") == "F", "pass").otherwise("fail")
+    results = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderpriority").alias("trigger"), status.alias("status"))
+    out = runs.sample_check_report(sample, results, ["chunk"])
+    return out.withColumn("skills", F.array_join(F.transform("skills", lambda s: F.concat_ws("/", s["name"], s["trigger"], s["status"])), ","))
 
 
 # ---------------------------------------------------------------- grids
@@ -256,25 +262,37 @@ def log_totals(spark, sf_dir):
     return logstats.log_totals(fx.calls(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
 
 
-@query("WITH" + LOG_SQL.format(k="phase") + r""" SELECT phase, '| ' || phase || ' | ' || calls || ' | ' || format('{:,}', input_tokens) || ' | ' || format('{:,}', output_tokens) || ' | ' || format('{:,}', think_tokens) || ' | ' ||
-  printf('%.0f', avg_latency_ms) || 'ms | ' || p95 || 'ms | ' || printf('%.0f', pass_rate * 100) || '% | ¥' || printf('%.3f', cost) || ' |' AS line FROM phase_stats JOIN phase_pct USING (phase)""")
+@query("WITH" + LOG_SQL.format(k="phase") + LOG_SQL.format(k="prompt_version")[len(fx.CALLS_SQL) :] + r""", tot AS (SELECT count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, (2 * sum(input_tokens) + 8 * sum(output_tokens)) / 1000000 AS cost FROM calls)
+SELECT '2 phase' AS section, phase AS key, '| ' || phase || ' | ' || calls || ' | ' || format('{:,}', input_tokens) || ' | ' || format('{:,}', output_tokens) || ' | ' || format('{:,}', think_tokens) || ' | ' ||
+  printf('%.0f', avg_latency_ms) || 'ms | ' || p95 || 'ms | ' || printf('%.0f', pass_rate * 100) || '% | ¥' || printf('%.3f', cost) || ' |' AS line FROM phase_stats JOIN phase_pct USING (phase)
+UNION ALL SELECT '3 version', prompt_version, '| ' || prompt_version || ' | ' || calls || ' | ' || printf('%.0f', avg_latency_ms) || 'ms | ' || printf('%.0f', pass_rate * 100) || '% | ¥' || printf('%.3f', cost) || ' |' FROM prompt_version_stats
+UNION ALL SELECT '1 total', 'calls', '总调用数：' || calls FROM tot UNION ALL SELECT '1 total', 'tokens', '总 Token 消耗：' || format('{:,}', tokens) FROM tot UNION ALL SELECT '1 total', 'cost', '预估成本：¥' || printf('%.2f', cost) FROM tot""")
 def log_report(spark, sf_dir):
-    return logstats.log_report(logstats.log_stats_by_phase(fx.calls(spark, sf_dir)))
+    c = fx.calls(spark, sf_dir)
+    return logstats.log_report(logstats.log_stats_by_phase(c), logstats.log_stats_by_version(c), logstats.log_totals(c))
 
 
-@query(r"""SELECT count(*) AS documents, count(*) FILTER (c_acctbal >= 0) AS succeeded, count(*) FILTER (c_acctbal < 0) AS failed, sum(c_nationkey)::BIGINT AS total_skills,
-  array_to_string(list(c_name || ': ' || left('low ' || c_mktsegment, 80) ORDER BY c_name) FILTER (c_acctbal < 0), '|') AS failures FROM customer""")
+@query(r"""WITH r AS (SELECT *, c_acctbal >= 0 AS ok FROM customer)
+SELECT '1 summary' AS section, 'documents' AS name, '文档总数：' || count(*) AS line FROM r UNION ALL SELECT '1 summary', 'results', '成功：' || count(*) FILTER (ok) || '，失败：' || count(*) FILTER (NOT ok) FROM r
+UNION ALL SELECT '1 summary', 'skills', '生成 Skill 总数：' || coalesce(sum(c_nationkey) FILTER (ok), 0)::BIGINT FROM r
+UNION ALL SELECT '2 done', c_name, '| ' || c_name || ' | pdf | ' || c_custkey || ' | ' || c_nationkey || ' | ' || printf('%.1f', c_custkey / 2.0) || 's |' FROM r WHERE ok
+UNION ALL SELECT '3 failed', c_name, '| ' || c_name || ' | ' || left(repeat('low ' || c_mktsegment || ' ', 12), 80) || ' |' FROM r WHERE NOT ok""")
 def batch_report(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").select(F.col("c_name").alias("doc_name"), (F.col("c_acctbal") >= 0).alias("ok"), F.concat(F.lit("low "), "c_mktsegment").alias("error"), F.col("c_nationkey").alias("n_skills"))
-    return logstats.batch_report(r).withColumn("failures", F.array_join("failures", "|"))
+    r = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("doc_name"), (F.col("c_acctbal") >= 0).alias("ok"), F.repeat(F.concat(F.lit("low "), "c_mktsegment", F.lit(" ")), 12).alias("error"),
+        F.col("c_nationkey").alias("n_skills"), F.lit("pdf").alias("format"), F.col("c_custkey").alias("n_chunks"), (F.col("c_custkey") / 2.0).alias("elapsed"),
+    )
+    return logstats.batch_report(r)
 
 
-@query(r"""SELECT coalesce(o_custkey, c_custkey) AS doc, coalesce(count(o_orderkey), 0) AS chunks, count(*) FILTER (o_orderstatus = 'F') AS kept, count(DISTINCT c_custkey) AS skills
-FROM orders FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey GROUP BY 1""")
+@query(r"""SELECT coalesce(o_custkey, c_custkey) AS doc, coalesce(count(o_orderkey), 0) AS chunks, count(*) FILTER (o_orderstatus = 'F') AS kept, count(DISTINCT c_custkey) AS skills,
+  count(DISTINCT CASE WHEN c_nationkey % 3 = 0 THEN c_custkey END) AS factual, count(DISTINCT CASE WHEN c_nationkey % 3 = 1 THEN c_custkey END) AS procedural, count(DISTINCT CASE WHEN c_nationkey % 3 = 2 THEN c_custkey END) AS relational
+FROM orders FULL JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def pipeline_counters(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "doc")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").withColumnRenamed("c_custkey", "doc")
-    return logstats.pipeline_counters("doc", chunks=o, kept=o.where("o_orderstatus = 'F'"), skills=c)
+    kind = F.element_at(F.array(*map(F.lit, logstats.TYPES)), F.col("c_nationkey") % 3 + 1)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), kind.alias("sku_type"))
+    return logstats.pipeline_counters("doc", c, chunks=o, kept=o.where("o_orderstatus = 'F'"), skills=c)
 
 
 # ---------------------------------------------------------------- similarity
@@ -323,17 +341,27 @@ def _clusters(spark, sf_dir):
     return similarity.greedy_clusters(fx.skills(spark, sf_dir).select("idx"), similarity.cosine_pairs(_tf(spark, sf_dir)))
 
 
-@query(None)
+CLUSTER_SQL = PAIRS_SQL + r""",
+nb AS (SELECT row_number() OVER (ORDER BY idx) AS k, idx, coalesce(small, []) AS small FROM skills LEFT JOIN (SELECT y, list(x) AS small FROM pairs GROUP BY y) ON y = idx),
+lead AS (WITH RECURSIVE st AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders
+    UNION ALL SELECT nb.k, CASE WHEN list_has_any(nb.small, leaders) THEN leaders ELSE list_append(leaders, nb.idx) END FROM st JOIN nb ON nb.k = st.k + 1)
+  SELECT leaders FROM st ORDER BY k DESC LIMIT 1),
+clusters AS (SELECT idx, CASE WHEN list_contains(leaders, idx) THEN idx ELSE list_min(list_intersect(small, leaders)) END AS cluster_id FROM nb, lead)"""
+
+
+@query("WITH" + CLUSTER_SQL + " SELECT idx, cluster_id FROM clusters")
 def greedy_clusters(spark, sf_dir):
     return _clusters(spark, sf_dir)
 
 
-@query(None)
+@query("WITH" + CLUSTER_SQL + """ SELECT cluster_id, n AS members, name, "trigger", domain, confidence, body FROM (SELECT cluster_id, count(*) AS n, min(idx) AS idx FROM clusters GROUP BY 1) c JOIN skills USING (idx)""")
 def cluster_representative(spark, sf_dir):
     return similarity.cluster_representative(fx.skills(spark, sf_dir).select("idx", "name", "trigger", "domain", "confidence", "body"), _clusters(spark, sf_dir))
 
 
-@query(None)
+@query("WITH" + CLUSTER_SQL + r""", nu AS (SELECT cluster_id, idx, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) AS k FROM clusters)
+SELECT cluster_id, count(*) AS members, string_agg('### ' || k || '. ' || name || E'\n> ' || source_context || E'\n\n' || body, E'\n\n' ORDER BY idx) AS user_prompt FROM nu JOIN skills USING (idx) GROUP BY cluster_id HAVING count(*) > 1""")
 def cluster_merge_request(spark, sf_dir):
     return requests.cluster_merge_request(fx.skills(spark, sf_dir), _clusters(spark, sf_dir))
 
@@ -347,9 +375,14 @@ def vector_top_k(spark, sf_dir):
     return similarity.vector_top_k(q, e).select("query_id", "vec_id")
 
 
-@query(None)
+@query(r"""WITH e AS (SELECT vec_id, 'v' || CAST(vec_id % 400 AS VARCHAR) AS name, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, name, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+s AS (SELECT a.vec_id AS p, b.vec_id AS q, a.name AS x, b.name AS y, round(list_dot_product(a.v, b.v) / (a.n * b.n), 4) AS score FROM u a, u b),
+k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS k FROM s)
+SELECT least(x, y) AS name_a, greatest(x, y) AS name_b, max(score) AS score FROM k WHERE k <= 5 AND score >= 0.4 AND x <> y GROUP BY 1, 2""")
 def vector_duplicates(spark, sf_dir):
-    return similarity.vector_duplicates(table(spark, sf_dir, "embeddings"), 0.4)
+    e = table(spark, sf_dir, "embeddings").withColumn("name", F.concat(F.lit("v"), (F.col("vec_id") % 400).cast("string")))
+    return similarity.vector_duplicates(e, 0.4)
 
 
 @query("WITH" + fx.SKILLS_SQL + " SELECT lower(replace(name, ' ', '-')) AS slug, arg_max(idx, (confidence, -idx)) AS idx FROM skills GROUP BY 1")
@@ -567,12 +600,26 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(*_supply(spark, sf_dir))
 
 
-@query(None)
+RANK_SQL = SUPPLY_SQL + r""",
+mv AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ge),
+into_ AS (SELECT name, list(src) AS srcs, list(share) AS shares FROM gn LEFT JOIN mv ON dst = name GROUP BY name),
+loose AS (SELECT list(name) AS names FROM gn WHERE name NOT IN (SELECT src FROM mv)),
+pr AS (WITH RECURSIVE r AS (
+    SELECT 0 AS k, map_from_entries((SELECT list((name, 1.0::DOUBLE / (SELECT count(*) FROM gn))) FROM gn)) AS m
+    UNION ALL
+    SELECT k + 1, (SELECT map_from_entries(list((name, 0.15 / n + 0.85 * (coalesce(list_sum(list_transform(range(1, len(srcs) + 1), lambda i: CASE WHEN srcs[i] IS NULL THEN 0.0 ELSE m[srcs[i]] * shares[i] END)), 0.0)
+      + coalesce(list_sum(list_transform(names, lambda x: m[x])), 0.0) / n)))) FROM into_, loose, (SELECT count(*) AS n FROM gn))
+    FROM r WHERE k < 20)
+  SELECT unnest(map_keys(m)) AS name, unnest(map_values(m)) AS rank FROM r WHERE k = 20)"""
+
+
+@query("WITH" + RANK_SQL + " SELECT name, round(rank, 6) AS rank FROM pr")
 def pagerank(spark, sf_dir):
     return graph.pagerank(*_supply(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
-@query(None)
+@query("WITH" + RANK_SQL + r""", ce AS (SELECT name, (SELECT count(*) FROM ge WHERE src = name OR dst = name) / ((SELECT count(*) FROM gn) - 1) AS c FROM gn)
+SELECT CAST(row_number() OVER (ORDER BY round(rank, 9) DESC, name) AS INTEGER) AS place, name, domain, round(rank, 4) AS pagerank, round(c, 4) AS centrality FROM pr JOIN ce USING (name) JOIN gn USING (name) ORDER BY place LIMIT 15""")
 def top_skills(spark, sf_dir):
     nodes, edges = _supply(spark, sf_dir)
     return graph.top_skills(graph.pagerank(nodes, edges), graph.degree_centrality(nodes, edges), nodes)

@@ -8,7 +8,6 @@ from loreforge.functions.text import sql_list
 from loreforge.operators import chunking, classify, density, markdown
 from loreforge.plans import fixtures as fx
 from loreforge.plans.registry import query, table
-from loreforge.sources.files import prompt_catalog
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 S = STRIP.format
@@ -363,13 +362,6 @@ def classify_file_level(spark, sf_dir):
     return part_files(spark, sf_dir).select("p_partkey", classify.classify_file_level("path").alias("level"))
 
 
-@query(r"""WITH f AS (SELECT 'prompt' || CAST(p_size AS VARCHAR) AS n, 'v' || CAST(p_partkey % 5 AS VARCHAR) AS v FROM part)
-SELECT n AS prompt_name, array_to_string(list_sort(list(DISTINCT v)), ',') AS versions FROM f GROUP BY n""")
-def scan_prompt_catalog(spark, sf_dir):
-    path = F.concat(F.lit("/p/prompt"), F.col("p_size").cast("string"), F.lit("_v"), (F.col("p_partkey") % 5).cast("string"), F.lit(".md"))
-    return prompt_catalog(table(spark, sf_dir, "part").select(path.alias("path"))).select("prompt_name", F.array_join("versions", ",").alias("versions"))
-
-
 #: English words of the generated texts in place of the Chinese keywords.
 EN_TYPES = (r"the\b|\band\b", r"\bof\b|ing\b", r"\bin\b|tion\b")
 SKU_SQL = fx.SKILLS_SQL + r""",
