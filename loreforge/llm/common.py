@@ -77,15 +77,15 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, ho
     """rows joined to a stored table with one row for each key, in which column `n` counts the key's rows.
 
     Keys with more than a 1 / share of all rows are fewer than `share`, whatever the input: their table is broadcast, so
-    the rows of a hot key stay where they are. All others meet by shuffle. Keys aren't null; `how` is inner or left_semi.
+    the rows of a hot key stay where they are. All others meet by shuffle. Keys aren't null; `how` is inner, left_semi or left.
     """
     total = per_key.agg(F.sum(n)).collect()[0][0] or 0
     bound = max(total // share, 1000)
-    cold = per_key if how == "inner" else per_key.select(*key, n)
+    cold = per_key.select(*key, n) if how == "left_semi" else per_key
     if not per_key.where(F.col(n) > bound).limit(1).count():
         return rows.join(cold.hint("merge"), key, how)
     hot = F.broadcast(cold.where(F.col(n) > bound))
-    out = rows.join(hot, key, how)
+    out = rows.join(hot, key, "inner" if how == "left" else how)
     rest = rows.join(hot.select(*key), key, "left_anti").join(cold.where(F.col(n) <= bound).hint("merge"), key, how)
     return out.unionByName(rest)
 

@@ -4,10 +4,10 @@ Sorting every suffix would shuffle many times the input, so suffixes are first g
 WINDOW bytes the least GRAM-byte string by hash is its anchor; equal windows have equal anchors at equal places. An
 anchor owns the run of windows that have it, so each window is judged once. Only anchors whose string stands elsewhere can
 own repeated windows. Where all occurrences of an anchor's string have the same owned text, all their windows are repeated.
-The rest are sorted: contexts are range-partitioned by the anchor's string (Spark samples the splitters), and each bucket
-sorts the windows of its contexts by multikey quicksort, eight bytes at a time. A range never parts one anchor's
-contexts, so neighbours across bucket boundaries can't be equal; an anchor with very many contexts is dealt out by
-window instead.
+The rest are sorted: their contexts are range-partitioned by the leading bytes of the suffix that begins at the anchor (Spark
+samples the splitters), so a bucket is a range of suffixes and no larger than others, however frequent a string is. Each
+bucket sorts the windows of its contexts by multikey quicksort, eight bytes at a time. The first and the last string of a bucket
+may go on in its neighbours: their windows are compared across the boundaries, by digests.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import _RANDOM, _power, discard, groups_of, mix, partitions_for, read_table, stored, text_bytes
+from loreforge.llm.common import _RANDOM, _power, discard, groups_of, join_counted, mix, partitions_for, read_table, stored, text_bytes
 
 WINDOW, GRAM = 200, 48
+LEAD = 16  # leading bytes of a suffix by which it is dealt
 PIECE = 1 << 19  # a longer text is anchored in pieces; it must be under 1 << 20
 _POS = np.uint64((1 << 20) - 1)
 
@@ -98,12 +99,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = text_bytes(b.column("text"))
-        out: dict[str, list] = {k: [] for k in ("gram", "ctx", "off", "n", "copies", "body")}
+        out: dict[str, list] = {k: [] for k in ("gram", "ctx", "off", "n", "copies", "lead", "body")}
         size = 0
         for t, marks in zip(texts, b.column("marks").to_pylist(), strict=True):
             for m in marks:
                 for k in ("gram", "ctx", "off", "n", "copies"):
                     out[k].append(m[k])
+                at = m["a"] + m["off"]
+                out["lead"].append(t[at : at + LEAD])
                 out["body"].append(t[m["a"] : m["a"] + m["n"] + WINDOW - 1])
                 size += m["n"] + WINDOW
             if size > 4 << 20:
@@ -113,11 +116,11 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _contexts(out)
 
 
-_CONTEXTS = "gram long, ctx long, off short, n short, copies long, body binary"
+_CONTEXTS = "gram long, ctx long, off short, n short, copies long, lead binary, body binary"
 
 
 def _contexts(c: dict[str, list]) -> pa.RecordBatch:
-    t = {"gram": pa.int64(), "ctx": pa.int64(), "off": pa.int16(), "n": pa.int16(), "copies": pa.int64(), "body": pa.binary()}
+    t = {"gram": pa.int64(), "ctx": pa.int64(), "off": pa.int16(), "n": pa.int16(), "copies": pa.int64(), "lead": pa.binary(), "body": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array(c[k], t[k]) for k in t})
 
 
@@ -183,74 +186,97 @@ def repeated_windows(gram: np.ndarray, ctx: np.ndarray, off: np.ndarray, n: np.n
     return keep[row[first]], j[first], j[last] + 1
 
 
-_HITS = "gram long, ctx long, j0 int, j1 int"
+_JUDGED = "gram long, ctx long, j0 int, j1 int, d int, copies long, h binary"
+
+
+def _rows(gram, ctx, j0, j1, d=None, copies=None, h=None) -> pa.RecordBatch:
+    n = len(gram)
+    col = lambda v, t: pa.nulls(n, t) if v is None else pa.array(v, t)
+    return pa.RecordBatch.from_pydict({"gram": col(gram, pa.int64()), "ctx": col(ctx, pa.int64()), "j0": col(j0, pa.int32()), "j1": col(j1, pa.int32()), "d": col(d, pa.int32()), "copies": col(copies, pa.int64()), "h": col(h, pa.binary())})
 
 
 def _bucket(batches: Iterator[pa.RecordBatch], flush: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram; whole grams are sorted together, some megabytes of contexts at a time."""
+    """Rows come sorted by leading bytes and gram; whole grams are sorted together, some megabytes of contexts at a time.
 
-    def judge(t: pa.Table) -> pa.RecordBatch:
+    Gives repeated windows j0 to j1 - 1 of contexts; of the first and last gram of the bucket, which its neighbours may hold
+    too, the windows j0 with their digest h, place d against the anchor and copies.
+    """
+
+    def inner(t: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, ctx = t.column("gram").to_numpy(), t.column("ctx").to_numpy()
         row, j0, j1 = repeated_windows(gram, ctx, t.column("off").to_numpy(), t.column("n").to_numpy(), t.column("copies").to_numpy(), t.column("body").to_pylist())
-        return pa.RecordBatch.from_pydict({"gram": pa.array(gram[row]), "ctx": pa.array(ctx[row]), "j0": pa.array(j0.astype(np.int32)), "j1": pa.array(j1.astype(np.int32))})
+        yield _rows(gram[row], ctx[row], j0.astype(np.int32), j1.astype(np.int32))
+
+    def edge(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for r in t.select(["gram", "ctx", "off", "n", "copies", "body"]).to_pylist():
+            n = r["n"]
+            j = range(n)
+            yield _rows([r["gram"]] * n, [r["ctx"]] * n, j, None, [r["off"] - x for x in j], [r["copies"]] * n, [xxhash.xxh3_128_digest(r["body"][x : x + WINDOW]) for x in j])
 
     held: list[pa.Table] = []
-    size = 0
+    size, first = 0, None
     for b in batches:
+        if not b.num_rows:
+            continue
         t = pa.Table.from_batches([b])
+        if first is None:
+            first = t.column("gram")[0].as_py()
+        g = t.column("gram").to_numpy()
+        if not held and (g == first).any():
+            k = int((g == first).sum())
+            yield from edge(t.slice(0, k))
+            t = t.slice(k)
+            if not t.num_rows:
+                continue
         held.append(t)
         size += t.nbytes
         if size >= flush:
             t = pa.concat_tables(held)
             g = t.column("gram").to_numpy()
-            k = int(np.searchsorted(g, g[-1], side="left"))  # the last gram may go on
+            k = int(np.flatnonzero(g == g[-1])[0])  # the last gram may go on
             if k:
-                yield judge(t.slice(0, k))
-                held = [t.slice(k)]
-                size = held[0].nbytes
+                yield from inner(t.slice(0, k))
+            held = [t.slice(k)]
+            size = 0 if not k else held[0].nbytes
     if held:
         t = pa.concat_tables(held)
-        if t.num_rows:
-            yield judge(t)
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit digest of each window, for anchors with very many contexts."""
-    for b in batches:
-        for r in b.to_pylist():
-            h = [xxhash.xxh3_128_digest(r["body"][j : j + WINDOW]) for j in range(r["n"])]
-            k = len(h)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array([r["gram"]] * k, pa.int64()), "ctx": pa.array([r["ctx"]] * k, pa.int64()), "j": pa.array(range(k), pa.int32()), "d": pa.array([r["off"] - j for j in range(k)], pa.int32()), "copies": pa.array([r["copies"]] * k, pa.int64()), "h": pa.array(h, pa.binary())})
+        g = t.column("gram").to_numpy()
+        k = int(np.flatnonzero(g == g[-1])[0])
+        if k:
+            yield from inner(t.slice(0, k))
+        yield from edge(t.slice(k))
 
 
 # ---------------------------------------------------------------- operator
 
 
-def repeated_runs(docs: DataFrame, hot_contexts: int = 20_000) -> DataFrame:
+def repeated_runs(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     """(doc, a, n): windows a to a + n - 1 of documents (doc, text) that also start elsewhere."""
     spark = docs.sparkSession
     occ = stored(docs.mapInArrow(_anchor_rows, _OCC), "anchors")
-    stats = occ.groupBy("gram").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").drop("c")
-    cand = stored(occ.join(stats.hint("merge"), "gram"), "anchors-repeated")
+    stats = occ.groupBy("gram").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1")
+    stats = stored(stats, "anchors-counted")
+    cand = stored(join_counted(occ, stats, ["gram"], "c").drop("c"), "anchors-repeated")
     discard(occ)
     solid = cand.where("not mixed").select("doc", "a", "n")
 
     mixed = cand.where("mixed").drop("mixed")
     reps = mixed.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "a", "n", "off")).alias("r"))
     reps = stored(reps.select("gram", "ctx", "copies", "r.*"), "contexts-chosen")
-    # grams with very many contexts: at most (number of contexts) / hot_contexts of them
-    hot = reps.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > hot_contexts).select("gram")
     marks = reps.groupBy("doc").agg(F.collect_list(F.struct("a", "n", "off", "gram", "ctx", "copies")).alias("marks"))
     bodies = docs.join(marks.hint("merge"), "doc").select("text", "marks").mapInArrow(_context_rows, _CONTEXTS)
     bodies = stored(bodies, "contexts")
-    n_parts = partitions_for(spark, reps.count() * 300, 12 << 20)
-    cold = bodies.join(hot.hint("merge"), "gram", "left_anti").select(*bodies.columns)
-    cold = cold.repartitionByRange(n_parts, "gram").sortWithinPartitions("gram").mapInArrow(_bucket, _HITS)
-    windows = bodies.join(hot.hint("merge"), "gram").select(*bodies.columns).distinct().mapInArrow(_window_rows, "gram long, ctx long, j int, d int, copies long, h binary")
-    twice = windows.groupBy("gram", "d", "h").agg(F.sum("copies").alias("c")).where("c > 1").drop("c")
-    warm = windows.join(twice.hint("merge"), ["gram", "d", "h"]).select("gram", "ctx", F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"))
-    hits = stored(cold.unionByName(warm), "windows-repeated")
-    found = mixed.join(hits.hint("merge"), ["gram", "ctx"])
+    n_parts = partitions_for(spark, reps.count() * 300, bucket_bytes)
+    dealt = bodies.repartitionByRange(n_parts, "lead", "gram", "ctx").sortWithinPartitions("lead", "gram", "ctx")
+    judged = stored(dealt.mapInArrow(_bucket, _JUDGED), "buckets-judged")
+    # across boundaries: rows that repeat a context are one
+    edge = judged.where("h is not null").select("gram", "ctx", "j0", "d", "copies", "h").distinct()
+    twice = edge.groupBy("gram", "d", "h").agg(F.sum("copies").alias("c")).where("c > 1").drop("c")
+    edge = edge.join(twice.hint("merge"), ["gram", "d", "h"]).select("gram", "ctx", "j0", (F.col("j0") + 1).alias("j1"))
+    hits = judged.where("h is null").select("gram", "ctx", "j0", "j1").unionByName(edge)
+    hits = hits.groupBy("gram", "ctx").agg(F.collect_set(F.struct("j0", "j1")).alias("runs"))
+    hits = stored(reps.select("gram", "ctx", "copies").join(hits.hint("merge"), ["gram", "ctx"]), "windows-repeated")
+    found = join_counted(mixed, hits, ["gram", "ctx"], "copies").select("doc", "a", F.explode("runs").alias("j")).select("doc", "a", "j.*")
     return solid.unionByName(found.select("doc", (F.col("a") + F.col("j0")).alias("a"), (F.col("j1") - F.col("j0")).cast("short").alias("n")))
 
 
@@ -274,14 +300,14 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _with_runs(docs: DataFrame, hot_contexts: int = 20_000) -> DataFrame:
+def _with_runs(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), "text"), hot_contexts)
+    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), "text"), bucket_bytes)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("_runs")).withColumnRenamed("doc", "_doc")
     return keyed.join(runs.hint("merge"), "_doc", "left").drop("_doc")
 
 
-def removal_report(docs: DataFrame, hot_contexts: int = 20_000) -> DataFrame:
+def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     Texts are judged as UTF-8 bytes on the input as it is; null is empty. Rows that repeat a text of WINDOW bytes or more
@@ -297,7 +323,7 @@ def removal_report(docs: DataFrame, hot_contexts: int = 20_000) -> DataFrame:
             n, r, s, h = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept_sha256": pa.array(h, pa.string())})
 
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hot_contexts)
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bucket_bytes)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

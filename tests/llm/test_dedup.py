@@ -201,10 +201,16 @@ def test_removal_equals_brute_force(spark):
     assert got == brute_removal(rows)
 
 
-def test_removal_with_hot_anchors_and_texts_in_pieces(spark, monkeypatch):
+def test_removal_across_bucket_boundaries(spark):
+    import random
+
+    rng = random.Random(51)
     rows = passages()
-    got = Counter(tuple(r) for r in suffix_dedup.removal_report(documents(spark, rows), hot_contexts=1).collect())
-    assert got == brute_removal(rows)
+    hot = sentence(rng, 30)
+    rows += [(500 + i, f"{rng.random()} " * 9 + hot + f" {i % 4} {i % 7}" * 40) for i in range(60)]  # one string in many contexts
+    for size in (100, 3000):
+        got = Counter(tuple(r) for r in suffix_dedup.removal_report(documents(spark, rows), bucket_bytes=size).collect())
+        assert got == brute_removal(rows)
 
 
 def test_anchors_cover_each_window_once():
