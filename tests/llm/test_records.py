@@ -256,7 +256,7 @@ def best_capacity(sizes, n):
 
 def test_shards_are_minimax_contiguous_and_atomic(spark):
     rows = [r for r in hard_texts(6) if r[0] is not None]
-    got = sharding.shard_documents(documents(spark, rows), groups_each=7).collect()
+    got = sharding.shard_documents(documents(spark, rows), groups_each=7, spans=3).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
     slots, sums = defaultdict(list), Counter()
     for r in got:
@@ -442,6 +442,13 @@ def test_url_rules_equal_brute_force(spark, limit):
     rules = spark.createDataFrame(list(url_filter.BASE_RULES) * 2 + [(None, "/", "block")], "host string, path string, verdict string")
     got = url_filter.judge_urls(pages, rules, broadcast_rules=limit, prefix_hex=1).select("page_id", "host", "path", "rule", "verdict").collect()
     assert Counter(map(tuple, got)) == Counter((i, *brute_rule(u)) for i, u in URLS)
+    words = spark.createDataFrame([("notexample", "block"), ("net", "allow"), ("b", "block"), (None, "block")], "word string, verdict string")
+    got = url_filter.judge_urls(pages, rules, words, broadcast_rules=limit, prefix_hex=1).select("page_id", "host", "path", "rule", "verdict").collect()
+    by_word = lambda h: max(((len(w), w, v) for w, v in (("notexample", "block"), ("net", "allow"), ("b", "block")) if w in re.split("[.-]", h)), default=(0, None, None))[2]
+    want = [(i, *brute_rule(u)) for i, u in URLS]
+    assert Counter(map(tuple, got)) == Counter((i, h, p, r, v if r else by_word(h)) for i, h, p, r, v in want)
+    long = spark.createDataFrame([(1, "http://" + "a." * 5000 + "org/x")], "page_id long, url string")
+    assert url_filter.judge_urls(long, rules).collect()[0]["rule"] == "org/"
     assert url_filter.judge_urls(pages, rules.limit(0)).where("rule is not null").count() == 0 and url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
