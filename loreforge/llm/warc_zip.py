@@ -1,9 +1,15 @@
-"""WARC records in ZIP archives: written by tasks into the shared folder, read back by ranges without extraction."""
+"""WARC records in ZIP archives: written by tasks into the shared folder, read back by ranges without extraction.
+
+Any archive whose WARC files are stored members can be read, whatever its members are called: by its CDXJ indexes, compressed
+or not, or, for WARC files that no index names, by running over their records.
+"""
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import io
+import itertools
 import json
 import struct
 import uuid
@@ -16,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import new_path, partitions_for, read_table, stored, text_bytes
+from loreforge.llm.common import join_counted, new_path, partitions_for, read_table, stored, text_bytes
 
 # ---------------------------------------------------------------- ZIP directory
 
@@ -99,39 +105,153 @@ def member_offset(f, member: dict) -> int:
 # ---------------------------------------------------------------- records
 
 
-def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to, level: int = 3) -> bytes:
+PAGE = "urn:page:"  # record ids of pages that this module writes
+
+
+def _gzip(raw: bytes, level: int = 3) -> bytes:
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def _record(kind: str, ident: str, date: str, content_type: str, body: bytes, more: list[str]) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {date}", f"Content-Type: {content_type}", *more, f"Content-Length: {len(body)}"]
+    return _gzip("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+
+def warcinfo(date: str) -> bytes:
+    return _record("warcinfo", f"urn:uuid:{uuid.uuid4()}", date, "application/warc-fields", b"software: loreforge\r\nformat: WARC File Format 1.1\r\n", [])
+
+
+def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One record as a gzip member: a response with its payload, or a revisit with the HTTP head alone."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    kind = "response" if refers_to is None else "revisit"
-    body = head + payload if refers_to is None else head
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{json.dumps(page_id)}>", f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
+    more = [f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{json.dumps(refers_to)}>"]
-    lines.append(f"Content-Length: {len(body)}")
-    raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    z = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return z.compress(raw) + z.flush()
+        more += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{PAGE}{json.dumps(refers_to)}>"]
+    kind, body = ("response", head + payload) if refers_to is None else ("revisit", head)
+    return _record(kind, PAGE + json.dumps(page_id), date, "application/http;msgtype=response", body, more)
+
+
+def _page_of(ident: str | None):
+    ident = (ident or "").strip("<>")
+    return json.loads(ident[len(PAGE) :]) if ident.startswith(PAGE) else None
+
 
+def parse_record(raw: bytes) -> dict:
+    """A record (gzip member or plain): header fields, the HTTP body's length, and the payload (null for a revisit).
 
-def parse_record(packed: bytes) -> dict:
-    """Header fields (lower-cased names), HTTP head's payload length, and the payload (null for a revisit)."""
-    raw = zlib.decompress(packed, 31)
+    The length is that of the body; of a revisit it is what its HTTP head says, null where it says nothing. The digest is the
+    body's SHA-256, or what the header of a revisit tells, bare where it is a SHA-256.
+    """
+    if raw[:2] == b"\x1f\x8b":
+        raw = zlib.decompress(raw, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     body = rest[: int(fields["content-length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    ident = lambda v: json.loads(v[len("<urn:page:") : -1])
-    out = {"page_id": ident(fields["warc-record-id"]), "record_type": fields["warc-type"], "length": length}
-    out["digest"] = fields["warc-payload-digest"].removeprefix("sha256:")
-    out["refers_to"] = ident(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-    out["payload"] = payload if out["record_type"] == "response" else None
+    kind = fields["warc-type"]
+    http, payload = b"", body
+    if body.startswith(b"HTTP/") and fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+    said = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    told = fields.get("warc-payload-digest", "")
+    out = {"record_type": kind, "record_id": fields["warc-record-id"].strip("<>"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date")}
+    out |= {"page_id": _page_of(fields["warc-record-id"]), "refers_to": _page_of(fields.get("warc-refers-to")), "payload": None, "length": said, "digest": told.removeprefix("sha256:")}
+    if kind != "revisit":
+        out |= {"payload": payload, "length": len(payload), "digest": hashlib.sha256(payload).hexdigest()}
+        if said is not None and kind == "response" and told.startswith("sha256:") and (said != len(payload) or told[7:].lower() != out["digest"]):
+            raise ValueError("a damaged record")
     return out
 
 
+def gzip_spans(f, at: int, end: int, piece: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member from `at` to `end`, read in pieces."""
+    begin, z = at, zlib.decompressobj(31)
+    while at < end:
+        data = f.read(at, min(piece, end - at))
+        at += len(data)
+        while data:
+            z.decompress(data)
+            if not z.eof:
+                break
+            data = z.unused_data
+            stop = at - len(data)
+            yield begin, stop - begin
+            begin, z = stop, zlib.decompressobj(31)
+
+
+def plain_spans(f, at: int, end: int, head: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each record of a WARC file that isn't compressed."""
+    while at < end:
+        raw = f.read(at, min(head, end - at))
+        k = raw.find(b"\r\n\r\n")
+        if not raw.startswith(b"WARC/") or k < 0:
+            raise ValueError(f"no WARC record at {at}")
+        n = next(int(x.partition(b":")[2]) for x in raw[:k].split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        yield at, k + 4 + n + 4
+        at += k + 4 + n + 4
+
+
+def index_lines(f, at: int, size: int, packed: bool, piece: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
+    """Lines of a stored index, read in pieces; members of a compressed one follow one another. With each the CRC of what was read."""
+    z, rest, crc, done = zlib.decompressobj(31) if packed else None, b"", 0, 0
+    while done < size:
+        data = f.read(at + done, min(piece, size - done))
+        done += len(data)
+        crc = zlib.crc32(data, crc)
+        text = b"" if packed else data
+        while packed and data:
+            text += z.decompress(data)
+            data = z.unused_data
+            if z.eof:
+                z = zlib.decompressobj(31)
+        lines = (rest + text).split(b"\n")
+        rest = lines.pop()
+        yield from ((x, crc) for x in lines if x.strip())
+    if rest.strip():
+        yield rest, crc
+
+
+def cdxj_entry(line: bytes) -> dict | None:
+    """The JSON part of a line `key timestamp {...}` or of a line of JSON alone; null for other lines."""
+    k = line.find(b"{")
+    if k < 0 or line.startswith(b"!"):
+        return None
+    x = json.loads(line[k:])
+    return x if "offset" in x and "length" in x else None
+
+
+def archive_records(f, path: str = "") -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of an archive's stored WARC files: those that its indexes name, and all of files that none names."""
+    members = zip_members(f)
+    warcs = {n: m for n, m in members.items() if n.lower().endswith((".warc", ".warc.gz"))}
+    base = {n: member_offset(f, m) for n, m in warcs.items()}
+    by_file = {n.rsplit("/", 1)[-1]: n for n in warcs}
+    known: set[str] = set()
+    for n, m in members.items():
+        if not n.lower().endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz", ".jsonl")) or m["method"] != 0 or n.startswith("pages/"):
+            continue
+        at, crc = member_offset(f, m), 0
+        for line, crc in index_lines(f, at, m["size"], n.lower().endswith(".gz")):
+            x = cdxj_entry(line)
+            if x is None:
+                continue
+            name = str(x.get("filename", "")).rsplit("/", 1)[-1]
+            w = by_file.get(name) or (next(iter(warcs)) if len(warcs) == 1 else None)
+            if w is None:
+                raise ValueError(f"{path}: the index names {name}, which isn't in the archive")
+            known.add(w)
+            yield base[w] + int(x["offset"]), int(x["length"])
+        if known and crc != m["crc"]:
+            raise ValueError(f"{path}: the index {n} is damaged")
+    for n, m in warcs.items():
+        if n not in known:
+            spans = gzip_spans if n.lower().endswith(".gz") else plain_spans
+            yield from spans(f, base[n], base[n] + m["size"])
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -147,14 +267,15 @@ def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
         F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"),
     )
     first = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
-    first = first.where("c > 1 and first is not null").drop("c")
-    joined = rows.join(first.hint("merge"), "digest", "left")
+    first = first.where("c > 1 and first is not null")
+    joined = join_counted(rows, stored(first, "payloads-repeated"), ["digest"], "c", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, bytes_each: int = 64 << 20) -> DataFrame:
-    """A ZIP archive of stored members (archive/data.warc.gz, indexes/index.jsonl) or more for each partition; returns (path, records)."""
+    """One ZIP archive or more for each partition, of stored members: archive/data.warc.gz and its index indexes/index.cdx.gz; returns (path, records)."""
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -164,9 +285,11 @@ def write_archives(records: DataFrame, folder: str, bytes_each: int = 64 << 20)
         def close():
             # a task that is run again writes other files; only those that its result names are read
             name = f"{uuid.uuid4().hex}.wacz"
+            stamp = "".join(c for c in date if c.isdigit())
+            lines = sorted(f"{url or '-'} {stamp} ".replace("\n", "%0A").encode() + json.dumps(x).encode() for url, x in index)
             with fs.open_output_stream(f"{path}/{name}") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
                 z.writestr("archive/data.warc.gz", data.getbuffer())
-                z.writestr("indexes/index.jsonl", "".join(json.dumps(x) + "\n" for x in index))
+                z.writestr("indexes/index.cdx.gz", _gzip(b"\n".join(lines) + b"\n"))
             done.append((f"{folder}/{name}", len(index)))
             data.seek(0)
             data.truncate()
@@ -176,8 +299,11 @@ def write_archives(records: DataFrame, folder: str, bytes_each: int = 64 << 20)
             c = b.to_pydict()
             payloads = text_bytes(b.column("html"))
             for pid, url, payload, digest, ref in zip(c["page_id"], c["url"], payloads, c["digest"], c["refers_to"], strict=True):
-                rec = warc_record(pid, url, payload, digest, ref)
-                index.append({"page_id": pid, "offset": data.tell(), "length": len(rec)})
+                if not index:
+                    data.write(warcinfo(date))
+                rec = warc_record(pid, url, payload, digest, ref, date)
+                key = json.dumps(url or "-")[1:-1].replace("{", "%7B").replace(" ", "%20")
+                index.append((key, {"filename": "data.warc.gz", "offset": str(data.tell()), "length": str(len(rec)), "digest": f"sha256:{digest}"}))
                 data.write(rec)
                 if data.tell() >= bytes_each:
                     close()
@@ -189,34 +315,25 @@ def write_archives(records: DataFrame, folder: str, bytes_each: int = 64 << 20)
 
 
 def read_index(archives: DataFrame) -> DataFrame:
-    """path, offset and length (in the archive file) of each record, from the stored index of each archive."""
+    """path, offset and length (in the archive file) of each record of the archives (path), see archive_records."""
 
     def read(batches):
         for b in batches:
             for path in b.column("path").to_pylist():
                 f = RangeFile(path)
-                members = zip_members(f)
-                base = member_offset(f, members["archive/data.warc.gz"])
-                idx = members["indexes/index.jsonl"]
-                at, end, rest = member_offset(f, idx), idx["size"], b""
-                crc = done = 0
-                while done < end:
-                    piece = f.read(at + done, min(1 << 20, end - done))
-                    done += len(piece)
-                    crc = zlib.crc32(piece, crc)
-                    lines = (rest + piece).split(b"\n")
-                    rest = lines.pop()
-                    rows = [json.loads(x) for x in lines if x]
-                    yield pa.RecordBatch.from_pydict({"path": [path] * len(rows), "offset": pa.array([base + x["offset"] for x in rows], pa.int64()), "length": pa.array([x["length"] for x in rows], pa.int64())})
-                if crc != idx["crc"]:
-                    raise ValueError(f"{path}: the index is damaged")
+                spans = archive_records(f, path)
+                while rows := list(itertools.islice(spans, 10_000)):
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(rows), "offset": pa.array([x for x, _ in rows], pa.int64()), "length": pa.array([n for _, n in rows], pa.int64())})
                 f.close()
 
     return archives.mapInArrow(read, "path string, offset long, length long")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """page_id, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to; payloads are checked."""
+_RECORDS = "page_id long, record_id string, url string, date string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read_records(index: DataFrame, kinds: tuple[str, ...] = ("response", "revisit", "resource")) -> DataFrame:
+    """_RECORDS: the records of these kinds. page_id and refers_to are null for records of other writers; digests that a record tells as SHA-256 are checked."""
 
     def read(batches):
         path, f = None, None
@@ -228,22 +345,26 @@ def read_records(index: DataFrame) -> DataFrame:
                     if f:
                         f.close()
                     path, f = p, RangeFile(p)
-                r = parse_record(f.read(offset, length))
-                if r["payload"] is not None and (len(r["payload"]) != r["length"] or hashlib.sha256(r["payload"]).hexdigest() != r["digest"]):
-                    raise ValueError(f"{p}: record at {offset} is damaged")
-                out.append(r)
+                try:
+                    r = parse_record(f.read(offset, length))
+                except (ValueError, zlib.error) as e:
+                    raise ValueError(f"{p}: record at {offset}: {e}") from e
+                if r["record_type"] in kinds:
+                    out.append(r)
                 if len(out) >= 500:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
 
-    return index.mapInArrow(read, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return index.mapInArrow(read, _RECORDS)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     col = lambda k, t: pa.array([r[k] for r in rows], t)
-    return pa.RecordBatch.from_pydict({"page_id": col("page_id", pa.int64()), "payload": col("payload", pa.binary()), "payload_bytes": col("length", pa.int64()), "payload_digest": col("digest", pa.string()), "record_type": col("record_type", pa.string()), "refers_to": col("refers_to", pa.int64())})
+    texts = {k: col(k, pa.string()) for k in ("record_id", "url", "date", "record_type")}
+    cols = {"payload": col("payload", pa.binary()), "payload_bytes": col("length", pa.int64()), "payload_digest": col("digest", pa.string()), "page_id": col("page_id", pa.int64()), "refers_to": col("refers_to", pa.int64())}
+    return pa.RecordBatch.from_pydict({n: (texts | cols)[n] for n in (x.split()[0] for x in _RECORDS.split(", "))})
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

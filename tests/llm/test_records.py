@@ -587,3 +587,57 @@ def test_archives_are_a_round_trip(spark):
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     assert {bytes(r["payload"]) for r in got if r["payload"] is not None} == {(h or "").encode() for _, _, h in rows}
     assert warc_zip.archive_round_trip(df.limit(0)).count() == 0
+
+
+def foreign_record(kind, ident, url, body, more=()):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", "WARC-Date: 2020-02-02T02:02:02Z", *([f"WARC-Target-URI: {url}"] if url else []), *more, f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["cdxj", "gz", "none", "plain"])
+def test_archives_of_other_writers(spark, tmp_path, index):
+    """Two WARC files of any name, in members of the gzip and zipfile modules; an index by its lines, compressed, or none."""
+    import gzip
+    import json
+
+    http = ("Content-Type: application/http; msgtype=response",)
+    bodies = [b"<p>one</p>", b"", b"x" * 70_000, "é".encode()]
+    blobs, lines, want = [], [], Counter()
+    for k in range(2):
+        raw, at = [], 0
+        records = [foreign_record("warcinfo", f"i{k}", None, b"software: other")]
+        records += [foreign_record("response", f"r{k}{j}", f"http://o.org/{j}", b"HTTP/1.0 200 OK\r\nServer: y\r\n\r\n" + x, http) for j, x in enumerate(bodies)]
+        records += [foreign_record("request", f"q{k}", "http://o.org/q", b"GET / HTTP/1.0\r\n\r\n", ("Content-Type: application/http; msgtype=request",))]
+        for j, r in enumerate(records):
+            p = r if index == "plain" else gzip.compress(r)
+            if 1 <= j <= len(bodies):
+                lines.append(f'org,o)/{j} 20200202020202 ' + json.dumps({"url": f"http://o.org/{j}", "offset": str(at), "length": str(len(p)), "filename": f"crawl-{k}.warc.gz"}))
+                want[(f"urn:uuid:r{k}{j - 1}", bodies[j - 1])] += 1
+            raw.append(p)
+            at += len(p)
+        blobs.append(b"".join(raw))
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("pages/pages.jsonl", '{"format": "json-pages-1.0"}\n')
+        for k, b in enumerate(blobs):
+            z.writestr(f"some/where/crawl-{k}.warc" + ("" if index == "plain" else ".gz"), b)
+        text = ("!meta 0 {}\n" + "\n".join(lines)).encode()
+        if index == "cdxj":
+            z.writestr("indexes/any-name.cdxj", text)
+        elif index == "gz":
+            z.writestr("indexes/index.cdx.gz", gzip.compress(text[:300]) + gzip.compress(text[300:]))
+    archives = spark.createDataFrame([(f"file://{path}",)], "path string")
+    got = warc_zip.read_records(warc_zip.read_index(archives)).collect()
+    assert Counter((r["record_id"], bytes(r["payload"])) for r in got) == want
+    assert all(r["page_id"] is None and r["date"] == "2020-02-02T02:02:02Z" and r["payload_bytes"] == len(r["payload"]) for r in got)
+
+
+def test_damaged_records_are_errors(spark):
+    import hashlib
+
+    good = warc_zip.warc_record(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None, "2020-01-01T00:00:00Z")
+    assert warc_zip.parse_record(good)["payload"] == b"abc" and warc_zip.parse_record(warc_zip.warcinfo("2020-01-01T00:00:00Z"))["record_type"] == "warcinfo"
+    for bad in (good[:40], warc_zip.warc_record(1, "u", b"abc", "00", None, "2020-01-01T00:00:00Z"), b"nothing"):
+        with pytest.raises((ValueError, zlib.error)):
+            warc_zip.parse_record(bad)
