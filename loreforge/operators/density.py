@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, count_matches, has_any, hits, words
+from loreforge.functions.text import col, count_matches, has_any, hits, let
 
 # ---- fixed values: word lists and patterns that decide scores
 CONNECTORS = (
@@ -31,20 +31,30 @@ PARENTHETICAL = r"（[^）]{2,20}）|\([^)]{2,20}\)"
 # ---- end of fixed values
 
 _U = "(?Ud)"
+#: What a text must hold for a pattern to match anywhere: cheap to test, and most texts have none of it.
+_CONDITION_WORDS, _CAUSAL_WORDS = ("如果", "若", "当", "假设", "假如"), ("因为", "由于", "因此", "导致", "引起", "造成", "使得", "so that", "due to", "leads to")
+_DIGIT, _NAME_LIKE = r"(?U)\d", r"(?U)\w\.\w|[a-z][A-Z]|[A-Z][A-Z]"
+
+
+def _count_if(needed: Column, c: Column, pattern: str) -> Column:
+    return F.when(needed, count_matches(c, _U + pattern)).otherwise(0)
 
 
 def logic_density(c: Column | str) -> Column:
     """Distinct connectors (2), condition patterns (5) and causal patterns (4) for each word; at most 1."""
     c = col(c)
     low = F.lower(c)
-    raw = hits(low, CONNECTORS) * 2 + count_matches(c, _U + CONDITION) * 5 + count_matches(low, _U + CAUSAL) * 4
-    return F.least(raw / F.greatest(F.size(words(c)), F.lit(1)), F.lit(1.0))
+    raw = hits(low, CONNECTORS) * 2 + _count_if(has_any(c, _CONDITION_WORDS), c, CONDITION) * 5 + _count_if(has_any(low, _CAUSAL_WORDS), low, CAUSAL) * 4
+    return F.least(raw / F.greatest(count_matches(c, r"(?U)\S+"), F.lit(1)), F.lit(1.0))
 
 
 def entity_density(c: Column | str) -> Column:
     """Numbers (2), units (3), formula signs (5), identifiers (2) and parentheticals (3) for each ten characters; at most 1."""
     c = col(c)
-    raw = sum((count_matches(c, _U + p) * w for p, w in ((NUMBER, 2), (UNIT, 3), (FORMULA, 5), (IDENTIFIER, 2), (PARENTHETICAL, 3))), F.lit(0))
+    digits = F.when(c.rlike(_DIGIT), count_matches(c, _U + NUMBER) * 2 + count_matches(c, _U + UNIT) * 3).otherwise(0)
+    names = _count_if(c.rlike(_NAME_LIKE), c, IDENTIFIER) * 2
+    asides = _count_if(F.contains(c, F.lit("(")) | F.contains(c, F.lit("（")), c, PARENTHETICAL) * 3
+    raw = digits + count_matches(c, _U + FORMULA) * 5 + names + asides
     return F.least(raw / (F.greatest(F.length(c), F.lit(1)) / 10), F.lit(1.0))
 
 
@@ -61,7 +71,7 @@ def value_score(c: Column | str, low_value=LOW_VALUE) -> Column:
     """1 to 5 from the weighted densities less 0.08 for each low-value word present."""
     c = col(c)
     x = logic_density(c) * 0.4 + entity_density(c) * 0.3 + struct_density(c) * 0.3 - hits(F.lower(c), low_value) * 0.08
-    return score_level(x)
+    return let(x, score_level)
 
 
 def score_level(x: Column) -> Column:

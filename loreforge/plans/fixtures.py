@@ -153,3 +153,19 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 2 == 0, F.concat(lit("\n---\nname: other "), n, lit("\ntrigger: any\n---\nno steps"))).otherwise(""),
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text"), F.when(i % 7 == 0, "nothing here: EMPTY_BLOCK").otherwise(text).alias("output_raw"))
+
+
+# ---- Chinese terms in the texts, so that patterns and keywords match as they are shipped
+CHINESE = (
+    (" the ", " 保额（每年赔付的最高限额） "), (" of ", " 流程与步骤 "), (" and ", " 数据，数量 "), (" that ", " 层级关系 "),
+    (" with ", " 免赔额是指每次赔付之前由自己承担的部分。 "), (" for ", " 等待期，即合同生效之后的一段时间。 "), (" be ", " 保单(合同双方签署的文件) "),
+)
+CHINESE_SQL = r"""
+zh AS (SELECT doc_id, source, """ + "".join("replace(" for _ in CHINESE) + r"regexp_replace(text, '[^\x00-\x7F]', 'e', 'g')" + "".join(f", '{a}', '{b}')" for a, b in CHINESE) + " AS text FROM documents)"
+
+
+def chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace("text", r"[^\x00-\x7F]", "e")
+    for a, b in CHINESE:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("text"))

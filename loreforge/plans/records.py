@@ -768,3 +768,13 @@ def extract_glossary(spark, sf_dir):
 @query("WITH" + GLOSSARY_SQL + " SELECT frequency, term, '| ' || term || ' | ' || definition || ' | ' || frequency || ' | ' || array_to_string(src[1:3], ', ') || CASE WHEN len(src) > 3 THEN ' 等' || len(src) || '个' ELSE '' END || ' |' AS line FROM gl")
 def glossary_report(spark, sf_dir):
     return glossary.glossary_report(glossary.extract_glossary(_mentioned(spark, sf_dir), 2))
+
+
+ZH_GLOSS_SQL = fx.CHINESE_SQL + ",\nzm AS (SELECT doc_id AS idx, source AS name, " + "list_concat(" + ", ".join(f"list_zip(regexp_extract_all(text, '{p}', 1), regexp_extract_all(text, '{p}', 2))::STRUCT(term VARCHAR, definition VARCHAR)[]" for p in glossary.PATTERNS) + ") AS m FROM zh)"
+
+
+@query("WITH" + ZH_GLOSS_SQL + " SELECT idx, name, CAST(k - 1 AS INTEGER) AS pos, " + S("m[k].term") + " AS term, " + S("m[k].definition") + " AS definition FROM zm, unnest(range(1, len(m) + 1)) u(k)")
+def glossary_mentions_shipped(spark, sf_dir):
+    """The patterns as they are shipped."""
+    d = fx.chinese(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.col("source").alias("name"), F.col("text").alias("body"))
+    return glossary.glossary_mentions(d, ("body",))

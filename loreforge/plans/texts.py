@@ -397,6 +397,28 @@ def sku_stats(spark, sf_dir):
     return classify.sku_stats(classify.classify_sku(_ascii_skills(spark, sf_dir).drop("sku_type"), EN_TYPES))
 
 
+ZH_SKU_SQL = fx.CHINESE_SQL + ",\nsz AS (SELECT doc_id AS idx, left(text, 500) AS t, text FROM zh),\ncz AS (SELECT *, " + ", ".join(f"len(regexp_extract_all(t, '(?i){p}')) AS {n}" for n, p in (("f", classify.FACTUAL), ("p", classify.PROCEDURAL), ("r", classify.RELATIONAL))) + " FROM sz)"
+
+
+def _zh_skills(spark, sf_dir):
+    return fx.chinese(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("trigger"), F.col("text").alias("body"))
+
+
+@query("WITH" + ZH_SKU_SQL + " SELECT idx, f AS factual, p AS procedural, r AS relational FROM cz")
+def sku_rule_scores_shipped(spark, sf_dir):
+    """The keywords as they are shipped."""
+    s = _zh_skills(spark, sf_dir).withColumns({"name": F.lit(""), "trigger": F.lit("")})
+    out = classify.sku_rule_scores(s)
+    return out.select("idx", *[F.col(c).cast("bigint").alias(c) for c in ("factual", "procedural", "relational")])
+
+
+@query("WITH" + ZH_SKU_SQL + r"""
+SELECT idx, CASE WHEN list_max([f, p, r]) >= 2 AND list_sort([f, p, r], 'DESC')[1] - list_sort([f, p, r], 'DESC')[2] >= 1 THEN CASE WHEN f = list_max([f, p, r]) THEN 'factual' WHEN p = list_max([f, p, r]) THEN 'procedural' ELSE 'relational' END
+  WHEN regexp_matches(text, '[1-9]\.') THEN 'procedural' WHEN contains(text, '->') OR contains(text, '关系') THEN 'relational' ELSE 'factual' END AS sku_type FROM cz""")
+def classify_sku_shipped(spark, sf_dir):
+    return classify.classify_sku(_zh_skills(spark, sf_dir)).select("idx", "sku_type")
+
+
 NORM_SQL = "CASE " + " ".join(f"WHEN lower(trim(domain)) = '{k}' THEN '{v}'" for k, v in classify.DOMAIN_SYNONYMS.items()) + " ELSE domain END"
 
 

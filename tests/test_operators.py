@@ -195,3 +195,91 @@ def test_greedy_clusters_decide_the_whole_of_a_long_chain(spark):
     items = spark.range(104).withColumnRenamed("id", "idx").coalesce(1)
     pairs = spark.range(103).selectExpr("id as i", "id + 1 as j").coalesce(1)
     assert dict(greedy_clusters(items, pairs).collect()) == {k: k - k % 2 for k in range(104)}
+
+
+def test_repeated_documents_are_numbered_by_themselves(spark):
+    text = "sentence here. " * 500
+    df = spark.createDataFrame([(1, "a", text), (1, "a", text), (2, "a", "sentence there. " * 500)], "doc_id long, doc_name string, markdown string")
+    out = chunking.chunk_markdown(df)
+    numbers = [r["chunk_index"] for r in out.collect()]
+    n = len(numbers) // 3
+    assert sorted(numbers) == sorted(list(range(n)) * 3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # a document's chunks never leave its row
+
+
+def test_windows_may_overlap(spark):
+    text = "".join(f"Sentence number {i} is here. " for i in range(400))
+    plain = one(spark, text, lambda t: chunking.chunk_sliding_window(t, 1000))
+    over = one(spark, text, lambda t: chunking.chunk_sliding_window(t, 1000, 0.2))
+    assert "".join(plain).replace(" ", "") == text.replace(" ", "") and all(len(p) <= 1000 for p in plain + over)
+    at = [text.index(p) for p in over]
+    ends = [a + len(p) for a, p in zip(at, over, strict=True)]
+    assert all(150 < e - a <= 201 for a, e in zip(at[1:], ends, strict=False)) and ends[-1] >= len(text) - 1
+    assert one(spark, "short", lambda t: chunking.chunk_sliding_window(t, 1000, 0.2)) == ["short"]
+
+
+def test_marks_inside_texts_cut_nothing(spark):
+    turn = "Turn 1\n" + "a\u0001b " * 80
+    assert one(spark, turn + "\n" + turn, chunking.chunk_conversation_turns) == [turn.strip()] * 2
+    assert one(spark, "# A\u0001x\ny\n## B", markdown.headings)[0]["title"] == "A\u0001x"
+    assert one(spark, "p\u0001q\n# H\nz", markdown.clean_markdown) == "p\u0001q\n# H\nz"
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.88])
+def test_cosine_pairs_equal_all_products(spark, threshold):
+    rng = np.random.default_rng(3)
+    rows, dense = [], np.zeros((120, 40))
+    for i in range(120):
+        base = rng.integers(0, 12) if i % 2 else i
+        seed = np.random.default_rng(base)
+        terms = seed.choice(40, size=8, replace=False)
+        weights = seed.integers(1, 5, 8) + (rng.integers(0, 2, 8) if i % 3 else 0)
+        dense[i, terms] = weights / np.linalg.norm(weights)
+        rows += [(i, int(t), float(dense[i, t])) for t in terms]
+    got = {(r["i"], r["j"]): r["similarity"] for r in similarity.cosine_pairs(spark.createDataFrame(rows, "idx long, term_id int, weight double"), threshold).collect()}
+    same = [min(j for j in range(120) if np.allclose(dense[i], dense[j])) for i in range(120)]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if dense[i] @ dense[j] >= threshold and (same[i] != same[j] or same[j] == i)}
+    assert set(got) == want and len(want) > 50 and all(abs(s - dense[i] @ dense[j]) < 1e-9 for (i, j), s in got.items())
+
+
+def test_nearest_vectors_over_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 6)).astype(np.float32)
+    x[50] = x[3]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], f"n{i % 70}") for i in range(90)] + [(500, [1.0] * 6, None)], "vec_id long, embedding array<float>, name string")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 4)
+    order = [sorted(range(90), key=lambda j: (-s[i, j], j))[:4] for i in range(90)]
+    vectors = df.where("vec_id < 90")
+    got = {}
+    for r in similarity.vector_top_k(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 4, block=20).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert [[got[i][k] for k in range(1, 5)] for i in range(90)] == order
+    want = {}
+    for i in range(90):
+        for j in order[i]:
+            a, b = sorted((f"n{i % 70}", f"n{j % 70}"))
+            if a != b and s[i, j] >= 0.6:
+                want[a, b] = max(want.get((a, b), 0), s[i, j])
+    rows = similarity.vector_duplicates(df, 0.6, 4).collect()
+    assert {(r["name_a"], r["name_b"]): r["score"] for r in rows} == pytest.approx(want) and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)
+    assert similarity.vector_top_k(vectors.limit(0).withColumnRenamed("vec_id", "query_id"), vectors).count() == 0
+
+
+def test_reports_have_lines_for_all_parts(spark):
+    calls = spark.createDataFrame([("p", "v1", 1000, 2000, 5, 10, "pass"), ("p", "v2", 1, 1, 0, 30, "fail_format")], "phase string, prompt_version string, input_tokens long, output_tokens long, think_tokens long, latency_ms long, validation_result string")
+    rows = logstats.log_report(logstats.log_stats_by_phase(calls), logstats.log_stats_by_version(calls), logstats.log_totals(calls)).collect()
+    assert [(r["section"], r["key"]) for r in rows] == [("1 total", "calls"), ("1 total", "cost"), ("1 total", "tokens"), ("2 phase", "p"), ("3 version", "v1"), ("3 version", "v2")]
+    assert rows[3]["line"].startswith("| p | 2 | 1,001 | 2,001 | 5 | 20ms | 30ms | 50% |") and rows[4]["line"] == "| v1 | 1 | 10ms | 100% | ¥0.018 |"
+    r = spark.createDataFrame([("a", True, None, 3, "pdf", 7, 1.5), ("b", False, "e" * 99, 0, "txt", 0, 0.0)], "doc_name string, ok boolean, error string, n_skills int, format string, n_chunks int, elapsed double")
+    lines = {(x["section"], x["name"]): x["line"] for x in logstats.batch_report(r).collect()}
+    assert lines["2 done", "a"] == "| a | pdf | 7 | 3 | 1.5s |" and lines["3 failed", "b"] == f"| b | {'e' * 80} |" and lines["1 summary", "results"] == "成功：1，失败：1"
+    sample = spark.createDataFrame([(1,), (2,)], "chunk long")
+    results = spark.createDataFrame([(1, "x", "t", "pass"), (1, "y", "t", "fail"), (9, "z", "t", "pass")], "chunk long, name string, trigger string, status string")
+    rows = {x["chunk"]: x for x in runs.sample_check_report(sample, results, ["chunk"]).collect()}
+    assert [tuple(s) for s in rows[1]["skills"]] == [("x", "t", "pass"), ("y", "t", "fail")] and rows[2]["skills"] is None and rows[None]["pass_rate"] == 50.0
+
+
+def test_components_of_a_long_path_settle(spark):
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(150)], "src string, dst string")
+    assert {r["component"] for r in graph.component_labels(edges).collect()} == {"n000"}
