@@ -5,9 +5,9 @@ WINDOW bytes the least GRAM-byte string by hash is its anchor; equal windows hav
 anchor owns the run of windows that have it, so each window is judged once. Only anchors whose string stands elsewhere can
 own repeated windows. Where all occurrences of an anchor's string have the same owned text, all their windows are repeated.
 The rest are sorted: their contexts are range-partitioned by the leading bytes of the suffix that begins at the anchor (Spark
-samples the splitters), so a bucket is a range of suffixes and no larger than others, however frequent a string is. Each
-bucket sorts the windows of its contexts by multikey quicksort, eight bytes at a time. The first and the last string of a bucket
-may go on in its neighbours: their windows are compared across the boundaries, by digests.
+samples the splitters), so a bucket is a range of suffixes. Each bucket sorts the windows of its contexts by multikey
+quicksort, eight bytes at a time. A string of more contexts than a bucket should hold goes over several buckets: its windows
+are compared across their boundaries, by digests.
 """
 
 from __future__ import annotations
@@ -99,11 +99,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = text_bytes(b.column("text"))
-        out: dict[str, list] = {k: [] for k in ("gram", "ctx", "off", "n", "copies", "lead", "body")}
+        out: dict[str, list] = {k: [] for k in ("gram", "ctx", "off", "n", "copies", "k", "lead", "body")}
         size = 0
         for t, marks in zip(texts, b.column("marks").to_pylist(), strict=True):
             for m in marks:
-                for k in ("gram", "ctx", "off", "n", "copies"):
+                for k in ("gram", "ctx", "off", "n", "copies", "k"):
                     out[k].append(m[k])
                 at = m["a"] + m["off"]
                 out["lead"].append(t[at : at + LEAD])
@@ -116,11 +116,11 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _contexts(out)
 
 
-_CONTEXTS = "gram long, ctx long, off short, n short, copies long, lead binary, body binary"
+_CONTEXTS = "gram long, ctx long, off short, n short, copies long, k long, lead binary, body binary"
 
 
 def _contexts(c: dict[str, list]) -> pa.RecordBatch:
-    t = {"gram": pa.int64(), "ctx": pa.int64(), "off": pa.int16(), "n": pa.int16(), "copies": pa.int64(), "lead": pa.binary(), "body": pa.binary()}
+    t = {"gram": pa.int64(), "ctx": pa.int64(), "off": pa.int16(), "n": pa.int16(), "copies": pa.int64(), "k": pa.int64(), "lead": pa.binary(), "body": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array(c[k], t[k]) for k in t})
 
 
@@ -198,8 +198,8 @@ def _rows(gram, ctx, j0, j1, d=None, copies=None, h=None) -> pa.RecordBatch:
 def _bucket(batches: Iterator[pa.RecordBatch], flush: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by leading bytes and gram; whole grams are sorted together, some megabytes of contexts at a time.
 
-    Gives repeated windows j0 to j1 - 1 of contexts; of the first and last gram of the bucket, which its neighbours may hold
-    too, the windows j0 with their digest h, place d against the anchor and copies.
+    Gives repeated windows j0 to j1 - 1 of contexts; of grams that go over several buckets (`wide`) the windows j0 with their
+    digest h, place d against the anchor and copies.
     """
 
     def inner(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -214,20 +214,14 @@ def _bucket(batches: Iterator[pa.RecordBatch], flush: int = 6 << 20) -> Iterator
             yield _rows([r["gram"]] * n, [r["ctx"]] * n, j, None, [r["off"] - x for x in j], [r["copies"]] * n, [xxhash.xxh3_128_digest(r["body"][x : x + WINDOW]) for x in j])
 
     held: list[pa.Table] = []
-    size, first = 0, None
+    size = 0
     for b in batches:
-        if not b.num_rows:
-            continue
         t = pa.Table.from_batches([b])
-        if first is None:
-            first = t.column("gram")[0].as_py()
-        g = t.column("gram").to_numpy()
-        if not held and (g == first).any():
-            k = int((g == first).sum())
-            yield from edge(t.slice(0, k))
-            t = t.slice(k)
-            if not t.num_rows:
-                continue
+        wide = t.column("wide").to_numpy()
+        yield from edge(t.filter(pa.array(wide)))
+        t = t.filter(pa.array(~wide))
+        if not t.num_rows:
+            continue
         held.append(t)
         size += t.nbytes
         if size >= flush:
@@ -237,20 +231,15 @@ def _bucket(batches: Iterator[pa.RecordBatch], flush: int = 6 << 20) -> Iterator
             if k:
                 yield from inner(t.slice(0, k))
             held = [t.slice(k)]
-            size = 0 if not k else held[0].nbytes
+            size = held[0].nbytes if k else 0
     if held:
-        t = pa.concat_tables(held)
-        g = t.column("gram").to_numpy()
-        k = int(np.flatnonzero(g == g[-1])[0])
-        if k:
-            yield from inner(t.slice(0, k))
-        yield from edge(t.slice(k))
+        yield from inner(pa.concat_tables(held))
 
 
 # ---------------------------------------------------------------- operator
 
 
-def repeated_runs(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
+def repeated_runs(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
     """(doc, a, n): windows a to a + n - 1 of documents (doc, text) that also start elsewhere."""
     spark = docs.sparkSession
     occ = stored(docs.mapInArrow(_anchor_rows, _OCC), "anchors")
@@ -263,11 +252,14 @@ def repeated_runs(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     mixed = cand.where("mixed").drop("mixed")
     reps = mixed.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "a", "n", "off")).alias("r"))
     reps = stored(reps.select("gram", "ctx", "copies", "r.*"), "contexts-chosen")
-    marks = reps.groupBy("doc").agg(F.collect_list(F.struct("a", "n", "off", "gram", "ctx", "copies")).alias("marks"))
+    per_gram = stored(reps.groupBy("gram").agg(F.count("*").alias("k")), "contexts-counted")
+    marks = join_counted(reps, per_gram, ["gram"], "k").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "off", "gram", "ctx", "copies", "k")).alias("marks"))
     bodies = docs.join(marks.hint("merge"), "doc").select("text", "marks").mapInArrow(_context_rows, _CONTEXTS)
     bodies = stored(bodies, "contexts")
     n_parts = partitions_for(spark, reps.count() * 300, bucket_bytes)
-    dealt = bodies.repartitionByRange(n_parts, "lead", "gram", "ctx").sortWithinPartitions("lead", "gram", "ctx")
+    wide = F.col("k") > most_contexts
+    dealt = bodies.withColumns({"wide": wide, "part": F.when(wide, F.col("ctx")).otherwise(0)}).drop("k")
+    dealt = dealt.repartitionByRange(n_parts, "lead", "gram", "part").sortWithinPartitions("lead", "gram", "part")
     judged = stored(dealt.mapInArrow(_bucket, _JUDGED), "buckets-judged")
     # across boundaries: rows that repeat a context are one
     edge = judged.where("h is not null").select("gram", "ctx", "j0", "d", "copies", "h").distinct()
@@ -300,14 +292,14 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _with_runs(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
+def _with_runs(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), "text"), bucket_bytes)
+    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), "text"), bucket_bytes, most_contexts)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("_runs")).withColumnRenamed("doc", "_doc")
     return keyed.join(runs.hint("merge"), "_doc", "left").drop("_doc")
 
 
-def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
+def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     Texts are judged as UTF-8 bytes on the input as it is; null is empty. Rows that repeat a text of WINDOW bytes or more
@@ -323,7 +315,7 @@ def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
             n, r, s, h = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept_sha256": pa.array(h, pa.string())})
 
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bucket_bytes)
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bucket_bytes, most_contexts)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
