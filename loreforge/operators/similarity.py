@@ -44,55 +44,62 @@ def tf_vectors(texts: DataFrame, vocab: DataFrame, text: str = "text", idx: str
     return counts.join(norm.hint("merge"), idx).select(idx, "term_id", (F.col("c") / F.col("norm")).alias("weight"))
 
 
-def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Products of pairs of sparse vectors, whose terms are in order of their numbers."""
-    for b in batches:
-        out = []
-        cols = [b.column(c) for c in ("ta", "wa", "tb", "wb")]
-        for ta, wa, tb, wb in zip(*cols, strict=True):
-            ta, wa, tb, wb = (x.values.to_numpy(zero_copy_only=False) for x in (ta, wa, tb, wb))
-            _, p, q = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
-            out.append(float(wa[p] @ wb[q]))
-        yield pa.RecordBatch.from_pydict({"i": b.column("i"), "j": b.column("j"), "similarity": pa.array(out, pa.float64())})
-
-
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx") -> DataFrame:
-    """(i, j, similarity) of pairs i < j that reach the threshold, from sparse vectors of length 1.
-
-    Vectors that are equal are compared once. Terms are put in order, rare ones first; of each vector the first terms are
-    looked up, as many as leave a rest too short to reach the threshold alone. Two vectors that reach it share one of
-    those: all that they share beyond the shorter of both beginnings is in the rest of its vector. What they share in
-    their beginnings and the length of that rest bound the product, and pairs that can't reach it are dropped
-    before they are computed.
+def _sparse_block(t: pa.Table) -> pa.Table:
+    """A block's vectors in a row: ids, numbers of terms, terms and weights one after another."""
+    v = t.column("v").combine_chunks()
+    n, flat = np.diff(v.offsets.to_numpy()), v.flatten()
+    cols = {"ids": t.column("id").to_numpy(), "n": n.astype("<i4"), "terms": flat.field("term_id").to_numpy().astype("<i8"), "weights": flat.field("weight").to_numpy()}
+    return pa.table({"block": t.column("block").slice(0, 1)} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in cols.items()})
+
+
+def _near_of(threshold: float, chunk: int = 4096):
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        kinds = (("ids", "<i8"), ("n", "<i4"), ("terms", "<i8"), ("weights", "<f8"))
+        (ia, na, ta, wa), (ib, nb, tb, wb) = ([np.frombuffer(t.column(c)[0].as_py(), dtype=d) for c, d in kinds] for t in (a, b))
+        terms = np.intersect1d(ta, tb)
+        s = np.zeros((len(ia), len(ib)))
+        for k in range(0, len(terms), chunk):  # shared terms, some thousand at a time
+            part = terms[k : k + chunk]
+            dense = []
+            for n, t, w in ((na, ta, wa), (nb, tb, wb)):
+                at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+                ok = part[at] == t
+                m = np.zeros((len(n), len(part)))
+                m[np.repeat(np.arange(len(n)), n)[ok], at[ok]] = w[ok]
+                dense.append(m)
+            s += dense[0] @ dense[1].T
+        x, y = np.nonzero(s >= threshold)
+        i, j, s = ia[x], ib[y], s[x, y]
+        if a.column("block")[0] == b.column("other")[0]:
+            keep = i < j  # a block with itself
+            i, j, s = i[keep], j[keep], s[keep]
+        return pa.table({"i": pa.array(np.minimum(i, j)), "j": pa.array(np.maximum(i, j)), "similarity": pa.array(s)})
+
+    return run
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx", block: int = 512) -> DataFrame:
+    """(i, j, similarity) of pairs i < j that reach the threshold, from sparse vectors of length 1; idx is a number.
+
+    Vectors that are equal are compared once. The others are stored in blocks, and each two blocks meet in a task, which
+    multiplies them over the terms that both have. Texts share their frequent words, so an index of terms would meet most
+    pairs as well, one by one; the product of two blocks costs a fraction of that. Nothing goes through the driver.
     """
-    often = vectors.groupBy("term_id").agg(F.count("*").alias("n"))
-    rows = vectors.join(often.hint("merge"), "term_id")
-    own = rows.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct("n", "term_id", "weight"))).alias("v"))
+    own = vectors.groupBy(F.col(idx).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
     key = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), F.round(x["weight"], 12).alias("w")))), 256)
     own = stored(own.withColumn("same", key), "vectors")
-    lead = own.groupBy("same").agg(F.min(idx).alias("rep"), F.first("v").alias("v"))
-    # squares that are left after each term; the beginning ends where they are under the threshold's
-    kind = "struct<left: double, k: int>"
-    end = F.aggregate(
-        "v",
-        F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("k")).cast(kind),
-        lambda a, x: F.when(a["left"] < threshold * threshold - 1e-9, a).otherwise(F.struct((a["left"] - x["weight"] * x["weight"]).alias("left"), (a["k"] + 1).alias("k")).cast(kind)),
-    )
-    lead = stored(lead.withColumn("end", end), "vectors-distinct")
-    last = F.element_at("v", F.greatest("end.k", F.lit(1)))
-    first = lead.select("rep", F.sqrt(F.greatest("end.left", F.lit(0.0))).alias("rest"), F.struct(last["n"], last["term_id"]).alias("upto"), F.explode(F.slice("v", F.lit(1), F.greatest("end.k", F.lit(1)))).alias("x"))
-    first = stored(first.select("rep", "rest", "upto", "x.term_id", "x.weight"), "terms-first")
-    a, b = (first.select("term_id", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "rest", "upto", "weight")]) for s in "ab")
-    met = a.join(b.hint("merge"), "term_id").where("rep_a < rep_b")
-    rest = F.when(F.col("upto_a") <= F.col("upto_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    found = met.groupBy(F.col("rep_a").alias("i"), F.col("rep_b").alias("j")).agg((F.sum(F.col("weight_a") * F.col("weight_b")) + F.first(rest)).alias("most"))
-    found = stored(found.where(F.col("most") >= threshold - 1e-9).select("i", "j"), "pairs-possible")
-    sorted_ = F.array_sort(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), x["weight"].alias("w"))))
-    side = lambda r, s: lead.select(F.col("rep").alias(r), sorted_.alias("s")).select(r, F.col("s.t").alias(f"t{s}"), F.col("s.w").alias(f"w{s}"))
-    kinds = f"i {lead.schema['rep'].dataType.simpleString()}, j {lead.schema['rep'].dataType.simpleString()}, similarity double"
-    both = found.join(side("i", "a").hint("merge"), "i").join(side("j", "b").hint("merge"), "j")
-    near = stored(both.mapInArrow(_dots, kinds).where(F.col("similarity") >= threshold), "pairs-near")
-    members = own.join(lead.select("same", "rep").hint("merge"), "same").select(F.col(idx).alias("m"), "rep")
+    lead = stored(own.groupBy("same").agg(F.min("id").alias("id"), F.first("v").alias("v")), "vectors-distinct")
+    n = max(1, math.ceil(lead.count() / block))
+    dealt = lead.select("id", F.col("v").cast("array<struct<term_id: bigint, weight: double>>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    blocks = stored(dealt.groupBy("block").applyInArrow(_sparse_block, "block int, ids binary, n binary, terms binary, weights binary"), "vector-blocks")
+    cols = ("ids", "n", "terms", "weights")
+    a = blocks.select("block", F.explode(F.sequence("block", F.lit(n - 1))).alias("other"), *cols)
+    b = blocks.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), *cols)
+    near = a.groupBy("block", "other").cogroup(b.groupBy("block", "other")).applyInArrow(_near_of(threshold), "i long, j long, similarity double")
+    near = stored(near, "pairs-near")
+    members = own.join(lead.select("same", F.col("id").alias("rep")).hint("merge"), "same").select(F.col("id").alias("m"), "rep")
     a, b = members.select(F.col("m").alias("x"), F.col("rep").alias("i")), members.select(F.col("m").alias("y"), F.col("rep").alias("j"))
     across = near.join(a.hint("merge"), "i").join(b.hint("merge"), "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
     # members of a group of equal vectors: each with the group's first, enough for clustering and linear in the group
