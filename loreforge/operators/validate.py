@@ -89,9 +89,10 @@ def key_terms(body: Column | str) -> Column:
 
 def hallucination_check(skills: DataFrame, body: str = "body", source: str = "source_text", most: float = 0.4) -> DataFrame:
     """Adds n_terms, n_missing and suspicious: three terms or more, over `most` of which the source lacks. A null source isn't checked."""
-    low = F.lower(source)
-    df = skills.withColumn("_t", key_terms(body))
-    df = df.withColumns({"n_terms": F.size("_t"), "n_missing": F.size(F.filter("_t", lambda t: ~F.contains(low, t)))}).drop("_t")
+    # terms and the lower-cased source once for each row, not for each term
+    df = skills.select("*", F.explode(F.array(F.struct(key_terms(body).alias("terms"), F.lower(source).alias("low")))).alias("_x"))
+    missing = F.filter("_x.terms", lambda t: ~F.contains(F.col("_x.low"), t))
+    df = df.withColumns({"n_terms": F.size("_x.terms"), "n_missing": F.size(missing)}).drop("_x")
     suspicious = (F.col("n_terms") >= 3) & (F.col("n_missing") / F.greatest(F.col("n_terms"), F.lit(1)) > most)
     return df.withColumn("suspicious", F.coalesce(suspicious & F.col(source).isNotNull() & (F.col(source) != ""), F.lit(False)))
 
