@@ -110,6 +110,24 @@ def numbered(df: DataFrame, key: list[str], order: list[str], out: str, rows_eac
     return joined.select(*[rows[c] for c in df.columns], (F.col("_in") + F.col("_before")).cast("long").alias(out))
 
 
+def sums_before(df: DataFrame, key: list[str], order: list[str], value: str, out: str, rows_each: int = 200_000) -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows before this one within its key, without a task for a whole key.
+
+    As in `numbered`, rows are dealt by range and each range is moved by the sums of the ranges before it. Rows that tie in
+    `order` may change places, so they should be equal in all that matters.
+    """
+    spark = df.sparkSession
+    n_parts = partitions_for(spark, df.count(), rows_each)
+    dealt = stored(df.repartitionByRange(n_parts, *key, *order).withColumn("_part", F.spark_partition_id()), "sums")
+    by_key = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy(*key, "_part").agg(F.sum(value).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(by_key), F.lit(0))).drop("_n")
+    in_part = W.partitionBy("_part", *key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = dealt.withColumn("_in", F.coalesce(F.sum(value).over(in_part), F.lit(0)))
+    joined = rows.join(before.hint("shuffle_hash"), [rows[k].eqNullSafe(before[k]) for k in ["_part", *key]])
+    return joined.select(*[rows[c] for c in df.columns], (F.col("_in") + F.col("_before")).cast("long").alias(out))
+
+
 # ---------------------------------------------------------------- words in numpy
 
 M64 = (1 << 64) - 1
