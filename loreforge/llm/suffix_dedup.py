@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.llm.common import _RANDOM, _power, discard, groups_of, join_counted, mix, partitions_for, read_table, stored, text_bytes
+from loreforge.llm.common import _RANDOM, _power, discard, free_name, groups_of, join_counted, mix, partitions_for, read_table, stored, text_bytes
 
 WINDOW, GRAM = 200, 48
 LEAD = 16  # leading bytes of a suffix by which it is dealt
@@ -56,20 +56,22 @@ def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(owner)]), owner[first]
 
 
-_OCC = "doc long, a int, n short, off short, gram long, ctx long"
+#: A document's key: two hashes of its id and text.
+_DOC = "struct<a: bigint, b: bigint>"
+_OCC = f"doc {_DOC}, a int, n short, off short, gram long, ctx long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        docs = b.column("doc").to_numpy()
+        docs = b.column("doc")
         texts = text_bytes(b.column("text"))
         cols: list[list] = [[], [], [], [], []]
         ctx: list[int] = []
 
         def flush():
             doc, a, n, off, gram = (np.concatenate(c) for c in cols)
-            out = pa.RecordBatch.from_pydict({"doc": pa.array(doc), "a": pa.array(a.astype(np.int32)), "n": pa.array(n.astype(np.int16)), "off": pa.array(off.astype(np.int16)), "gram": pa.array(gram.view(np.int64)), "ctx": pa.array(np.array(ctx, dtype=np.uint64).view(np.int64))})
+            out = pa.RecordBatch.from_pydict({"doc": docs.take(pa.array(doc)), "a": pa.array(a.astype(np.int32)), "n": pa.array(n.astype(np.int16)), "off": pa.array(off.astype(np.int16)), "gram": pa.array(gram.view(np.int64)), "ctx": pa.array(np.array(ctx, dtype=np.uint64).view(np.int64))})
             for c in cols:
                 c.clear()
             ctx.clear()
@@ -84,7 +86,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     values = _gram_values(np.frombuffer(piece, dtype=np.uint8))
                     first, n, p = anchors(values)
-                    for c, v in zip(cols, (np.full(len(first), docs[i]), first + at, n, p - first, mix(values[p] ^ np.uint64(0xD6E8FEB86659FD93))), strict=True):
+                    for c, v in zip(cols, (np.full(len(first), i), first + at, n, p - first, mix(values[p] ^ np.uint64(0xD6E8FEB86659FD93))), strict=True):
                         c.append(v)
                     ctx.extend([digest(piece[s:e]) for s, e in zip(first.tolist(), (first + n + (WINDOW - 1)).tolist(), strict=True)])
             if len(ctx) > 50_000:
@@ -253,8 +255,8 @@ def repeated_runs(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts:
     reps = mixed.groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "a", "n", "off")).alias("r"))
     reps = stored(reps.select("gram", "ctx", "copies", "r.*"), "contexts-chosen")
     per_gram = stored(reps.groupBy("gram").agg(F.count("*").alias("k")), "contexts-counted")
-    marks = join_counted(reps, per_gram, ["gram"], "k").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "off", "gram", "ctx", "copies", "k")).alias("marks"))
-    bodies = docs.join(marks.hint("merge"), "doc").select("text", "marks").mapInArrow(_context_rows, _CONTEXTS)
+    marks = join_counted(reps, per_gram, ["gram"], "k").groupBy("doc").agg(F.collect_list(F.struct("a", "n", "off", "gram", "ctx", "copies", "k")).alias("marks"), F.max("copies").alias("rows"))
+    bodies = join_counted(docs, stored(marks, "contexts-marked"), ["doc"], "rows").select("text", "marks").mapInArrow(_context_rows, _CONTEXTS)
     bodies = stored(bodies, "contexts")
     n_parts = partitions_for(spark, reps.count() * 300, bucket_bytes)
     wide = F.col("k") > most_contexts
@@ -292,11 +294,20 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _with_runs(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), "text"), bucket_bytes, most_contexts)
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("_runs")).withColumnRenamed("doc", "_doc")
-    return keyed.join(runs.hint("merge"), "_doc", "left").drop("_doc")
+def _with_runs(docs: DataFrame, list_name: str, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
+    """docs with the list of each row's runs (or null) in a new column.
+
+    Rows are told apart by two 64-bit hashes of id and text. Equal rows have the same runs, which are listed once; the number of
+    times that they were found counts the rows, so copies of a row stay where they are in the join if they are many.
+    """
+    doc = free_name("run_doc", docs.columns)
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("b"))
+    keyed = docs.withColumn(doc, key)
+    runs = repeated_runs(keyed.select(F.col(doc).alias("doc"), "text"), bucket_bytes, most_contexts)
+    once = runs.groupBy("doc", "a", "n").agg(F.count("*").alias("rows"))
+    lists = once.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("a", "n")).alias(list_name), F.max("rows").alias(f"{doc}_rows"))
+    lists = stored(lists, "runs-listed")
+    return join_counted(keyed, lists, [doc], f"{doc}_rows", "left").drop(doc, f"{doc}_rows")
 
 
 def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts: int = 20_000) -> DataFrame:
@@ -309,28 +320,30 @@ def removal_report(docs: DataFrame, bucket_bytes: int = 12 << 20, most_contexts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, runs in zip(text_bytes(b.column("text")), b.column("_runs").to_pylist(), strict=True):
+            for t, runs in zip(text_bytes(b.column("text")), b.column("runs").to_pylist(), strict=True):
                 spans = _covered(len(t), runs or [])
                 out.append((len(t), sum(y - x for x, y in spans), len(spans), hashlib.sha256(_kept(t, spans)).hexdigest()))
             n, r, s, h = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept_sha256": pa.array(h, pa.string())})
 
-    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bucket_bytes, most_contexts)
+    rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "runs", bucket_bytes, most_contexts)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of text (and n_chars counted anew, where there is such a column).
 
-    A character that a cut leaves in part goes as well. Null texts stay null; a text of which nothing is left is ''.
+    A character that a cut leaves in part goes as well. Null texts stay null; a text of which nothing is left is ''. Other
+    columns stay as they are, whatever their names; equal rows are cut alike.
     """
-    rows = _with_runs(docs.select(*docs.columns))
     names = docs.columns
+    list_name = free_name("runs", names)
+    rows = _with_runs(docs.select(*names), list_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col, new = b.column("text"), []
-            for t, runs in zip(col.to_pylist(), b.column("_runs").to_pylist(), strict=True):
+            for t, runs in zip(col.to_pylist(), b.column(list_name).to_pylist(), strict=True):
                 if runs:
                     raw = t.encode()
                     t = _kept(raw, _covered(len(raw), runs)).decode("utf-8", "ignore")

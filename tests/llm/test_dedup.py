@@ -257,3 +257,21 @@ def test_leader_rounds_until_few_pairs_are_left(spark):
         rows.append((i, " ".join(rng.sample(parts, 5)) + (f" x{i}" if i % 3 else "")))
     got = Counter(tuple(r) for r in ngram_join.join_documents(documents(spark, rows), often=2).collect())
     assert got == brute_components(rows)
+
+
+def test_removal_of_many_equal_rows_is_listed_once(spark, monkeypatch):
+    """2,000 equal rows and rows with columns named like those of the operator: each row's runs are listed once."""
+    import random
+
+    rng = random.Random(3)
+    text, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, text)] * 2000 + [(2, other), (3, "x" + text[:250] + "y" + sentence(rng, 30))]
+    df = documents(spark, rows).selectExpr("*", "doc AS _doc", "key AS _runs", "key AS run_doc", "n AS runs")
+    lists = suffix_dedup._with_runs(df, "found").where("doc_id = 1").selectExpr("max(size(found)) AS n").collect()[0]["n"]
+    assert 0 < lists < 100
+    out = suffix_dedup.remove_repeats(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"], r["_doc"], r["_runs"]) for r in out.collect())
+    assert got[(1, "", "x", "y")] == 2000 and got[(2, other, "x", "y")] == 1
+    report = Counter(tuple(r) for r in suffix_dedup.removal_report(df).collect())
+    assert max(report.values()) == 2000 and sum(report.values()) == len(rows)
