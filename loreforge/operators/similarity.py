@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreforge.functions.tables import join_one, stored
 from loreforge.functions.text import words
-from loreforge.session import shared_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back; cuts lineage between rounds."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def vector_text(trigger: str | Column = "trigger", body: str | Column = "body", chars: int = 500) -> Column:
@@ -44,67 +36,172 @@ def tf_vectors(texts: DataFrame, vocab: DataFrame, text: str = "text", idx: str
     return counts.join(norm.hint("merge"), idx).select(idx, "term_id", (F.col("c") / F.col("norm")).alias("weight"))
 
 
-def _sparse_block(t: pa.Table) -> pa.Table:
-    """A block's vectors in a row: ids, numbers of terms, terms and weights one after another."""
-    v = t.column("v").combine_chunks()
-    n, flat = np.diff(v.offsets.to_numpy()), v.flatten()
-    cols = {"ids": t.column("id").to_numpy(), "n": n.astype("<i4"), "terms": flat.field("term_id").to_numpy().astype("<i8"), "weights": flat.field("weight").to_numpy()}
-    return pa.table({"block": t.column("block").slice(0, 1)} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in cols.items()})
+def distinct_vectors(vectors: DataFrame, idx: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """Sparse vectors of length 1 as (id, v), one for each different vector, and (id, rep) of all; rep is the smallest id of equal ones."""
+    own = vectors.groupBy(F.col(idx).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
+    key = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), F.round(x["weight"], 12).alias("w")))), 256)
+    own = stored(own.withColumn("same", key), "vectors")
+    lead = stored(own.groupBy("same").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count("*").alias("n")), "vectors-distinct")
+    members = join_one(own.select("same", F.col("id").alias("member")), lead.select("same", F.col("id").alias("rep"), "n"), "same", "n").select(F.col("member").alias("id"), "rep")
+    return lead.select("id", "v"), members
 
 
-def _near_of(threshold: float, chunk: int = 4096):
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        kinds = (("ids", "<i8"), ("n", "<i4"), ("terms", "<i8"), ("weights", "<f8"))
-        (ia, na, ta, wa), (ib, nb, tb, wb) = ([np.frombuffer(t.column(c)[0].as_py(), dtype=d) for c, d in kinds] for t in (a, b))
-        terms = np.intersect1d(ta, tb)
-        s = np.zeros((len(ia), len(ib)))
-        for k in range(0, len(terms), chunk):  # shared terms, some thousand at a time
+#: Term ids are under this; more frequent terms than the second count as that frequent.
+_TERMS, _MOST = 1 << 32, (1 << 31) - 1
+_ARRAYS = "keys binary, weights binary"
+
+
+def _ordered_vectors(lead: DataFrame) -> DataFrame:
+    """(id, keys, weights): the terms of each vector, rare ones first; a key is a term's number of vectors and its id."""
+    terms = lead.select("id", F.inline("v"))
+    counts = stored(terms.groupBy("term_id").agg(F.count("*").alias("df")).withColumn("n", F.col("df")), "terms-counted")
+    key = (F.least("df", F.lit(_MOST)) * _TERMS + F.col("term_id")).alias("key")
+    rows = join_one(terms, counts, "term_id", "n").select("id", key, "weight")
+    rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            at, flat = v.offsets.to_numpy(), v.values  # offsets count from the start of the child, which a slice may share
+            keys, weights = flat.field("key").to_numpy().astype("<i8"), flat.field("weight").to_numpy().astype("<f8")
+            cut = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.record_batch({"id": b.column("id"), "keys": cut(keys), "weights": cut(weights)})
+
+    return stored(rows.mapInArrow(pack, f"id long, {_ARRAYS}"), "vectors-ordered")
+
+
+_POSTINGS = f"key long, id long, {_ARRAYS}, rest binary"
+
+
+def _prefix_rows(threshold: float):
+    """Index rows: a row for each term of a vector's prefix, with the prefix's terms, weights and the norms of what is left after each.
+
+    The prefix ends where what is left is shorter than the threshold. If two vectors share no term of their prefixes, all they
+    share lies behind one of them, so their product is below the threshold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, k, w in zip(b.column("id").to_pylist(), b.column("keys").to_pylist(), b.column("weights").to_pylist()):
+                keys, weights = np.frombuffer(k, "<i8"), np.frombuffer(w, "<f8")
+                left = np.sqrt(np.maximum(0.0, (weights * weights).sum() - np.cumsum(weights * weights)))
+                n = int(np.count_nonzero(left >= threshold - 1e-9)) + 1  # lengths fall, so these come first
+                row = (i, keys[:n].tobytes(), weights[:n].tobytes(), left[:n].tobytes())
+                out += [(int(x), *row) for x in keys[:n]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(zip(("key", "id", "keys", "weights", "rest"), kinds))})
+
+    return run
+
+
+class _Side:
+    """Index rows of one side of a meeting, as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        kinds = (("keys", "<i8"), ("weights", "<f8"), ("rest", "<f8"))
+        self.ids = rows.column("id").to_numpy()
+        self.keys, self.weights, self.rest = ([np.frombuffer(x, d) for x in rows.column(c).to_pylist()] for c, d in kinds)
+        self.flat, self.flat_weights = (np.concatenate(x) if len(x) else np.empty(0) for x in (self.keys, self.weights))
+        self.row = np.repeat(np.arange(len(self.keys)), [len(k) for k in self.keys])
+        self.last = np.array([k[-1] for k in self.keys])
+
+    def matrix(self, terms: np.ndarray) -> np.ndarray:
+        """Weights of these terms, 0 where a vector's prefix lacks one."""
+        at = np.minimum(np.searchsorted(terms, self.flat), len(terms) - 1)
+        ok = terms[at] == self.flat
+        m = np.zeros((len(self.keys), len(terms)))
+        m[self.row[ok], at[ok]] = self.flat_weights[ok]
+        return m
+
+    def left(self, ends: np.ndarray) -> np.ndarray:
+        """Norms of what is left of each vector after the term that is its own last or, if that is earlier, another's (ends)."""
+        return np.stack([np.r_[1.0, r][np.searchsorted(k, np.minimum(ends, k[-1]), side="right")] for k, r in zip(self.keys, self.rest)])
+
+
+def _candidates(threshold: float, chunk: int = 4096):
+    """Pairs of a term's vectors whose first common prefix term it is and whose bound reaches the threshold.
+
+    Bound: the product over the prefix terms up to the earlier end of both prefixes, all of which are known, and the product of the
+    norms of what both have left there.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        key, same = t.column("key")[0].as_py(), t.column("a")[0].as_py() == t.column("b")[0].as_py()
+        side = t.column("side").to_numpy()
+        one, two = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        if not one.num_rows or not (same or two.num_rows):
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64())})
+        x = _Side(one)
+        y = x if same else _Side(two)
+        bound = x.left(y.last) * y.left(x.last).T
+        earlier = np.zeros(bound.shape, dtype=bool)  # have a common term before this one
+        terms = np.intersect1d(x.flat, y.flat)
+        for k in range(0, len(terms), chunk):
             part = terms[k : k + chunk]
-            dense = []
-            for n, t, w in ((na, ta, wa), (nb, tb, wb)):
-                at = np.minimum(np.searchsorted(part, t), len(part) - 1)
-                ok = part[at] == t
-                m = np.zeros((len(n), len(part)))
-                m[np.repeat(np.arange(len(n)), n)[ok], at[ok]] = w[ok]
-                dense.append(m)
-            s += dense[0] @ dense[1].T
-        x, y = np.nonzero(s >= threshold)
-        i, j, s = ia[x], ib[y], s[x, y]
-        if a.column("block")[0] == b.column("other")[0]:
-            keep = i < j  # a block with itself
-            i, j, s = i[keep], j[keep], s[keep]
-        return pa.table({"i": pa.array(np.minimum(i, j)), "j": pa.array(np.maximum(i, j)), "similarity": pa.array(s)})
+            m = x.matrix(part)
+            n = m if same else y.matrix(part)
+            bound += m @ n.T
+            before = int(np.searchsorted(part, key))
+            earlier |= (m[:, :before] > 0).astype(np.float32) @ (n[:, :before] > 0).astype(np.float32).T > 0
+        ok = (bound >= threshold - 1e-9) & ~earlier
+        i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+        return pa.table({"i": pa.array(np.minimum(x.ids[i], y.ids[j])), "j": pa.array(np.maximum(x.ids[i], y.ids[j]))})
 
     return run
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx", block: int = 512) -> DataFrame:
-    """(i, j, similarity) of pairs i < j that reach the threshold, from sparse vectors of length 1; idx is a number.
+def candidate_pairs(ordered: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(i, j), each once, of the vectors whose bounds allow the threshold; stored.
 
-    Vectors that are equal are compared once. The others are stored in blocks, and each two blocks meet in a task, which
-    multiplies them over the terms that both have. Texts share their frequent words, so an index of terms would meet most
-    pairs as well, one by one; the product of two blocks costs a fraction of that. Nothing goes through the driver.
+    A term with more than `block` vectors in its list is dealt to blocks, each two of which meet in a task.
     """
-    own = vectors.groupBy(F.col(idx).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
-    key = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["term_id"].alias("t"), F.round(x["weight"], 12).alias("w")))), 256)
-    own = stored(own.withColumn("same", key), "vectors")
-    lead = stored(own.groupBy("same").agg(F.min("id").alias("id"), F.first("v").alias("v")), "vectors-distinct")
-    n = max(1, math.ceil(lead.count() / block))
-    dealt = lead.select("id", F.col("v").cast("array<struct<term_id: bigint, weight: double>>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    blocks = stored(dealt.groupBy("block").applyInArrow(_sparse_block, "block int, ids binary, n binary, terms binary, weights binary"), "vector-blocks")
-    cols = ("ids", "n", "terms", "weights")
-    a = blocks.select("block", F.explode(F.sequence("block", F.lit(n - 1))).alias("other"), *cols)
-    b = blocks.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), *cols)
-    near = a.groupBy("block", "other").cogroup(b.groupBy("block", "other")).applyInArrow(_near_of(threshold), "i long, j long, similarity double")
-    near = stored(near, "pairs-near")
-    members = own.join(lead.select("same", F.col("id").alias("rep")).hint("merge"), "same").select(F.col("id").alias("m"), "rep")
-    a, b = members.select(F.col("m").alias("x"), F.col("rep").alias("i")), members.select(F.col("m").alias("y"), F.col("rep").alias("j"))
-    across = near.join(a.hint("merge"), "i").join(b.hint("merge"), "j").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
-    # members of a group of equal vectors: each with the group's first, enough for clustering and linear in the group
-    within = members.where("m <> rep").select(F.col("rep").alias("i"), F.col("m").alias("j"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(within)
+    postings = stored(ordered.mapInArrow(_prefix_rows(threshold), _POSTINGS), "postings")
+    lists = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "postings-counted")
+    dealt = join_one(postings, lists, "key", "n").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # own block first (with itself and those after it), and second (with those before it)
+    meets = F.concat(
+        F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda o: F.struct(F.col("own").alias("a"), o.alias("b"), F.lit(0).alias("side"))),
+        F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda o: F.struct(o.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side")))).otherwise(F.array()),
+    )
+    rows = dealt.select("key", "id", "keys", "weights", "rest", F.inline(meets))
+    return stored(rows.groupBy("key", "a", "b").applyInArrow(_candidates(threshold), "i long, j long"), "candidates")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of the vectors of each row's pair."""
+    for b in batches:
+        sides = []
+        for k, w in (("keys_i", "weights_i"), ("keys_j", "weights_j")):
+            parts = [np.frombuffer(x, "<i8") for x in b.column(k).to_pylist()]
+            rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            sides.append((rows, np.concatenate(parts), np.frombuffer(b"".join(b.column(w).to_pylist()), "<f8")))
+        (ra, ka, wa), (rb, kb, wb) = sides
+        terms, places = np.unique(np.concatenate([ka, kb]), return_inverse=True)
+        _, x, y = np.intersect1d(ra * len(terms) + places[: len(ka)], rb * len(terms) + places[len(ka) :], assume_unique=True, return_indices=True)
+        s = np.bincount(ra[x], weights=wa[x] * wb[y], minlength=b.num_rows)
+        yield pa.record_batch({"i": b.column("i"), "j": b.column("j"), "similarity": pa.array(s)})
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx", block: int = 256) -> DataFrame:
+    """(i, j, similarity, copy), i < j: pairs of different vectors that reach the threshold, and each copy of a vector with the first.
+
+    Vectors are sparse and of length 1; idx is a number. Of equal vectors the one with the smallest idx stands for all: `copy` is
+    true in the pairs that tell the others' membership, so the result is linear in copies and loses no pair. The
+    vectors meet in an index of their prefixes, rare terms first, and only pairs whose bounds (product so far, norms of what is left)
+    reach the threshold are multiplied. Nothing goes through the driver.
+    """
+    lead, members = distinct_vectors(vectors, idx)
+    ordered = _ordered_vectors(lead)
+    pairs = candidate_pairs(ordered, threshold, block)
+    out = pairs
+    for side in ("i", "j"):
+        n = stored(pairs.groupBy(side).agg(F.count("*").alias("n")), "candidates-counted")
+        own = ordered.select(F.col("id").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("weights").alias(f"weights_{side}"))
+        out = join_one(out, stored(n.join(own.hint("merge"), side), "candidates-vectors"), side, "n")
+    near = out.mapInArrow(_products, "i long, j long, similarity double").where(F.col("similarity") >= threshold)
+    copies = members.where("id <> rep").select(F.col("rep").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
+    return near.withColumn("copy", F.lit(False)).unionByName(copies)
 
 
 def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> DataFrame:
@@ -112,8 +209,16 @@ def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> Dat
 
     By rounds: an item none of whose smaller neighbours is a leader or undecided leads; one with a leading smaller
     neighbour follows the smallest such. Each round decides the smallest open item at least, so rounds go on until
-    none is open; pairs must have i < j.
+    none is open; pairs must have i < j. Where pairs have a column `copy`, its true ones tell which first item j is a copy of:
+    copies have the neighbours of their first item, so they are in its cluster and take no part in the rounds.
     """
+    if "copy" in pairs.columns:
+        copies = stored(pairs.where("copy").select(F.col("i").alias("rep"), F.col("j").alias("id")), "copies")
+        firsts = items.select(F.col(idx).alias("id")).join(copies.select("id").hint("merge"), "id", "left_anti")
+        clusters = greedy_clusters(firsts, pairs.where("not copy").select("i", "j"), "id")
+        n = copies.groupBy("rep").agg(F.count("*").alias("n"))
+        of = stored(n.join(clusters.select(F.col("id").alias("rep"), "cluster_id").hint("merge"), "rep"), "copies-clusters")
+        return clusters.unionByName(join_one(copies, of, "rep", "n").select("id", "cluster_id")).withColumnRenamed("id", idx)
     ids = items.select(F.col(idx).alias("id"))
     edges = stored(pairs.select(F.col("i").alias("small"), F.col("j").alias("big")), "pairs")
     state = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "clusters")
@@ -154,41 +259,140 @@ def write_skill_vectors(skills: DataFrame, vectors: DataFrame, path: str, key: s
     return skills.sparkSession.read.parquet(path)
 
 
-def _blocks(df: DataFrame, key: str, emb: str, size: int) -> tuple[DataFrame, int]:
-    """(block, ids, m): about `size` vectors in a row, scaled to length 1, and the number of blocks."""
-    n = max(1, math.ceil(df.count() / size))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("e"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+#: Pivots of a search, at most: they are kept in the driver and sent with the code, so their number doesn't grow with the data.
+PIVOTS = 1024
+_META = "block long, cell int, n long, near double, far double"
 
-    def pack(t: pa.Table) -> pa.Table:
-        m = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
-    return stored(rows.groupBy("block").applyInArrow(pack, "block int, ids binary, m binary"), "vector-blocks"), n
+def _pivots(vectors: DataFrame, key: str, emb: str, block: int) -> np.ndarray:
+    """Up to PIVOTS vectors of length 1, chosen by the hash of their key: one for each block of vectors that will be."""
+    n = min(PIVOTS, max(1, math.ceil(vectors.count() / block)))
+    chosen = vectors.select(F.col(emb).cast("array<double>").alias("e"), F.xxhash64(key).alias("h"), key).where(F.size("e") > 0).orderBy("h", key).limit(n).collect()
+    if not chosen:
+        return np.zeros((0, 0))
+    m = np.array([r["e"] for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id", vid: str = "vec_id", emb: str = "embedding", block: int = 2048) -> DataFrame:
-    """(qid, vid, score, rank): the k nearest vectors of each query by cosine, score to 4 decimals, ties by vid.
+def _unit(col: pa.Array) -> np.ndarray:
+    m = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
+
+
+def _to_cells(pivots: np.ndarray):
+    """Cell of the nearest pivot and the angle to it; vectors of length 0, which have no angle, are in the cell -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _unit(b.column("e"))
+            a = _angles(m, pivots)
+            cell, none = a.argmin(axis=1), ~m.any(axis=1)
+            angle = np.where(none, 0.0, a[np.arange(len(m)), cell])
+            yield pa.record_batch({"id": b.column("id"), "cell": pa.array(np.where(none, -1, cell).astype(np.int32)), "angle": pa.array(angle), "v": pa.array([x.tobytes() for x in m], pa.binary())})
+
+    return run
 
-    Both sides are stored in blocks of vectors. Each block of queries meets each block of vectors in a task, which gives the k
-    best of the block for each query; the k best of those are the result. Nothing goes through the driver.
+
+def _blocks(df: DataFrame, key: str, emb: str, size: int, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Blocks (block, ids, m) of about `size` vectors of length 1 and their (block, cell, n, near, far): least and largest angle to the cell's pivot.
+
+    A cell is cut into rings by angle, and a ring with many equal angles by hash, so a hot vector fills several blocks.
     """
-    q, n_q = _blocks(queries.select(qid, emb), qid, emb, block)
-    v, n_v = _blocks(vectors.select(vid, emb), vid, emb, block)
-    q = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))).select("block", "other", "ids", "m")
-    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).select(F.col("other").alias("block"), F.col("block").alias("other"), "ids", "m")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("e")).mapInArrow(_to_cells(pivots), "id long, cell int, angle double, v binary")
+    rows = stored(rows, "vector-cells")
+    n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("angle", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 10_000).alias("cuts"))
+    # every so manieth of the 64-quantiles; cells of over 64 blocks have larger rings, which are cut by hash
+    step = F.greatest(F.lit(1), F.floor(F.lit(64.0 * size) / F.col("n"))).cast("int")
+    cells = n.select("cell", F.filter("cuts", lambda c, k: (k + 1) % step == 0).alias("cuts"))  # PIVOTS + 1 rows at most
+    rows = rows.join(F.broadcast(cells), "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("angle")))).drop("cuts")
+    rings = rows.groupBy("cell", "ring").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # 64 for each cell at most
+    rows = rows.join(F.broadcast(rings), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = stored(rows.withColumn("block", F.xxhash64("cell", "ring", "part")).drop("ring", "part", "parts"), "vector-rings")
+
+    def pack(t: pa.Table) -> pa.Table:
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "m": pa.array([b"".join(t.column("v").to_pylist())], pa.binary())})
+
+    meta = rows.groupBy("block").agg(F.min("cell").alias("cell"), F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"))
+    return stored(rows.groupBy("block").applyInArrow(pack, "block long, ids binary, m binary"), "vector-blocks"), stored(meta, "vector-blocks-known")
+
+
+def _block_bounds(q: DataFrame, v: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(block, other, most): the largest cosine that a vector of one block can have with one of the other; stored.
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+    By the triangle inequality of angles: the pivots' angle less both blocks' reach, or what parts their rings around one pivot.
+    A vector of length 0 has the cosine 0 with all.
+    """
+    between = _angles(pivots, pivots) if len(pivots) else np.zeros((0, 0))
+    spark, n = q.sparkSession, len(pivots)
+    cells = spark.createDataFrame([(i, between[i].tolist()) for i in range(n)], "cell int, apart array<double>")  # PIVOTS rows at most
+    a = q.join(F.broadcast(cells), "cell", "left").select("block", "cell", "near", "far", "apart")
+    b = v.select(F.col("block").alias("other"), F.col("cell").alias("c"), F.col("near").alias("n"), F.col("far").alias("f"))
+    both = a.select("*", F.explode(F.sequence(F.lit(-1), F.lit(max(n - 1, 0)))).alias("c")).join(b.hint("shuffle_hash"), "c")
+    apart = F.coalesce(F.when(F.col("c") >= 0, F.get("apart", F.col("c"))), F.lit(0.0))
+    rings = F.greatest(apart - F.col("far") - F.col("f"), F.col("near") - F.col("f") - apart, F.col("n") - F.col("far") - apart, F.lit(0.0))
+    most = F.when((F.col("cell") < 0) | (F.col("c") < 0), 0.0).otherwise(F.cos(rings))
+    return stored(both.select("block", "other", most.alias("most")), "blocks-bounds")
+
+
+def search_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id", vid: str = "vec_id", emb: str = "embedding", block: int = 2048, first: int = 4) -> tuple[DataFrame, dict]:
+    """(qid, vid, score) of the k nearest vectors of each query, and how many pairs of blocks were multiplied of how many.
+
+    Both sides are dealt to the cells of the same pivots and stored in blocks. In each round a block of queries meets those blocks of
+    vectors that may still improve one of its queries, those of the best bound first: `first` of them, then four times as
+    many in each round, until none can. So if bounds tell nothing, all are met and the result is the same.
+    """
+    spark = vectors.sparkSession
+    found_type = f"{qid} long, {vid} long, score double, own long"
+    pivots = _pivots(vectors, vid, emb, block)
+    if not len(pivots):
+        return spark.createDataFrame([], f"{qid} long, {vid} long, score double"), {"pairs": 0, "met": 0, "rounds": 0}
+    q, q_meta = _blocks(queries.select(qid, emb), qid, emb, block, pivots)
+    v, v_meta = _blocks(vectors.select(vid, emb), vid, emb, block, pivots)
+    left = _block_bounds(q_meta, v_meta, pivots)
+    stats = {"pairs": left.count(), "met": 0, "rounds": 0}
+    best = spark.createDataFrame([], found_type)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({qid: pa.array([], pa.int64()), vid: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({qid: pa.array([], pa.int64()), vid: pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "own": pa.array([], pa.int64())})
         (qi, qm), (vi, vm) = ((np.frombuffer(t.column("ids")[0].as_py(), dtype=np.int64), np.frombuffer(t.column("m")[0].as_py())) for t in (a, b))
         s = np.round(qm.reshape(len(qi), -1) @ vm.reshape(len(vi), -1).T, 4)
         order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
-        return pa.table({qid: pa.array(np.repeat(qi, order.shape[1])), vid: pa.array(vi[order].ravel()), "score": pa.array(np.take_along_axis(s, order, 1).ravel())})
+        n = order.shape[1]
+        own = np.full(len(qi) * n, a.column("block")[0].as_py())
+        return pa.table({qid: pa.array(np.repeat(qi, n)), vid: pa.array(vi[order].ravel()), "score": pa.array(np.take_along_axis(s, order, 1).ravel()), "own": pa.array(own)})
 
-    found = q.groupBy("block", "other").cogroup(v.groupBy("block", "other")).applyInArrow(best, f"{qid} long, {vid} long, score double")
-    w = W.partitionBy(qid).orderBy(F.desc("score"), vid)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    take, rank = first, W.partitionBy("block").orderBy(F.desc("most"), "other")
+    while True:
+        chosen = stored(left.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= take).drop("place"), "blocks-chosen")
+        met = chosen.count()
+        if not met:
+            break
+        stats["met"] += met
+        stats["rounds"] += 1
+        a = q.join(chosen.select("block", "other").hint("shuffle_hash"), "block")
+        b = v.withColumnRenamed("block", "other").join(chosen.select("block", "other").hint("shuffle_hash"), "other")
+        new = a.groupBy("block", "other").cogroup(b.groupBy("block", "other")).applyInArrow(meet, found_type)
+        w = W.partitionBy(qid).orderBy(F.desc("score"), vid)
+        best = stored(best.unionByName(new).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place"), "nearest")
+        # a block of queries is as far as its worst query; one that has fewer than k so far may take anything
+        per_query = best.groupBy("own", qid).agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+        need = per_query.groupBy("own").agg(F.min(F.when(F.col("n") < k, -2.0).otherwise(F.col("worst"))).alias("worst"))
+        left = left.join(chosen.select("block", "other").hint("merge"), ["block", "other"], "left_anti").join(need.withColumnRenamed("own", "block").hint("merge"), "block")
+        # scores are rounded, and equal ones go by id
+        left = stored(left.where(F.round(F.col("most") + 1e-7, 4) >= F.col("worst")).drop("worst"), "blocks-left")
+        take *= 4
+    return best.drop("own"), stats
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "query_id", vid: str = "vec_id", emb: str = "embedding", block: int = 2048) -> DataFrame:
+    """(qid, vid, score, rank): the k nearest vectors of each query by cosine, score to 4 decimals, ties by vid. Exact (search_blocks)."""
+    found, _ = search_blocks(queries, vectors, k, qid, vid, emb, block)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(qid).orderBy(F.desc("score"), vid)))
 
 
 def vector_duplicates(vectors: DataFrame, threshold: float = 0.92, k: int = 5, vid: str = "vec_id", emb: str = "embedding", name: str = "name") -> DataFrame:

@@ -327,22 +327,25 @@ def tf_vectors(spark, sf_dir):
 
 
 PAIRS_SQL = VOCAB_SQL + r""",
-rep AS (SELECT idx, min(idx) OVER (PARTITION BY v) AS rep FROM (SELECT idx, string_agg(term_id || ':' || c, ',' ORDER BY term_id) AS v FROM ct GROUP BY idx)),
-near AS (SELECT a.idx AS x, b.idx AS y FROM tf a JOIN tf b ON a.term_id = b.term_id AND a.idx < b.idx GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.88),
-pairs AS (SELECT x, y FROM near JOIN rep p ON p.idx = x JOIN rep q ON q.idx = y WHERE p.rep <> q.rep UNION SELECT rep, idx FROM rep WHERE rep <> idx)"""
+rep AS (SELECT idx, min(idx) OVER (PARTITION BY v) AS rep FROM (SELECT idx, string_agg(term_id || ':' || round(weight, 12), ',' ORDER BY term_id) AS v FROM tf GROUP BY idx)),
+own AS (SELECT tf.* FROM tf JOIN rep USING (idx) WHERE idx = rep),
+pairs AS (SELECT a.idx AS x, b.idx AS y, false AS copy FROM own a JOIN own b ON a.term_id = b.term_id AND a.idx < b.idx GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.88
+  UNION ALL SELECT rep, idx, true FROM rep WHERE rep <> idx)"""
 
 
-@query("WITH" + PAIRS_SQL + " SELECT x AS i, y AS j FROM pairs")
+@query("WITH" + PAIRS_SQL + " SELECT x AS i, y AS j, copy FROM pairs")
 def cosine_pairs(spark, sf_dir):
-    return similarity.cosine_pairs(_tf(spark, sf_dir)).select("i", "j")
+    """Pairs of different vectors and, as `copy`, the membership of equal ones."""
+    return similarity.cosine_pairs(_tf(spark, sf_dir)).select("i", "j", "copy")
 
 
 def _clusters(spark, sf_dir):
     return similarity.greedy_clusters(fx.skills(spark, sf_dir).select("idx"), similarity.cosine_pairs(_tf(spark, sf_dir)))
 
 
-CLUSTER_SQL = PAIRS_SQL + r""",
-nb AS (SELECT row_number() OVER (ORDER BY idx) AS k, idx, coalesce(small, []) AS small FROM skills LEFT JOIN (SELECT y, list(x) AS small FROM pairs GROUP BY y) ON y = idx),
+CLUSTER_SQL = VOCAB_SQL + r""",
+every AS (SELECT a.idx AS x, b.idx AS y FROM tf a JOIN tf b ON a.term_id = b.term_id AND a.idx < b.idx GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.88),
+nb AS (SELECT row_number() OVER (ORDER BY idx) AS k, idx, coalesce(small, []) AS small FROM skills LEFT JOIN (SELECT y, list(x) AS small FROM every GROUP BY y) ON y = idx),
 lead AS (WITH RECURSIVE st AS (
     SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders
     UNION ALL SELECT nb.k, CASE WHEN list_has_any(nb.small, leaders) THEN leaders ELSE list_append(leaders, nb.idx) END FROM st JOIN nb ON nb.k = st.k + 1)
