@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loreforge.functions.tables import join_one, stored
+
 #: Price of a million input and output tokens.
 INPUT_PRICE, OUTPUT_PRICE = 2, 8
 
@@ -39,18 +41,35 @@ def log_stats_by_version(calls: DataFrame) -> DataFrame:
     return _sums(calls, "prompt_version", F.col("validation_result").startswith("fail")).drop("pending_count")
 
 
-def latency_percentiles(calls: DataFrame, key: str = "phase", value: str = "latency_ms") -> DataFrame:
-    """(key, p50, p95): the values at places n // 2 and min(int(0.95 n), n - 1) of the sorted ones.
+#: Places of the percentiles among n sorted values, from 0.
+PLACES = {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.least(F.floor(n * 0.95), n - 1)}
+
+
+def latency_percentiles(calls: DataFrame, key: str = "phase", value: str = "latency_ms", ranges: int = 1024) -> DataFrame:
+    """(key, p50, p95): the values at places n // 2 and min(int(0.95 n), n - 1) of the sorted ones; null values don't count.
 
-    Counts by value come first, so a key's rows are its distinct values; places are found by running sums.
+    By selection: the span from the least to the greatest value is cut into ranges, whose rows are counted, and only the range
+    that holds the place is opened in the next round, until it holds one value. A key's rows in a shuffle are its ranges, so no task
+    holds its rows or different values. Rounds go with the logarithm of the span: two or three for latencies.
     """
-    counts = calls.groupBy(key, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(key).orderBy(value)
-    upto = counts.withColumns({"hi": F.sum("c").over(w), "n": F.sum("c").over(W.partitionBy(key))})
-    at = lambda place: F.max(F.when((F.col("hi") - F.col("c") <= place) & (place < F.col("hi")), F.col(value)))
-    p50 = F.floor(F.col("n") / 2)
-    p95 = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return upto.groupBy(key).agg(at(p50).alias("p50"), at(p95).alias("p95"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-"))  # a key that isn't null
+    rows = stored(calls.select(name.alias("k"), F.col(key).alias("shown"), F.col(value).alias("v")), "latencies")
+    spans = rows.groupBy("k").agg(F.min("shown").alias("shown"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    q = F.array(*[F.struct(F.lit(i).alias("which"), place(F.col("n")).cast("long").alias("place"), "lo", "hi") for i, place in enumerate(PLACES.values())])
+    state = stored(spans.select("k", "shown", "n", q.alias("q")), "percentiles")
+    rows, span = rows.where("v is not null").select("k", "v"), F.col("q.hi") - F.col("q.lo")
+    while state.where(F.exists("q", lambda x: x["lo"] < x["hi"])).limit(1).count():
+        asked = join_one(rows, state.select("k", "n", "q"), "k", "n")
+        inside = asked.select("k", "v", F.explode(F.filter("q", lambda x: (x["lo"] < x["hi"]) & F.col("v").between(x["lo"], x["hi"]))).alias("q"))
+        r = F.least(F.floor((F.col("v") - F.col("q.lo")).cast("double") * ranges / span.cast("double")), F.lit(ranges - 1))
+        counted = inside.groupBy("k", "q.which", r.alias("r")).agg(F.first("q.place").alias("place"), F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = counted.withColumn("end", F.sum("c").over(W.partitionBy("k", "which").orderBy("r")))
+        opened = upto.where((F.col("end") - F.col("c") <= F.col("place")) & (F.col("place") < F.col("end")))
+        opened = opened.groupBy("k").agg(F.collect_list(F.struct("which", (F.col("place") - F.col("end") + F.col("c")).alias("place"), "lo", "hi")).alias("new"))
+        merged = state.join(opened.hint("merge"), "k", "left")
+        rest = F.filter("q", lambda x: ~F.exists(F.coalesce("new", F.array()), lambda y: y["which"] == x["which"]))
+        state = stored(merged.select("k", "shown", "n", F.array_sort(F.concat(rest, F.coalesce("new", F.array()))).alias("q")), "percentiles")
+    return state.select(F.col("shown").alias(key), *[F.col("q")[i]["lo"].alias(p) for i, p in enumerate(PLACES)])
 
 
 def log_totals(calls: DataFrame) -> DataFrame:
@@ -107,5 +126,5 @@ def pipeline_counters(doc: str, typed: DataFrame | None = None, **stages: DataFr
         counts["typed"] = typed.groupBy(doc).agg(*[F.count_if(F.col("sku_type") == t).alias(t) for t in TYPES])
         names += TYPES
     for n in counts.values():
-        out = n if out is None else out.join(n, doc, "full")
+        out = n if out is None else out.join(n.hint("merge"), doc, "full")
     return out.select(doc, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])

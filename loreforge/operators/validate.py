@@ -89,10 +89,13 @@ def key_terms(body: Column | str) -> Column:
 
 def hallucination_check(skills: DataFrame, body: str = "body", source: str = "source_text", most: float = 0.4) -> DataFrame:
     """Adds n_terms, n_missing and suspicious: three terms or more, over `most` of which the source lacks. A null source isn't checked."""
-    # terms and the lower-cased source once for each row, not for each term
-    df = skills.select("*", F.explode(F.array(F.struct(key_terms(body).alias("terms"), F.lower(source).alias("low")))).alias("_x"))
-    missing = F.filter("_x.terms", lambda t: ~F.contains(F.col("_x.low"), t))
-    df = df.withColumns({"n_terms": F.size("_x.terms"), "n_missing": F.size(missing)}).drop("_x")
+    # A term is letters alone or Chinese alone, so it stands in the source only within a run of such. The runs, each once, decide most
+    # terms as a hashed set; the others are searched in the runs, which are far fewer than the text's words.
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(source), F.lit(r"([a-z]{4,}|[一-鿿]{3,})"), 1))
+    df = skills.select("*", F.explode(F.array(F.struct(key_terms(body).alias("terms"), runs.alias("runs")))).alias("_x"))
+    df = df.withColumn("_y", F.explode(F.array(F.struct(F.array_except("_x.terms", "_x.runs").alias("rest"), F.array_join("_x.runs", " ").alias("hay")))))
+    missing = F.filter("_y.rest", lambda t: ~F.contains(F.col("_y.hay"), t))
+    df = df.withColumns({"n_terms": F.size("_x.terms"), "n_missing": F.size(missing)}).drop("_x", "_y")
     suspicious = (F.col("n_terms") >= 3) & (F.col("n_missing") / F.greatest(F.col("n_terms"), F.lit(1)) > most)
     return df.withColumn("suspicious", F.coalesce(suspicious & F.col(source).isNotNull() & (F.col(source) != ""), F.lit(False)))
 

@@ -13,7 +13,7 @@ from loreforge.plans import fixtures as fx
 from loreforge.plans.records import PKG_SQL
 from loreforge.plans.registry import query, table
 from loreforge.session import shared_dir
-from loreforge.plans.texts import CHUNKS_SQL, DENSITY_SQL, HEADINGS_SQL, PACK_SQL, S, _documents
+from loreforge.plans.texts import CHUNK_DENSITY_SQL, CHUNKS_SQL, DENSITY_SQL, EN_ANCHORS, HEADINGS_SQL, PACK_SQL, S, _documents
 from loreforge.sources import files
 from loreforge.streaming import streams
 
@@ -152,15 +152,20 @@ def scan_prompt_catalog(spark, sf_dir):
     return files.scan_prompt_catalog(spark, out).select("prompt_name", F.array_join("versions", ",").alias("versions"))
 
 
-@query(None)
+@query("WITH" + CHUNKS_SQL + "," + CHUNK_DENSITY_SQL + r"""
+SELECT hash, chunk_index, CAST(score AS INTEGER) AS score_a, score > 2 OR anchor AS keep FROM d5 JOIN (SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY text) USING (doc_id)
+WHERE hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 3)""")
 def stream_new_documents(spark, sf_dir):
-    folder = _folder(spark, "arrivals")
+    """Documents arrive in two parts, with a stop between; texts registered before are left out, others count once."""
+    folder, out = _folder(spark, "arrivals"), _folder(spark, "stream")
     docs = _documents(spark, sf_dir)
-    docs.write.parquet(folder)
-    stream = spark.readStream.schema(docs.schema).parquet(folder)
-    out = _folder(spark, "stream")
-    streams.stream_new_documents(stream, f"{out}/chunks", f"{out}/hashes", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/chunks").select("doc_id", "chunk_index", "score_a", "keep")
+    known = docs.where("doc_id % 10 = 3").select(F.sha2("markdown", 256).alias("hash"))
+    docs.where("doc_id % 3 = 0").write.parquet(folder)
+    run = lambda: streams.stream_new_documents(spark.readStream.schema(docs.schema).parquet(folder), f"{out}/chunks", f"{out}/state", known, anchors=EN_ANCHORS).awaitTermination()
+    run()
+    docs.where("doc_id % 3 <> 0").write.mode("append").parquet(folder)
+    run()
+    return spark.read.parquet(f"{out}/chunks").select("hash", F.col("chunk_index").cast("bigint").alias("chunk_index"), "score_a", "keep")
 
 
 @query("WITH" + DENSITY_SQL + " SELECT doc_id, CAST(score AS INTEGER) AS score_a FROM d5")
@@ -176,7 +181,19 @@ def stream_resume(spark, sf_dir):
     return spark.read.parquet(f"{out}/done").select("doc_id", "score_a")
 
 
-@query("WITH" + fx.CALLS_SQL + " SELECT date_trunc('day', ts)::TIMESTAMP AS day, phase, count(*) AS calls, sum(input_tokens)::BIGINT AS tokens, round(avg(latency_ms), 6) AS avg_latency_ms FROM calls GROUP BY ALL")
+@query("WITH" + fx.CALLS_SQL + r""", a AS (SELECT *, greatest(0, least(2, date_diff('day', TIMESTAMP '2024-01-01', ts) // 10)) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS arrival, date_trunc('day', ts)::TIMESTAMP AS day FROM calls),
+m AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival) - INTERVAL 2 DAY AS mark FROM a GROUP BY arrival),
+ok AS (SELECT a.* FROM a LEFT JOIN m ON m.arrival = a.arrival - 1 WHERE m.mark IS NULL OR day + INTERVAL 1 DAY > m.mark)
+SELECT day, phase, count(*) AS calls, sum(input_tokens)::BIGINT AS tokens, round(avg(latency_ms), 6) AS avg_latency_ms FROM ok WHERE day + INTERVAL 1 DAY <= (SELECT max(mark) FROM m) GROUP BY ALL""")
 def stream_log_stats(spark, sf_dir):
-    rows = fx.calls(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "phase", F.col("input_tokens").alias("tokens"), "latency_ms")
-    return streams.stream_log_stats(rows).withColumns({"avg_latency_ms": F.round("avg_latency_ms", 6), "day": F.col("day").cast("timestamp_ntz")})
+    """Calls arrive in four parts, a seventh of them late; the query is stopped after each part and goes on from its checkpoint."""
+    folder, out = _folder(spark, "calls"), _folder(spark, "stream")
+    late = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    part = F.greatest(F.lit(0), F.least(F.lit(2), F.floor(F.date_diff("ts", F.lit("2024-01-01")) / 10))) + late
+    rows = fx.calls(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "phase", F.col("input_tokens").alias("tokens"), "latency_ms", part.alias("arrival"))
+    for k in range(4):
+        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(folder)
+        calls = spark.readStream.schema(rows.drop("arrival").schema).parquet(folder)
+        streams.write_log_stats(calls, f"{out}/stats", f"{out}/state", "2 days").awaitTermination()
+    done = spark.read.parquet(f"{out}/stats")
+    return done.withColumns({"avg_latency_ms": F.round("avg_latency_ms", 6), "day": F.col("day").cast("timestamp_ntz")})

@@ -265,6 +265,7 @@ def _dens(s: str) -> str:
 
 
 DENSITY_SQL = _dens(_DENSITY)
+CHUNK_DENSITY_SQL = DENSITY_SQL.replace("SELECT doc_id, text AS t, lower(text) AS lo FROM documents", "SELECT doc_id, chunk_index, content AS t, lower(content) AS lo FROM chunks").replace("(SELECT doc_id, t", "(SELECT doc_id, chunk_index, t")
 
 
 @query("WITH" + DENSITY_SQL + " SELECT doc_id, round(logic, 6) AS logic_density FROM d5")
@@ -327,7 +328,7 @@ def is_table_heavy(spark, sf_dir):
 
 
 @query(
-    "WITH" + CHUNKS_SQL + "," + DENSITY_SQL.replace("SELECT doc_id, text AS t, lower(text) AS lo FROM documents", "SELECT doc_id, chunk_index, content AS t, lower(content) AS lo FROM chunks").replace("(SELECT doc_id, t", "(SELECT doc_id, chunk_index, t")
+    "WITH" + CHUNKS_SQL + "," + CHUNK_DENSITY_SQL
     + " SELECT doc_id, chunk_index, length(t) AS char_count, CAST(score AS INTEGER) AS score_a, anchor AS has_anchor, score > 2 OR anchor AS keep FROM d5"
 )
 def scored_chunks(spark, sf_dir):
