@@ -71,11 +71,23 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], pa.int64()), "length": pa.array(out["length"], pa.int64()), "words": pa.array(out["words"], pa.binary())})
 
 
+def class_of(length: int) -> int:
+    """Items are of the class k whose length_of(k) is the first that isn't under theirs."""
+    k = 0
+    while length_of(k) < length:
+        k += 1
+    return k
+
+
+def length_of(k: int) -> int:
+    return 32 << 2 * k
+
+
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, w in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), strict=True):
             g = gram_hashes(np.frombuffer(w, dtype="<u8"), GRAM)
-            yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(g), pa.int64()), "seed": pa.array(g.view(np.int64)), "pos": pa.array(np.arange(len(g)))})
+            yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(g), pa.int64()), "seed": pa.array(g.view(np.int64)), "pos": pa.array(np.arange(len(g))), "class": pa.array(np.full(len(g), class_of(len(g) + GRAM - 1), dtype=np.int32))})
 
 
 class SeedFilter:
@@ -101,10 +113,10 @@ class SeedFilter:
         return at
 
 
-def seed_filter(seeds: DataFrame) -> SeedFilter:
-    """Built in executors in chunks of 64 KB; what the driver gets is bounded by MOST_BITS."""
+def seed_filter(seeds: DataFrame, spare: int = 0) -> SeedFilter:
+    """As sparse as 64 bits a seed, or `spare` doublings more. Built in executors in chunks of 64 KB; what the driver gets is bounded by MOST_BITS."""
     n = seeds.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length() + spare))
     width = min(bits, 19)
     places = F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in SeedFilter.places(bits)])
     p = seeds.select(F.explode(places).alias("p")).select(F.shiftright("p", width).alias("chunk"), F.col("p").bitwiseAND((1 << width) - 1).alias("p")).distinct()
@@ -143,16 +155,20 @@ def _count_rows(known: SeedFilter):
 _REGIONS = "doc_id long, h1 long, h2 long, row long, start long, words binary, hits array<struct<seed: bigint, at: bigint>>"
 
 
-def _region_rows(known: SeedFilter, longest: int):
-    """Stretches of documents around grams that may be rare seeds, wide enough for any item that has the seed anywhere."""
-    reach = longest + longest // 4 + 2
-    most = max(REGION_WORDS, 4 * reach)
+def _region_rows(classes: list[tuple[SeedFilter, int]]):
+    """Stretches of documents around grams that may be rare seeds, as wide as the longest item that has the seed needs.
+
+    classes: filters of the seeds of items up to a length, and that length. Each class has its own stretches, so a long item doesn't
+    widen those of others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [b.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "row")]
             rows: list[tuple] = []
-            for lo, h, first, g in _document_grams(_lower(b.column("text"))):
+            for lo, h, first, g, known, longest in ((*d, *c) for d in _document_grams(_lower(b.column("text"))) for c in classes):
+                reach = longest + longest // 4 + 2
+                most = max(REGION_WORDS, 4 * reach)
                 at = known.may_hold(g)
                 owner = np.searchsorted(first, at, side="right") - 1
                 i = 0
@@ -216,8 +232,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, ratio: float, rare_share: fl
     """_MATCHES: see find_contamination; h1 and h2 are hashes of the text, row is a number of the document's row."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_rows, "item_id long, length long, words binary")
     items = stored(rows.withColumn("item", F.monotonically_increasing_id()), "test-items")
-    longest = items.agg(F.max("length")).collect()[0][0] or 0
-    seeds = stored(items.select("item", "words").mapInArrow(_seed_rows, "item long, seed long, pos long"), "test-seeds")
+    seeds = stored(items.select("item", "words").mapInArrow(_seed_rows, "item long, seed long, pos long, class int"), "test-seeds")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
     # how often each seed stands in the documents, and of each item the seeds that are rarest there
@@ -227,11 +242,14 @@ def _matches(docs: DataFrame, benchmark: DataFrame, ratio: float, rare_share: fl
     ranked = join_counted(seeds, counts, ["seed"], "k").withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.col("n") + F.col("k"), "pos")))
     ranked = ranked.withColumn("size", F.count("*").over(W.partitionBy("item")))
     rare = ranked.where(F.col("rank") <= F.greatest(F.ceil(rare_share * F.col("size")), F.lit(least_seeds)))
-    rare = stored(rare.groupBy("seed").agg(F.max("n").alias("n"), F.collect_list(F.struct("item", "pos")).alias("places")), "seeds-rare")
+    rare = stored(rare.groupBy("seed").agg(F.max("n").alias("n"), F.max("class").alias("class"), F.collect_list(F.struct("item", "pos")).alias("places")), "seeds-rare")
 
-    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_region_rows(seed_filter(rare.select("seed")), longest), _REGIONS)
+    kinds = sorted(r[0] for r in rare.select("class").distinct().collect())  # powers of four up to the longest item
+    # a gram that isn't a seed costs a stretch, so filters of longer items are sparser
+    classes = [(seed_filter(rare.where(F.col("class") == k).select("seed"), 2 * k), length_of(k)) for k in kinds]
+    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_region_rows(classes), _REGIONS)
     regions = stored(found.withColumn("region", F.monotonically_increasing_id()), "passages")
-    hits = join_counted(regions.select("region", F.explode("hits").alias("x")).select("region", "x.*"), rare, ["seed"], "n")
+    hits = join_counted(regions.select("region", F.explode("hits").alias("x")).select("region", "x.*"), rare.drop("class"), ["seed"], "n")
     hits = hits.select("region", "at", F.explode("places").alias("p")).groupBy("region", "p.item").agg(F.collect_set(F.col("at") - F.col("p.pos")).alias("begins"))
     hits = stored(hits, "passages-seeded")
     per_item = hits.groupBy("item").agg(F.count("*").alias("k"))

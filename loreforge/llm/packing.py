@@ -177,7 +177,7 @@ def dff_bound(lengths: np.ndarray, size: int = SIZE) -> int:
     return best
 
 
-_PACKED = _PIECES + ", part long, round int, bin long, offset long, gap boolean"
+_PACKED = _PIECES + ", row long, part long, round int, bin long, offset long, gap boolean"
 
 
 def _packer(round_no: int, size: int):
@@ -201,7 +201,7 @@ def _packer(round_no: int, size: int):
         base = np.maximum.accumulate(np.where(firsts, starts, 0))
         offset = np.empty(len(lengths), dtype=np.int64)
         offset[order] = starts - base
-        cols = {c: rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        cols = {c: rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
         cols |= {"part": pa.array(np.full(len(lengths), part)), "round": pa.array(np.full(len(lengths), round_no, dtype=np.int32)), "bin": pa.array(bins), "offset": pa.array(offset), "gap": pa.array(gap)}
         yield from pa.table(cols).to_batches(max_chunksize=10_000)
 
@@ -211,20 +211,20 @@ def _packer(round_no: int, size: int):
 def pack_pieces(pieces: DataFrame, size: int = SIZE, items_each: int = ITEMS_EACH, rounds: int = 3) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `size`.
 
-    Pieces are dealt evenly by hash to partitions of about items_each and
-    packed there by best fit, longest first. A partition whose number of bins equals its lower bound is done. The others
+    Pieces are written with a row number and dealt by its hash, so repeated rows are spread as well, to partitions of about
+    items_each and packed there by best fit, longest first. A partition whose number of bins equals its lower bound is done. The others
     keep their full bins and send the pieces of bins with room on; these meet in fewer partitions, where they are packed
     anew, in up to `rounds` rounds. The last round keeps what it has. So the bins over the bound are at most one or
     a few for each of the last partitions.
     """
     done = []
-    left = pieces
+    left = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = left.count()
     for r in range(rounds):
         if not n and r:
             break
         n_parts = max(1, -(-n // items_each))
-        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(n_parts)).cast("long")
+        part = F.pmod(F.xxhash64("row", F.lit(r)), F.lit(n_parts)).cast("long")
         # one partition number is one group: each group is a task's share of bounded size
         dealt = left.withColumn("part", part)
         packed = dealt.groupBy("part").applyInArrow(_grouped(_packer(r, size)), _PACKED)
@@ -233,14 +233,14 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, items_each: int = ITEMS_EAC
         done.append((packed if last else packed.where(~F.col("gap"))).drop("gap"))
         if last:
             break
-        left = packed.where("gap").select("doc_id", "piece", "start", "length", "ids_crc32")
+        left = packed.where("gap").select("doc_id", "piece", "start", "length", "ids_crc32", "row")
         n = left.count()
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    # a partition has fewer bins than items, and a group of 2 ** 24 items doesn't occur
+    # row numbers differ, so a partition has about items_each items, far under 2 ** 24, and no more bins than those
     sequence = (F.col("part") * rounds + F.col("round")) * (1 << 24) + F.col("bin")
-    return out.withColumn("sequence_id", sequence).drop("part", "round", "bin")
+    return out.withColumn("sequence_id", sequence).drop("part", "round", "bin", "row")
 
 
 def _grouped(run):
@@ -255,8 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     Null and empty texts are the single id 0. Rows that repeat a doc_id are packed each. An empty table gives no rows.
     """
-    pieces = stored(token_pieces(docs, tokenizer), "pieces")
-    return pack_pieces(pieces)
+    return pack_pieces(token_pieces(docs, tokenizer))
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreforge.llm.common import free_name, join_counted, stored
+
 #: (host, path, verdict) of the contract.
 BASE_RULES = (
     ("org", "/", "allow"),
@@ -51,21 +53,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, words: DataFrame | None = Non
     n_rules = keys.count()
     keys = keys.withColumn("digest", F.sha2("expr", 256)).drop("expr").withColumn("short", F.substring("digest", 1, prefix_hex))
 
-    urls = pages.select("host", "path").distinct().where("host <> ''")
+    n = free_name("rows", pages.columns)  # of each URL
+    urls = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias(n))
     ints = lambda values: F.array(*map(F.lit, sorted(values))).cast("array<int>")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.filter(ints(depths), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(ints(lengths), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    exprs = urls.select("host", "path", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("host", "path", "h", F.explode("ps").alias("p")).select("host", "path", F.concat_ws("\n", "h", "p").alias("expr"))
+    exprs = urls.select("host", "path", n, F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("host", "path", n, "h", F.explode("ps").alias("p")).select("host", "path", n, F.concat_ws("\n", "h", "p").alias("expr"))
     if words is not None:
         of_host = F.array_distinct(F.filter(F.split("host", r"[.-]"), lambda w: w != ""))
-        exprs = exprs.unionByName(urls.select("host", "path", F.explode(of_host).alias("w")).select("host", "path", F.concat(F.lit(WORD), "w").alias("expr")))
-    exprs = exprs.select("host", "path", F.sha2("expr", 256).alias("full")).withColumn("short", F.substring("full", 1, prefix_hex))
+        exprs = exprs.unionByName(urls.select("host", "path", n, F.explode(of_host).alias("w")).select("host", "path", n, F.concat(F.lit(WORD), "w").alias("expr")))
+    exprs = exprs.select("host", "path", n, F.sha2("expr", 256).alias("full")).withColumn("short", F.substring("full", 1, prefix_hex))
     keys = F.broadcast(keys) if n_rules <= broadcast_rules else keys.hint("merge")
     fits = exprs.join(keys, "short").where("full = digest")
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", F.length("rule").alias("n"), "rule", "verdict")).alias("b"))
-    best = best.select("host", "path", F.when(F.col("b.rank") == 1, F.col("b.rule")).alias("rule"), F.col("b.verdict").alias("verdict"))
-    return pages.join(best.hint("merge"), ["host", "path"], "left")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", F.length("rule").alias("n"), "rule", "verdict")).alias("b"), F.max(n).alias(n))
+    best = stored(best.select("host", "path", F.when(F.col("b.rank") == 1, F.col("b.rule")).alias("rule"), F.col("b.verdict").alias("verdict"), n), "url-verdicts")
+    # rows without a host, which may be many, meet no rule and aren't shuffled
+    none = pages.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return join_counted(pages.where("host <> ''"), best, ["host", "path"], n, "left").drop(n).unionByName(none)
 
 
 def op8_url_filter(spark, sf_dir) -> DataFrame:

@@ -239,6 +239,28 @@ def test_contamination_is_judged_by_rows(spark):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, plain[0]), (None, plain[1]), (2, None), (2, plain[2])])
 
 
+def test_stretches_of_short_items_stay_short_beside_a_long_item(spark):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    short, long = sentence(rng, 17), sentence(rng, 20_000)
+    text = (sentence(rng, 30_000) + " " + short + " " + sentence(rng, 30_000)).lower()
+    items = next(decontaminate._item_rows([pa.record_batch({"item_id": [1, 2], "text": [short, long]})]))
+    rows = [r for b in decontaminate._seed_rows([pa.record_batch({"item": [1, 2], "words": items.column("words")})]) for r in b.to_pylist()]
+    seeds = spark.createDataFrame([(r["seed"], r["class"]) for r in rows], "seed long, class int")
+    kinds = sorted({r["class"] for r in rows})
+    classes = [(decontaminate.seed_filter(seeds.where(f"class = {k}").select("seed"), 2 * k), decontaminate.length_of(k)) for k in kinds]
+    assert kinds[0] == 0 and 20_000 <= decontaminate.length_of(kinds[1]) < 80_000
+    doc = pa.record_batch({"doc_id": [1], "text": [text], "h1": [0], "h2": [0], "row": [0]})
+    widths = [len(r["words"]) // 8 for b in decontaminate._region_rows(classes[:1])([doc]) for r in b.to_pylist()]
+    assert max(widths) < 120
+    known = {r["seed"] for r in rows if r["class"] == 0}
+    found = [r for b in decontaminate._region_rows(classes)([doc]) for r in b.to_pylist() if {h["seed"] for h in r["hits"]} & known]
+    assert found and max(len(r["words"]) // 8 for r in found) < 120
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -641,3 +663,17 @@ def test_damaged_records_are_errors(spark):
     for bad in (good[:40], warc_zip.warc_record(1, "u", b"abc", "00", None, "2020-01-01T00:00:00Z"), b"nothing"):
         with pytest.raises((ValueError, zlib.error)):
             warc_zip.parse_record(bad)
+
+
+def test_equal_rows_are_spread_over_packing_partitions(spark):
+    """1,000 rows of no id and no text, and some of one text: dealt by row, packed as tightly as others."""
+    rows = [(None, None)] * 1000 + [(1, "some words of one text " * 40)] * 300
+    pieces = packing.token_pieces(documents(spark, rows))
+    got = packing.pack_pieces(pieces, items_each=100).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got)[(None, 1)] == 1000 and len(got) == 1300
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(v)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:])) and sum(n for _, n in v) <= 2048 for v in by.values())
+    total = sum(r["length"] for r in got)
+    assert len(by) <= -(-total // 2048) + 20
