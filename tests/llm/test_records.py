@@ -409,6 +409,31 @@ def test_licence_places_equal_brute_force(spark):
     assert license_scan.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_without_a_base_phrase_are_found(spark):
+    """Tagged identifiers, names and parts of licence texts, none of which holds a phrase of the contract."""
+    rng = __import__("random").Random(6)
+    pad = lambda: sentence(rng, rng.randrange(5, 40))
+    rows = [(k, f"plain text number {k}, licensed for software or open source work, clause {k}") for k in range(200)]
+    cases = {
+        1000: ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+        1001: ("# SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
+        1002: ("This package has the BSD 3-Clause license", "bsd-3-clause"),
+        1003: ("see the Apache-2.0 license for details", "apache-2.0"),
+        1004: ("released by us as GPLv3 license", "gpl-3.0"),
+        1005: ("/* SPDX-License-Identifier: BSD-2-Clause */", "bsd-2-clause"),
+        1006: ("shall be included in all copies\n * or substantial portions of the Software: the above copyright notice\n * and this permission notice shall be included in all copies\n * or substantial portions of the Software.", "mit"),
+        1007: ("The licenses for most software are designed to take away your\nfreedom to share and change it.", "gpl-2.0"),
+        1008: ("Distributed under the Mozilla Public License 2.0", "mpl-2.0"),
+        1009: ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa-4.0"),
+    }
+    rows += [(d, pad() + "\n" + t + "\n" + pad()) for d, (t, _) in cases.items()]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    for d, (_, label) in cases.items():
+        assert label in got[d]["labels"].split(","), (d, got[d]["labels"])
+        assert got[d]["n_base"] == 0 and got[d]["score"] >= 0.8 or d == 1009
+    assert all(got[k]["labels"] == "" and got[k]["score"] == 0 for k in range(200))
+
+
 def test_files_with_several_licences_equal_brute_force(spark):
     import random
 
