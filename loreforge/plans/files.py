@@ -41,15 +41,17 @@ def load_text_documents(spark, sf_dir):
     return rows.groupBy(F.regexp_extract("source_path", "lang=([^/]*)", 1).alias("lang")).agg(F.sum(F.length("markdown")).alias("chars"))
 
 
-@query("WITH" + fx.CALLS_SQL + " SELECT phase, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(latency_ms)::BIGINT AS latency_ms FROM calls GROUP BY phase")
+@query("WITH" + fx.CALLS_SQL + r""" SELECT 'all' AS day, phase, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(latency_ms)::BIGINT AS latency_ms FROM calls GROUP BY phase
+UNION ALL SELECT '2024-01-05', phase, count(*), sum(input_tokens)::BIGINT, sum(latency_ms)::BIGINT FROM calls WHERE strftime(ts, '%Y-%m-%d') = '2024-01-05' GROUP BY phase""")
 def scan_call_log(spark, sf_dir):
+    """A file for each day, with broken and empty lines among the records; all days are read, and one."""
     out = _folder(spark, "log")
-    good = fx.calls(spark, sf_dir).select(F.to_json(F.struct("phase", "prompt_version", "input_tokens", "output_tokens", "think_tokens", "latency_ms", "validation_result")).alias("value"))
-    bad = good.select(F.when(F.length("value") % 2 == 0, "").otherwise("{broken").alias("value"))
-    good.unionByName(bad).write.text(out)
-    # text files of Spark's writer end in .txt; the scan takes .jsonl by default
-    rows = files.read_log(spark, out, "*.txt")
-    return rows.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("latency_ms").alias("latency_ms"))
+    c = fx.calls(spark, sf_dir)
+    good = F.to_json(F.struct("phase", "prompt_version", "input_tokens", "output_tokens", "think_tokens", "latency_ms", "validation_result"))
+    rows = c.select(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".jsonl")).alias("path"), "event_id", F.explode(F.array(good, F.when(F.col("event_id") % 2 == 0, "").otherwise("{broken"))).alias("line"))
+    files.write_named_files(rows, out, "event_id").write.format("noop").mode("overwrite").save()
+    sums = lambda rows, day: rows.groupBy(F.lit(day).alias("day"), "phase").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("latency_ms").alias("latency_ms"))
+    return sums(files.scan_call_log(spark, out), "all").unionByName(sums(files.scan_call_log(spark, out, "2024-01-05"), "2024-01-05"))
 
 
 @query("WITH" + PKG_SQL + " SELECT slug, trim(domain) AS domain, " + S('"trigger"') + " AS \"trigger\" FROM bs")
@@ -57,8 +59,8 @@ def scan_skill_packages(spark, sf_dir):
     s = fx.skills(spark, sf_dir).withColumn("sku_id", validate.slugify("name"))
     texts = packaging.write_skill_packages(s).where(F.col("path").endswith("/SKILL.md"))
     out = _folder(spark, "packages")
-    texts.select("slug", "text").repartition("slug").write.partitionBy("slug").text(out, lineSep="\u0000")
-    return packaging.parse_skill_package(files.scan_skill_packages(spark, out, "*.txt")).select("slug", "domain", "trigger")
+    files.write_named_files(texts.select(F.concat("slug", F.lit("/SKILL.md")).alias("path"), F.col("text").alias("line"), F.lit(0).alias("n")), out, "n").write.format("noop").mode("overwrite").save()
+    return packaging.parse_skill_package(files.scan_skill_packages(spark, out)).select("slug", "domain", "trigger")
 
 
 @query("WITH" + CHUNKS_SQL + " SELECT doc_id, chunk_index, content FROM chunks WHERE chunk_index < 1")
@@ -137,18 +139,7 @@ def scan_prompt_catalog(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     stems = part.select(F.concat(F.lit("prompt"), F.col("p_size").cast("string"), F.lit("_v"), (F.col("p_partkey") % 5).cast("string")).alias("stem")).distinct()
 
-    def write(batches):
-        import pyarrow.fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(out)
-        fs.create_dir(path, recursive=True)
-        for pdf in batches:
-            for stem in pdf["stem"]:
-                with fs.open_output_stream(f"{path}/{stem}.md") as f:
-                    f.write(b"Prompt {x}")
-            yield pdf
-
-    stems.mapInPandas(write, "stem string").write.format("noop").mode("overwrite").save()
+    files.write_named_files(stems.select(F.concat("stem", F.lit(".md")).alias("path"), F.lit("Prompt {x}").alias("line"), F.lit(0).alias("n")), out, "n").write.format("noop").mode("overwrite").save()
     return files.scan_prompt_catalog(spark, out).select("prompt_name", F.array_join("versions", ",").alias("versions"))
 
 

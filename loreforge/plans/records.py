@@ -474,12 +474,17 @@ def validate_skills(spark, sf_dir):
     return out.select("doc_id", "pos", "status", "domain", "confidence", F.array_join("warnings", "|").alias("warnings"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(left(lower(regexp_replace(regexp_replace(""" + S("split_part(text, E'\\n', 1)") + r""", '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 50), '$^', ''), '$^', '') AS name,
-  CASE WHEN """ + S("text") + r""" <> '' THEN '通用知识查询' END AS "trigger" FROM documents WHERE """ + S("text") + " <> '' AND NOT starts_with(" + S("text") + ", '---')")
+@query(r"""WITH r AS (SELECT doc_id, """ + S(r"""CASE doc_id % 4 WHEN 0 THEN E'---\ndomain: d\n---\n' || text WHEN 1 THEN E'---\nname: n' || doc_id || E'\ntrigger: t\n---\n' || text WHEN 2 THEN E'---\nname: "n x"\n---\n' || text ELSE text END""") + r""" AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract(t, '(?s)\A---\s*\n(.*?)\n---\s*\n(.*)\z', 1) AS h, CASE WHEN regexp_matches(t, '(?s)\A---\s*\n(.*?)\n---\s*\n(.*)\z') THEN """ + S(r"regexp_extract(t, '(?s)\A---\s*\n(.*?)\n---\s*\n(.*)\z', 2)") + r""" ELSE t END AS body FROM r)
+SELECT doc_id, CASE WHEN contains(h, 'name:') THEN trim(regexp_extract(h, '(?m)^name:\s*(.*)$', 1), '"') WHEN body <> '' THEN left(regexp_replace(lower(regexp_replace(""" + S("split_part(body, E'\\n', 1)") + r""", '[^a-zA-Z0-9]+', '-', 'g')), '^-+|-+$', '', 'g'), 50) END AS name,
+  CASE WHEN contains(h, 'trigger:') THEN regexp_extract(h, '(?m)^trigger:\s*(.*)$', 1) WHEN body <> '' THEN '通用知识查询' END AS "trigger",
+  CASE WHEN body <> '' AND NOT contains(h, 'name:') THEN 1 ELSE 0 END + CASE WHEN body <> '' AND NOT contains(h, 'trigger:') THEN 1 ELSE 0 END AS notes FROM p""")
 def infer_missing_fields(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    out = validate.infer_missing_fields(validate.parse_frontmatter(d)).where("body <> ''").where(~F.col("body").startswith("---"))
-    return out.select("doc_id", "name", "trigger")
+    """All documents, three quarters of them under headers that lack one field, both or none."""
+    i, text = F.col("doc_id"), F.col("text")
+    raw = F.when(i % 4 == 0, F.concat(F.lit("---\ndomain: d\n---\n"), text)).when(i % 4 == 1, F.concat(F.lit("---\nname: n"), i.cast("string"), F.lit("\ntrigger: t\n---\n"), text)).when(i % 4 == 2, F.concat(F.lit('---\nname: "n x"\n---\n'), text)).otherwise(text)
+    out = validate.infer_missing_fields(validate.parse_frontmatter(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw_text"))))
+    return out.select("doc_id", "name", "trigger", F.size("inferred").alias("notes"))
 
 
 @query("WITH" + CHUNKS_SQL + r""" SELECT d.doc_id, d.doc_id % 3 AS chunk_index, length(c.content) AS source_chars FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id AND c.chunk_index = d.doc_id % 3""")
