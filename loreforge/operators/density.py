@@ -21,19 +21,22 @@ ANCHORS = (
     "定义为", "指的是", "是指", "称为", "简称", "术语", "概念", "含义",
     "必须", "禁止", "不得", "要求", "强制", "注意", "警告", "重要",
 )
-CONDITION = r"(?:如果|若|当|假设|假如).{2,40}(?:则|就|那么|应该|需要)"
-CAUSAL = r"(?:因为|由于|因此|导致|引起|造成|使得|so that|due to|leads to)"
+CONDITION_WORDS, THEN_WORDS = ("如果", "若", "当", "假设", "假如"), ("则", "就", "那么", "应该", "需要")
+CAUSAL_WORDS = ("因为", "由于", "因此", "导致", "引起", "造成", "使得", "so that", "due to", "leads to")
+FORMULA_SIGNS, FORMULA_COMMANDS = "=≈≤≥±∑∏∫√∞αβγδε", ("frac", "sum", "int")
 NUMBER = r"(?<!\w)\d+(?:\.\d+)?(?!\w)"
 UNIT = r"\d+\s*(?:KB|MB|GB|TB|ms|秒|分钟|小时|天|%|元|万|亿|次|个|条|px|em|rem|kg|km|cm|mm|℃|°C|rpm|Hz|kHz|MHz|GHz|Mbps|Gbps)"
-FORMULA = r"[=≈≤≥±∑∏∫√∞αβγδε]|\\frac|\\sum|\\int|\$\$.+?\$\$"
 IDENTIFIER = r"[a-zA-Z_]\w*(?:\.\w+)+|[a-z]+[A-Z]\w+|[A-Z]{2,}\w*"
 PARENTHETICAL = r"（[^）]{2,20}）|\([^)]{2,20}\)"
 # ---- end of fixed values
+CONDITION = f"(?:{'|'.join(CONDITION_WORDS)}).{{2,40}}(?:{'|'.join(THEN_WORDS)})"
+CAUSAL = f"(?:{'|'.join(CAUSAL_WORDS)})"
+FORMULA = "|".join([f"[{FORMULA_SIGNS}]", *(r"\\" + x for x in FORMULA_COMMANDS), r"\$\$.+?\$\$"])
 
 _U = "(?Ud)"
 #: What a text must hold for a pattern to match anywhere: cheap to test, and most texts have none of it.
-_CONDITION_WORDS, _CAUSAL_WORDS = ("如果", "若", "当", "假设", "假如"), ("因为", "由于", "因此", "导致", "引起", "造成", "使得", "so that", "due to", "leads to")
-_DIGIT, _NAME_LIKE = r"(?U)\d", r"(?U)\w\.\w|[a-z][A-Z]|[A-Z][A-Z]"
+_DIGIT, _NAME_LIKE = r"(?U)\d", r"[a-zA-Z][A-Z]|\.\S"
+_FORMULA_PARTS = (*FORMULA_SIGNS, *("\\" + x for x in FORMULA_COMMANDS), "$$")
 
 
 def _count_if(needed: Column, c: Column, pattern: str) -> Column:
@@ -44,7 +47,7 @@ def logic_density(c: Column | str) -> Column:
     """Distinct connectors (2), condition patterns (5) and causal patterns (4) for each word; at most 1."""
     c = col(c)
     low = F.lower(c)
-    raw = hits(low, CONNECTORS) * 2 + _count_if(has_any(c, _CONDITION_WORDS), c, CONDITION) * 5 + _count_if(has_any(low, _CAUSAL_WORDS), low, CAUSAL) * 4
+    raw = hits(low, CONNECTORS) * 2 + _count_if(has_any(c, CONDITION_WORDS), c, CONDITION) * 5 + _count_if(has_any(low, CAUSAL_WORDS), low, CAUSAL) * 4
     return F.least(raw / F.greatest(count_matches(c, r"(?U)\S+"), F.lit(1)), F.lit(1.0))
 
 
@@ -54,7 +57,7 @@ def entity_density(c: Column | str) -> Column:
     digits = F.when(c.rlike(_DIGIT), count_matches(c, _U + NUMBER) * 2 + count_matches(c, _U + UNIT) * 3).otherwise(0)
     names = _count_if(c.rlike(_NAME_LIKE), c, IDENTIFIER) * 2
     asides = _count_if(F.contains(c, F.lit("(")) | F.contains(c, F.lit("（")), c, PARENTHETICAL) * 3
-    raw = digits + count_matches(c, _U + FORMULA) * 5 + names + asides
+    raw = digits + _count_if(has_any(c, _FORMULA_PARTS), c, FORMULA) * 5 + names + asides
     return F.least(raw / (F.greatest(F.length(c), F.lit(1)) / 10), F.lit(1.0))
 
 
@@ -67,11 +70,15 @@ def struct_density(c: Column | str) -> Column:
     return F.least(share + F.floor(count_matches(c, "```") / 2) * 0.08, F.lit(1.0))
 
 
-def value_score(c: Column | str, low_value=LOW_VALUE) -> Column:
-    """1 to 5 from the weighted densities less 0.08 for each low-value word present."""
+def value(c: Column | str, low_value=LOW_VALUE) -> Column:
+    """Weighted densities less 0.08 for each low-value word present."""
     c = col(c)
-    x = logic_density(c) * 0.4 + entity_density(c) * 0.3 + struct_density(c) * 0.3 - hits(F.lower(c), low_value) * 0.08
-    return let(x, score_level)
+    return logic_density(c) * 0.4 + entity_density(c) * 0.3 + struct_density(c) * 0.3 - hits(F.lower(c), low_value) * 0.08
+
+
+def value_score(c: Column | str, low_value=LOW_VALUE) -> Column:
+    """1 to 5 by value()."""
+    return let(value(c, low_value), score_level)
 
 
 def score_level(x: Column) -> Column:
@@ -90,7 +97,8 @@ def is_table_heavy(c: Column | str) -> Column:
 
 def filter_chunks(chunks: DataFrame, content: str = "content", anchors=ANCHORS) -> DataFrame:
     """Adds score_a, has_anchor, keep and reason; a chunk is dropped where the score is 2 or less and it has no anchor."""
-    scored = chunks.withColumns({"score_a": value_score(content), "has_anchor": has_anchor(content, anchors)})
+    # a column of its own: within a lambda the patterns would run outside generated code
+    scored = chunks.withColumn("_value", value(content)).withColumns({"score_a": score_level(F.col("_value")), "has_anchor": has_anchor(content, anchors)}).drop("_value")
     low = F.col("score_a") <= 2
     reason = (
         F.when(low & ~F.col("has_anchor"), F.format_string("低信息密度（评分 %d/5）且无上下文锚点", "score_a"))
