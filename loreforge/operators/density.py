@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, count_matches, has_any, hits, let
+from loreforge.functions.text import col, count_matches, has_any, hits
 
 # ---- fixed values: word lists and patterns that decide scores
 CONNECTORS = (
@@ -78,11 +78,13 @@ def value(c: Column | str, low_value=LOW_VALUE) -> Column:
 
 def value_score(c: Column | str, low_value=LOW_VALUE) -> Column:
     """1 to 5 by value()."""
-    return let(value(c, low_value), score_level)
+    return score_level(value(c, low_value))
 
 
 def score_level(x: Column) -> Column:
-    return F.when(x >= 0.35, 5).when(x >= 0.22, 4).when(x >= 0.12, 3).when(x >= 0.05, 2).otherwise(1)
+    """1 and one more for each step reached: a sum, in which generated code computes x once."""
+    reached = [F.coalesce(x >= step, F.lit(False)).cast("int") for step in (0.05, 0.12, 0.22, 0.35)]
+    return sum(reached, F.lit(1))
 
 
 def has_anchor(c: Column | str, anchors=ANCHORS) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreforge.operators.similarity import stored as _stored
+from loreforge.functions.tables import join_one, sums_before
+from loreforge.functions.tables import stored as _stored
+from loreforge.session import shared_dir
 
 #: The relation and weight of edges between skills of one domain, and the batch of one request.
 SAME_DOMAIN, SAME_WEIGHT, BATCH = "同域", 0.5, 30
@@ -18,15 +22,77 @@ def graph_nodes(skills: DataFrame, idx: str = "idx") -> DataFrame:
     return skills.groupBy("name").agg(F.min(idx).alias(idx), last.alias("r")).select("name", idx, "r.*")
 
 
-def same_domain_edges(nodes: DataFrame, idx: str = "idx") -> DataFrame:
-    """(src, dst, relation, weight) from earlier to later nodes of one domain.
+def domain_classes(nodes: DataFrame, idx: str = "idx") -> DataFrame:
+    """(name, domain, place, size), stored: each node with a domain, its place there in idx order from 0, and the nodes of the domain.
+
+    This is the graph of same-domain edges in factorised form, one row for each node: there is an edge from each to every later one.
+    Names differ, as those of graph_nodes() do.
+    """
+    named = nodes.where("domain <> ''").select("name", "domain", F.col(idx).alias("i"))
+    sizes = _stored(named.groupBy("domain").agg(F.count("*").alias("size")), "domains")
+    placed = sums_before(named, "domain", ["i", "name"], F.lit(1), "place")
+    return _stored(join_one(placed, sizes.withColumn("n", F.col("size")), "domain", "n").select("name", "domain", "place", "size"), "domain-classes")
+
+
+def same_domain_edges(nodes: DataFrame, idx: str = "idx", block: int = 1000) -> DataFrame:
+    """(src, dst, relation, weight) from earlier to later nodes of one domain: domain_classes() written out.
+
+    The edges of a domain are a clique, so they grow with the square of its size; statistics, ranks and components use the classes.
+    A domain is cut into blocks of places, each two of which are a key of the join, so a large one is spread over many tasks.
+    """
+    c = domain_classes(nodes, idx).withColumns({"own": F.floor(F.col("place") / block), "last": F.floor((F.col("size") - 1) / block)})
+    a = c.select("domain", F.col("own").alias("one"), F.explode(F.sequence("own", "last")).alias("two"), F.col("name").alias("src"), F.col("place").alias("i"))
+    b = c.select("domain", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("one"), F.col("own").alias("two"), F.col("name").alias("dst"), F.col("place").alias("j"))
+    e = a.join(b.hint("shuffle_hash"), ["domain", "one", "two"]).where("i < j")
+    return e.select("src", "dst", F.lit(SAME_DOMAIN).alias("relation"), F.lit(SAME_WEIGHT).alias("weight"))
+
+
+def domain_links(classes: DataFrame) -> DataFrame:
+    """(src, dst) from each domain's first node to the others: fewer edges with the same components."""
+    first = _stored(classes.where("place = 0 and size > 1").select("domain", F.col("name").alias("src"), F.col("size").alias("n")), "domains-first")
+    return join_one(classes.where("place > 0").select("domain", F.col("name").alias("dst")), first, "domain", "n").select("src", "dst")
+
+
+def class_degree_centrality(nodes: DataFrame, classes: DataFrame, node: str = "name") -> DataFrame:
+    """degree_centrality() of the same-domain edges: a node has one with every other of its domain."""
+    n = nodes.count()
+    d = classes.select(F.col("name").alias(node), (F.col("size") - 1).alias("d"))
+    return nodes.select(node).join(d.hint("merge"), node, "left").select(node, (F.coalesce("d", F.lit(0)) / max(n - 1, 1)).alias("centrality"))
+
+
+def class_graph_stats(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """graph_stats() of the same-domain edges, from the sizes of the domains."""
+    n = nodes.agg(F.count("*").alias("nodes"))
+    tops = classes.where("place = 0")
+    m = tops.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0)).cast("long").alias("edges"), F.count_if(F.col("size") > 1).alias("clusters"))
+    out = n.crossJoin(m)  # one row each
+    return out.withColumn("avg_degree", F.round(F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes")).otherwise(0.0), 2))
+
+
+def class_pagerank(nodes: DataFrame, classes: DataFrame, damping: float = 0.85, iterations: int = 20, node: str = "name", tolerance: float = 0.0) -> DataFrame:
+    """pagerank() of the same-domain edges in time linear in the nodes.
 
-    The edges of a domain are a clique, so they grow with the square of its size; ranks use domain_sums instead.
+    All edges of a node weigh the same, so a node passes its rank in equal shares to the later ones of its domain, and what one gets is
+    the sum of those shares over the earlier ones: a sum over ranges of places, not over edges.
     """
-    a = nodes.where("domain <> ''").select("domain", F.col("name").alias("src"), F.col(idx).alias("i"))
-    b = nodes.select("domain", F.col("name").alias("dst"), F.col(idx).alias("j"))
-    e = a.join(b, "domain").where("i < j and src <> dst")
-    return e.select("src", "dst", F.lit(SAME_DOMAIN).alias("relation"), F.lit(SAME_WEIGHT).alias("weight")).dropDuplicates(["src", "dst"])
+    total = nodes.count()
+    if not total:
+        return nodes.select(node, F.lit(0.0).alias("rank"))
+    rows = nodes.select(F.col(node).alias("name")).join(classes.hint("merge"), "name", "left")
+    alone = F.concat(F.lit("alone:"), "name")  # a node without a domain is a domain of its own
+    rows = rows.select("name", F.coalesce(F.concat(F.lit("in:"), "domain"), alone).alias("domain"), F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("size", F.lit(1)).alias("size"))
+    ranks = _stored(rows.withColumn("rank", F.lit(1.0 / total)), "ranks")
+    later = F.col("size") - 1 - F.col("place")
+    for _ in range(iterations):
+        loose = ranks.agg(F.coalesce(F.sum(F.when(later == 0, F.col("rank"))), F.lit(0.0))).collect()[0][0]
+        share = F.when(later > 0, F.col("rank") / later).otherwise(0.0)
+        got = sums_before(ranks, "domain", ["place"], share, "in")
+        new = got.withColumn("new", (1 - damping) / total + damping * (F.col("in") + loose / total))
+        new = _stored(new.select("name", "domain", "place", "size", F.col("new").alias("rank"), F.abs(F.col("new") - F.col("rank")).alias("moved")), "ranks")
+        ranks = new.drop("moved")
+        if tolerance and new.agg(F.sum("moved")).collect()[0][0] < tolerance:
+            break
+    return ranks.select(F.col("name").alias(node), "rank")
 
 
 def merge_relation_edges(edges: DataFrame, answers: DataFrame, nodes: DataFrame, idx: str = "idx", batch: int = BATCH) -> DataFrame:
@@ -43,31 +109,48 @@ def merge_relation_edges(edges: DataFrame, answers: DataFrame, nodes: DataFrame,
     return both.groupBy("src", "dst").agg(F.max_by(F.struct("relation", "weight"), "at").alias("r")).select("src", "dst", "r.*")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, node: str = "name") -> DataFrame:
-    """(node, rank): weighted PageRank, dangling mass spread evenly, a fixed number of iterations."""
-    total = nodes.count()
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, node: str = "name", tolerance: float = 0.0) -> DataFrame:
+    """(node, rank): weighted PageRank, dangling mass spread evenly; ends after `iterations` or when ranks move by less than `tolerance` in sum.
+
+    The edges are written once, bucketed by source, so that they aren't shuffled again: in each iteration ranks go to the edges'
+    buckets, and only sums for each target are sent on.
+    """
+    spark, total = nodes.sparkSession, nodes.count()
     if not total:
         return nodes.select(node, F.lit(0.0).alias("rank"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = _stored(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "moves")
-    sources = moves.select("src").distinct()
-    ranks = nodes.select(F.col(node).alias("n"), F.lit(1.0 / total).alias("rank"))
-    for k in range(iterations):
-        given = moves.join(ranks, F.col("src") == F.col("n")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        loose = ranks.join(sources, F.col("n") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        ranks = ranks.join(given, F.col("n") == F.col("dst"), "left").crossJoin(F.broadcast(loose)).select(  # loose is one row
-            "n", ((1 - damping) / total + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / total)).alias("rank")
-        )
-        if k % 5 == 4:
-            ranks = _stored(ranks, "ranks")
-    return ranks.withColumnRenamed("n", node)
+    moves = edges.join(out.hint("merge"), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    name = f"moves_{uuid.uuid4().hex[:12]}"
+    moves.repartition(n, "src").write.bucketBy(n, "src").sortBy("src").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        moves = spark.table(name)
+        sources = _stored(moves.select("src").distinct(), "sources")
+        rows = nodes.select(F.col(node).alias("n")).join(sources.select(F.col("src").alias("n"), F.lit(True).alias("moves")).hint("merge"), "n", "left")
+        ranks = _stored(rows.select("n", F.coalesce("moves", F.lit(False)).alias("moves"), F.lit(1.0 / total).alias("rank")), "ranks")
+        for _ in range(iterations):
+            loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("moves"), F.col("rank"))), F.lit(0.0))).collect()[0][0]
+            new = ranks.join(given_ranks(moves, ranks).hint("merge"), F.col("n") == F.col("dst"), "left")
+            rank = (1 - damping) / total + damping * (F.coalesce("in", F.lit(0.0)) + loose / total)
+            new = _stored(new.select("n", "moves", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")), "ranks")
+            ranks = new.drop("moved")
+            if tolerance and new.agg(F.sum("moved")).collect()[0][0] < tolerance:
+                break
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return ranks.select(F.col("n").alias(node), "rank")
+
+
+def given_ranks(moves: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(dst, in): what each target gets, from moves (src, dst, share) bucketed by src and ranks (n, rank)."""
+    return moves.join(ranks.hint("merge"), F.col("src") == F.col("n")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, node: str = "name") -> DataFrame:
     """(node, centrality): in and out edges over the number of other nodes."""
     ends = edges.select(F.col("src").alias(node)).unionByName(edges.select(F.col("dst").alias(node))).groupBy(node).agg(F.count("*").alias("d"))
     n = nodes.count()
-    return nodes.select(node).join(ends, node, "left").select(node, (F.coalesce("d", F.lit(0)) / max(n - 1, 1)).alias("centrality"))
+    return nodes.select(node).join(ends.hint("merge"), node, "left").select(node, (F.coalesce("d", F.lit(0)) / max(n - 1, 1)).alias("centrality"))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -89,13 +172,12 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, top: int = 10) -> DataFrame:
-    """(rank, size, component, members): the largest components, the one with the smaller first member first among equals."""
+    """(rank, size, component, member): the members of the largest components, a row for each; the component with the smaller first member comes first among equals."""
     labels = component_labels(edges)
     sizes = labels.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     best = sizes.orderBy(F.desc("size"), "component").limit(top)
-    best = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component")))
-    members = labels.join(F.broadcast(best), "component").groupBy("rank", "size", "component").agg(F.sort_array(F.collect_list("node")).alias("members"))
-    return members
+    best = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component")))  # `top` rows
+    return labels.join(F.broadcast(best), "component").select("rank", "size", "component", F.col("node").alias("member"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,7 +191,8 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def top_skills(ranks: DataFrame, centrality: DataFrame, nodes: DataFrame, top: int = 15) -> DataFrame:
     best = ranks.orderBy(F.desc(F.round("rank", 9)), "name").limit(top)
     place = F.row_number().over(W.orderBy(F.desc(F.round("rank", 9)), "name"))
-    rows = best.withColumn("place", place).join(centrality, "name").join(nodes.select("name", "domain"), "name")
+    best = F.broadcast(best.withColumn("place", place))  # `top` rows
+    rows = centrality.join(best, "name").join(nodes.select("name", "domain").hint("merge"), "name")
     return rows.select("place", "name", "domain", F.round("rank", 4).alias("pagerank"), F.round("centrality", 4).alias("centrality"))
 
 
@@ -123,7 +206,7 @@ def graph_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node_json = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("name").alias("id"), "domain", "trigger")).alias("line"))
     edge_json = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "weight")).alias("line"))
     boxes = ids.select(F.lit("mermaid_node").alias("kind"), F.concat(F.lit("    "), F.col("id"), F.lit('["'), cut_label(F.col("name"), 20), F.lit('"]')).alias("line"))
-    named = edges.join(ids.select(F.col("name").alias("src"), F.col("id").alias("u")), "src").join(ids.select(F.col("name").alias("dst"), F.col("id").alias("v")), "dst")
+    named = edges.join(ids.select(F.col("name").alias("src"), F.col("id").alias("u")).hint("merge"), "src").join(ids.select(F.col("name").alias("dst"), F.col("id").alias("v")).hint("merge"), "dst")
     arrow = F.when(F.col("relation") != "", F.concat(F.lit(" -->|"), F.col("relation"), F.lit("| "))).otherwise(" --> ")
     arrows = named.select(F.lit("mermaid_edge").alias("kind"), F.concat(F.lit("    "), F.col("u"), arrow, F.col("v")).alias("line"))
     return node_json.unionByName(edge_json).unionByName(boxes).unionByName(arrows)

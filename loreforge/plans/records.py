@@ -587,6 +587,12 @@ def _supply(spark, sf_dir):
     return nodes, graph.same_domain_edges(nodes)
 
 
+def _supply_classes(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    nodes = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("idx"), F.col("n_name").alias("domain"), F.lit("t").alias("trigger"))
+    return nodes, graph.domain_classes(nodes)
+
+
 @query("WITH" + SUPPLY_SQL + " SELECT * FROM ge")
 def same_domain_edges(spark, sf_dir):
     return _supply(spark, sf_dir)[1]
@@ -597,10 +603,17 @@ def degree_centrality(spark, sf_dir):
     return graph.degree_centrality(*_supply(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
 
 
-@query("WITH" + SUPPLY_SQL + r""", c AS (SELECT domain, count(*) AS size, min(name) AS component, string_agg(name, ',' ORDER BY name) AS members FROM gn GROUP BY domain HAVING count(*) > 1)
-SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, size, component, members FROM c ORDER BY size DESC, component LIMIT 10""")
+@query("WITH" + SUPPLY_SQL + " SELECT name, round((SELECT count(*) FROM ge WHERE src = name OR dst = name) / ((SELECT count(*) FROM gn) - 1), 6) AS centrality FROM gn")
+def degree_centrality_by_class(spark, sf_dir):
+    return graph.class_degree_centrality(*_supply_classes(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
+
+
+@query("WITH" + SUPPLY_SQL + r""", c AS (SELECT domain, count(*) AS size, min(name) AS component FROM gn GROUP BY domain HAVING count(*) > 1),
+best AS (SELECT CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS rank, * FROM c ORDER BY size DESC, component LIMIT 10)
+SELECT rank, size, component, name AS member FROM best JOIN gn USING (domain)""")
 def connected_components(spark, sf_dir):
-    return graph.connected_components(_supply(spark, sf_dir)[1]).withColumn("members", F.array_join("members", ","))
+    """From the links of the domains' first nodes, which have the same components as all same-domain edges."""
+    return graph.connected_components(graph.domain_links(_supply_classes(spark, sf_dir)[1]))
 
 
 @query("WITH" + SUPPLY_SQL + " SELECT (SELECT count(*) FROM gn) AS nodes, (SELECT count(*) FROM ge) AS edges, (SELECT count(*) FROM (SELECT domain FROM gn GROUP BY domain HAVING count(*) > 1)) AS clusters, round(2 * (SELECT count(*) FROM ge) / (SELECT count(*) FROM gn), 2) AS avg_degree")
@@ -608,6 +621,11 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(*_supply(spark, sf_dir))
 
 
+@query("WITH" + SUPPLY_SQL + " SELECT (SELECT count(*) FROM gn) AS nodes, (SELECT count(*) FROM ge) AS edges, (SELECT count(*) FROM (SELECT domain FROM gn GROUP BY domain HAVING count(*) > 1)) AS clusters, round(2 * (SELECT count(*) FROM ge) / (SELECT count(*) FROM gn), 2) AS avg_degree")
+def graph_stats_by_class(spark, sf_dir):
+    return graph.class_graph_stats(*_supply_classes(spark, sf_dir))
+
+
 RANK_SQL = SUPPLY_SQL + r""",
 mv AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM ge),
 into_ AS (SELECT name, list(src) AS srcs, list(share) AS shares FROM gn LEFT JOIN mv ON dst = name GROUP BY name),
@@ -626,11 +644,16 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(*_supply(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
+@query("WITH" + RANK_SQL + " SELECT name, round(rank, 6) AS rank FROM pr")
+def pagerank_by_class(spark, sf_dir):
+    return graph.class_pagerank(*_supply_classes(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
+
+
 @query("WITH" + RANK_SQL + r""", ce AS (SELECT name, (SELECT count(*) FROM ge WHERE src = name OR dst = name) / ((SELECT count(*) FROM gn) - 1) AS c FROM gn)
 SELECT CAST(row_number() OVER (ORDER BY round(rank, 9) DESC, name) AS INTEGER) AS place, name, domain, round(rank, 4) AS pagerank, round(c, 4) AS centrality FROM pr JOIN ce USING (name) JOIN gn USING (name) ORDER BY place LIMIT 15""")
 def top_skills(spark, sf_dir):
-    nodes, edges = _supply(spark, sf_dir)
-    return graph.top_skills(graph.pagerank(nodes, edges), graph.degree_centrality(nodes, edges), nodes)
+    nodes, classes = _supply_classes(spark, sf_dir)
+    return graph.top_skills(graph.class_pagerank(nodes, classes), graph.class_degree_centrality(nodes, classes), nodes)
 
 
 @query("WITH" + SUPPLY_SQL + r"""

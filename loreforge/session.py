@@ -12,8 +12,17 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch. A task holds one in the JVM and one in its Python worker, and operators make others of it.
+BATCH_BYTES, _BATCH, _DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of the session's application (as --py-files does)."""
+    """Makes this package importable in the Python workers of the session's application (as --py-files does).
+
+    Arrow batches of the session are of BATCH_BYTES at most, unless it has a number of its own.
+    """
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
