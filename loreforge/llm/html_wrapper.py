@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -33,13 +34,17 @@ MAIN = frozenset("article main".split())
 OUT_NAMES = re.compile(r"(?:^|[-_])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|consent|cookies?|dialog|disqus|footer|gdpr|login|menu|modal|nav(?:bar|igation)?|newsletter|notices?|notification|pagination|pager|popup|promo\w*|related|replies|responses|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget|complementary|contentinfo)(?:$|[-_])")
 OUT_NAMES_OUTSIDE = re.compile(r"(?:^|[-_])(?:header|masthead|topbar|site-name|logo|alert)(?:$|[-_])")
 
+#: Within a main element a name marks only if all its parts are such words or these, which say how something is laid out: "comment-list"
+#: is one of comments, "related-work" and "search-algorithms" are parts of an article.
+LAYOUT_NAMES = re.compile(r"(?:area|bar|block|body|bottom|box|btn|button|buttons|card|cards|col|column|container|content|count|entry|feed|footer|form|group|head|header|heading|inner|item|items|js|left|link|links|list|meta|module|outer|panel|post|posts|right|row|section|stories|text|thread|title|top|user|view|wrap|wrapper|articles|media|slot|unit|\d+)?")
+
 #: A text is part of the template if this share of the host's pages (and LEAST_PAGES) have it at its place; within the
 #: element that names itself main, more of more, and only where most of that element's text differs.
 SHARE, LEAST_PAGES, MAIN_SHARE, MAIN_PAGES = 0.5, 3, 0.9, 5
 MASS = 0.7  # share of a host's differing text that its main container holds
 BRANCH = 32  # expressions that one task aligns; more of a host are aligned in a tree
-TEXTS = 64  # different texts of a slot that are counted; the rarest go first
-RARE = 0.01  # optional parts of a smaller share of pages leave the expression of a host of over BRANCH pages
+TEXTS = 64  # counters of a slot: texts of a greater share than one in so many are among them, whatever the order of merging
+RARE = 0.01  # optional parts of a smaller share of pages leave the expression
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -89,10 +94,18 @@ def _path(parent: int, key: str) -> int:
     return xxhash.xxh3_64_intdigest(key, seed=parent) >> 1
 
 
+def _layout(name: str) -> bool:
+    return all(OUT_NAMES.search(x) or LAYOUT_NAMES.fullmatch(x) for x in re.split("[-_]+", name))
+
+
 def enter(parent: Place, key: str) -> Place:
-    """The place of an element in its parent: the element and its class names tell what is never or certainly main text."""
+    """The place of an element in its parent: the element and its class names tell what is never or certainly main text.
+
+    Within a main element names that have other parts as well say nothing; what is template there is found by the wrapper.
+    """
     name, *names = key.split(".")
-    out = parent.out or name in OUT or any(OUT_NAMES.search(x) for x in names)
+    marked = [x for x in names if OUT_NAMES.search(x)]
+    out = parent.out or name in OUT or (any(map(_layout, marked)) if parent.main else bool(marked))
     out = out or not parent.main and (name == "header" or any(OUT_NAMES_OUTSIDE.search(x) for x in names))
     return Place(_path(parent.path, key), name, out, parent.main or name in MAIN or "main" in names)
 
@@ -191,8 +204,12 @@ def _add(a: dict, b: dict, pages: bool = True) -> dict:
     if "v" in b:
         for k, n in b["v"].items():
             a["v"][k] = a["v"].get(k, 0) + n if pages else max(a["v"].get(k, 0), n)
+        if "e" in b:
+            a["e"] = a.get("e", 0) + b["e"]
         if len(a["v"]) > 2 * TEXTS:
-            a["v"] = dict(sorted(a["v"].items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
+            # counters lose as much as the first one over TEXTS holds (e: in all), so a frequent text can't be driven out
+            cut = sorted(a["v"].values(), reverse=True)[TEXTS]
+            a["v"], a["e"] = {k: n - cut for k, n in a["v"].items() if n > cut}, a.get("e", 0) + cut
         for k in ("k", "n", "l"):
             a[k] += b[k]
     if "g" in b:
@@ -201,10 +218,43 @@ def _add(a: dict, b: dict, pages: bool = True) -> dict:
     return a
 
 
-def fold(seq: list[dict], longest: int = 64) -> list[dict]:
-    """Repeats of a run of tokens become one group (...)+, short runs first; so a list of any length is one group."""
-    size = 1
-    while size <= longest and 2 * size <= len(seq):
+def _periods(forms: list[str], least: int, window: int = 64) -> list[int]:
+    """Lengths from `least` on at which the sequence may repeat: distances between equal runs of tokens, near ones first."""
+    ids = np.unique(np.array(forms, dtype=object).astype(str), return_inverse=True)[1].astype(np.uint64)
+    width = min(window, least)
+    if len(ids) < 2 * least:
+        return []
+    h = np.zeros(len(ids) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - width + 1 + k]
+    order = np.argsort(h, kind="stable")
+    found: set[int] = set()
+    for step in range(1, 9):
+        same = h[order[step:]] == h[order[:-step]]
+        found |= set((order[step:] - order[:-step])[same].tolist())
+    return sorted(d for d in found if d >= least)
+
+
+def _balanced(body: list[str]) -> bool:
+    """Whether a run of tokens ends each container that it begins, and no other: only such a run can repeat at one place."""
+    depth = 0
+    for s in body:
+        if s[0] == "/":
+            depth -= 1
+        elif s[0] not in "#(" and (name := s.partition(".")[0]) not in VOID and name not in ("p", "hr"):
+            depth += 1
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+def fold(seq: list[dict], short: int = 64) -> list[dict]:
+    """Repeats of a run of tokens become one group (...)+, short runs first; so a list of any length is one group.
+
+    Lengths up to `short` are all tried, longer ones where equal runs of tokens stand that far apart.
+    """
+    size, longer = 1, None
+    while 2 * size <= len(seq):
         forms = [t["s"] for t in seq]
         out: list[dict] = []
         i = 0
@@ -212,7 +262,7 @@ def fold(seq: list[dict], longest: int = 64) -> list[dict]:
             body, j = forms[i : i + size], i + size
             while forms[j : j + size] == body and len(body) == size:
                 j += size
-            if j > i + size:
+            if j > i + size and _balanced(body):
                 first = seq[i : i + size]
                 for k in range(i + size, j, size):
                     for x, y in zip(first, seq[k : k + size], strict=True):
@@ -224,7 +274,17 @@ def fold(seq: list[dict], longest: int = 64) -> list[dict]:
                 out.append(seq[i])
                 i += 1
         # a new group may itself be part of a repeated run
-        size, seq = 1 if len(out) < len(seq) else size + 1, out
+        if len(out) < len(seq):
+            size, longer = 1, None
+        elif size < short:
+            size += 1
+        else:
+            longer = _periods(forms, short + 1) if longer is None else longer
+            longer = [d for d in longer if d > size]
+            if not longer:
+                return out
+            size = longer[0]
+        seq = out
     return seq
 
 
@@ -268,11 +328,11 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
 
 
 def merged(streams: list[list[dict]], pages: int) -> list[dict]:
-    """One expression of several; optional parts that hardly any of the pages have leave it."""
+    """One expression of several; optional parts that under RARE of the pages have leave it (none of up to 100 pages)."""
     out = streams[0]
     for s in streams[1:]:
         out = align(out, s)
-    return [t for t in out if not t.get("o") or pages <= BRANCH or t["c"] >= RARE * pages]
+    return [t for t in out if not t.get("o") or t["c"] >= RARE * pages]
 
 
 # ---------------------------------------------------------------- what of a wrapper is main text
@@ -299,25 +359,44 @@ def _slots(wrapper: list[dict]) -> Iterator[tuple[tuple[int, ...], Place, dict]]
     yield from walk(wrapper)
 
 
-def decide(wrapper: list[dict], pages: int) -> dict:
+def _needed(place: Place, pages: int) -> float:
+    share, least = (MAIN_SHARE, MAIN_PAGES) if place.main else (SHARE, LEAST_PAGES)
+    return max(least, share * pages)
+
+
+def candidates(wrapper: list[dict], pages: int) -> list[list]:
+    """[path, digest] of the texts that may be template: their counters at a path, with what these may have lost, reach the share.
+
+    Optional parts can give a path several slots, which are taken together.
+    """
+    counted: dict[int, tuple[Place, Counter, int]] = {}
+    for _, p, t in _slots(wrapper):
+        place, n, lost = counted.get(p.path, (p, Counter(), 0))
+        n.update(t["v"])
+        counted[p.path] = (place, n, lost + t.get("e", 0))
+    return sorted([path, d] for path, (place, n, lost) in counted.items() for d, c in n.items() if c + lost >= _needed(place, pages))
+
+
+def decide(wrapper: list[dict], pages: int, counts: dict[tuple[int, str], int]) -> dict:
     """template: [path, digest] of texts that belong to the host's template; main: path of the container of most differing text.
 
-    Texts at their place on SHARE of the pages are template. main counts where no element names itself so.
+    counts: pages that have a candidate text at its path. Texts at their place on SHARE of the pages are template. main counts
+    where no element names itself so.
     """
     found = list(_slots(wrapper))
     template: list[list] = []
+    fixed_of = lambda p, t, needed: [d for d in t["v"] if counts.get((p.path, d), 0) >= needed]
     inside = [(p, t) for _, p, t in found if p.main and not p.out]
-    same = sum(t["n"] for _, t in inside if max(t["v"].values()) >= MAIN_SHARE * pages)
+    same = sum(t["n"] for p, t in inside if fixed_of(p, t, MAIN_SHARE * pages))
     differ = 2 * same <= sum(t["n"] for _, t in inside)
     mass: Counter = Counter()
     total = 0
     for chain, place, t in found:
-        share, least = (MAIN_SHARE, MAIN_PAGES) if place.main else (SHARE, LEAST_PAGES)
-        fixed = [d for d, n in t["v"].items() if n >= max(least, share * pages)]
+        fixed = fixed_of(place, t, _needed(place, pages))
         if not place.main or differ:
             template += [[place.path, d] for d in fixed]
         if not place.out:
-            plain = max(0, t["n"] - t["l"]) * max(0.0, 1 - sum(t["v"][d] for d in fixed) / t["k"])
+            plain = max(0, t["n"] - t["l"]) * max(0.0, 1 - sum(counts[place.path, d] for d in fixed) / t["k"])
             total += plain
             for p in dict.fromkeys(chain):
                 mass[p] += plain
@@ -408,11 +487,39 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         parts = parts.withColumn("part", F.pmod(F.xxhash64("form", "stream"), F.col("parts")))
         streams = parts.select("host", "form", "stream", "pages", "part").groupBy("host", "part").applyInPandas(_fold_group, _STREAMS)
 
+    def asked(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"host": pdf["host"], "asked": [json.dumps(candidates(json.loads(s), n)) for s, n in zip(pdf["stream"], pdf["pages"], strict=True)]})
+
+    # counters tell which texts may be template; those are counted exactly, page by page
+    wanted = streams.select("host", "stream", "pages").mapInPandas(asked, "host string, asked string").where("asked <> '[]'")
+    hits = attach(distinct.select("host", "html"), wanted, "host", "inner").select("host", "html", "asked").mapInArrow(_page_hits, "host string, path long, digest string, n long")
+    exact = hits.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"))
+    exact = stored(exact.groupBy("host").agg(F.collect_list(F.struct("path", "digest", "n")).alias("counts")), "host-templates")  # of a host's template
+
     def models(batches):
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "model": [json.dumps(decide(json.loads(s), n)) for s, n in zip(pdf["stream"], pdf["pages"], strict=True)]})
+            counts = [{(r["path"], r["digest"]): r["n"] for r in c} if c is not None else {} for c in pdf["counts"]]
+            yield pd.DataFrame({"host": pdf["host"], "model": [json.dumps(decide(json.loads(s), n, c)) for s, n, c in zip(pdf["stream"], pdf["pages"], counts, strict=True)]})
+
+    both = streams.select("host", "stream", "pages").join(exact.hint("merge"), "host", "left")
+    return both.mapInPandas(models, "host string, model string")
 
-    return streams.select("host", "stream", "pages").mapInPandas(models, "host string, model string")
+
+def _page_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch, how many pages of a host have a candidate text at its path."""
+    known: dict[str, set] = {}
+    for b in batches:
+        n: Counter = Counter()
+        for host, page, asked in zip(*(b.column(c).to_pylist() for c in ("host", "html", "asked")), strict=True):
+            if asked not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[asked] = {(p, d) for p, d in json.loads(asked)}
+            texts = {(e.place.path, digest(t)) for e in events(page or "") if isinstance(e, Text) and (t := squeezed(e.text))}
+            n.update((host, *x) for x in texts & known[asked])
+        rows = list(n.items())
+        yield pa.RecordBatch.from_pydict({c: pa.array([(*k, v)[i] for k, v in rows], t) for i, (c, t) in enumerate({"host": pa.string(), "path": pa.int64(), "digest": pa.string(), "n": pa.int64()}.items())})
 
 
 def _has_copies(pages: DataFrame) -> bool:

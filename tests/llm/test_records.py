@@ -702,3 +702,62 @@ def test_equal_rows_are_spread_over_packing_partitions(spark):
     assert all(sorted(v)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:])) and sum(n for _, n in v) <= 2048 for v in by.values())
     total = sum(r["length"] for r in got)
     assert len(by) <= -(-total // 2048) + 20
+
+
+def _neutral_page(rng, k):
+    """A page whose element and class names say nothing: links, a notice on some, a body of differing paragraphs, a foot."""
+    links = "".join(f'<div class="c{i}"><a href="#">Link {i}</a></div>' for i in range(6))
+    notice = '<div class="n">We changed our terms.</div>' if k % 10 < 6 else '<div class="n">Hello.</div>' if k % 10 == 6 else ""
+    paragraphs = [sentence(rng, rng.randrange(5, 30)) for _ in range(rng.randrange(1, 5))]
+    body = "".join(f'<div class="p">{p}</div>' for p in paragraphs)
+    return f'<html><body><div class="a">{links}</div>{notice}<div class="b">{body}</div><div class="f">All rights reserved.</div></body></html>', paragraphs
+
+
+def test_template_and_container_equal_brute_force(spark):
+    """Texts of a host's pages counted one by one give the same template, and the differing container is the main text."""
+    import json
+    import random
+
+    rng = random.Random(12)
+    made = [_neutral_page(rng, k) for k in range(150)]
+    rows = [(k, f"http://{'one' if k % 3 else 'two'}.org/{k}", page) for k, (page, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    hosted = df.withColumn("host", html_wrapper.host_of(df["url"]))
+    for row in html_wrapper.infer_wrappers(hosted).collect():
+        own = [page for _, url, page in rows if f"//{row['host']}/" in url]
+        n = Counter()
+        for page in own:
+            n.update({(e.place.path, html_wrapper.digest(t)) for e in html_wrapper.events(page) if isinstance(e, html_wrapper.Text) and (t := html_wrapper.squeezed(e.text))})
+        want = {x for x, c in n.items() if c >= max(html_wrapper.LEAST_PAGES, html_wrapper.SHARE * len(own))}
+        assert {(p, d) for p, d in json.loads(row["model"])["template"]} == want and len(want) == 8
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(df).collect()}
+    assert all(got[k] == "\n\n".join(paragraphs) for k, (_, paragraphs) in enumerate(made))
+
+
+def test_names_within_an_article_drop_only_what_they_say_as_a_whole(spark):
+    page = """<body><nav>Menu</nav><article class="post"><h1>Title</h1><section class="related-work">Earlier papers.</section><div id="search-algorithms">Binary search.</div>
+      <div class="share-of-costs">Costs.</div><div class="comment-list">A reader.</div><div class="related-posts">More.</div><div class="share-buttons">Tweet</div><div class="ad-box">Buy</div><p>End.</p></article></body>"""
+    df = spark.createDataFrame([(1, "http://x.org/1", page)], "page_id long, url string, html string")
+    assert html_wrapper.extract_pages(df).collect()[0]["text"] == "Title\n\nEarlier papers.\n\nBinary search.\n\nCosts.\n\nEnd."
+
+
+def test_frequent_texts_of_a_slot_are_never_driven_out():
+    """Whatever the order in which pages meet, a text of half of them is among the counters with at most what they lost missing."""
+    import random
+
+    rng = random.Random(3)
+    streams = [[{"s": "#", "c": 1, "v": {("t" if k % 2 else f"x{k}"): 1}, "k": 1, "n": 5, "l": 0}] for k in range(2000)]
+    for _ in range(3):
+        rng.shuffle(streams)
+        parts = [[dict(t, v=dict(t["v"])) for t in s] for s in streams]
+        while len(parts) > 1:
+            parts = [html_wrapper.merged(parts[i : i + 7], 7) for i in range(0, len(parts), 7)]
+        t = parts[0][0]
+        assert t["v"]["t"] <= 1000 <= t["v"]["t"] + t.get("e", 0) and t.get("e", 0) <= 2000 / html_wrapper.TEXTS and len(t["v"]) <= 2 * html_wrapper.TEXTS
+
+
+def test_long_repeats_are_folded():
+    body = [f"div.k{i}" for i in range(90)] + ["#"] + ["/div"] * 90
+    toks = lambda forms: [{"s": f, "c": 1, "v": {"d": 1}, "k": 1, "n": 1, "l": 0} if f == "#" else {"s": f, "c": 1} for f in forms]
+    once = html_wrapper.fold(toks(["main", *body, *body, *body]))
+    assert len(once) == 2 and once[1]["s"].endswith(")+")
