@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions.text import col, strip
 from loreforge.operators.graph import cut_label
+from loreforge.operators.text_search import FIELD, GRAM, find_texts
 from loreforge.operators.validate import kebab_slug
 
 #: Labels of the record types and of the metadata table's rows.
@@ -140,7 +141,15 @@ def registry_upsert(entries: DataFrame, seq: str = "load_seq") -> DataFrame:
     return entries.groupBy("slug").agg(F.max_by(F.struct(*fields), seq).alias("r")).select("slug", "r.*")
 
 
-def registry_find_trigger(entries: DataFrame, query: str) -> DataFrame:
+def trigger_text() -> Column:
+    """What registry_find_trigger() looks into, as one text for build_text_index()."""
+    return F.lower(F.concat(F.coalesce("trigger", F.lit("")), F.lit(FIELD), F.coalesce("description", F.lit(""))))
+
+
+def registry_find_trigger(entries: DataFrame, query: str, index: DataFrame | None = None, key: str = "slug") -> DataFrame:
+    """Entries whose trigger or description holds the query, whatever the case; with an index of trigger_text() by key no other entry is read."""
+    if index is not None and len(query) >= GRAM:
+        return entries.join(find_texts(index, [key], query.lower()).hint("shuffle_hash"), key, "left_semi")
     q = F.lit(query.lower())
     return entries.where(F.contains(F.lower("trigger"), q) | F.contains(F.lower("description"), q))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions.text import ordered_join
 from loreforge.operators.similarity import stored
+from loreforge.operators.text_search import FIELD, GRAM, find_texts
 
 
 # ---------------------------------------------------------------- ingest
@@ -100,11 +101,21 @@ def stride_recommend(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return place(df, order).where((F.col("_k") % step == 0) & (F.col("_k") < step * n)).drop("_k")
 
 
-def search_chunks(chunks: DataFrame, query: str, page: int = 1, size: int = 20, order: list[str] | None = None) -> DataFrame:
-    """A page of the chunks whose content or heading path holds the query, with a preview and the total of matches."""
+def searchable(content: str = "content", headings: str = "heading_path") -> Column:
+    """What search_chunks() looks into, as one text for build_text_index()."""
+    return F.concat(F.coalesce(content, F.lit("")), F.lit(FIELD), F.coalesce(F.array_join(headings, " > "), F.lit("")))
+
+
+def search_chunks(chunks: DataFrame, query: str, page: int = 1, size: int = 20, order: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """A page of the chunks whose content or heading path holds the query, with a preview and the total of matches.
+
+    With an index of searchable() whose keys are `order` only the chunks that match are read; shorter queries than a gram scan.
+    """
     order = order or ["doc_id", "chunk_index"]
-    hit = F.contains("content", F.lit(query)) | F.contains(F.array_join("heading_path", " > "), F.lit(query))
-    found = chunks.where(hit)
+    if index is not None and len(query) >= GRAM:
+        found = chunks.join(find_texts(index, order, query).hint("shuffle_hash"), order, "left_semi")
+    else:
+        found = chunks.where(F.contains("content", F.lit(query)) | F.contains(F.array_join("heading_path", " > "), F.lit(query)))
     total = found.agg(F.count("*").alias("total"))
     rows = found.orderBy(*order).offset((page - 1) * size).limit(size)
     return rows.crossJoin(F.broadcast(total)).select(*order, F.substring("content", 1, 100).alias("preview"), "char_count", "total")  # total is one row

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loreforge.operators import packaging, requests, similarity, validate
+from loreforge.operators import packaging, requests, runs, similarity, text_search, validate
 from loreforge.operators.chunking import rechunk as rechunk_files
 from loreforge.operators.density import filter_chunks
 from loreforge.plans import fixtures as fx
 from loreforge.plans.records import PKG_SQL
-from loreforge.plans.registry import query, table
+from loreforge.plans.registry import SQL, query, table
 from loreforge.session import shared_dir
 from loreforge.plans.texts import CHUNK_DENSITY_SQL, CHUNKS_SQL, DENSITY_SQL, EN_ANCHORS, HEADINGS_SQL, PACK_SQL, S, _documents
 from loreforge.sources import files
@@ -132,6 +132,20 @@ def rechunk(spark, sf_dir):
     return rechunk_files(rows).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "score_a")
 
 
+@query(SQL["search_chunks"])
+def search_chunks_indexed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.array("source").alias("heading_path"), F.length("text").cast("bigint").alias("char_count"))
+    index = text_search.build_text_index(d, ["doc_id", "chunk_index"], runs.searchable(), _folder(spark, "index"))
+    return runs.search_chunks(d, "tion", page=2, index=index)
+
+
+@query(SQL["registry_find_trigger"])
+def registry_find_trigger_indexed(spark, sf_dir):
+    e = fx.skills(spark, sf_dir).select("idx", "trigger", F.col("source_ref").alias("description"))
+    index = text_search.build_text_index(e, ["idx"], packaging.trigger_text(), _folder(spark, "index"))
+    return packaging.registry_find_trigger(e, "TION", index, "idx").select("idx")
+
+
 @query(r"""WITH f AS (SELECT DISTINCT 'prompt' || CAST(p_size AS VARCHAR) AS n, 'v' || CAST(p_partkey % 5 AS VARCHAR) AS v FROM part)
 SELECT n AS prompt_name, array_to_string(list_sort(list(v)), ',') AS versions FROM f GROUP BY n""")
 def scan_prompt_catalog(spark, sf_dir):
