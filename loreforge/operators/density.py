@@ -123,7 +123,7 @@ def apply_llm_verdicts(chunks: DataFrame, verdicts: DataFrame, key: list[str], t
     """
     parsed = F.from_json("answer", "score INT, has_anchor BOOLEAN, reason STRING")
     v = verdicts.select(*key, parsed.alias("v"))
-    out = chunks.join(v, key, "left").withColumns(
+    out = chunks.join(v.hint("merge"), key, "left").withColumns(
         {
             "score": F.coalesce(F.col("v.score"), F.lit(3)),
             "has_anchor": F.coalesce(F.col("v.has_anchor"), F.lit(False)),

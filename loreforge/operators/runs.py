@@ -179,7 +179,7 @@ def sample_check_report(sample: DataFrame, results: DataFrame, key: list[str]) -
     The total is a row of nulls with no skills.
     """
     ok = F.col("status") == "pass"
-    n = sample.select(*key).join(results, key, "left").withColumns({"p": F.coalesce(ok.cast("int"), F.lit(0)), "r": F.col("status").isNotNull().cast("int")})
+    n = sample.select(*key).join(results.hint("merge"), key, "left").withColumns({"p": F.coalesce(ok.cast("int"), F.lit(0)), "r": F.col("status").isNotNull().cast("int")})
     out = n.rollup(*key).agg(F.sum("p").alias("passed"), (F.sum("r") - F.sum("p")).alias("failed"), F.grouping_id().alias("g"))
     out = out.where(F.col("g").isin(0, 2 ** len(key) - 1)).drop("g")
     shown = results.join(sample.select(*key).hint("merge"), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "trigger", "status"))).alias("skills"))
