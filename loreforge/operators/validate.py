@@ -35,9 +35,11 @@ def parse_frontmatter(answers: DataFrame, text: str = "raw_text") -> DataFrame:
     The header stands between --- lines at the start, or in a yaml fence; else there are no fields and all is body. A key
     without a value opens a list; `- item` lines go to the key before them. Values stay strings.
     """
-    t = strip(text)
-    head = F.when(t.rlike(_HEADED), F.regexp_extract(t, _HEADED, 1)).when(F.col(text).rlike(_FENCED), F.regexp_extract(text, _FENCED, 1)).otherwise("")
-    body = F.when(t.rlike(_HEADED), F.regexp_extract(t, _HEADED, 2)).when(F.col(text).rlike(_FENCED), F.regexp_extract(text, _FENCED, 2)).otherwise(t)
+    # the stripped text and its kind as columns of their own: each is used several times below
+    answers = answers.withColumn("_t", strip(text)).withColumn("_headed", F.col("_t").rlike(_HEADED))
+    t, headed = F.col("_t"), F.col("_headed")
+    head = F.when(headed, F.regexp_extract(t, _HEADED, 1)).when(F.col(text).rlike(_FENCED), F.regexp_extract(text, _FENCED, 1)).otherwise("")
+    body = F.when(headed, F.regexp_extract(t, _HEADED, 2)).when(F.col(text).rlike(_FENCED), F.regexp_extract(text, _FENCED, 2)).otherwise(t)
     kind = "array<struct<key: string, value: string, items: array<string>>>"
 
     def step(acc, line):
@@ -57,7 +59,7 @@ def parse_frontmatter(answers: DataFrame, text: str = "raw_text") -> DataFrame:
     df = answers.withColumn("_kv", latest)
     values = F.map_from_entries(F.transform(F.filter("_kv", lambda r: r["value"].isNotNull()), lambda r: F.struct(r["key"], r["value"])))
     lists = F.map_from_entries(F.transform(F.filter("_kv", lambda r: r["value"].isNull()), lambda r: F.struct(r["key"], r["items"])))
-    return df.withColumns({"fields": values, "lists": lists, "body": strip(body)}).drop("_kv")
+    return df.withColumns({"fields": values, "lists": lists, "body": strip(body)}).drop("_kv", "_t", "_headed")
 
 
 def infer_missing_fields(parsed: DataFrame) -> DataFrame:
