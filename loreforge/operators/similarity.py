@@ -204,40 +204,91 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.88, idx: str = "idx",
     return near.withColumn("copy", F.lit(False)).unionByName(copies)
 
 
-def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx") -> DataFrame:
+#: Rows (items and their open pairs) of a range that one task settles.
+RANGE_ROWS = 500_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides the items of a range, which come in order, each with its smaller neighbours; null where that hangs on an earlier range."""
+    first, leaders, unsure = None, set(), set()
+    now, led, waits, ids, leads = None, False, False, [], []
+
+    def close() -> None:
+        if now is not None:
+            ids.append(now)
+            leads.append(False if led else None if waits else True)
+            if leads[-1] is None:
+                unsure.add(now)
+            elif leads[-1]:
+                leaders.add(now)
+
+    for b in batches:
+        for item, small, known in zip(b.column("id").to_pylist(), b.column("small").to_pylist(), b.column("led").to_pylist()):
+            if item != now:
+                close()
+                now, led, waits = item, False, False
+                first = item if first is None else first
+            if small is not None:
+                led = led or known or small in leaders
+                waits = waits or (not known and (small < first or small in unsure))
+        if len(ids) >= 10_000:
+            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "leads": pa.array(leads, pa.bool_())})
+            ids, leads = [], []
+    close()
+    yield pa.record_batch({"id": pa.array(ids, pa.int64()), "leads": pa.array(leads, pa.bool_())})
+
+
+def _leaders(ids: DataFrame, edges: DataFrame, rows_each: int) -> tuple[DataFrame, int]:
+    """(id, leads) of all ids, and the number of rounds; edges are (small, big), small < big, both among the ids."""
+    rows = stored(ids.distinct().select("id", F.lit(None).cast("long").alias("small"), F.lit(False).alias("led")).unionByName(
+        edges.select(F.col("big").alias("id"), "small", F.lit(False).alias("led"))), "clusters-open")
+    done, rounds = None, 0
+    while n := rows.count():
+        dealt = rows.repartitionByRange(-(-n // rows_each), "id").sortWithinPartitions("id")
+        state = stored(dealt.mapInArrow(_settle, "id long, leads boolean"), "clusters-round")
+        decided = state.where("leads is not null")
+        done = decided if done is None else done.unionByName(decided)
+        # open items stay, with the pairs whose smaller item is open or leads
+        mine = rows.join(state.where("leads is null").select("id").hint("merge"), "id", "left_semi")
+        near = state.select(F.col("id").alias("small"), "leads")
+        pairs = mine.where("small is not null").join(near.hint("merge"), "small", "left").where("leads is null or leads")
+        pairs = pairs.select("id", "small", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
+        rows = stored(mine.where("small is null").unionByName(pairs), "clusters-open")
+        rounds += 1
+    return (ids.select("id", F.lit(True).alias("leads")).limit(0) if done is None else done), rounds
+
+
+def greedy_clusters(items: DataFrame, pairs: DataFrame, idx: str = "idx", rows_each: int = RANGE_ROWS) -> DataFrame:
     """(idx, cluster_id): in index order the first free item leads and takes every later free item paired with it.
 
-    By rounds: an item none of whose smaller neighbours is a leader or undecided leads; one with a leading smaller
-    neighbour follows the smallest such. Each round decides the smallest open item at least, so rounds go on until
-    none is open; pairs must have i < j. Where pairs have a column `copy`, its true ones tell which first item j is a copy of:
-    copies have the neighbours of their first item, so they are in its cluster and take no part in the rounds.
+    An item none of whose smaller neighbours leads is a leader; one with leading smaller neighbours follows the smallest such.
+    Items are dealt by ranges of their index, with the pairs to smaller ones; a range is gone through in order, and what hangs
+    on an open item of an earlier range waits for the next round. The first range is settled in every round at least, and ranges
+    are of `rows_each` rows of what is still open, so a chain over everything takes a round for each range and not for each link.
+    Pairs must have i < j (else an error); those with an item that isn't there are left out. Where pairs have a column `copy`,
+    its true ones tell which first item j is a copy of: copies have the neighbours of their first item, so they are in its
+    cluster and take no part in the rounds.
     """
     if "copy" in pairs.columns:
         copies = stored(pairs.where("copy").select(F.col("i").alias("rep"), F.col("j").alias("id")), "copies")
         firsts = items.select(F.col(idx).alias("id")).join(copies.select("id").hint("merge"), "id", "left_anti")
-        clusters = greedy_clusters(firsts, pairs.where("not copy").select("i", "j"), "id")
+        clusters = greedy_clusters(firsts, pairs.where("not copy").select("i", "j"), "id", rows_each)
         n = copies.groupBy("rep").agg(F.count("*").alias("n"))
         of = stored(n.join(clusters.select(F.col("id").alias("rep"), "cluster_id").hint("merge"), "rep"), "copies-clusters")
         return clusters.unionByName(join_one(copies, of, "rep", "n").select("id", "cluster_id")).withColumnRenamed("id", idx)
-    ids = items.select(F.col(idx).alias("id"))
-    edges = stored(pairs.select(F.col("i").alias("small"), F.col("j").alias("big")), "pairs")
-    state = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "clusters")
-    before = None
-    while True:
-        seen = edges.join(state.select(F.col("id").alias("small"), "leads").hint("merge"), "small").groupBy(F.col("big").alias("id"))
-        near = seen.agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = stored(state.join(near.hint("merge"), "id", "left").select("id", decided.alias("leads")), "clusters")
-        still = state.where("leads is null").count()
-        if not still:
-            break
-        if still == before:
-            raise RuntimeError(f"{still} items stay undecided: pairs must have i < j")
-        before = still
+    ids = stored(items.select(F.col(idx).cast("long").alias("id")), "items")
+    edges = pairs.select(F.col("i").cast("long").alias("small"), F.col("j").cast("long").alias("big"))
+    for side in ("small", "big"):
+        edges = edges.join(ids.select(F.col("id").alias(side)).distinct().hint("merge"), side, "left_semi")
+    edges = stored(edges, "pairs")
+    if edges.where("small >= big").limit(1).count():
+        raise ValueError("pairs must have i < j")
+    state, _ = _leaders(ids, edges, rows_each)
     leaders = state.where("leads").select(F.col("id").alias("small"))
     follows = edges.join(leaders.hint("merge"), "small").groupBy(F.col("big").alias("id")).agg(F.min("small").alias("leader"))
     own = F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader"))
-    return state.join(follows.hint("merge"), "id", "left").select(F.col("id").alias(idx), own.alias("cluster_id"))
+    out = ids.join(state.hint("merge"), "id").join(follows.hint("merge"), "id", "left")
+    return out.select(F.col("id").alias(idx), own.alias("cluster_id"))
 
 
 def cluster_representative(skills: DataFrame, clusters: DataFrame, answers: DataFrame | None = None, idx: str = "idx") -> DataFrame:

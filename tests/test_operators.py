@@ -200,6 +200,38 @@ def test_greedy_clusters_decide_the_whole_of_a_long_chain(spark):
     assert dict(greedy_clusters(items, pairs).collect()) == {k: k - k % 2 for k in range(104)}
 
 
+def _by_hand(n, pairs):
+    own = {}
+    for k in range(n):
+        led = [i for i, j in pairs if j == k and own[i] == i]
+        own[k] = min(led, default=k)
+    return own
+
+
+@pytest.mark.parametrize("rows_each", [10_000, 150, 40])
+def test_greedy_clusters_are_the_same_for_all_ranges(spark, rows_each):
+    rng = random.Random(rows_each)
+    pairs = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(160)}
+    items = spark.range(120).withColumnRenamed("id", "idx")
+    strange = list(pairs) + [(5, 500), (300, 301)]  # of items that aren't there
+    got = similarity.greedy_clusters(items, spark.createDataFrame(strange, "i long, j long"), rows_each=rows_each)
+    assert dict(got.collect()) == _by_hand(120, pairs)
+
+
+def test_greedy_clusters_settle_a_chain_of_100_000_in_rounds_of_ranges(spark):
+    n = 100_000
+    ids, edges = spark.range(n), spark.range(n - 1).selectExpr("id as small", "id + 1 as big")
+    state, rounds = similarity._leaders(ids, edges, 50_000)
+    assert rounds < 20 and state.where("leads").count() == n / 2 and state.where("leads <> (id % 2 = 0)").count() == 0
+
+
+def test_greedy_clusters_of_nothing_and_of_pairs_the_wrong_way(spark):
+    none = spark.createDataFrame([], "i long, j long")
+    assert similarity.greedy_clusters(spark.range(0).withColumnRenamed("id", "idx"), none).collect() == []
+    with pytest.raises(ValueError):
+        similarity.greedy_clusters(spark.range(3).withColumnRenamed("id", "idx"), spark.createDataFrame([(2, 1)], "i long, j long"))
+
+
 def test_repeated_documents_are_numbered_by_themselves(spark):
     text = "sentence here. " * 500
     df = spark.createDataFrame([(1, "a", text), (1, "a", text), (2, "a", "sentence there. " * 500)], "doc_id long, doc_name string, markdown string")
