@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loreforge.operators import packaging, requests, runs, similarity, text_search, validate
+from loreforge.operators import packaging, requests, runs, segments, similarity, text_search, validate
 from loreforge.operators.chunking import rechunk as rechunk_files
 from loreforge.operators.density import filter_chunks
 from loreforge.plans import fixtures as fx
@@ -132,6 +132,43 @@ def rechunk(spark, sf_dir):
     return rechunk_files(rows).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "score_a")
 
 
+MERGED_SQL = r"""WITH w AS (SELECT source AS workflow_id, string_agg(text, E'\n\n---\n\n' ORDER BY doc_id) AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1)"""
+
+
+def _whole_sources(spark, sf_dir):
+    """Each source as one text: the largest is longer than a row can be, where the table is."""
+    return segments.text_segments(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query(r"""SELECT source AS workflow_id, doc_id, CAST(coalesce(sum(length(text) + 7) OVER (PARTITION BY source ORDER BY doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start", length(text) AS length
+FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""")
+def merged_text_segments(spark, sf_dir):
+    return _whole_sources(spark, sf_dir).select(F.col("source").alias("workflow_id"), "doc_id", "start", "length")
+
+
+@query("SELECT source AS workflow_id, count(*) AS segments, sum(length(text) + 7) - 7 AS chars FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
+def merged_text_totals(spark, sf_dir):
+    return segments.segment_totals(_whole_sources(spark, sf_dir), "source").withColumnRenamed("source", "workflow_id")
+
+
+@query(MERGED_SQL + " SELECT workflow_id, b AS block, md5(substr(t, b * 10000 + 1, 10000)) AS text_md5 FROM (SELECT *, unnest(range((length(t) + 9999) // 10000)) AS b FROM w)")
+def merged_text_blocks(spark, sf_dir):
+    blocks = segments.text_blocks(_whole_sources(spark, sf_dir), "source", 10_000)
+    return blocks.select(F.col("source").alias("workflow_id"), "block", F.md5("text").alias("text_md5"))
+
+
+@query(r"""SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR) || '.md' AS name, count(*) AS segments, octet_length(encode(string_agg(text, E'\n\n---\n\n' ORDER BY doc_id))) AS bytes
+FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1""")
+def merged_text_files(spark, sf_dir):
+    """Workflows of a thousand files each, written as one file and read back."""
+    d = table(spark, sf_dir, "documents")
+    d = d.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("workflow_id"), "doc_id", "text")
+    out = _folder(spark, "merged")
+    done = segments.write_segments(segments.text_segments(d, "workflow_id", "doc_id"), "workflow_id", out)
+    found = spark.read.format("binaryFile").load(out).select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), F.col("length").alias("bytes"))
+    return done.join(found.hint("merge"), "path").select(F.col("path").alias("name"), F.col("lines").alias("segments"), "bytes")
+
+
 @query(SQL["search_chunks"])
 def search_chunks_indexed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.array("source").alias("heading_path"), F.length("text").cast("bigint").alias("char_count"))

@@ -18,11 +18,12 @@ LOG_SCHEMA = (
 )
 
 
-def write_named_files(lines: DataFrame, folder: str, order: str, path: str = "path", line: str = "line") -> DataFrame:
+def write_named_files(lines: DataFrame, folder: str, order: str, path: str = "path", line: str = "line", between: str | None = None) -> DataFrame:
     """Writes each path's lines, in order, to a file of that name below the folder; (path, lines) of what was written.
 
     Spark's writers choose names; logs of a day (`2024-01-05.jsonl`) and packages (`slug/SKILL.md`) have theirs. A file is
-    written by one task, line by line, and anew if the task runs again.
+    written by one task, line by line, and anew if the task runs again. With `between` the rows are texts with that in between
+    and nothing at the end; a file may then be larger than a row can be.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +39,7 @@ def write_named_files(lines: DataFrame, folder: str, order: str, path: str = "pa
                     fs.create_dir(f"{root}/{p}".rsplit("/", 1)[0], recursive=True)
                     name, out = p, fs.open_output_stream(f"{root}/{p}")
                     done.append([p, 0])
-                out.write((text + "\n").encode())
+                out.write((text + "\n" if between is None else between + text if done[-1][1] else text).encode())
                 done[-1][1] += 1
         if out is not None:
             out.close()
