@@ -201,12 +201,14 @@ PRODUCT_WORDS = ("保险", "产品")
 
 
 def grid_rows(cells: DataFrame, sheet: list[str]) -> DataFrame:
-    """Cells (sheet, row_no, col_no, value) trimmed, rows without any value dropped, rows numbered anew from 0."""
-    value = F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)\A\s+|\s+\z", "")
-    trimmed = cells.withColumn("value", value)
-    rows = trimmed.where("value <> ''").select(*sheet, "row_no").distinct()
-    rows = rows.withColumn("_new", F.row_number().over(W.partitionBy(*sheet).orderBy("row_no")) - 1)
-    return trimmed.join(rows.hint("merge"), [*sheet, "row_no"]).withColumn("row_no", F.col("_new")).drop("_new")
+    """Cells (sheet, row_no, col_no, value) trimmed, rows without any value dropped, rows numbered anew from 0; one shuffle by sheet."""
+    value = F.coalesce("value", F.lit(""))
+    value = F.when(value.rlike(r"(?U)\A\s|\s\z"), F.regexp_replace(value, r"(?U)\A\s+|\s+\z", "")).otherwise(value)
+    known = cells.dropna(subset=[*sheet, "row_no"]).withColumn("value", value)
+    # the last row with a value up to this one, all cells of this one included, is this one; so both windows go by sheet
+    filled = F.max(F.when(F.col("value") != "", F.col("row_no"))).over(W.partitionBy(*sheet).orderBy("row_no"))
+    rows = known.withColumn("_filled", filled == F.col("row_no")).where("_filled").drop("_filled")
+    return rows.withColumn("row_no", F.dense_rank().over(W.partitionBy(*sheet).orderBy("row_no")) - 1)
 
 
 def header_field(value: Column, keywords=HEADER_KEYWORDS) -> Column:
@@ -220,13 +222,15 @@ def header_field(value: Column, keywords=HEADER_KEYWORDS) -> Column:
 def detect_header_row(rows: DataFrame, sheet: list[str], keywords=HEADER_KEYWORDS, first: int = 10) -> DataFrame:
     """(sheet, header_row, col_no, field): the first of the leading rows that maps a name, and its mapped cells."""
     mapped = rows.where(F.col("row_no") < first).withColumn("field", header_field(F.col("value"), keywords)).where("field is not null")
-    head = mapped.where("field = 'name'").groupBy(*sheet).agg(F.min("row_no").alias("header_row"))
-    return mapped.join(head.hint("merge"), sheet).where("row_no = header_row").select(*sheet, "header_row", "col_no", "field")
+    head = F.min(F.when(F.col("field") == "name", F.col("row_no"))).over(W.partitionBy(*sheet))
+    return mapped.withColumn("header_row", head).where("row_no = header_row").select(*sheet, "header_row", "col_no", "field")
 
 
 def extract_benefit_items(rows: DataFrame, header: DataFrame, sheet: list[str], fields=FIELDS) -> DataFrame:
     """A record for each row below the header with a name; where two columns map one field the later one counts."""
-    below = rows.join(header.hint("merge"), [*sheet, "col_no"]).where("row_no > header_row and value <> '' and value <> 'None'")
+    # by sheet alone, as the cells are dealt: a header has a few cells
+    heads = header.withColumnRenamed("col_no", "_col").hint("merge")
+    below = rows.where("value <> '' and value <> 'None'").join(heads, sheet).where("col_no = _col and row_no > header_row")
     items = below.groupBy(*sheet, "row_no").pivot("field", list(fields)).agg(F.max_by("value", "col_no"))
     return items.where("name is not null")
 

@@ -319,3 +319,15 @@ def test_reports_have_lines_for_all_parts(spark):
 def test_components_of_a_long_path_settle(spark):
     edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(150)], "src string, dst string")
     assert {r["component"] for r in graph.component_labels(edges).collect()} == {"n000"}
+
+
+def test_grids_are_dealt_once(spark):
+    """Rows, headers and items of cells come by one shuffle of the cells by sheet, and headers don't shuffle them again."""
+    from loreforge.operators import runs
+
+    cells = spark.createDataFrame([("s", 0, 0, " 某某保险产品 "), ("s", 2, 0, "项目"), ("s", 2, 1, "限额"), ("s", 3, 0, " "), ("s", 5, 0, "a"), ("s", 5, 1, " 7 "), (None, 1, 0, "x")], "sheet string, row_no int, col_no int, value string")
+    rows = runs.grid_rows(cells, ["sheet"])
+    assert sorted(map(tuple, rows.collect())) == [("s", 0, 0, "某某保险产品"), ("s", 1, 0, "项目"), ("s", 1, 1, "限额"), ("s", 2, 0, "a"), ("s", 2, 1, "7")]
+    head = runs.detect_header_row(rows, ["sheet"])
+    assert [r["name"] for r in runs.extract_benefit_items(rows, head, ["sheet"]).collect()] == ["a"]
+    assert head._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
