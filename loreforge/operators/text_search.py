@@ -36,7 +36,7 @@ def build_text_index(rows: DataFrame, key: list[str], text: Column | str, path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams, rows_of, places = [], [], []
+            grams, rows_of, places, counts = [], [], [], []
             size = 0
             for i, t in enumerate(b.column("t").to_pylist()):
                 g = grams_of(t)
@@ -44,16 +44,17 @@ def build_text_index(rows: DataFrame, key: list[str], text: Column | str, path:
                 cuts = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0]) if len(g) else np.empty(0, np.int64)
                 grams.append(g[order][cuts])
                 rows_of.append(np.full(len(cuts), i))
-                places += [x.astype(np.int32) for x in np.split(order, cuts[1:])] if len(g) else []
+                places.append(order.astype(np.int32))
+                counts.append(np.diff(np.r_[cuts, len(g)]))
                 size += len(g)
                 if size > 1_000_000:
-                    yield out(b, grams, rows_of, places)
-                    grams, rows_of, places, size = [], [], [], 0
-            yield out(b, grams, rows_of, places)
+                    yield out(b, grams, rows_of, places, counts)
+                    grams, rows_of, places, counts, size = [], [], [], [], 0
+            yield out(b, grams, rows_of, places, counts)
 
-    def out(b: pa.RecordBatch, grams: list, rows_of: list, places: list) -> pa.RecordBatch:
+    def out(b: pa.RecordBatch, grams: list, rows_of: list, places: list, counts: list) -> pa.RecordBatch:
         at = pa.array(np.concatenate(rows_of) if rows_of else np.empty(0, np.int64))
-        offsets = np.cumsum([0, *map(len, places)]).astype(np.int32)
+        offsets = np.r_[0, np.cumsum(np.concatenate(counts) if counts else [])].astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, np.concatenate(places) if places else np.empty(0, np.int32))
         return pa.record_batch({"gram": pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)), **{n: b.column(n).take(at) for n in names}, "places": lists})
 
