@@ -14,15 +14,25 @@ PATTERNS = (
     r"([一-鿿A-Za-z]{2,15})\s*(?:是指|指的是|定义为|称为|简称)\s*(.{5,80}?)(?:[。；\n]|$)",
     r"([一-鿿A-Za-z]{2,15})\s*(?:，|,)\s*(?:即|也就是|亦称)\s*(.{5,60}?)(?:[。；\n]|$)",
 )
+#: The same matches with fewer steps: an English word is left at once where neither a Chinese letter nor a comma follows it.
+_FASTER = {
+    PATTERNS[2]: r"(?=[A-Za-z]*+\s*+[一-鿿])" + PATTERNS[2],
+    PATTERNS[3]: r"([一-鿿A-Za-z]{2,15}+)\s*+(?:，|,)\s*(?:即|也就是|亦称)\s*(.{5,60}?)(?:[。；\n]|$)",
+}
 
 
 def mentions(text: Column | str, patterns=PATTERNS) -> Column:
     """Array of (term, definition), pattern by pattern."""
     t = F.coalesce(col(text), F.lit(""))
+    marked = F.contains(t, F.lit("\x01")) | F.contains(t, F.lit("\x02"))
     parts = []
     for p in patterns:
-        p = "(?Ud)" + p
-        parts.append(F.arrays_zip(F.transform(F.regexp_extract_all(t, F.lit(p), 1), strip).alias("term"), F.transform(F.regexp_extract_all(t, F.lit(p), 2), strip).alias("definition")))
+        p = "(?Ud)" + _FASTER.get(p, p)
+        twice = F.arrays_zip(F.transform(F.regexp_extract_all(t, F.lit(p), 1), strip).alias("term"), F.transform(F.regexp_extract_all(t, F.lit(p), 2), strip).alias("definition"))
+        # one pass gives both groups, between marks; a text that holds such marks itself takes two
+        pieces = F.filter(F.split(F.regexp_replace(t, p, "\x01$1\x02$2\x01"), "\x01"), lambda x, i: i % 2 == 1)
+        both = F.transform(pieces, lambda x: F.struct(strip(F.substring_index(x, "\x02", 1)).alias("term"), strip(F.substring_index(x, "\x02", -1)).alias("definition")))
+        parts.append(F.when(marked, twice).otherwise(both))
     return F.concat(*parts)
 
 

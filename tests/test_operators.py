@@ -331,3 +331,20 @@ def test_grids_are_dealt_once(spark):
     head = runs.detect_header_row(rows, ["sheet"])
     assert [r["name"] for r in runs.extract_benefit_items(rows, head, ["sheet"]).collect()] == ["a"]
     assert head._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_terms_and_definitions_come_by_one_pass(spark):
+    """As by a pass for each group; texts with the marks of the one pass and terms at the limits of their length too."""
+    from pyspark.sql import functions as F
+
+    from loreforge.functions.text import strip
+    from loreforge.operators import glossary
+
+    texts = ["免赔额是指每次赔付之前由自己承担的部分。", "abcdefghijklmnopqrst 称为 one two three", "等待期 ，即合同生效之后的一段时间", "a, 即b, 亦称 nothing at all；", "保单(合同双方签署的文件)x保额（每年赔付的最高限额）", "保费是指是指称为\x01定义为\x02abc。def。\n", "word, word 指的是a。b。c $1 \\ d\n", "", None]
+    texts += ["".join(x) for x in zip(texts[:7], texts[1:8])] + ["一二三四五六七八九十一二三四五六七, 也就是 12345。"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = [F.arrays_zip(*[F.transform(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit("(?Ud)" + p), g), strip).alias(n) for g, n in ((1, "term"), (2, "definition"))]) for p in glossary.PATTERNS]
+    out = df.select(glossary.mentions("t").alias("got"), F.concat(*plain).alias("want"))
+    rows = out.collect()
+    assert all([tuple(x) for x in r["got"]] == [tuple(x) for x in r["want"]] for r in rows) and sum(len(r["got"]) for r in rows) > 15
+    assert df.select(glossary.mentions("t"))._jdf.queryExecution().optimizedPlan().toString().count("$1") >= len(glossary.PATTERNS)
