@@ -35,8 +35,13 @@ FORMULA = "|".join([f"[{FORMULA_SIGNS}]", *(r"\\" + x for x in FORMULA_COMMANDS)
 
 _U = "(?Ud)"
 #: What a text must hold for a pattern to match anywhere: cheap to test, and most texts have none of it.
-_DIGIT, _NAME_LIKE = r"(?U)\d", r"[a-zA-Z][A-Z]|\.\S"
-_FORMULA_PARTS = (*FORMULA_SIGNS, *("\\" + x for x in FORMULA_COMMANDS), "$$")
+_DIGIT, _NAME_LIKE = r"(?U)\d", r"[A-Z.](?:(?<=[a-zA-Z][A-Z])|(?<=\.)\S)"
+_FORMULA_PARTS = r"[=±$\\α-ε∏-≥]"  # ranges: a class of single signs is tried sign by sign
+_MARKED_LINE = r"(?U)(?:\A|\n)\s*(?:\d+\.\s|[-*+] |```|#)|\|"
+#: The same matches as NUMBER and IDENTIFIER in less time. Every match of an identifier ends where its word ends, so an alternative
+#: that fails on a word's letter fails on the next one too, and no part that gave way would let it match.
+_NUMBER = r"(?=\d)" + NUMBER
+_IDENTIFIER = r"(?<![a-zA-Z_])[a-zA-Z_]\w*+(?:\.\w+)++|(?<![a-z])[a-z]++[A-Z]\w++|(?<![A-Z])[A-Z]{2,}+\w*+"
 
 
 def _count_if(needed: Column, c: Column, pattern: str) -> Column:
@@ -47,17 +52,17 @@ def logic_density(c: Column | str) -> Column:
     """Distinct connectors (2), condition patterns (5) and causal patterns (4) for each word; at most 1."""
     c = col(c)
     low = F.lower(c)
-    raw = hits(low, CONNECTORS) * 2 + _count_if(has_any(c, CONDITION_WORDS), c, CONDITION) * 5 + _count_if(has_any(low, CAUSAL_WORDS), low, CAUSAL) * 4
+    raw = hits(low, CONNECTORS) * 2 + _count_if(has_any(low, CONDITION_WORDS), c, CONDITION) * 5 + _count_if(has_any(low, CAUSAL_WORDS), low, CAUSAL) * 4
     return F.least(raw / F.greatest(count_matches(c, r"(?U)\S+"), F.lit(1)), F.lit(1.0))
 
 
 def entity_density(c: Column | str) -> Column:
     """Numbers (2), units (3), formula signs (5), identifiers (2) and parentheticals (3) for each ten characters; at most 1."""
     c = col(c)
-    digits = F.when(c.rlike(_DIGIT), count_matches(c, _U + NUMBER) * 2 + count_matches(c, _U + UNIT) * 3).otherwise(0)
-    names = _count_if(c.rlike(_NAME_LIKE), c, IDENTIFIER) * 2
+    digits = F.when(c.rlike(_DIGIT), count_matches(c, _U + _NUMBER) * 2 + count_matches(c, _U + UNIT) * 3).otherwise(0)
+    names = _count_if(c.rlike(_NAME_LIKE), c, _IDENTIFIER) * 2
     asides = _count_if(F.contains(c, F.lit("(")) | F.contains(c, F.lit("（")), c, PARENTHETICAL) * 3
-    raw = digits + _count_if(has_any(c, _FORMULA_PARTS), c, FORMULA) * 5 + names + asides
+    raw = digits + _count_if(c.rlike(_FORMULA_PARTS), c, FORMULA) * 5 + names + asides
     return F.least(raw / (F.greatest(F.length(c), F.lit(1)) / 10), F.lit(1.0))
 
 
@@ -66,7 +71,7 @@ def struct_density(c: Column | str) -> Column:
     c = col(c)
     lines = F.split(c, "\n")
     kind = r"(?Us)\A\s*(?:\d+\.\s|[-*+] |[^|]*\|[^|]*\||```|#)"
-    share = F.size(F.filter(lines, lambda x: x.rlike(kind))) / F.size(lines)
+    share = F.when(~c.rlike(_MARKED_LINE), 0.0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(kind))) / F.size(lines))
     return F.least(share + F.floor(count_matches(c, "```") / 2) * 0.08, F.lit(1.0))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,9 @@ _HEADING = r"(?Udm)^(#{1,6})\s+(.+)$"
 
 def headings(text: Column | str) -> Column:
     """Array of (level, title, start_pos, end_pos) of the heading lines; a heading ends where the next one begins."""
+    text = col(text)
     # the text before each heading line and the line itself: pieces of the text cut in front of heading lines
-    pieces = split_before(col(text), r"(?Udm)^#{1,6}\s+.")
+    pieces = split_before(text, r"(?Udm)^#{1,6}\s+.")
     kind = "struct<at: int, rows: array<struct<level: int, title: string, start_pos: int, end_pos: int>>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().alias("rows")).cast(kind)
     marked = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.regexp_extract(p, _HEADING, 0).alias("line")))
@@ -28,7 +32,8 @@ def headings(text: Column | str) -> Column:
         row = F.struct(level.alias("level"), strip(F.substr(p["line"], level + 1)).alias("title"), acc["at"].alias("start_pos"), end.alias("end_pos"))
         return F.struct(end.alias("at"), F.when(p["line"] != "", F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows")).cast(kind)
 
-    return F.aggregate(marked, zero, step)["rows"]
+    # most texts have no mark at all
+    return F.when(~F.contains(text, F.lit("#")), zero["rows"]).otherwise(F.aggregate(marked, zero, step)["rows"])
 
 
 def extract_headings(docs: DataFrame, text: str = "markdown") -> DataFrame:
@@ -63,18 +68,16 @@ def build_context(doc_name: Column | str, path: Column | str) -> Column:
 
 def clean_markdown(text: Column | str, noise=NOISE_SECTIONS) -> Column:
     """Without page-number lines, rule lines and noise sections (each to the next heading of any level); at most one blank line."""
-    t = F.regexp_replace(F.regexp_replace(col(text), _PAGE_NUMBER, ""), _RULE, "")
-    pieces = split_before(t, r"(?Udm)^#{1,6}\s+.")
+    plain = F.regexp_replace(F.regexp_replace(col(text), _PAGE_NUMBER, ""), _RULE, "")
 
     def noisy(p):
-        title = F.lower(F.regexp_extract(p, _HEADING, 2))
-        out = F.lit(False)
-        for k in noise:
-            out = out | F.contains(title, F.lit(k))
-        return out
-
-    kept = F.array_join(F.filter(pieces, lambda p: ~noisy(p)), "")
-    return strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+        return let(F.lower(F.regexp_extract(p, _HEADING, 2)), lambda title: reduce(or_, (F.contains(title, F.lit(k)) for k in noise), F.lit(False)))
+
+    def kept(t):
+        pieces = split_before(t, r"(?Udm)^#{1,6}\s+.")
+        return F.when(~F.contains(t, F.lit("#")), t).otherwise(F.array_join(F.filter(pieces, lambda p: ~noisy(p)), ""))
+
+    return strip(F.regexp_replace(let(plain, kept), r"\n{3,}", "\n\n"))
 
 
 def toc_and_preface(docs: DataFrame, text: str = "markdown", preface_chars: int = 6000) -> DataFrame:
