@@ -37,7 +37,7 @@ _U = "(?Ud)"
 #: What a text must hold for a pattern to match anywhere: cheap to test, and most texts have none of it.
 _DIGIT, _NAME_LIKE = r"(?U)\d", r"[A-Z.](?:(?<=[a-zA-Z][A-Z])|(?<=\.)\S)"
 _FORMULA_PARTS = r"[=±$\\α-ε∏-≥]"  # ranges: a class of single signs is tried sign by sign
-_MARKED_LINE = r"(?U)(?:\A|\n)\s*(?:\d+\.\s|[-*+] |```|#)|\|"
+_MARK = r"[|#`]|[-*+] "
 #: The same matches as NUMBER and IDENTIFIER in less time. Every match of an identifier ends where its word ends, so an alternative
 #: that fails on a word's letter fails on the next one too, and no part that gave way would let it match.
 _NUMBER = r"(?=\d)" + NUMBER
@@ -71,7 +71,7 @@ def struct_density(c: Column | str) -> Column:
     c = col(c)
     lines = F.split(c, "\n")
     kind = r"(?Us)\A\s*(?:\d+\.\s|[-*+] |[^|]*\|[^|]*\||```|#)"
-    share = F.when(~c.rlike(_MARKED_LINE), 0.0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(kind))) / F.size(lines))
+    share = F.when(~(c.rlike(_DIGIT) | c.rlike(_MARK)), 0.0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(kind))) / F.size(lines))
     return F.least(share + F.floor(count_matches(c, "```") / 2) * 0.08, F.lit(1.0))
 
 
