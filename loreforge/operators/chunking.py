@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.functions.text import col, count_matches, let, ordered_join, split_before, strip
+from loreforge.functions.text import SPACE, col, count_matches, let, ordered_join, split_before, strip
 from loreforge.operators.density import filter_chunks
 from loreforge.operators.markdown import build_context, clean_markdown, headings, paths
 
@@ -22,8 +22,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def not_blank(texts: Column) -> Column:
-    return F.filter(F.transform(texts, strip), lambda t: t != "")
+def not_blank(texts: Column, space: str = SPACE) -> Column:
+    return F.filter(F.transform(texts, lambda t: strip(t, space)), lambda t: t != "")
 
 
 def pack(parts: Column, limit: Column | int, extra: int = 0, sep: str = "\n\n") -> Column:
@@ -54,10 +54,11 @@ def paragraphs(text: Column) -> Column:
     return not_blank(F.split(text, _BLANK))
 
 
-def split_sentences(text: Column | str, max_chars: int, overlap: int = 0) -> Column:
+def split_sentences(text: Column | str, max_chars: int, overlap: int = 0, space: str = SPACE) -> Column:
     """Pieces of at most max_chars: cut after the last sentence end of the window if past 30 % of it, else at the last blank past 30 %, else hard.
 
-    With an overlap each piece but the first begins as many characters earlier, and windows are that much shorter.
+    With an overlap each piece but the first begins as many characters earlier, and windows are that much shorter. `space` has the
+    characters that count as white space, of which a sentence end takes those after it and a piece has none at its ends. No piece is empty.
     """
     whole, max_chars = max_chars, max_chars - overlap
     kind = "struct<pos: int, cuts: array<int>>"
@@ -65,7 +66,7 @@ def split_sentences(text: Column | str, max_chars: int, overlap: int = 0) -> Col
     least = max_chars * 0.3
 
     def move(w):
-        end = F.greatest(F.length(F.regexp_extract(w, r"(?sU)^.*[。！？.!?]\s*", 0)), F.length(F.regexp_extract(w, r"(?s)^.*\n", 0)))
+        end = F.greatest(F.length(F.regexp_extract(w, f"(?s)^.*[。！？.!?][{space}]*", 0)), F.length(F.regexp_extract(w, r"(?s)^.*\n", 0)))
         blank = F.length(w) - F.length(F.substring_index(w, " ", -1)) - 1
         return let(end, lambda e: F.when(e > least, e).when(blank > least, blank).otherwise(F.lit(max_chars)))
 
@@ -83,9 +84,9 @@ def split_sentences(text: Column | str, max_chars: int, overlap: int = 0) -> Col
         begins = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1))
         if overlap:
             begins = F.transform(begins, lambda a: F.greatest(a - overlap, F.lit(0)))
-        return not_blank(F.transform(F.arrays_zip(begins.alias("a"), cuts.alias("b")), lambda z: F.substr(t, z["a"] + 1, z["b"] - z["a"])))
+        return not_blank(F.transform(F.arrays_zip(begins.alias("a"), cuts.alias("b")), lambda z: F.substr(t, z["a"] + 1, z["b"] - z["a"])), space)
 
-    return let(col(text), lambda t: F.when(F.length(t) <= whole, F.array(t)).otherwise(let(cuts_of(t), lambda cuts: pieces(t, cuts))))
+    return let(col(text), lambda t: F.when(t == "", F.array().cast(_STRINGS)).when(F.length(t) <= whole, F.array(t)).otherwise(let(cuts_of(t), lambda cuts: pieces(t, cuts))))
 
 
 def chunk_sliding_window(text: Column | str, window: int = WINDOW_CHARS, overlap_ratio: float = 0.0) -> Column:

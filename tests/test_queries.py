@@ -44,3 +44,19 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sentences_of_odd_texts_equal_their_sql(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    rng, rows = random.Random(5), [None, "", " ", "\n", "." * 1001, "a" * 2500, " " * 2500, "a" * 301 + " " + "b" * 5000]
+    for odd in ("a", "\t\r\n", "\x0b", "\x1c", "\x85", "\xa0　", " ", "​", "。！保", "😀"):
+        rows += ["".join(rng.choice(["a", "word", " ", "\n", ". ", "é", *odd, *(f".{c}" for c in odd)]) for _ in range(n)) for n in (5, 900, 2500) for _ in range(3)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(entry.oracle_sql()["split_sentences"]).select("doc_id, pos, piece").fetchall()
+    got = entry.queries()["split_sentences"](spark, f"file://{tmp_path}").select("doc_id", "pos", "piece").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
