@@ -112,13 +112,14 @@ def search_chunks(chunks: DataFrame, query: str, page: int = 1, size: int = 20,
     With an index of searchable() whose keys are `order` only the chunks that match are read; shorter queries than a gram scan.
     """
     order = order or ["doc_id", "chunk_index"]
-    if index is not None and len(query) >= GRAM:
-        found = chunks.join(find_texts(index, order, query).hint("shuffle_hash"), order, "left_semi")
+    row = [*order, F.substring("content", 1, 100).alias("preview"), "char_count"]
+    if index is not None and len(query) >= GRAM:  # no text is sent on, as only their beginnings are shown
+        found = chunks.select(*row).join(find_texts(index, order, query).hint("shuffle_hash"), order, "left_semi")
     else:
-        found = chunks.where(F.contains("content", F.lit(query)) | F.contains(F.array_join("heading_path", " > "), F.lit(query)))
+        found = chunks.where(F.contains("content", F.lit(query)) | F.contains(F.array_join("heading_path", " > "), F.lit(query))).select(*row)
     total = found.agg(F.count("*").alias("total"))
     rows = found.orderBy(*order).offset((page - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(total)).select(*order, F.substring("content", 1, 100).alias("preview"), "char_count", "total")  # total is one row
+    return rows.crossJoin(F.broadcast(total)).select(*order, "preview", "char_count", "total")  # total is one row
 
 
 # ---------------------------------------------------------------- run state
