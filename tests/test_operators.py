@@ -408,3 +408,20 @@ def test_candidates_are_cut_once(spark):
     assert sorted(map(tuple, cut.select("id", "pos", "raw_text").collect())) == sorted(map(tuple, want.collect()))
     plan = validate.parse_frontmatter(cut)._jdf.queryExecution().optimizedPlan().toString()
     assert r"\A\s+|\s+\z" not in plan
+
+
+def test_only_texts_of_clusters_of_two_are_merged(spark):
+    from loreforge.operators import requests
+
+    skills = spark.range(30).selectExpr("id as idx", "concat('n', id) as name", "if(id = 4, null, 'src') as source_context", "concat('b', id) as body")
+    clusters = spark.range(28).selectExpr("id as idx", "if(id < 20, id - id % 2, id) as cluster_id")
+    out = requests.cluster_merge_request(skills, clusters)
+    got = {r["cluster_id"]: (r["members"], r["user_prompt"]) for r in out.collect()}
+    src = lambda i: "" if i == 4 else "src"
+    assert got == {i: (2, "\n\n".join(f"### {k}. n{j}\n> {src(j)}\n\nb{j}" for k, j in ((1, i), (2, i + 1)))) for i in range(0, 20, 2)}
+    plan, depth = out._jdf.queryExecution().optimizedPlan().toString().splitlines(), lambda x: len(x) - len(x.lstrip(" :+-"))
+    windows = [i for i, x in enumerate(plan) if x.lstrip(" :+-").startswith("Window")]
+    assert windows
+    for i in windows:  # nothing below a window reads a text
+        below = next((k for k in range(i + 1, len(plan)) if depth(plan[k]) <= depth(plan[i])), len(plan))
+        assert not any("body" in x for x in plan[i:below])
