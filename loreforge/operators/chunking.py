@@ -23,7 +23,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def not_blank(texts: Column, space: str = SPACE) -> Column:
-    return F.filter(F.transform(texts, lambda t: strip(t, space)), lambda t: t != "")
+    return F.filter(F.transform(texts, lambda t: F.btrim(t, F.lit(space))), lambda t: t != "")
 
 
 def pack(parts: Column, limit: Column | int, extra: int = 0, sep: str = "\n\n") -> Column:
